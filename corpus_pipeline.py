@@ -1,6 +1,55 @@
-STAGES = []
+"""The corpus pipeline: quality, exact and near duplicates, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again
+as the next stage's documents; all but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from quillspark.llm import exact_dedup, mixing, ngram_join, packing, quality
+from quillspark.llm.common import cut
+
+#: The mix: weights of 0.9 of the greatest entropy, no source repeated more than twice, and every
+#: document at least once, since the stages before have chosen what is worth keeping.
+MIX = {"entropy_share": 0.9, "repeat_limit": 2.0, "keep_all": True}
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one document stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similarity of 0.8 on five-word shingles one stays."""
+    return ngram_join.keep_one(docs, words=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources meet their target weights."""
+    return mixing.mixed_documents(docs, **MIX)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become pieces in sequences of 4096 tokens."""
+    return packing.best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("n-gram join", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+
+#: SQL can't express the trained classifier and the tokenizer; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -73,11 +73,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Rows that repeat both doc_id and text collapse to one. The decision table has ids only;
     texts move once, to meet it by doc_id.
     """
-    names = docs.columns
-    found = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    mine = docs.withColumns({"_id": docs["doc_id"].cast("long"), "_text_sha": F.sha2(text_of(docs), 256)})
-    stay = mine.join(found, mine["_id"].eqNullSafe(found["_keep"]) & (mine["_text_sha"] == found["_sha"]), "left_semi")
-    return stay.dropDuplicates(["_id", "_text_sha"]).select(*[f"`{n}`" for n in names])
+    found = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_keep_sha")).distinct()
+    mine = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_id"), F.sha2(text_of(docs), 256).alias("_sha"))
+    stay = mine.join(found, mine["_id"].eqNullSafe(found["_keep"]) & (mine["_sha"] == found["_keep_sha"]), "left_semi")
+    return stay.dropDuplicates(["_id", "_sha"]).select("_row.*")
 
 
 SQL = """

@@ -7,21 +7,34 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup, media_gif, ngram_join, packing, token_counts
+from quillspark.llm import exact_dedup, html_wrapper, lm_score, media_gif, mixing, ngram_join, packing, pii, quality, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of 0.95 of the greatest entropy, no source more than four times, as many tokens as the corpus has."""
+    return mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.95, repeat_limit=4.0).select("doc_id", "source", "tokens", "weight", "epoch", "block", "block_order", "doc_order")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,12 +43,24 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_gif.stored_media(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_join, op4_exact_dedup, op6_token_counts, op7_best_fit_packing, op10_gif_media)
+    f.__name__: f
+    for f in (
+        op1_html_wrapper, op2_ngram_join, op3_mix_sources, op4_exact_dedup, op5_pii_pseudonyms,
+        op6_token_counts, op7_best_fit_packing, op8_quality_rules, op9_pseudo_likelihood, op10_gif_media,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op2_ngram_join": ngram_join.SQL}
