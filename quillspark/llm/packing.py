@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ END_ID = 1
 #: Tokens dealt to one packing task, and bins it may hold open.
 GROUP_TOKENS, OPEN_BINS = 4_000_000, 4096
 #: Entries of a worker's cache of word spellings; emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Separators for Python's split() that the tokenizer's \s does not take as white space.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -51,6 +52,17 @@ class WordSpeller:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
+    def learn(self, texts: list[str]) -> None:
+        """Spell the words of some texts that the cache lacks, in one call of the library."""
+        cache = self.cache
+        new = list({w for t in texts for w in t.split() if w not in cache and len(w) <= 64})
+        if len(cache) + len(new) > CACHE_WORDS:
+            cache.clear()
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
+            for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
+                cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+
     def ids(self, text: str) -> bytes:
         # Special strings of the vocabulary contain '<|'; the library decides about them in context.
         if "<|" in text or any(c in text for c in _NOT_SPACE):
@@ -59,28 +71,27 @@ class WordSpeller:
         try:
             return b"".join([cache[w] for w in words])
         except KeyError:
-            out = []
-            for w in words:
-                got = cache.get(w)
-                if got is None:
-                    got = self.spell(w)
-                    if len(w) <= 64:
-                        if len(cache) >= CACHE_WORDS:
-                            cache.clear()
-                        cache[w] = got
-                out.append(got)
-            return b"".join(out)
+            return b"".join([cache.get(w) or self.spell(w) for w in words])
+
+
+@lru_cache(maxsize=2)
+def speller(path: str) -> WordSpeller:
+    """One speller a worker, kept with its cache from task to task."""
+    return WordSpeller(path)
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """Pieces of at most `limit` ids per document, each with its place and the CRC-32 of its ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller, end, width = WordSpeller(tokenizer), np.asarray([end_id], "<u4").tobytes(), 4 * limit
+        spell, end, width = speller(tokenizer), np.asarray([end_id], "<u4").tobytes(), 4 * limit
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = speller.ids(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for lo in range(0, len(texts), 256):
+                spell.learn(texts[lo : lo + 256])
+            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                ids = spell.ids(text) + end
                 for k in range(0, len(ids), width):
                     part = ids[k : k + width]
                     out.append((doc, k // width, k // 4, len(part) // 4, zlib.crc32(part)))
