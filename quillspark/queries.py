@@ -1,6 +1,7 @@
-"""All queries by name, with their oracle SQL."""
+"""All queries of the library by name, with their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillspark.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
