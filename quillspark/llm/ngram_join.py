@@ -183,98 +183,120 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def block_links(sets: list[np.ndarray], prefixes: list[list[np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Spanning links of one block: filtered by size and by the other orders' prefixes, then verified on the whole sets."""
-    n = np.asarray([len(s) for s in sets])
+def candidates(n: np.ndarray, prefixes: list[list[np.ndarray]], percent: int) -> np.ndarray:
+    """Pairs of a block that pass the size filter and share a prefix token under every other order too."""
     maybe = 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
     np.fill_diagonal(maybe, False)
     for other in prefixes:
-        if not maybe.any():
-            return []
-        maybe &= overlaps(other) > 0
-    who = np.flatnonzero(maybe.any(0))
-    if not len(who):
-        return []
-    both = overlaps([sets[k] for k in who])
-    union = np.add.outer(n[who], n[who]) - both
-    linked = maybe[np.ix_(who, who)] & (100 * both >= percent * union)
-    return [(int(who[a]), int(who[b])) for a, b in forest(linked)]
+        if maybe.any():
+            maybe &= overlaps(other) > 0
+    return maybe
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Spanning links (a, b) of all blocks; `members` has token, block, doc_id, toks, second, third."""
+def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of a block's links, on the whole sets."""
+    n = np.asarray([len(s) for s in sets])
+    both = overlaps(sets)
+    linked = 100 * both >= percent * (np.add.outer(n, n) - both)
+    np.fill_diagonal(linked, False)
+    return forest(linked)
 
-    def lists(column) -> list[np.ndarray]:
-        flat, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-        return [flat[a:b] for a, b in zip(offsets - offsets[0], offsets[1:] - offsets[0], strict=False)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [], [])
+def _lists(column) -> list[np.ndarray]:
+    flat, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets - offsets[0], offsets[1:] - offsets[0], strict=False)]
+
 
-        def flush():
-            docs, sets, second, third = held
-            if len(docs) < 2:
-                return None
-            edges = block_links(sets, [second, third], percent)
-            return pa.RecordBatch.from_arrays([pa.array([docs[a] for a, _ in edges], pa.int64()), pa.array([docs[b] for _, b in edges], pa.int64())], ["a", "b"]) if edges else None
+def _by_block(rows: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """`work(block key, columns)` for each (token, block), which come sorted, one block in memory at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, [[] for _ in columns]
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            rows = (batch.column(2).to_pylist(), *(lists(batch.column(k)) for k in (3, 4, 5)))
+            arrays = [c for c in batch.columns[2:]]
+            values = [_lists(c) if pa.types.is_list(c.type) else c.to_pylist() for c in arrays]
             for k, mine in enumerate(keys):
                 if mine != key:
-                    if (out := flush()) is not None:
+                    if len(held[0]) > 1 and (out := work(key, *held)) is not None:
                         yield out
-                    key, held = mine, ([], [], [], [])
-                for to, values in zip(held, rows, strict=True):
-                    to.append(values[k])
-        if (out := flush()) is not None:
+                    key, held = mine, [[] for _ in columns]
+                for to, v in zip(held, values, strict=True):
+                    to.append(v[k])
+        if len(held[0]) > 1 and (out := work(key, *held)) is not None:
             yield out
 
-    dealt = members.repartition("token", "block").sortWithinPartitions("token", "block")
-    return dealt.select("token", "block", "doc_id", "toks", "second", "third").mapInArrow(run, "a long, b long")
+    return rows.repartition("token", "block").sortWithinPartitions("token", "block").select("token", "block", *columns).mapInArrow(run, schema)
+
+
+def _survivors(members: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, block, doc_id, tag) that have a candidate in their block."""
+
+    def work(key, docs, tags, n, second, third):
+        kept = np.flatnonzero(candidates(np.asarray(n), [second, third], percent).any(0)).tolist()
+        columns = [[key[0]] * len(kept), [key[1]] * len(kept), [docs[k] for k in kept], [tags[k] for k in kept]]
+        kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["token", "block", "doc_id", "tag"]) if kept else None
+
+    return _by_block(members, ["doc_id", "tag", "n", "second", "third"], work, "token long, block long, doc_id long, tag int")
+
+
+def _links(members: DataFrame, percent: int) -> DataFrame:
+    """Spanning links (a, b) of all blocks."""
+
+    def work(key, docs, sets):
+        edges = links(sets, percent)
+        return pa.RecordBatch.from_arrays([pa.array([docs[a] for a, _ in edges], pa.int64()), pa.array([docs[b] for _, b in edges], pa.int64())], ["a", "b"]) if edges else None
+
+    return _by_block(members, ["doc_id", "toks"], work, "a long, b long")
+
+
+def _carried(places: DataFrame, payload: DataFrame) -> DataFrame:
+    """Places (token, block, doc_id, tag) with the payload of their node, which is shuffled once per node before it spreads."""
+    per_node = places.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("token", "block")).alias("at"))
+    met = payload.join(per_node, ["doc_id", "tag"])
+    return met.withColumn("at", F.explode("at")).select("at.token", "at.block", *payload.columns)
 
 
 def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; components of the links with similarity >= percent / 100."""
-    table = cut(shingle_table(docs, words, percent), "shingles")
+    table = cut(shingle_table(docs, words, percent).withColumn("tag", F.hash("sig")), "shingles")
     light = table.select("doc_id", "n", "sig")
     classes = light.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"))
-    nodes = table.join(classes, (table["doc_id"] == classes["node"]) & (table["sig"] == classes["sig"]), "left_semi").dropDuplicates(["sig"])
+    # A node is a doc_id and a tag of its set, for a doc_id may have several texts.
+    nodes = table.join(classes, (table["doc_id"] == classes["node"]) & (table["sig"] == classes["sig"]), "left_semi").dropDuplicates(["doc_id", "sig"])
+    nodes = cut(nodes.drop("sig"), "nodes")
 
     # Document frequency over nodes; tokens of one node only are left out.
-    spread = nodes.select("doc_id", "sig", F.explode("toks").alias("token"))
-    frequent = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = spread.join(frequent.hint("shuffle_hash"), "token").groupBy("sig").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
-    prefixed = _prefixes(nodes.select("doc_id", "sig", "n", "m").join(shared, "sig"), percent)
-    prefixed = cut(prefixed.where("size(first) > 0"), "prefixes")
+    spread = nodes.select("doc_id", "tag", F.explode("toks").alias("token"))
+    frequent = spread.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    shared = spread.join(frequent.hint("shuffle_hash"), "token").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
+    prefixed = cut(_prefixes(nodes.select("doc_id", "tag", "n", "m").join(shared, ["doc_id", "tag"]), percent).where("size(first) > 0"), "prefixes")
 
     # Buckets of the first order; of those with the same members one is enough.
-    posts = prefixed.select("doc_id", "sig", F.explode("first").alias("token"))
-    marks = posts.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.sum(F.xxhash64(F.lit(7), "sig").bitwiseAND(F.lit(2**40 - 1))).alias("s")).where("members > 1")
+    posts = prefixed.select("doc_id", "tag", F.explode("first").alias("token"))
+    marks = posts.groupBy("token").agg(
+        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("doc_id", "tag")).alias("x"), F.sum(F.xxhash64(F.lit(7), "doc_id", "tag").bitwiseAND(F.lit(2**40 - 1))).alias("s")
+    ).where("members > 1")
     buckets = marks.groupBy("members", "x", "s").agg(F.min("token").alias("token")).select("token", (F.floor((F.col("members") - 1) / BLOCK) + 1).cast("long").alias("blocks"))
-    placed = posts.join(buckets, "token").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
-    placed = cut(placed, "buckets")
-
-    # Whole sets of the documents that stand in a bucket.
-    wanted = placed.select("doc_id").distinct()
-    whole = shingle_sets(_columns(docs).join(wanted, "doc_id", "left_semi"), words)
-    # A doc_id with several texts has several sets; the signature tells which one is meant.
-    sets = cut(whole.join(prefixed.select("sig", "second", "third"), "sig").dropDuplicates(["sig"]), "sets")
+    placed = cut(posts.join(buckets, "token").withColumn("block", F.pmod(F.xxhash64("doc_id", "tag"), F.col("blocks"))), "buckets")
 
-    def met(where: DataFrame) -> DataFrame:
-        return _links(where.join(sets.select("sig", "toks", "second", "third"), "sig"), percent)
+    def met(places: DataFrame) -> DataFrame:
+        """Spanning links of the blocks: filtered by the other orders, then verified on the whole sets of what is left."""
+        left = cut(_survivors(_carried(places, prefixed.select("doc_id", "tag", "n", "second", "third")), percent), "survivors")
+        wanted = left.select("doc_id").distinct()
+        whole = shingle_sets(_columns(docs).join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id", "tag"])
+        return cut(_links(_carried(left, whole), percent), "links")
 
-    edges = cut(met(placed.select("token", "block", "doc_id", "sig")), "links")
+    edges = met(placed.select("token", "block", "doc_id", "tag"))
     joined = components(edges)
     hot = placed.where("blocks > 1")
     if not hot.isEmpty():
-        known = hot.join(joined, hot["doc_id"] == joined["node"], "left").select("token", "block", "blocks", "doc_id", "sig", F.coalesce("component", "doc_id").alias("component"))
+        known = hot.join(joined, hot["doc_id"] == joined["node"], "left").select("token", "block", "blocks", "doc_id", "tag", F.coalesce("component", "doc_id").alias("component"))
         sizes = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
         main = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
         visits = known.join(main, "token").withColumn("to", F.when(F.col("component") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        across = met(visits.select("token", F.explode("to").alias("block"), "doc_id", "sig"))
-        joined = components(edges.union(cut(across, "links")))
+        joined = components(edges.union(met(visits.select("token", F.explode("to").alias("block"), "doc_id", "tag"))))
     of_class = classes.join(joined, classes["node"] == joined["node"], "left").select(classes["sig"].alias("class_sig"), F.coalesce("component", classes["node"]).alias("component"))
     out = light.join(of_class, light["sig"] == of_class["class_sig"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
@@ -282,43 +304,38 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
 def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = pa.list_(pa.int64())
         for batch in batches:
-            rows = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            out = []
-            for sig, _, n, m, pairs in zip(*rows, strict=True):
-                tokens = np.asarray([p["token"] for p in pairs], np.int64)
-                df = np.asarray([p["df"] for p in pairs], np.int64)
-                out.append(choose_prefixes(tokens, df, m, n, percent))
-                del sig
-            many = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(0), *(pa.array([o[k] for o in out], many) for k in range(3))],
-                ["doc_id", "sig", "first", "second", "third"],
-            )
+            pairs = batch.column(4)
+            flat, offsets = pairs.flatten(), pairs.offsets.to_numpy()
+            tokens, df = (c.to_numpy() for c in flat.flatten())
+            at = offsets - offsets[0]
+            out = [choose_prefixes(tokens[a:b], df[a:b], m, n, percent) for a, b, n, m in zip(at, at[1:], batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([o[k] for o in out], many) for k in range(3))], ["doc_id", "tag", "n", "first", "second", "third"])
 
-    return shared.select("sig", "doc_id", "n", "m", "shared").mapInArrow(run, "doc_id long, sig string, first array<long>, second array<long>, third array<long>")
+    return shared.select("doc_id", "tag", "n", "m", "shared").mapInArrow(run, "doc_id long, tag int, n long, first array<long>, second array<long>, third array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """sig and whole set of each row with words."""
+    """doc_id, tag and whole set of each row with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(words)
         for batch in batches:
-            sets = [h for t in batch.column(0).to_pylist() if len(h := of(t))]
+            found = [(d, h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(h := of(t))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets], pa.string()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))],
-                ["sig", "toks"],
+                [pa.array([d for d, _ in found], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for _, h in found], pa.string()), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))],
+                ["doc_id", "sig", "toks"],
             )
 
-    return docs.select("text").mapInArrow(run, "sig string, toks array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig string, toks array<long>").select("doc_id", F.hash("sig").alias("tag"), "toks")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents whose doc_id is the smallest of their component, and those that aren't linked; all columns."""
     found = similarity_classes(docs, words, percent).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_keep")).distinct()
-    mine = docs.withColumn("_id", docs["doc_id"].cast("long"))
-    return mine.join(found, mine["_id"].eqNullSafe(found["_keep"]), "left_semi").select(*[f"`{n}`" for n in docs.columns])
+    mine = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_id"))
+    return mine.join(found, mine["_id"].eqNullSafe(found["_keep"]), "left_semi").select("_row.*")
 
 
 #: Oracle for small tables: pairs over an inverted index, then reachability.
