@@ -326,30 +326,66 @@ def content_blocks(source: str, reference: Matcher | None) -> tuple[list[tuple[s
     return blocks, any(s >= 0 and not same for _, s, same in blocks)
 
 
-_BLOCKS = "page_id long, url string, host string, evidence boolean, blocks array<struct<text:string,slot:int,same:boolean>>"
+_BLOCKS = "page_id long, url string, host string, blocks array<struct<text:string,slot:int,same:boolean>>"
+_SEEN = "host string, slot int, pages long, same long"
 
 
-def page_blocks(pages: DataFrame, references: DataFrame, broadcast: bool) -> DataFrame:
-    """Parse and align every page."""
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(page_id, url, host, content blocks, evidence) of each page, batch by batch."""
+    matchers: dict[str, Matcher | None] = {}
+    for batch in batches:
+        rows = []
+        for page, url, host, source, ref in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if host not in matchers:
+                if len(matchers) >= 64:
+                    matchers.clear()
+                matchers[host] = Matcher(parse(ref)) if ref else None
+            found, says = content_blocks(source, matchers[host]) if source else ([], False)
+            rows.append((page, url, host, found, says and source != ref))
+        yield rows
+
+
+def _met(pages: DataFrame, references: DataFrame, broadcast: bool) -> DataFrame:
+    return pages.join(F.broadcast(references) if broadcast else references, "host", "left").select("page_id", "url", "host", "html", "reference")
+
+
+def slot_evidence(met: DataFrame) -> DataFrame:
+    """For each host and slot of its reference: the pages that have it, and those where the text is the same; summed per task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = [h for h, _ in seen], [s for _, s in seen], [v[0] for v in seen.values()], [v[1] for v in seen.values()]
+            kinds = pa.string(), pa.int32(), pa.int64(), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "slot", "pages", "same"])
+
+        for rows in _aligned(batches):
+            for _, _, host, blocks, says in rows:
+                if says:
+                    for _, slot, same in blocks:
+                        if slot >= 0:
+                            counts = seen.setdefault((host, slot), [0, 0])
+                            counts[0] += 1
+                            counts[1] += same
+            if len(seen) > 200_000:
+                yield out()
+                seen.clear()
+        yield out()
+
+    return met.mapInArrow(run, _SEEN).groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+
+
+def page_blocks(met: DataFrame) -> DataFrame:
+    """The content blocks of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers: dict[str, Matcher | None] = {}
         block = pa.list_(pa.struct([("text", pa.string()), ("slot", pa.int32()), ("same", pa.bool_())]))
-        for batch in batches:
-            ids, urls, hosts, sources, refs = (batch.column(k).to_pylist() for k in range(5))
-            all_blocks, evidence = [], []
-            for host, source, ref in zip(hosts, sources, refs, strict=True):
-                if host not in matchers:
-                    if len(matchers) >= 64:
-                        matchers.clear()
-                    matchers[host] = Matcher(parse(ref)) if ref else None
-                found, says = content_blocks(source or "", matchers[host]) if source else ([], False)
-                all_blocks.append([{"text": t, "slot": s, "same": e} for t, s, e in found])
-                evidence.append(says and source != ref)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(hosts, pa.string()), pa.array(evidence, pa.bool_()), pa.array(all_blocks, block)], ["page_id", "url", "host", "evidence", "blocks"])
-
-    met = pages.join(F.broadcast(references) if broadcast else references, "host", "left")
-    return met.select("page_id", "url", "host", "html", "reference").mapInArrow(run, _BLOCKS)
+        for rows in _aligned(batches):
+            listed = [[{"text": t, "slot": s, "same": e} for t, s, e in r[3]] for r in rows]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))), pa.array(listed, block)], ["page_id", "url", "host", "blocks"])
+
+    return met.mapInArrow(run, _BLOCKS)
 
 
 def extract_main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -358,10 +394,12 @@ def extract_main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES)
     mine = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"), host.alias("host"))
     size = F.length("html")
     references = cut(mine.where(size > 0).groupBy("host").agg(F.min_by("html", F.struct(size, F.col("page_id"), F.col("html"))).alias("reference")), "references")
-    blocks = cut(page_blocks(mine, references, small_enough(references, ["host", "reference"], broadcast_bytes)), "blocks")
-    seen = blocks.where("evidence").select("host", F.explode("blocks").alias("b")).where("b.slot >= 0").groupBy("host", "b.slot").agg(F.count(F.lit(1)).alias("pages"), F.count_if("b.same").alias("same"))
-    template = seen.where((F.col("pages") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("pages"))).groupBy("host").agg(F.collect_list("slot").alias("template"))
-    met = blocks.join(template, "host", "left")
+    # Pages are read twice, so that no copy of their texts is stored between evidence and extraction.
+    both = _met(mine, references, small_enough(references, ["host", "reference"], broadcast_bytes))
+    template = slot_evidence(both).where((F.col("pages") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("pages"))).groupBy("host").agg(F.collect_list("slot").alias("template"))
+    template = cut(template, "template")
+    small = small_enough(template.select("host", F.array_join(F.transform("template", lambda x: x.cast("string")), ",").alias("slots")), ["host", "slots"], broadcast_bytes)
+    met = page_blocks(both).join(F.broadcast(template) if small else template, "host", "left")
     varying = F.filter("blocks", lambda b: ~(b["same"] & F.array_contains(F.coalesce("template", F.array().cast("array<int>")), b["slot"])))
     kept = F.when(F.size(varying) > 0, varying).otherwise(F.col("blocks"))
     text = F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n"), F.lit(""))
