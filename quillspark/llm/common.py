@@ -52,6 +52,8 @@ def small_enough(df: DataFrame, columns: list[str], limit: int) -> bool:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of `edges(a long, b long)` as `(node, component)`, component = smallest node.
 
+    A node that is its component's smallest has no row of its own.
+
     Alternating large-star and small-star steps (Kiveris et al. 2014). Each step is a
     distinct and a grouped minimum, so a hot node is pre-aggregated before the shuffle
     and no component is ever gathered in one place. Converges in O(log^2 n) steps in
