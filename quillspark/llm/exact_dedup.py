@@ -20,8 +20,9 @@ from quillspark.llm.common import cut, text_of
 
 #: Chunk sizes in characters: no cut before MIN_CHUNK, none later than MAX_CHUNK.
 MIN_CHUNK, MAX_CHUNK = 512, 4096
-#: A cut follows a space or newline that stands behind one of these letters or stops.
-CUT = r"(?:[dty.][ \n])"
+#: Where a cut may fall: in a gap between words, by the letters on its two sides. Such gaps are rare
+#: against an edit's length, so cuts before and after an edit soon coincide.
+CUT = r"(?:[n-z\u00e0-\u00ff][a-z.,][ \n](?=[a-h]))"
 
 
 def chunks(text: Column, low: int = MIN_CHUNK, high: int = MAX_CHUNK) -> Column:
@@ -30,7 +31,7 @@ def chunks(text: Column, low: int = MIN_CHUNK, high: int = MAX_CHUNK) -> Column:
     Cuts depend on nearby characters and on the last cut only, so after an edit the cuts fall
     into step again within a chunk or two.
     """
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{low},{high - 2}}}?{CUT}|.{{1,{high}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{low},{high - 3}}}?{CUT}|.{{1,{high}}}"), F.lit(0))
 
 
 def recipes(docs: DataFrame) -> DataFrame:
