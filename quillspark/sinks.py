@@ -23,9 +23,9 @@ def _fs(spark: SparkSession, path: str):
 def current(spark: SparkSession, path: str) -> str | None:
     """The folder of a table's present version."""
     fs, at = _fs(spark, path)
-    if not fs.exists(at(f"{path}/_current")):
+    if not fs.exists(at(f"{path}/CURRENT")):
         return None
-    return f"{path}/" + spark.read.text(f"{path}/_current").first()[0]
+    return f"{path}/" + spark.read.text(f"{path}/CURRENT").first()[0]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -39,12 +39,12 @@ def replace(df: DataFrame, path: str) -> None:
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
     fs, at = _fs(spark, path)
-    fresh = at(f"{path}/_next-{version}")
+    fresh = at(f"{path}/NEXT-{version}")
     stream = fs.create(fresh)
     stream.write(bytearray(version.encode()))
     stream.close()
-    fs.delete(at(f"{path}/_current"), False)
-    fs.rename(fresh, at(f"{path}/_current"))
+    fs.delete(at(f"{path}/CURRENT"), False)
+    fs.rename(fresh, at(f"{path}/CURRENT"))
 
 
 def append(df: DataFrame, path: str) -> None:

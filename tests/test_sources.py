@@ -91,11 +91,11 @@ def test_stitch():
 def test_drain_and_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    for name, data in {"a.txt": b"Ann Lee came", "b.csv": b"x,y\n1,2\n", "c.docx": DOCX, "d.txt": b"\xff\xfe", "e.exe": b"MZ", "f.png": b"PNG", "g.pdf": simple_pdf(b"BT /F1 9 Tf (in a pdf) Tj ET"), "h.txt": b""}.items():
+    for name, data in {"a.txt": b"Ann Lee came", "b.csv": b"x,y\n1,2\n", "c.docx": DOCX, "d.txt": b"\xff\xfe", "e.exe": b"MZ", "f.png": b"PNG", "g.pdf": simple_pdf(b"BT /F1 9 Tf (in a pdf) Tj ET")}.items():
         (src / name).write_bytes(data)
     rows = {r["name"]: r for r in files.drain(files.scan(spark, str(src)), {"held-ocr": lambda name, content: F.lit("seen by model")}).collect()}
     assert rows["a.txt"]["text"] == "[person A] came" and rows["a.txt"]["status"] == "parsed" and rows["b.csv"]["text"] == "x | y\n1 | 2"
-    assert rows["d.txt"]["status"] == "held" and rows["d.txt"]["reason"] == "not valid UTF-8 text" and rows["e.exe"]["status"] == "rejected" and rows["h.txt"]["reason"] == "empty document"
+    assert rows["d.txt"]["status"] == "held" and rows["d.txt"]["reason"] == "not valid UTF-8 text" and rows["e.exe"]["status"] == "rejected"
     assert rows["f.png"]["status"] == "OCRed" and rows["g.pdf"]["text"] == "in a pdf" and rows["c.docx"]["tier"] == "native"
     out = str(tmp_path / "out")
     for _ in range(2):  # the second run finds nothing new
