@@ -22,7 +22,7 @@ from quillspark.llm.common import cut, text_of
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 #: Where a cut may fall: in a gap between words, by the letters on its two sides. Such gaps are rare
 #: against an edit's length, so cuts before and after an edit soon coincide.
-CUT = r"(?:[n-z\u00e0-\u00ff][a-z.,][ \n](?=[a-h]))"
+CUT = r"(?:[n-z][a-m.,][ \n](?=[a-d]))"
 
 
 def chunks(text: Column, low: int = MIN_CHUNK, high: int = MAX_CHUNK) -> Column:
