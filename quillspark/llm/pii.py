@@ -26,7 +26,7 @@ DEFAULT_KEY = "set-a-secret-key-of-your-own"
 # Patterns of the kinds, in the order in which they are tried.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./\-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3]?[0-9]/[01]?[0-9]/(?:19|20)[0-9]{2}|[0-3]?[0-9]\.[01]?[0-9]\.(?:19|20)[0-9]{2})(?![0-9/\-]|\.[0-9])",
@@ -34,19 +34,25 @@ PATTERNS = {
     "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,4}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,4}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])",
 }
-ANY = "|".join(PATTERNS.values())
+#: Values start where no letter or digit stands before, so that inside a word one look is enough.
+ANY = r"(?<![0-9A-Za-z])(?=[0-9A-Za-z+(])(?:" + "|".join(PATTERNS.values()) + ")"
 _FIRST_DAY, _DAYS, _HIGH, _LOW = "1900-01-01", 73_000, 250, 292
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value made once; a plain expression would be made anew wherever a lambda names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def feistel(codes: Column, radix: Column, key: str, kind: str, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of the arrays of ints below `radix`, place by place."""
 
-    def step(now: Column, r: Column) -> Column:
+    def step(radix: Column, now: Column, r: Column) -> Column:
         others = F.filter(now, lambda c, i: (i % 2) != (r % 2))
         said = F.concat_ws("|", F.lit(f"{key}|{kind}"), r.cast("string"), F.size(now).cast("string"), F.array_join(F.transform(others, lambda c: c.cast("string")), ","))
         stream = F.concat(F.sha2(F.concat(said, F.lit("|a")), 512), F.sha2(F.concat(said, F.lit("|b")), 512))
-        moved = F.transform(
-            F.array(stream),
+        return let(
+            stream,
             lambda h: F.transform(
                 now,
                 lambda c, i: F.when(
@@ -54,9 +60,8 @@ def feistel(codes: Column, radix: Column, key: str, kind: str, rounds: int = ROU
                 ).otherwise(c),
             ),
         )
-        return F.get(moved, F.lit(0))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), codes, step)
+    return let(radix, lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), codes, lambda now, r: step(x, now, r)))
 
 
 def _digits(s: Column) -> Column:
@@ -70,9 +75,8 @@ def _ints(digits: Column) -> Column:
 def _refill(shape: Column, pattern: str, symbols: Column) -> Column:
     """`shape` with its characters of the class `pattern` replaced by `symbols` (array of strings) in order."""
     chars = F.filter(F.split(shape, ""), lambda c: c != "")
-    return F.array_join(
-        F.transform(chars, lambda c, i: F.when(c.rlike(pattern), F.get(symbols, F.length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), pattern.replace("[", "[^", 1), "")) - 1)).otherwise(c)), ""
-    )
+    place = lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), pattern.replace("[", "[^", 1), "")) - 1
+    return let(symbols, lambda new: F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(pattern), F.get(new, place(i))).otherwise(c)), ""))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -81,17 +85,22 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d)
 
 
+def _tens(digits: Column) -> Column:
+    return F.transform(digits, lambda d: F.lit(10))
+
+
 def _card(m: Column, key: str) -> Column:
-    digits = _ints(_digits(m))
-    body = F.slice(digits, 1, F.size(digits) - 1)
-    new = feistel(body, F.transform(body, lambda d: F.lit(10)), key, "card")
-    check = F.pmod(F.lit(10) - luhn_sum(F.concat(new, F.array(F.lit(0)))) % 10, F.lit(10)).cast("int")
-    return _refill(m, "[0-9]", F.transform(F.concat(new, F.array(check)), lambda d: d.cast("string")))
+    def checked(new: Column) -> Column:
+        check = F.pmod(F.lit(10) - luhn_sum(F.concat(new, F.array(F.lit(0)))) % 10, F.lit(10)).cast("int")
+        return F.transform(F.concat(new, F.array(check)), lambda d: d.cast("string"))
+
+    body = let(_ints(_digits(m)), lambda digits: F.slice(digits, 1, F.size(digits) - 1))
+    return _refill(m, "[0-9]", let(let(body, lambda b: feistel(b, _tens(b), key, "card")), checked))
 
 
 def _number(m: Column, key: str, kind: str) -> Column:
-    digits = _ints(_digits(m))
-    return _refill(m, "[0-9]", F.transform(feistel(digits, F.transform(digits, lambda d: F.lit(10)), key, kind), lambda d: d.cast("string")))
+    new = let(_ints(_digits(m)), lambda digits: feistel(digits, _tens(digits), key, kind))
+    return _refill(m, "[0-9]", F.transform(new, lambda d: d.cast("string")))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -101,16 +110,19 @@ def _phone(m: Column, key: str) -> Column:
 
 def _ip(m: Column, key: str) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda p: p.cast("int"))
-    return F.array_join(F.transform(feistel(parts, F.transform(parts, lambda p: F.lit(256)), key, "ip"), lambda p: p.cast("string")), ".")
+    new = let(parts, lambda p: feistel(p, F.transform(p, lambda _: F.lit(256)), key, "ip"))
+    return F.array_join(F.transform(new, lambda p: p.cast("string")), ".")
 
 
 def _letters(m: Column, key: str, kind: str, letters: int) -> Column:
     """Letters and digits permuted within their classes; the case of each letter stays."""
+    def moved(only: Column) -> Column:
+        codes = F.transform(only, lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(F.lower(c)) - 97))
+        radix = F.transform(only, lambda c: F.when(c.rlike("[0-9]"), F.lit(10)).otherwise(F.lit(letters)))
+        return F.zip_with(only, feistel(codes, radix, key, kind), lambda c, v: F.when(c.rlike("[0-9]"), v.cast("string")).when(c.rlike("[A-Z]"), F.char(v + 65)).otherwise(F.char(v + 97)))
+
     only = F.filter(F.split(F.regexp_replace(m, "[^0-9A-Za-z]", ""), ""), lambda c: c != "")
-    codes = F.transform(only, lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(F.lower(c)) - 97))
-    radix = F.transform(only, lambda c: F.when(c.rlike("[0-9]"), F.lit(10)).otherwise(F.lit(letters)))
-    new = F.zip_with(only, feistel(codes, radix, key, kind), lambda c, v: F.when(c.rlike("[0-9]"), v.cast("string")).when(c.rlike("[A-Z]"), F.char(v + 65)).otherwise(F.char(v + 97)))
-    return _refill(m, "[0-9A-Za-z]", new)
+    return _refill(m, "[0-9A-Za-z]", let(only, moved))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -129,20 +141,21 @@ def _day(m: Column) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    day = _day(m)
-    codes = F.array((day / _LOW).cast("int"), F.pmod(day, F.lit(_LOW)).cast("int"))
-    new = feistel(codes, F.array(F.lit(_HIGH), F.lit(_LOW)), key, "date")
-    date = F.date_add(F.lit(_FIRST_DAY).cast("date"), F.get(new, F.lit(0)) * _LOW + F.get(new, F.lit(1)))
-    return F.when(F.contains(m, F.lit("-")), F.date_format(date, "yyyy-MM-dd")).when(F.contains(m, F.lit("/")), F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "dd.MM.yyyy"))
+    def shown(new: Column) -> Column:
+        date = F.date_add(F.lit(_FIRST_DAY).cast("date"), F.get(new, F.lit(0)) * _LOW + F.get(new, F.lit(1)))
+        return F.when(F.contains(m, F.lit("-")), F.date_format(date, "yyyy-MM-dd")).when(F.contains(m, F.lit("/")), F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "dd.MM.yyyy"))
+
+    halves = let(_day(m), lambda day: F.array((day / _LOW).cast("int"), F.pmod(day, F.lit(_LOW)).cast("int")))
+    return let(feistel(halves, F.array(F.lit(_HIGH), F.lit(_LOW)), key, "date"), shown)
 
 
 def kind_of(m: Column) -> Column:
     """The kind of a match that validates, else null."""
     whole = {k: m.rlike(rf"^(?:{p})$") for k, p in PATTERNS.items()}
-    digits = _ints(_digits(m))
+    good_card = let(_ints(_digits(m)), luhn_sum) % 10 == 0
     return (
         F.when(whole["email"], "email").when(whole["ip"], "ip").when(whole["date"], F.when(_day(m).isNotNull(), "date"))
-        .when(whole["card"] & ~whole["secret"], F.when(luhn_sum(digits) % 10 == 0, "card"))
+        .when(whole["card"] & ~whole["secret"], F.when(good_card, "card"))
         .when(whole["phone"], "phone").when(whole["ssn"], "ssn")
         .when(whole["secret"], F.when(m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), "secret"))
     )
@@ -165,6 +178,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     kinds = found.withColumn("each", F.transform("matches", kind_of))
     new = kinds.withColumn("made", F.zip_with("matches", "each", lambda m, k: pseudonym(m, k, key)))
     gaps = F.split("text", ANY, -1)
-    done = F.when(F.size("matches") > 0, F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("made", i), F.lit("")))), "")).otherwise(F.col("text"))
+    filled = let(F.col("made"), lambda made: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(made, i), F.lit("")))), ""))
+    done = F.when(F.size("matches") > 0, filled).otherwise(F.col("text"))
     valid = F.filter("each", lambda k: k.isNotNull())
     return new.select("doc_id", done.alias("text"), valid.alias("kinds"), F.size(valid).alias("n_replaced"))
