@@ -229,33 +229,57 @@ def _by_block(rows: DataFrame, columns: list[str], work, schema: str) -> DataFra
     return rows.repartition("token", "block").sortWithinPartitions("token", "block").select("token", "block", *columns).mapInArrow(run, schema)
 
 
-def _survivors(members: DataFrame, percent: int) -> DataFrame:
-    """The rows (token, block, doc_id, tag) that have a candidate in their block."""
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of each block's candidate pairs."""
 
-    def work(key, docs, tags, n, second, third):
-        kept = np.flatnonzero(candidates(np.asarray(n), [second, third], percent).any(0)).tolist()
-        columns = [[key[0]] * len(kept), [key[1]] * len(kept), [docs[k] for k in kept], [tags[k] for k in kept]]
-        kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["token", "block", "doc_id", "tag"]) if kept else None
+    def work(key, docs, n, second, third):
+        return _edges(docs, forest(candidates(np.asarray(n), [second, third], percent)))
 
-    return _by_block(members, ["doc_id", "tag", "n", "second", "third"], work, "token long, block long, doc_id long, tag int")
+    return _by_block(members, ["doc_id", "n", "second", "third"], work, "a long, b long")
+
+
+def _edges(docs: list, edges: list[tuple[int, int]]) -> pa.RecordBatch | None:
+    return pa.RecordBatch.from_arrays([pa.array([docs[a] for a, _ in edges], pa.int64()), pa.array([docs[b] for _, b in edges], pa.int64())], ["a", "b"]) if edges else None
 
 
 def _links(members: DataFrame, percent: int) -> DataFrame:
     """Spanning links (a, b) of all blocks."""
 
     def work(key, docs, sets):
-        edges = links(sets, percent)
-        return pa.RecordBatch.from_arrays([pa.array([docs[a] for a, _ in edges], pa.int64()), pa.array([docs[b] for _, b in edges], pa.int64())], ["a", "b"]) if edges else None
+        return _edges(docs, links(sets, percent))
 
     return _by_block(members, ["doc_id", "toks"], work, "a long, b long")
 
 
 def _carried(places: DataFrame, payload: DataFrame) -> DataFrame:
-    """Places (token, block, doc_id, tag) with the payload of their node, which is shuffled once per node before it spreads."""
-    per_node = places.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("token", "block")).alias("at"))
-    met = payload.join(per_node, ["doc_id", "tag"])
-    return met.withColumn("at", F.explode("at")).select("at.token", "at.block", *payload.columns)
+    """Places (token, block, doc_id) with the payload of their node, which is shuffled once per node before it spreads."""
+    per_node = places.groupBy("doc_id").agg(F.collect_set(F.struct("token", "block")).alias("at"))
+    met = payload.join(per_node, "doc_id").withColumn("at", F.explode("at"))
+    return met.select("at.token", "at.block", *payload.columns)
+
+
+def _joined_in_blocks(placed: DataFrame, label: str, compare) -> DataFrame | None:
+    """Edges of all blocks of `placed` (token, block, blocks, doc_id), compared by `compare(places)`.
+
+    Blocks are compared in themselves first. Of a token dealt into several, the members outside
+    its largest component then visit all its blocks, which leaves no pair of different components out.
+    """
+    edges = cut(compare(placed.select("token", "block", "doc_id")), label)
+    hot = placed.where("blocks > 1")
+    if hot.isEmpty():
+        return edges
+    joined = components(edges)
+    known = hot.join(joined, hot["doc_id"] == joined["node"], "left").select("token", "block", "blocks", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    sizes = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    visits = known.join(main, "token").withColumn("to", F.when(F.col("component") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return edges.union(cut(compare(visits.select("token", F.explode("to").alias("block"), "doc_id")), label))
+
+
+def _dealt(places: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`places` (token, doc_id) of the tokens in `sizes` (token, members), dealt into blocks."""
+    blocks = sizes.select("token", (F.floor((F.col("members") - 1) / BLOCK) + 1).cast("long").alias("blocks"))
+    return places.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
 
 
 def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -274,29 +298,22 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     prefixed = cut(_prefixes(nodes.select("doc_id", "tag", "n", "m").join(shared, ["doc_id", "tag"]), percent).where("size(first) > 0"), "prefixes")
 
     # Buckets of the first order; of those with the same members one is enough.
-    posts = prefixed.select("doc_id", "tag", F.explode("first").alias("token"))
+    posts = prefixed.select("doc_id", F.explode("first").alias("token")).distinct()
     marks = posts.groupBy("token").agg(
-        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("doc_id", "tag")).alias("x"), F.sum(F.xxhash64(F.lit(7), "doc_id", "tag").bitwiseAND(F.lit(2**40 - 1))).alias("s")
+        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit(2**40 - 1))).alias("s")
     ).where("members > 1")
-    buckets = marks.groupBy("members", "x", "s").agg(F.min("token").alias("token")).select("token", (F.floor((F.col("members") - 1) / BLOCK) + 1).cast("long").alias("blocks"))
-    placed = cut(posts.join(buckets, "token").withColumn("block", F.pmod(F.xxhash64("doc_id", "tag"), F.col("blocks"))), "buckets")
-
-    def met(places: DataFrame) -> DataFrame:
-        """Spanning links of the blocks: filtered by the other orders, then verified on the whole sets of what is left."""
-        left = cut(_survivors(_carried(places, prefixed.select("doc_id", "tag", "n", "second", "third")), percent), "survivors")
-        wanted = left.select("doc_id").distinct()
-        whole = shingle_sets(_columns(docs).join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id", "tag"])
-        return cut(_links(_carried(left, whole), percent), "links")
-
-    edges = met(placed.select("token", "block", "doc_id", "tag"))
-    joined = components(edges)
-    hot = placed.where("blocks > 1")
-    if not hot.isEmpty():
-        known = hot.join(joined, hot["doc_id"] == joined["node"], "left").select("token", "block", "blocks", "doc_id", "tag", F.coalesce("component", "doc_id").alias("component"))
-        sizes = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-        main = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-        visits = known.join(main, "token").withColumn("to", F.when(F.col("component") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        joined = components(edges.union(met(visits.select("token", F.explode("to").alias("block"), "doc_id", "tag"))))
+    placed = cut(_dealt(posts, marks.groupBy("members", "x", "s").agg(F.min("token").alias("token"))), "buckets")
+
+    # Candidates share prefix tokens under all orders. Their components are small, and every link is
+    # inside one, so that each whole set moves once, to its component.
+    payload = prefixed.select("doc_id", "n", "second", "third")
+    grouped = components(_joined_in_blocks(placed, "candidates", lambda places: _candidates(_carried(places, payload), percent)))
+    grouped = grouped.union(grouped.select(F.col("component").alias("node"), "component").distinct())
+    groups = cut(grouped.select(F.col("component").alias("token"), F.col("node").alias("doc_id")), "groups")
+    met = _dealt(groups, groups.groupBy("token").agg(F.count(F.lit(1)).alias("members")))
+    texts = _columns(docs).join(groups.select("doc_id"), "doc_id", "left_semi")
+    whole = cut(shingle_sets(texts, words).dropDuplicates(["doc_id", "tag"]).select("doc_id", "toks"), "sets")
+    joined = components(_joined_in_blocks(met, "links", lambda places: _links(_carried(places, whole), percent)))
     of_class = classes.join(joined, classes["node"] == joined["node"], "left").select(classes["sig"].alias("class_sig"), F.coalesce("component", classes["node"]).alias("component"))
     out = light.join(of_class, light["sig"] == of_class["class_sig"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

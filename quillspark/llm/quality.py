@@ -214,11 +214,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def with_score(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """(_row struct of all columns, _id, _score): statistics first, as columns, then the rules over them."""
+    """(_row struct of all columns, _id, _score).
+
+    The statistics are bound once, as a struct, before the rules look at them; as plain columns a
+    filter on the score would make them anew for every rule.
+    """
     text = text_of(docs)
-    stats = statistics(text)
-    wide = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_id"), *(c.cast("double").alias(f"_{k}") for k, c in stats.items()))
-    return wide.select("_row", "_id", model.column({k: F.col(f"_{k}") for k in NAMES}).alias("_score"))
+    bound = F.array(F.struct(*(c.cast("double").alias(k) for k, c in statistics(text).items())))
+    score = F.get(F.transform(bound, lambda s: model.column({k: s[k] for k in NAMES})), F.lit(0))
+    return docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_id"), score.alias("_score"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
