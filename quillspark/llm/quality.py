@@ -214,15 +214,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def with_score(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """(_row struct of all columns, _id, _score).
+    """(_row struct of all columns, _id, _score, _place): statistics first, as columns, then the rules over them.
 
-    The statistics are bound once, as a struct, before the rules look at them; as plain columns a
-    filter on the score would make them anew for every rule.
+    A filter on the score names _place too: that keeps it above the statistics, which would else be
+    made anew for each of the rules.
     """
-    text = text_of(docs)
-    bound = F.array(F.struct(*(c.cast("double").alias(k) for k, c in statistics(text).items())))
-    score = F.get(F.transform(bound, lambda s: model.column({k: s[k] for k in NAMES})), F.lit(0))
-    return docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_id"), score.alias("_score"))
+    stats = statistics(text_of(docs))
+    wide = docs.select(
+        F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_id"), F.monotonically_increasing_id().alias("_place"), *(c.cast("double").alias(f"_{k}") for k, c in stats.items())
+    )
+    return wide.select("_row", "_id", model.column({k: F.col(f"_{k}") for k in NAMES}).alias("_score"), "_place")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -236,4 +237,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored at least `threshold`, with all their columns."""
-    return with_score(docs, train(docs, labels, sample_rows)).where(F.col("_score") >= threshold).select("_row.*")
+    return with_score(docs, train(docs, labels, sample_rows)).where((F.col("_score") >= threshold) & (F.col("_place") >= 0)).select("_row.*")
