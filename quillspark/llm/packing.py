@@ -11,6 +11,7 @@ document of its own. An empty table gives an empty table. Other columns are igno
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,9 @@ CACHE_WORDS = 1_000_000
 #: Separators for Python's split() that the tokenizer's \s does not take as white space.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
+#: Latin letters whose lower case is one letter, then marks that are neither letters, digits nor quotes.
+_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
@@ -53,15 +57,29 @@ class WordSpeller:
         return np.asarray(ids, dtype="<u4").tobytes()
 
     def learn(self, texts: list[str]) -> None:
-        """Spell the words of some texts that the cache lacks, in one call of the library."""
+        """Spell the words of some texts that the cache lacks, in one call of the library.
+
+        A word of Latin letters and ASCII marks behind them is spelled as its lower-case letters,
+        then its marks: the tokenizer lower-cases and cuts there itself. Other words go as they are.
+        """
         cache = self.cache
-        new = list({w for t in texts for w in t.split() if w not in cache and len(w) <= 64})
-        if len(cache) + len(new) > CACHE_WORDS:
+        new = set().union(*(t.split() for t in texts)) - cache.keys()
+        if len(cache) + 2 * len(new) > CACHE_WORDS:
             cache.clear()
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
+        cut, todo = {}, set()
+        for w in new:
+            if len(w) <= 64:
+                m = _LATIN(w)
+                parts = cut[w] = (m[1].lower(), m[2]) if m else (w,)
+                todo.update(p for p in parts if p and p not in cache)
+        todo = list(todo)
+        for lo in range(0, len(todo), 20_000):
+            part = todo[lo : lo + 20_000]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        for w, parts in cut.items():
+            if len(parts) == 2:
+                cache[w] = cache[parts[0]] + (cache[parts[1]] if parts[1] else b"")
 
     def ids(self, text: str) -> bytes:
         # Special strings of the vocabulary contain '<|'; the library decides about them in context.
@@ -71,7 +89,7 @@ class WordSpeller:
         try:
             return b"".join([cache[w] for w in words])
         except KeyError:
-            return b"".join([cache.get(w) or self.spell(w) for w in words])
+            return b"".join([cache[w] if w in cache else self.spell(w) for w in words])
 
 
 @lru_cache(maxsize=2)
