@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import components, cut
 
-#: Members of a bucket compared in one go.
-BLOCK = 1024
+#: Members of a bucket compared in one go, and the tokens of their sets, which bound a task's memory.
+BLOCK, BLOCK_TOKENS = 1024, 500_000
 #: Class bounds as multiples of the prefix share 1 - t.
 CLASS_BOUNDS = (1.4, 2.6)
 _WORDS = 300_000
@@ -277,8 +277,9 @@ def _joined_in_blocks(placed: DataFrame, label: str, compare) -> DataFrame | Non
 
 
 def _dealt(places: DataFrame, sizes: DataFrame) -> DataFrame:
-    """`places` (token, doc_id) of the tokens in `sizes` (token, members), dealt into blocks."""
-    blocks = sizes.select("token", (F.floor((F.col("members") - 1) / BLOCK) + 1).cast("long").alias("blocks"))
+    """`places` (token, doc_id) of the tokens in `sizes` (token, members, volume), dealt into blocks."""
+    least = lambda c, most: F.floor((F.col(c) - 1) / most) + 1
+    blocks = sizes.select("token", F.least(F.greatest(least("members", BLOCK), least("volume", BLOCK_TOKENS)), F.col("members")).cast("long").alias("blocks"))
     return places.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
 
 
@@ -298,11 +299,11 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     prefixed = cut(_prefixes(nodes.select("doc_id", "tag", "n", "m").join(shared, ["doc_id", "tag"]), percent).where("size(first) > 0"), "prefixes")
 
     # Buckets of the first order; of those with the same members one is enough.
-    posts = prefixed.select("doc_id", F.explode("first").alias("token")).distinct()
+    posts = prefixed.select("doc_id", (F.size("second") + F.size("third")).alias("n"), F.explode("first").alias("token")).groupBy("doc_id", "token").agg(F.sum("n").alias("n"))
     marks = posts.groupBy("token").agg(
-        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit(2**40 - 1))).alias("s")
+        F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit(2**40 - 1))).alias("s")
     ).where("members > 1")
-    placed = cut(_dealt(posts, marks.groupBy("members", "x", "s").agg(F.min("token").alias("token"))), "buckets")
+    placed = cut(_dealt(posts, marks.groupBy("members", "volume", "x", "s").agg(F.min("token").alias("token"))), "buckets")
 
     # Candidates share prefix tokens under all orders. Their components are small, and every link is
     # inside one, so that each whole set moves once, to its component.
@@ -310,10 +311,11 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     grouped = components(_joined_in_blocks(placed, "candidates", lambda places: _candidates(_carried(places, payload), percent)))
     grouped = grouped.union(grouped.select(F.col("component").alias("node"), "component").distinct())
     groups = cut(grouped.select(F.col("component").alias("token"), F.col("node").alias("doc_id")), "groups")
-    met = _dealt(groups, groups.groupBy("token").agg(F.count(F.lit(1)).alias("members")))
     texts = _columns(docs).join(groups.select("doc_id"), "doc_id", "left_semi")
     whole = cut(shingle_sets(texts, words).dropDuplicates(["doc_id", "tag"]).select("doc_id", "toks"), "sets")
-    joined = components(_joined_in_blocks(met, "links", lambda places: _links(_carried(places, whole), percent)))
+    amounts = whole.groupBy("doc_id").agg(F.sum(F.size("toks")).alias("n"))
+    sizes = groups.join(amounts, "doc_id").groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"))
+    joined = components(_joined_in_blocks(_dealt(groups, sizes), "links", lambda places: _links(_carried(places, whole), percent)))
     of_class = classes.join(joined, classes["node"] == joined["node"], "left").select(classes["sig"].alias("class_sig"), F.coalesce("component", classes["node"]).alias("component"))
     out = light.join(of_class, light["sig"] == of_class["class_sig"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

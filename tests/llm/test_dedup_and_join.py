@@ -67,6 +67,7 @@ def brute(rows, words, percent):
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
 def test_join_against_brute_force_in_small_blocks(spark, sf, monkeypatch, words, percent):
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 2000)
     base = " ".join(f"w{k % 97}x{k % 89}" for k in range(140)).split()
     family = [(1000 + k, " ".join(base[: 40 + k % 7] + [f"new{k}"] + base[40 + k % 7 :])) for k in range(60)]
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(family, "doc_id long, text string"))
