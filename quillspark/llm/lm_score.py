@@ -4,10 +4,11 @@ Tokens are the corpus's most frequent words and, for all others, buckets of thei
 characters. For every place the network sees the tokens on both sides and predicts the one
 between: log-probabilities of all places add up to a document's score.
 
-The vocabulary counts every word of the corpus, summed per task before the shuffle. Training is
-data-parallel: each task runs Adagrad over one place in STRIDE of every document it reads, from
-the same start, and the weights are averaged by places read, as a distributed sum; two such
-rounds. Only the vocabulary and the averaged weights, both of fixed size, reach the driver.
+The vocabulary counts every word of the corpus, summed per task before the shuffle. Training
+reads every place of every document. Documents are dealt by hash, whatever files they come from,
+into shards of about SHARD tokens; each shard runs Adagrad from the same start, as often over its
+places as STEPS steps need, and the weights are averaged by places read, as a distributed sum.
+Only the vocabulary and the averaged weights, both of fixed size, reach the driver.
 
 Defined cases: null, empty or white-space text has 0 tokens, score 0 and null per token. Rows
 repeat as they come. An empty table gives an empty table. Without any text the network is
@@ -30,7 +31,9 @@ from quillspark.llm.common import cut
 
 WORDS, BUCKETS, WIDTH = 160, 96, 16
 SIDES = (-2, -1, 1, 2)
-STRIDE, BATCH, RATE, ROUNDS = 8, 4096, 0.15, 2
+#: Tokens a shard, places a step, and the steps a shard takes at least.
+SHARD, BATCH, RATE, STEPS = 4_000_000, 4096, 0.15, 900
+_SLICE = 1024  # rows of logits that stay in the processor's cache
 _CACHE = 300_000
 _PART = 512
 SCORE_SCHEMA = "doc_id long, n_tokens long, pll double, pll_per_token double, perplexity double"
@@ -87,10 +90,14 @@ class Network:
         return np.tanh(total)
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        logits = self.hidden(context) @ self.out.T + self.bias
-        own = logits[np.arange(len(target)), target]
-        top = logits.max(1)
-        return own - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        h, out = self.hidden(context), np.empty(len(target), np.float32)
+        for k in range(0, len(target), _SLICE):
+            logits, of = h[k : k + _SLICE] @ self.out.T, target[k : k + _SLICE]
+            logits += self.bias
+            logits -= logits.max(1, keepdims=True)
+            own = logits[np.arange(len(of)), of]
+            out[k : k + _SLICE] = own - np.log(np.exp(logits, out=logits).sum(1))
+        return out
 
 
 class Adagrad:
@@ -101,27 +108,32 @@ class Adagrad:
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, len(target)
         h = net.hidden(context)
-        logits = h @ net.out.T + net.bias
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        p /= n
-        back = (p @ net.out) * (1 - h * h)
-        sides = np.zeros_like(net.sides)
-        for k in range(len(SIDES)):
-            for d in range(WIDTH):
-                sides[k, :, d] = np.bincount(context[:, k], back[:, d], net.sides.shape[1])
-        for value, gradient, seen in zip((net.sides, net.shift, net.out, net.bias), (sides, back.sum(0), p.T @ h, p.sum(0)), self.seen, strict=True):
+        back, out, bias = np.empty_like(h), np.zeros_like(net.out), np.zeros_like(net.bias)
+        for k in range(0, n, _SLICE):
+            part, of = h[k : k + _SLICE], target[k : k + _SLICE]
+            p = part @ net.out.T
+            p += net.bias
+            p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(1, keepdims=True) * np.float32(n)
+            p[np.arange(len(of)), of] -= np.float32(1 / n)
+            back[k : k + _SLICE] = p @ net.out
+            out += p.T @ part
+            bias += p.sum(0)
+        back *= 1 - h * h
+        flat, rows = back.ravel(), net.sides.shape[1]
+        spread = [np.bincount((context[:, k, None] * WIDTH + np.arange(WIDTH)).ravel(), flat, rows * WIDTH) for k in range(len(SIDES))]
+        sides = np.stack(spread).reshape(net.sides.shape).astype(np.float32)
+        for value, gradient, seen in zip((net.sides, net.shift, net.out, net.bias), (sides, back.sum(0), out, bias), self.seen, strict=True):
             seen += gradient * gradient
             value -= RATE * gradient / np.sqrt(seen)
 
 
-def windows(ids: np.ndarray, size: int, places: np.ndarray | None = None) -> np.ndarray:
+def windows(ids: np.ndarray, size: int) -> np.ndarray:
     """The tokens on both sides of each place."""
     reach = max(SIDES)
     padded = np.concatenate([np.full(reach, size), ids, np.full(reach, size)])
-    at = (np.arange(len(ids)) if places is None else places) + reach
-    return np.stack([padded[at + s] for s in SIDES], 1)
+    return np.stack([padded[reach + s : reach + s + len(ids)] for s in SIDES], 1)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -148,50 +160,65 @@ def count_words(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def _trained_round(docs: DataFrame, vocabulary: list[bytes], net: Network) -> Network:
-    """One round: every task trains from `net` on its documents; the average comes back."""
+def shards_of(tokens: int) -> tuple[int, int]:
+    """Shards of a corpus of so many tokens, and how often each reads its places."""
+    shards = max(1, -(-tokens // SHARD))
+    return shards, max(1, -(-STEPS * BATCH * shards // max(1, tokens)))
+
+
+def _trained(docs: DataFrame, vocabulary: list[bytes], net: Network, tokens: int) -> tuple[Network, int]:
+    """Every shard trains from `net` on all places of its documents; the average comes back, with the places read in one pass."""
     size = len(net.bias)
+    shards, passes = shards_of(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, mine = Reader(vocabulary), Network(*(a.copy() for a in (net.sides, net.shift, net.out, net.bias)))
-        learner, held, places = Adagrad(mine), [], 0
+        learner, held, kept, places, waiting = Adagrad(mine), [], [], 0, 0
 
-        def learn(rest: bool) -> int:
+        def learn(context: np.ndarray, target: np.ndarray) -> None:
+            for k in range(0, len(target), BATCH):
+                learner.step(context[k : k + BATCH], target[k : k + BATCH])
+                if passes > 1:
+                    kept.append((context[k : k + BATCH].astype(np.int16), target[k : k + BATCH].astype(np.int16)))
+
+        def drain(rest: bool) -> None:
+            nonlocal waiting
             context, target = (np.concatenate(x) for x in zip(*held, strict=True))
             whole = len(target) if rest else len(target) // BATCH * BATCH
-            for k in range(0, whole, BATCH):
-                learner.step(context[k : k + BATCH], target[k : k + BATCH])
+            learn(context[:whole], target[:whole])
             held[:] = [(context[whole:], target[whole:])]
-            return whole
+            waiting = len(target) - whole
 
-        waiting = 0
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 ids = read(text)
-                chosen = np.arange(zlib.crc32(ids.tobytes()) % STRIDE, len(ids), STRIDE)
-                if len(chosen):
-                    held.append((windows(ids, size, chosen), ids[chosen]))
-                    waiting += len(chosen)
-                    if waiting >= BATCH:
-                        done = learn(False)
-                        places, waiting = places + done, waiting - done
+                if len(ids):
+                    held.append((windows(ids, size), ids))
+                    waiting, places = waiting + len(ids), places + len(ids)
+                    if waiting >= 16 * BATCH:
+                        drain(False)
         if waiting:
-            places += learn(True)
+            drain(True)
+        for _ in range(passes - 1):
+            for context, target in kept:
+                learner.step(context.astype(np.int64), target.astype(np.int64))
         if places:
             flat = mine.flat().astype(np.float64)
             for k in range(0, len(flat), _PART):
                 part = flat[k : k + _PART]
                 yield pa.RecordBatch.from_arrays([pa.array([k // _PART], pa.int32()), pa.array([part * places], pa.list_(pa.float64())), pa.array([places], pa.int64())], ["part", "sums", "places"])
 
-    local = _texts(docs).mapInArrow(run, "part int, sums array<double>, places long")
+    deal = F.xxhash64("doc_id", "text")
+    dealt = _texts(docs).withColumn("_at", deal).repartition(shards, "_at").sortWithinPartitions("_at", "doc_id").drop("_at")
+    local = dealt.mapInArrow(run, "part int, sums array<double>, places long")
     single = local.select("part", "places", F.posexplode("sums").alias("at", "value"))
-    rows = single.groupBy("part", "at").agg((F.sum("value") / F.sum("places")).alias("mean")).collect()  # as many as the network has weights
+    rows = single.groupBy("part", "at").agg((F.sum("value") / F.sum("places")).alias("mean"), F.sum("places").alias("places")).collect()  # as many as the network has weights
     if not rows:
-        return net
+        return net, 0
     flat = np.zeros(len(net.flat()))
     for r in rows:
         flat[r["part"] * _PART + r["at"]] = r["mean"]
-    return net.filled(flat)
+    return net.filled(flat), rows[0]["places"]
 
 
 def train(docs: DataFrame) -> tuple[list[bytes], Network]:
@@ -206,10 +233,7 @@ def train(docs: DataFrame) -> tuple[list[bytes], Network]:
     amounts[: len(top)] = [r["count"] for r in top]
     for r in tails:
         amounts[WORDS + r["bucket"]] = r["count"]
-    net = Network.new(amounts)
-    for _ in range(ROUNDS):
-        net = _trained_round(docs, vocabulary, net)
-    return vocabulary, net
+    return vocabulary, _trained(docs, vocabulary, Network.new(amounts), int(amounts.sum()))[0]
 
 
 def pseudo_likelihoods(docs: DataFrame, vocabulary: list[bytes], net: Network) -> DataFrame:

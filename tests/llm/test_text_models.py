@@ -205,6 +205,15 @@ def test_scores_are_sums_of_log_probabilities(spark, docs):
         assert abs(got[r["doc_id"]]["pll"] - total) < 1e-3 * max(1, abs(total))
 
 
+def test_training_reads_every_place_whatever_the_files(spark):
+    rows = [(k, " ".join(f"t{(k * 7 + j) % 20}" for j in range(k % 13))) for k in range(300)]
+    df, tokens = spark.createDataFrame(rows, "doc_id long, text string"), sum(k % 13 for k in range(300))
+    a, b = lm_score.train(df.repartition(1)), lm_score.train(df.repartition(7))
+    assert a[0] == b[0] and np.allclose(a[1].flat(), b[1].flat(), atol=1e-5)
+    assert lm_score._trained(df, a[0], a[1], tokens)[1] == tokens
+    assert lm_score.shards_of(10 * lm_score.SHARD) == (10, 1) and lm_score.shards_of(tokens)[0] == 1
+
+
 def test_lm_edges(edge, empty):
     rows = lm_score.score_documents(edge).collect()
     assert len(rows) == edge.count() and all(r["pll"] == 0 and r["pll_per_token"] is None for r in rows if r["n_tokens"] == 0)
