@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.lineage import cut
+
 
 def reply_parents(messages: DataFrame) -> DataFrame:
     """The last known message that a message refers to, not itself. `messages` has message_id, ord, refs."""
@@ -14,14 +16,21 @@ def reply_parents(messages: DataFrame) -> DataFrame:
     return messages.join(parents, messages["message_id"] == parents["child"], "left").drop("child")
 
 
-def thread_roots(messages: DataFrame, most: int = 64) -> DataFrame:
-    """Each message with the root of its thread, by pointer doubling; members of a reference cycle are their own roots."""
+def thread_roots(messages: DataFrame) -> DataFrame:
+    """Each message with the root of its thread, by pointer doubling until every pointer rests at a root.
+
+    Messages of a reference cycle, or that lead into one, are their own roots: their pointers never rest, but no
+    path is longer than the messages are many, which bounds the rounds. Lineage is cut after every round.
+    """
     up = reply_parents(messages).select("message_id", F.coalesce("parent", "message_id").alias("at"), "parent")
-    now = up.select("message_id", "at")
-    step = 1
-    while step < most:
+    up = cut(up, "parents")
+    now, step, most = up.select("message_id", "at"), 1, up.count()
+    tops = up.where("parent is null").select(F.col("message_id").alias("at"))
+    moving = now.join(tops, "at", "left_anti").count()
+    while moving and step < most:
         hop = now.select(F.col("message_id").alias("at"), F.col("at").alias("further"))
-        now = now.join(hop, "at").select("message_id", F.col("further").alias("at"))
+        now = cut(now.join(hop, "at").select("message_id", F.col("further").alias("at")), "roots")
+        moving = now.join(tops, "at", "left_anti").count()
         step *= 2
     roots = up.where("parent is null").select(F.col("message_id").alias("root"))
     met = now.join(roots, now["at"] == roots["root"], "left")

@@ -93,3 +93,12 @@ def test_policies(spark):
     assert [c["index"] for c in chunks] == [0, 1, 2] and chunks[-1]["end"] == 2 * 2**20 + 123 and chunks[1]["start"] == 2**20 - 65536
     assert one(spark, policy.media_chunks(F.lit(0).cast("long"))) == [] and one(spark, policy.media_chunks(F.lit(10**9).cast("long"))) is None
     assert one(spark, policy.attachment_lane(F.lit("text/plain"), F.lit("a"))) == "native" and one(spark, policy.attachment_lane(F.lit("audio/mp3"), F.lit("a"))) is None
+
+
+def test_thread_roots_of_long_chains_and_cycles(spark):
+    from quillspark.operators.threads import thread_roots
+
+    chain = [(k, k, [k - 1] if k else []) for k in range(300)]
+    ring = [(1000 + k, k, [1000 + (k + 1) % 3]) for k in range(3)] + [(2000, 1, [1000])]
+    got = {r["message_id"]: r["root"] for r in thread_roots(spark.createDataFrame(chain + ring, "message_id long, ord long, refs array<long>")).collect()}
+    assert got == {**{k: 0 for k in range(300)}, **{k: k for k in (1000, 1001, 1002, 2000)}}
