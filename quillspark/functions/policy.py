@@ -1,4 +1,4 @@
-"""Lane, gate, schedule, retention and destination policies as Column expressions; P1 to P20, P26, F26, F28."""
+"""Lane, gate, schedule, retention and destination policies as Column expressions; P1 to P7, P10 to P16, P18 to P20, P26, F26, F28."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Text functions as Column expressions; survey IDs F1 and F6 to F20, F31 to F38."""
+"""Text functions as Column expressions; survey IDs F1 and F6 to F20, F31 to F34, F37, F38."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Angles: proposals grounded in documents, ranking, and the ledger of settled topics; J7, J8, O2, E1 to E5, U1 to U3."""
+"""Angles: proposals grounded in documents, ranking, and the ledger of settled topics; J7, J8, O2, E1, E3 to E5, U1 to U3."""
 
 from __future__ import annotations
 

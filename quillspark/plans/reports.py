@@ -1,4 +1,4 @@
-"""Evidence bundle and report renderers; E11 to E14, E17, E19, O5, O6, A3, A6."""
+"""Evidence bundle and report renderers; E11 to E13, E17, the breach statement of E19, O5, O6, A3, A6."""
 
 from __future__ import annotations
 
