@@ -2,10 +2,11 @@
 
 Each page is parsed into a tree of block elements whose leaves are runs of text. Its tree is
 aligned by simple tree matching with a reference tree of its host, the host's shortest page.
-Over all pages of the host, a leaf of the reference whose text hardly ever differs is
-template; other slots vary and are content. Within the page's main region, content outside
-boilerplate elements is kept. A page that repeats the reference's whole content is no
-evidence that the content is template.
+Over all pages of the host, texts are counted by slot (leaf of the reference) and by host alone,
+each different page content once. A text that hardly ever differs in its slot is template; so is
+one that most pages of the host have, wherever it stands, as in places the reference lacks. Within
+the page's main region, other content outside boilerplate elements is kept. A page that repeats
+the reference's whole content is no evidence that the content is template.
 
 The reference table (one page a host) is broadcast only when its measured size is small;
 beyond that pages meet it in an equi-join on the host, whose hot keys adaptive execution
@@ -18,6 +19,7 @@ An empty table gives an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -48,8 +50,8 @@ CLOSES = {
 
 #: Depth below which elements are put beside each other, and the bytes of references that may be broadcast.
 DEEPEST, BROADCAST_BYTES = 120, 32 << 20
-#: Share of same texts, and pages seen, that make a slot template.
-SAME_SHARE, LEAST_PAGES = 0.9, 5
+#: Share of same texts, and pages seen, that make a slot template; and share of the host's pages that makes a text template.
+SAME_SHARE, LEAST_PAGES, HOST_SHARE = 0.9, 5, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.S)
@@ -323,11 +325,15 @@ def content_blocks(source: str, reference: Matcher | None) -> tuple[list[tuple[s
         return [(x.text, -1, False) for x in kept], False
     slot = {id(y): (x.number, x.text == y.text) for x, y in reference.match(root)}
     blocks = [(x.text, *slot.get(id(x), (-1, False))) for x in kept]
-    return blocks, any(s >= 0 and not same for _, s, same in blocks)
+    return blocks, not all(same for _, _, same in blocks)
 
 
-_BLOCKS = "page_id long, url string, host string, blocks array<struct<text:string,slot:int,same:boolean>>"
-_SEEN = "host string, slot int, pages long, same long"
+_BLOCKS = "page_id long, url string, host string, blocks array<struct<text:string,anywhere:long,placed:long>>"
+_SEEN = "host string, slot int, text long, content long"
+
+
+def _hash(*parts: str | int) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -350,39 +356,36 @@ def _met(pages: DataFrame, references: DataFrame, broadcast: bool) -> DataFrame:
 
 
 def slot_evidence(met: DataFrame) -> DataFrame:
-    """For each host and slot of its reference: the pages that have it, and those where the text is the same; summed per task first."""
+    """host, slot (-1: any place), key of slot and text, pages that have the text there, and pages that have the slot; of different contents only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], list[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            columns = [h for h, _ in seen], [s for _, s in seen], [v[0] for v in seen.values()], [v[1] for v in seen.values()]
-            kinds = pa.string(), pa.int32(), pa.int64(), pa.int64()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "slot", "pages", "same"])
-
         for rows in _aligned(batches):
+            seen: dict[tuple, None] = {}
             for _, _, host, blocks, says in rows:
                 if says:
-                    for _, slot, same in blocks:
+                    content = _hash(*(t for t, _, _ in blocks))
+                    seen[host, -1, None, content] = None
+                    for text, slot, _ in blocks:
+                        seen[host, -1, _hash(-1, text), content] = None
                         if slot >= 0:
-                            counts = seen.setdefault((host, slot), [0, 0])
-                            counts[0] += 1
-                            counts[1] += same
-            if len(seen) > 200_000:
-                yield out()
-                seen.clear()
-        yield out()
+                            seen[host, slot, None, content] = None
+                            seen[host, slot, _hash(slot, text), content] = None
+            columns = zip(*seen, strict=True) if seen else ((), (), (), ())
+            kinds = pa.string(), pa.int32(), pa.int64(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "slot", "text", "content"])
 
-    return met.mapInArrow(run, _SEEN).groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    counts = cut(met.mapInArrow(run, _SEEN).distinct().groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= LEAST_PAGES)), "evidence")
+    pages = counts.where("text is null").select("host", "slot", F.col("n").alias("pages"))
+    return counts.where("text is not null").join(pages, ["host", "slot"]).select("host", "slot", F.col("text").alias("key"), F.col("n").alias("same"), "pages")
 
 
 def page_blocks(met: DataFrame) -> DataFrame:
-    """The content blocks of every page."""
+    """The content blocks of every page, with the keys of their text anywhere and in their slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("text", pa.string()), ("slot", pa.int32()), ("same", pa.bool_())]))
+        block = pa.list_(pa.struct([("text", pa.string()), ("anywhere", pa.int64()), ("placed", pa.int64())]))
         for rows in _aligned(batches):
-            listed = [[{"text": t, "slot": s, "same": e} for t, s, e in r[3]] for r in rows]
+            listed = [[{"text": t, "anywhere": _hash(-1, t), "placed": _hash(s, t)} for t, s, _ in r[3]] for r in rows]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))), pa.array(listed, block)], ["page_id", "url", "host", "blocks"])
 
     return met.mapInArrow(run, _BLOCKS)
@@ -396,11 +399,13 @@ def extract_main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES)
     references = cut(mine.where(size > 0).groupBy("host").agg(F.min_by("html", F.struct(size, F.col("page_id"), F.col("html"))).alias("reference")), "references")
     # Pages are read twice, so that no copy of their texts is stored between evidence and extraction.
     both = _met(mine, references, small_enough(references, ["host", "reference"], broadcast_bytes))
-    template = slot_evidence(both).where((F.col("pages") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("pages"))).groupBy("host").agg(F.collect_list("slot").alias("template"))
+    share = F.when(F.col("slot") < 0, HOST_SHARE).otherwise(SAME_SHARE)
+    template = slot_evidence(both).where(F.col("same") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("template"))
     template = cut(template, "template")
     small = small_enough(template.select("host", F.array_join(F.transform("template", lambda x: x.cast("string")), ",").alias("slots")), ["host", "slots"], broadcast_bytes)
     met = page_blocks(both).join(F.broadcast(template) if small else template, "host", "left")
-    varying = F.filter("blocks", lambda b: ~(b["same"] & F.array_contains(F.coalesce("template", F.array().cast("array<int>")), b["slot"])))
+    known = F.coalesce("template", F.array().cast("array<bigint>"))
+    varying = F.filter("blocks", lambda b: ~(F.array_contains(known, b["anywhere"]) | F.array_contains(known, b["placed"])))
     kept = F.when(F.size(varying) > 0, varying).otherwise(F.col("blocks"))
     text = F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n"), F.lit(""))
     return met.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -28,6 +28,15 @@ def test_wrapper_without_broadcast_and_on_nothing(spark):
     assert html_wrapper.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_template_that_the_shortest_page_lacks(spark):
+    page = "<article><p>First {n}</p><p>Second {n}</p><p>Subscribe to us now</p><p>Third {n}</p></article>"
+    rows = [(k, f"https://a.example/{k}", page.replace("{n}", str(k))) for k in range(12)] + [(99, "https://a.example/stub", "<article><p>Gone</p></article>")]
+    copies = [(200 + k, f"https://b.example/{k}", page.replace("{n}", "7")) for k in range(9)] + [(300, "https://b.example/s", "<article><p>Gone</p></article>")]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract_main_text(spark.createDataFrame(rows + copies, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"First {k}\nSecond {k}\nThird {k}" for k in range(12)) and got[99] == "Gone"
+    assert all(got[200 + k] == "First 7\nSecond 7\nSubscribe to us now\nThird 7" for k in range(9))
+
+
 def test_copies_of_the_reference_are_no_evidence():
     source = PAGE.replace("{n}", "1")
     blocks, says = html_wrapper.content_blocks(source, html_wrapper.Matcher(html_wrapper.parse(source)))
