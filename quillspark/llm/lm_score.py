@@ -10,6 +10,11 @@ into shards of about SHARD tokens; each shard runs Adagrad from the same start,
 places as STEPS steps need, and the weights are averaged by places read, as a distributed sum.
 Only the vocabulary and the averaged weights, both of fixed size, reach the driver.
 
+The network gives a place the probability of a class: a word of its own, or a bucket. Within its
+bucket a word has the share of its corpus count, so that words of one bucket aren't
+interchangeable. Shares of the HELD most frequent words go to the tasks; the other words of each
+document meet their counts in a join.
+
 Defined cases: null, empty or white-space text has 0 tokens, score 0 and null per token. Rows
 repeat as they come. An empty table gives an empty table. Without any text the network is
 untrained. Other columns are ignored.
@@ -17,6 +22,7 @@ untrained. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut
@@ -35,6 +41,7 @@ SIDES = (-2, -1, 1, 2)
 SHARD, BATCH, RATE, STEPS = 4_000_000, 4096, 0.15, 900
 _SLICE = 1024  # rows of logits that stay in the processor's cache
 _CACHE = 300_000
+HELD = 100_000
 _PART = 512
 SCORE_SCHEMA = "doc_id long, n_tokens long, pll double, pll_per_token double, perplexity double"
 
@@ -221,41 +228,69 @@ def _trained(docs: DataFrame, vocabulary: list[bytes], net: Network, tokens: int
     return net.filled(flat), rows[0]["places"]
 
 
-def train(docs: DataFrame) -> tuple[list[bytes], Network]:
-    """The vocabulary and the network, from the whole corpus."""
+@dataclass
+class Model:
+    vocabulary: list[bytes]
+    net: Network
+    counts: DataFrame  # word and count of words in buckets
+    buckets: list[int]  # occurrences by bucket
+
+
+def _bucket(word: str) -> Column:
+    return F.pmod(F.crc32(F.expr(f"substring({word}, greatest(1, length({word}) - 2))")), F.lit(BUCKETS)).cast("int")
+
+
+def fit(docs: DataFrame) -> Model:
+    """The vocabulary, the network and the counts, from the whole corpus."""
     counts = cut(count_words(docs), "words")
     top = counts.orderBy(F.desc("count"), "word").limit(WORDS).collect()  # WORDS rows
     vocabulary = [bytes(r["word"]) for r in top]
     rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w),) for w in vocabulary], "word binary")), "word", "left_anti")
-    bucket = F.pmod(F.crc32(F.expr("substring(word, greatest(1, length(word) - 2))")), F.lit(BUCKETS))
-    tails = rest.groupBy(bucket.alias("bucket")).agg(F.sum("count").alias("count")).collect()  # BUCKETS rows
+    tails = rest.groupBy(_bucket("word").alias("bucket")).agg(F.sum("count").alias("count")).collect()  # BUCKETS rows
     amounts = np.zeros(WORDS + BUCKETS)
     amounts[: len(top)] = [r["count"] for r in top]
     for r in tails:
         amounts[WORDS + r["bucket"]] = r["count"]
-    return vocabulary, _trained(docs, vocabulary, Network.new(amounts), int(amounts.sum()))[0]
+    net = _trained(docs, vocabulary, Network.new(amounts), int(amounts.sum()))[0]
+    return Model(vocabulary, net, rest, [int(x) for x in amounts[WORDS:]])
+
+
+def train(docs: DataFrame) -> tuple[list[bytes], Network]:
+    """The vocabulary and the network, from the whole corpus."""
+    model = fit(docs)
+    return model.vocabulary, model.net
+
+
+def _scorer(vocabulary: list[bytes], net: Network):
+    """Lengths and scores of the texts of a batch."""
+    read, size = Reader(vocabulary), len(net.bias)
+
+    def score(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        texts = [read(t) for t in batch.column(1).to_pylist()]
+        lengths = np.asarray([len(t) for t in texts], np.int64)
+        sums, lo = np.zeros(len(texts)), 0
+        while lo < len(texts):  # some documents at a time
+            hi, tokens = lo, 0
+            while hi < len(texts) and (hi == lo or tokens + lengths[hi] <= 16 * BATCH):
+                tokens += lengths[hi]
+                hi += 1
+            if tokens:
+                context, target = np.concatenate([windows(t, size) for t in texts[lo:hi]]), np.concatenate(texts[lo:hi])
+                logp = np.concatenate([net.log_probabilities(context[k : k + BATCH], target[k : k + BATCH]) for k in range(0, len(target), BATCH)])
+                sums[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), lengths[lo:hi]), logp, hi - lo)
+            lo = hi
+        return lengths, sums
+
+    return score
 
 
 def pseudo_likelihoods(docs: DataFrame, vocabulary: list[bytes], net: Network) -> DataFrame:
-    """doc_id, n_tokens, pll, pll_per_token and perplexity of every document."""
-    size = len(net.bias)
+    """doc_id, n_tokens, pll, pll_per_token and perplexity of every document, by classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Reader(vocabulary)
+        score = _scorer(vocabulary, net)
         for batch in batches:
-            texts = [read(t) for t in batch.column(1).to_pylist()]
-            lengths = np.asarray([len(t) for t in texts], np.int64)
-            sums, lo = np.zeros(len(texts)), 0
-            while lo < len(texts):  # some documents at a time
-                hi, tokens = lo, 0
-                while hi < len(texts) and (hi == lo or tokens + lengths[hi] <= 16 * BATCH):
-                    tokens += lengths[hi]
-                    hi += 1
-                if tokens:
-                    context, target = np.concatenate([windows(t, size) for t in texts[lo:hi]]), np.concatenate(texts[lo:hi])
-                    logp = np.concatenate([net.log_probabilities(context[k : k + BATCH], target[k : k + BATCH]) for k in range(0, len(target), BATCH)])
-                    sums[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), lengths[lo:hi]), logp, hi - lo)
-                lo = hi
+            lengths, sums = score(batch)
             some = lengths > 0
             mean = np.where(some, sums / np.maximum(lengths, 1), np.nan)
             yield pa.RecordBatch.from_arrays(
@@ -266,5 +301,36 @@ def pseudo_likelihoods(docs: DataFrame, vocabulary: list[bytes], net: Network) -
     return _texts(docs).mapInArrow(run, SCORE_SCHEMA)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    return pseudo_likelihoods(docs, *train(docs))
+def _within(docs: DataFrame, model: Model, held: int) -> DataFrame:
+    """doc_id, n_tokens, pll of classes, and of the words of buckets: the sum of the held ones' log shares, and the others."""
+    vocabulary, net = model.vocabulary, model.net
+    top = model.counts.orderBy(F.desc("count"), "word").limit(held).collect()  # `held` rows
+    shares = {w: 0.0 for w in vocabulary} | {bytes(r["word"]): math.log(r["count"] / model.buckets[zlib.crc32(bytes(r["word"])[-3:]) % BUCKETS]) for r in top}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(vocabulary, net)
+        for batch in batches:
+            lengths, sums = score(batch)
+            near, far = [], []
+            for text in batch.column(1).to_pylist():
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                got = [shares.get(w) for w in words]
+                near.append(sum(x for x in got if x is not None))
+                far.append([w for w, x in zip(words, got, strict=True) if x is None])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(sums), pa.array(near, pa.float64()), pa.array(far, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "pll", "near", "far"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, pll double, near double, far array<binary>")
+
+
+def score_documents(docs: DataFrame, held: int = HELD) -> DataFrame:
+    """doc_id, n_tokens, pll, pll_per_token and perplexity of every document, by words."""
+    model = fit(docs)
+    scored = cut(_within(docs, model, held).withColumn("_row", F.monotonically_increasing_id()), "scores")
+    far = scored.select("_row", F.explode("far").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("times"))
+    totals = F.array(*(F.lit(float(x)) for x in model.buckets))
+    terms = model.counts.select("word", F.log(F.col("count") / F.get(totals, _bucket("word"))).alias("share"))
+    sums = far.join(terms, "word").groupBy("_row").agg(F.sum(F.col("times") * F.col("share")).alias("_far"))
+    pll = F.col("pll") + F.col("near") + F.coalesce("_far", F.lit(0.0))
+    met = scored.drop("far").join(sums, "_row", "left").select("doc_id", "n_tokens", pll.alias("pll"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
+    return met.select("doc_id", "n_tokens", "pll", mean.alias("pll_per_token"), F.exp(-mean).alias("perplexity"))

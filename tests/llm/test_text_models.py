@@ -223,6 +223,15 @@ def test_training_reads_every_place_whatever_the_files(spark):
     assert lm_score.shards_of(10 * lm_score.SHARD) == (10, 1) and lm_score.shards_of(tokens)[0] == 1
 
 
+def test_words_of_a_bucket_are_not_interchangeable(spark):
+    common = " ".join(f"w{k} w{k} w{k} w{k}" for k in range(lm_score.WORDS))
+    rows = [(0, f"{common} xxing"), (1, f"{common} yying"), *((k, "yying") for k in range(2, 4))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for held in (1, 1000):
+        got = {r["doc_id"]: r["pll"] for r in lm_score.score_documents(df, held=held).collect()}
+        assert abs(got[1] - got[0] - math.log(3)) < 1e-6
+
+
 def test_lm_edges(edge, empty):
     rows = lm_score.score_documents(edge).collect()
     assert len(rows) == edge.count() and all(r["pll"] == 0 and r["pll_per_token"] is None for r in rows if r["n_tokens"] == 0)
