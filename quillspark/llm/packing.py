@@ -1,7 +1,8 @@
 """Best-fit packing of token pieces into sequences of bounded length.
 
-Online best-fit in bounded space: a fixed number of open bins, found through a bitset keyed
-by free space; when all are open, the fullest closes first. Pieces are tokenised in place, written
+Best-fit decreasing group by group, open bins found through a bitset keyed by free space. A group
+of GROUP_TOKENS makes fewer bins than OPEN_BINS, so with the default values none closes early;
+with fewer open bins the fullest closes first. Pieces are tokenised in place, written
 once as small rows (no token ids), dealt by a hash into groups of a fixed token volume, and
 packed group by group, longest first, so work per task is bounded at every input size.
 
