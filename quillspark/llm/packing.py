@@ -1,10 +1,15 @@
 """Best-fit packing of token pieces into sequences of bounded length.
 
-Best-fit decreasing group by group, open bins found through a bitset keyed by free space. A group
-of GROUP_TOKENS makes fewer bins than OPEN_BINS, so with the default values none closes early;
-with fewer open bins the fullest closes first. Pieces are tokenised in place, written
-once as small rows (no token ids), dealt by a hash into groups of a fixed token volume, and
-packed group by group, longest first, so work per task is bounded at every input size.
+Bounded-space best fit: pieces come one by one, a bitset keyed by free space finds the open bin
+that they fit best, and at most OPEN_BINS bins are open, of which the fullest closes first.
+Pieces are tokenised in place, written once as small rows (no token ids) and dealt into groups of
+about GROUP_TOKENS by a hash of their row, so that copies spread and work per task is bounded at
+every input size. A group fills about twice as many bins as may be open at once, or more. Its
+pieces arrive longest first, which leaves the short ones for the gaps.
+
+A batch's texts are lower-cased and cut into the tokenizer's words by Arrow; its distinct words
+are spelled side by side, one merge of each a step, and texts are put together from their words.
+Texts with characters whose normal form or class might differ from the tokenizer's go to the library.
 
 Defined cases: null or empty text is the single end id. A repeated row is packed as a
 document of its own. An empty table gives an empty table. Other columns are ignored.
@@ -12,111 +17,225 @@ document of its own. An empty table gives an empty table. Other columns are igno
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut
+from quillspark.llm.token_counts import byte_symbols
 
 LIMIT = 4096
 END_ID = 1
 #: Tokens dealt to one packing task, and bins it may hold open.
-GROUP_TOKENS, OPEN_BINS = 4_000_000, 4096
-#: Entries of a worker's cache of word spellings; emptied when full.
-CACHE_WORDS = 1_000_000
-#: Separators for Python's split() that the tokenizer's \s does not take as white space.
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+GROUP_TOKENS, OPEN_BINS = 4_000_000, 512
+#: Bytes of texts spelled together, words put together at once, and bytes of a word that is spelled here.
+SLICE_BYTES, SLICE_WORDS, LONGEST = 6_000_000, 1_000_000, 64
+_NO_MERGE = np.int32(2**31 - 1)
 
-#: Latin letters whose lower case is one letter, then marks that are neither letters, digits nor quotes.
-_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+# What the tokenizer cuts off words (the same as its own pattern, behind lower-casing), and characters
+# that have one lower-case letter, no other normal form, and the same class in every version of Unicode.
+_MARKS = r"('(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\x0B\x85\p{Z}\p{L}\p{N}]+)"
+_FOREIGN = r"[^\x00-\x1B\x20-\x{7E}\x{A0}-\x{12F}\x{131}-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{2010}-\x{2027}\x{2030}-\x{205E}]|<\|"
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
 
-class WordSpeller:
-    """Token ids of a text as little-endian uint32 bytes, with a bounded cache by white-space word.
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all runs, one run behind the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
 
-    Valid for tokenizers that drop white space and never merge across it; for texts holding
-    separators on which Python and the tokenizer disagree the library reads the whole text.
-    """
+class WordSpeller:
+    """Token ids of texts, for byte-level tokenizers with an end-of-word suffix that lower-case and drop white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def spell(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
-
-    def learn(self, texts: list[str]) -> None:
-        """Spell the words of some texts that the cache lacks, in one call of the library.
-
-        A word of Latin letters and ASCII marks behind them is spelled as its lower-case letters,
-        then its marks: the tokenizer lower-cases and cuts there itself. Other words go as they are.
-        """
-        cache = self.cache
-        new = set().union(*(t.split() for t in texts)) - cache.keys()
-        if len(cache) + 2 * len(new) > CACHE_WORDS:
-            cache.clear()
-        cut, todo = {}, set()
-        for w in new:
-            if len(w) <= 64:
-                m = _LATIN(w)
-                parts = cut[w] = (m[1].lower(), m[2]) if m else (w,)
-                todo.update(p for p in parts if p and p not in cache)
-        todo = list(todo)
-        for lo in range(0, len(todo), 20_000):
-            part = todo[lo : lo + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        for w, parts in cut.items():
-            if len(parts) == 2:
-                cache[w] = cache[parts[0]] + (cache[parts[1]] if parts[1] else b"")
-
-    def ids(self, text: str) -> bytes:
-        # Special strings of the vocabulary contain '<|'; the library decides about them in context.
-        if "<|" in text or any(c in text for c in _NOT_SPACE):
-            return self.spell(text)
-        cache, words = self.cache, text.split()
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            return b"".join([cache[w] if w in cache else self.spell(w) for w in words])
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, end = model["vocab"], model["end_of_word_suffix"]
+        symbols = [c for c, _ in sorted(byte_symbols().items(), key=lambda x: x[1])]
+        self.inner = np.asarray([ids[c] for c in symbols], np.int32)
+        self.last = np.asarray([ids[c + end] for c in symbols], np.int32)
+        halves = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.made = np.asarray([ids[a + b] for a, b in halves], np.int32)
+        # Ranks by pair in an open table: a pair lies in the first free slot from its own on.
+        keys = np.asarray([ids[a] << 20 | ids[b] for a, b in halves], np.int64)
+        self.bits = int(len(keys) * 4).bit_length()
+        self.slots, self.rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NO_MERGE, np.int32)
+        rest, at = np.arange(len(keys)), self._slot(keys)
+        while len(rest):
+            free = np.flatnonzero(self.slots[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            free = free[first]
+            self.slots[at[free]], self.rank[at[free]] = keys[rest[free]], rest[free]
+            rest, at = np.delete(rest, free), (np.delete(at, free) + 1) & (len(self.slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of pairs; _NO_MERGE where there is none."""
+        key = left.astype(np.int64) << 20 | right
+        at, out, todo = self._slot(key), np.full(len(key), _NO_MERGE, np.int32), np.arange(len(key))
+        while len(todo):
+            there = self.slots[at]
+            hit = there == key
+            out[todo[hit]] = self.rank[at[hit]]
+            on = ~hit & (there >= 0)
+            todo, key, at = todo[on], key[on], (at[on] + 1) & (len(self.slots) - 1)
+        return out
+
+    def _merged(self, units: np.ndarray) -> np.ndarray:
+        """Rows of unit ids, filled up with -1, after all merges: each step makes the earliest merge of every row."""
+        out, rows, width = np.empty_like(units), np.arange(len(units)), units.shape[1]
+        now = np.pad(units, ((0, 0), (0, 1)), constant_values=-1)
+        rank = np.full(now.shape, _NO_MERGE, np.int32)
+        pair = np.nonzero(now[:, 1:] >= 0)
+        rank[pair] = self._ranks(now[pair], now[pair[0], pair[1] + 1])
+        columns = np.arange(width)
+        while len(rows):
+            at = rank.argmin(1)
+            low = rank[np.arange(len(rows)), at]
+            on = low != _NO_MERGE
+            if not on.all():
+                out[rows[~on]] = now[~on, :width]
+                rows, now, rank, at, low = rows[on], now[on], rank[on], at[on], low[on]
+            each = np.arange(len(rows))
+            now[each, at] = self.made[low]
+            now[:, :width] = np.take_along_axis(now, columns + (columns > at[:, None]), 1)
+            rank[:, :width] = np.take_along_axis(rank, columns + (columns >= at[:, None]), 1)
+            for left in (at - 1, at):  # the pairs that the new id is in
+                x = each[left >= 0]
+                k = left[left >= 0]
+                a, b = now[x, k], now[x, k + 1]
+                rank[x, k] = np.where(b >= 0, self._ranks(a, np.maximum(b, 0)), _NO_MERGE)
+        return out
+
+    def words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words, one behind the other, and how many each has."""
+        begins = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
+        lengths, begins = np.diff(begins), begins[:-1]
+        counts, parts, owners = np.zeros(len(words), np.int64), [], []
+        for low, high in ((0, 6), (6, 9), (9, 12), (12, 20), (20, LONGEST)):
+            mine = np.flatnonzero((lengths > low) & (lengths <= high))
+            n, column = lengths[mine, None], np.arange(high)
+            raw = data[np.minimum(begins[mine, None] + column, len(data) - 1)]
+            done = self._merged(np.where(column < n - 1, self.inner[raw], np.where(column == n - 1, self.last[raw], -1)))
+            kept = done >= 0
+            counts[mine] = kept.sum(1)
+            parts.append(done[kept])
+            owners.append(mine)
+        for k in np.flatnonzero(lengths > LONGEST).tolist():
+            parts.append(np.asarray(self.library.encode(words[k].as_py(), add_special_tokens=False).ids, np.int32))
+            counts[k] = len(parts[-1])
+            owners.append(np.asarray([k]))
+        if not parts:
+            return np.zeros(0, np.int32), counts
+        owner = np.concatenate(owners)
+        begin = np.zeros(len(words), np.int64)
+        begin[owner] = np.cumsum(counts[owner]) - counts[owner]
+        return np.concatenate(parts)[gathered(begin, counts)], counts
+
+    def texts(self, texts: pa.StringArray) -> Iterator[tuple[int, np.ndarray]]:
+        """(place of a text, some of its ids): texts in order, the parts of one text in order."""
+        foreign = pc.match_substring_regex(texts, _FOREIGN)
+        plain = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(foreign, "", texts)), _MARKS, r" \1 ")
+        listed = pc.utf8_split_whitespace(plain)
+        ends = np.asarray(listed.offsets)[1:]
+        found = listed.flatten().dictionary_encode()
+        ids, counts = self.words(found.dictionary)
+        begins = np.cumsum(counts) - counts
+        codes = found.indices.to_numpy()
+        library = set(np.flatnonzero(foreign.to_numpy(zero_copy_only=False)).tolist())
+        at, text = 0, 0
+        for lo in range(0, max(1, len(codes)), SLICE_WORDS):
+            here = codes[lo : lo + SLICE_WORDS]
+            sizes = counts[here]
+            flat, upto = ids[gathered(begins[here], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+            while text < len(texts):
+                end, upto_here = int(ends[text]), lo + len(here)
+                if text not in library:
+                    yield text, flat[upto[at - lo] : upto[min(end, upto_here) - lo]]
+                elif end <= upto_here:
+                    yield text, np.asarray(self.library.encode(texts[text].as_py(), add_special_tokens=False).ids, np.int32)
+                if end > upto_here:
+                    at = upto_here
+                    break
+                at, text = end, text + 1
 
 
 @lru_cache(maxsize=2)
 def speller(path: str) -> WordSpeller:
-    """One speller a worker, kept with its cache from task to task."""
+    """One speller a worker, kept from task to task; it holds the merges and no texts."""
     return WordSpeller(path)
 
 
+def slices(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about SLICE_BYTES of text each, at least a row."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield lo, hi
+        lo = hi
+
+
+class Cutter:
+    """Cuts documents into pieces of at most `limit` ids while their ids come in parts."""
+
+    def __init__(self, limit: int):
+        self.limit, self.rows = limit, []
+
+    def open(self, doc: int | None) -> None:
+        self.doc, self.piece, self.length, self.crc = doc, 0, 0, 0
+
+    def feed(self, ids: np.ndarray) -> None:
+        data, at = memoryview(ids.astype("<u4").tobytes()), 0
+        while at < len(ids):
+            if self.length == self.limit:
+                self.close()
+                self.piece, self.length, self.crc = self.piece + 1, 0, 0
+            take = min(self.limit - self.length, len(ids) - at)
+            self.crc = zlib.crc32(data[4 * at : 4 * (at + take)], self.crc)
+            self.length, at = self.length + take, at + take
+
+    def close(self) -> None:
+        self.rows.append((self.doc, self.piece, self.piece * self.limit, self.length, self.crc))
+
+
 def tokenised_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """Pieces of at most `limit` ids per document, each with its place and the CRC-32 of its ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell, end, width = speller(tokenizer), np.asarray([end_id], "<u4").tobytes(), 4 * limit
+        spell, end = speller(tokenizer), np.asarray([end_id])
         for batch in batches:
-            out: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo in range(0, len(texts), 256):
-                spell.learn(texts[lo : lo + 256])
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = spell.ids(text) + end
-                for k in range(0, len(ids), width):
-                    part = ids[k : k + width]
-                    out.append((doc, k // width, k // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts = batch.column(1).fill_null("")
+            for lo, hi in slices(texts):
+                ids, cutter, last = batch.column(0)[lo:hi].to_pylist(), Cutter(limit), -1
+                for k, part in spell.texts(texts[lo:hi]):
+                    if k != last:
+                        if last >= 0:
+                            cutter.feed(end)
+                            cutter.close()
+                        cutter.open(ids[k])
+                        last = k
+                    cutter.feed(part)
+                cutter.feed(end)
+                cutter.close()
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cutter.rows, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(pieces, PIECE_SCHEMA)
 
@@ -144,7 +263,7 @@ class BestFit:
             free = length + (fitting & -fitting).bit_length() - 1
             found = self._take(free)
         else:
-            if self.open >= self.most:  # the fullest closes first
+            if self.open >= self.most and length < self.capacity:  # the fullest closes first
                 self._take((self.bits & -self.bits).bit_length() - 1)
             found, free, self.bins = self.bins, self.capacity, self.bins + 1
         if left := free - length:
@@ -168,7 +287,8 @@ def pack(pieces: DataFrame, limit: int = LIMIT, group_tokens: int = GROUP_TOKENS
         frame["offset"] = [o for _, o in placed]
         return frame[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # The row's place in the written table tells rows that repeat apart.
+    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("bin_group").applyInPandas(one, PACKED_SCHEMA)
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -36,12 +37,28 @@ def test_counts_over_a_table(spark, docs, edge, empty):
     assert len(rows) == edge.count() and all(r["n_tokens"] == 0 for r in rows if r["n_bytes"] == 0) and token_counts.token_counts(empty, BYTES).count() == 0
 
 
-def test_speller_is_the_library():
+def spelled(speller, cases):
+    out = [[] for _ in cases]
+    for k, ids in speller.texts(pa.array(cases, pa.string())):
+        out[k] += ids.tolist()
+    return out
+
+
+def test_speller_is_the_library(monkeypatch):
     library, speller = Tokenizer.from_file(WORDS), packing.WordSpeller(WORDS)
     cases = texts(2000, 2)
-    speller.learn(cases[:1000])
-    for t in cases:
-        assert np.frombuffer(speller.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    cases += [f"a{c}B x{c} {c} '{c}s 9{c}'S" for c in map(chr, range(0x20, 0x2500))]  # every character that is spelled here, and some that aren't
+    want = [e.ids for e in library.encode_batch(cases, add_special_tokens=False)]
+    for size in (1_000_000, 7):
+        monkeypatch.setattr(packing, "SLICE_WORDS", size)
+        assert spelled(speller, cases) == want
+    assert spelled(speller, ["", " \n"]) == [[], []] and spelled(speller, []) == []
+
+
+def test_slices_cover_all_rows(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_BYTES", 10)
+    cases = pa.array(["", "abc", "d" * 40, "", "ef", "g" * 9, "h"])
+    assert list(packing.slices(cases)) == [(0, 2), (2, 3), (3, 5), (5, 7)]
 
 
 def check_packing(rows, lengths, limit):
@@ -71,11 +88,55 @@ def test_packing_round_trip_and_density(spark, docs):
     check_packing(small, [len(v) for v in want.values()], 4096)
 
 
-def test_fullest_bin_closes_first():
-    fit = packing.BestFit(10, 2)
-    assert [fit.put(n) for n in (6, 5, 4, 8, 5)] == [(0, 0), (1, 0), (0, 6), (2, 0), (1, 5)]
-    fit = packing.BestFit(10, 2)
-    assert [fit.put(n)[0] for n in (6, 7, 8, 3, 4)] == [0, 1, 2, 3, 0] or fit.open <= 2
+def plain_best_fit(lengths, capacity, most):
+    """Open bins in a list, as (free, time of its last piece, bin)."""
+    held, bins, out = [], 0, []
+    for time, n in enumerate(lengths):
+        fits = [b for b in held if b[0] >= n]
+        if fits:
+            best = min(fits, key=lambda b: (b[0], -b[1]))
+            held.remove(best)
+        else:
+            if len(held) >= most and n < capacity:
+                held.remove(min(held, key=lambda b: (b[0], -b[1])))
+            best, bins = (capacity, time, bins), bins + 1
+        out.append((best[2], capacity - best[0]))
+        if best[0] > n:
+            held.append((best[0] - n, time, best[2]))
+    return out
+
+
+def test_best_fit_with_few_open_bins():
+    draw, closed = random.Random(5), 0
+    for case in range(300):
+        lengths, most = [draw.randint(1, 40) for _ in range(draw.randint(0, 80))], draw.choice((1, 2, 4, 100))
+        if case % 2:
+            lengths.sort(reverse=True)
+        fit = packing.BestFit(40, most)
+        assert [fit.put(n) for n in lengths] == plain_best_fit(lengths, 40, most)
+        assert fit.open <= most
+        closed += plain_best_fit(lengths, 40, most) != plain_best_fit(lengths, 40, 1000)
+    assert closed > 50
+
+
+def test_groups_are_packed_as_plainly(spark, docs):
+    pieces = packing.tokenised_pieces(docs, WORDS, limit=256)
+    rows = packing.pack(pieces, 256, group_tokens=20_000, open_bins=8).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["sequence_id"] >> 40, []).append(r)
+    assert len(groups) > 2
+    for found in groups.values():
+        found.sort(key=lambda r: (-r["length"], r["doc_id"], r["piece"], r["ids_crc32"]))
+        assert [(r["sequence_id"] & (1 << 40) - 1, r["offset"]) for r in found] == plain_best_fit([r["length"] for r in found], 256, 8)
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    rows = packing.pack(spark.range(4000).selectExpr("7L as doc_id", "0 as piece", "0L as start", "10L as length", "5L as ids_crc32"), 100, group_tokens=4000, open_bins=8).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["sequence_id"] >> 40] = sizes.get(r["sequence_id"] >> 40, 0) + 1
+    assert len(sizes) == 10 and max(sizes.values()) < 600
 
 
 def test_packing_edges(edge, empty):
