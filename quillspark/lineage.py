@@ -28,3 +28,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote. Only for tables that nothing still to be computed reads; others are left alone."""
+    for df in tables:
+        spark, home = df.sparkSession, shared_dir(df.sparkSession).rstrip("/")
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().toUri().getPath() == jvm.org.apache.hadoop.fs.Path(home).toUri().getPath():
+                path.getFileSystem(conf).delete(path, True)
