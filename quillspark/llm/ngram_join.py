@@ -3,15 +3,18 @@
 Tokens are 64-bit hashes of word shingles. Two sets with Jaccard similarity >= t share a
 token among their first n - ceil(t n) + 1 under any total order of tokens. Three orders are
 used: classes of the token's hash, then document frequency (exact, or as a power of 2 or 4),
-then a hash of its own for each order. A pair is verified only if it shares a prefix token
-under all three. Only tokens of the first class or classes, as many as a prefix may need, are
-counted and joined, and a token that no other set has is never joined.
+then a hash of its own for each order; behind them come frequent tokens, those of more than
+FREQUENT sets. A pair is verified only if it shares a prefix token under all three. Tokens of the
+first class are counted for all sets; those of the next only for sets whose prefix isn't full of
+rare ones yet, so that a passage which many documents share brings none of them together as
+long as enough of their text is their own. A token that no other set has is never joined.
 
 Equal sets are one node, the smallest doc_id of them. Nodes meet in buckets, one for each
 token of the first order's prefixes; buckets with the same members are one. A bucket of more
-than BLOCK members is dealt into blocks: first each block is linked in itself, then members
-outside the bucket's largest component visit all other blocks. A block's result is a spanning
-forest of its links, so groups of copies never expand into pairs.
+than BLOCK members is dealt into blocks. First each block is linked in itself. Then the members
+outside the bucket's largest component, dealt into blocks of their own, meet all other blocks,
+two blocks at a time, so that no task holds more than two. A result is a spanning forest of the
+links in it, so groups of copies never expand into pairs.
 
 Shingles are compared by hash: two different ones of a pair of documents coincide with
 probability below 1e-12 for documents of 1,000 words.
@@ -29,16 +32,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, cut
+from quillspark.llm.common import components, cut, release
 
-#: Members of a bucket compared in one go, and the tokens of their sets, which bound a task's memory.
-BLOCK, BLOCK_TOKENS = 1024, 500_000
+#: Members of a block and the tokens of their sets (one set more at most); a task compares two blocks at most.
+BLOCK, BLOCK_TOKENS = 512, 250_000
+#: Blocks' worth of members whose order is settled together when a bucket is dealt.
+DEAL = 16
 #: Class bounds as multiples of the prefix share 1 - t.
-CLASS_BOUNDS = (1.4, 2.6)
-_WORDS = 300_000
+CLASS_BOUNDS = (1.4, 2.8)
+#: Sets with a token, above which it comes last in all orders.
+FREQUENT = 256
+#: Entries of a worker's cache of word hashes, and rows of text read at once.
+_WORDS, _ROWS = 200_000, 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -72,6 +80,13 @@ class Shingler:
         return np.unique(out)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, _ROWS at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(lo, _ROWS)
+
+
 def prefix_length(n, percent: int):
     """n - ceil(t n) + 1, for t in hundredths."""
     return n - -(-percent * n // 100) + 1
@@ -84,18 +99,18 @@ def class_limits(percent: int) -> list[int]:
 
 
 def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n (set size), sig (digest of the set), m (tokens in each class) and toks (tokens of the classes that its prefix may need)."""
+    """Per row: doc_id, n (set size), sig (digest of the set), m (tokens in each class) and toks (tokens of the first two classes, or of all where its prefix needs more)."""
     limits = [np.uint64(x) for x in class_limits(percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(words)
-        for batch in batches:
+        for batch in _small(batches):
             n, sig, m, toks = [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = of(text)
                 size, upto = len(h), [int(np.searchsorted(h, x, "right")) for x in limits]
                 need = prefix_length(size, percent)
-                taken = next((u for u in upto if u >= need), size)
+                taken = upto[1] if upto[1] >= need else size
                 n.append(size)
                 sig.append(xxhash.xxh3_128_hexdigest(h.tobytes()) if size else None)
                 m.append([upto[0], upto[1] - upto[0], size - upto[1]])
@@ -120,24 +135,27 @@ def _mixed(tokens: np.ndarray, seed: int) -> np.ndarray:
         return (h ^ (h >> np.uint64(31))) * _MIX2
 
 
-def choose_prefixes(tokens: np.ndarray, df: np.ndarray, m: np.ndarray, n: int, percent: int) -> list[np.ndarray]:
+def choose_prefixes(tokens: np.ndarray, df: np.ndarray, m: np.ndarray, n: int, percent: int, frequent: int) -> list[np.ndarray]:
     """The shared tokens in the prefixes of the three orders. `tokens` are those that other sets have too, `m` all tokens by class."""
     limits = [np.uint64(x) for x in class_limits(percent)]
     kind = np.searchsorted(np.asarray(limits), tokens.view(np.uint64), "left")
+    # Rare tokens of the first two classes, then frequent ones, then all of the third class.
+    group = np.where(kind == 2, 4, kind + 2 * (df > frequent))
+    alone = [int(m[c]) - int((kind == c).sum()) for c in range(3)]
     need = int(prefix_length(n, percent))
-    room = []  # shared tokens of each class that still fit in the prefix, behind those no other set has
-    for c in range(3):
-        shared = int((kind == c).sum())
-        need = max(0, need - (int(m[c]) - shared))
+    room = []  # shared tokens of each group that still fit in the prefix, behind those no other set has
+    for g, unshared in enumerate((alone[0], alone[1], 0, 0, alone[2])):
+        shared = int((group == g).sum())
+        need = max(0, need - unshared)
         room.append(min(need, shared))
         need -= room[-1]
     log = np.floor(np.log2(df)).astype(np.int64)
     orders = (df, _mixed(tokens, 1)), (log, _mixed(tokens, 2)), (log // 2, _mixed(tokens, 3))
+    first = np.cumsum([0] + [int((group == g).sum()) for g in range(5)])
     out = []
     for key, salt in orders:
-        ranked = np.lexsort((salt, key, kind))
-        first = np.cumsum([0] + [int((kind == c).sum()) for c in range(3)])
-        out.append(tokens[np.concatenate([ranked[first[c] : first[c] + room[c]] for c in range(3)])])
+        ranked = np.lexsort((salt, key, group))
+        out.append(tokens[np.concatenate([ranked[first[g] : first[g] + room[g]] for g in range(5)])])
     return out
 
 
@@ -154,7 +172,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     kept = common[token]
     token, owner, total = place[token[kept]], owner[kept], int(common.sum())
     out = np.zeros((count, count), np.float32)
-    step = max(256, min(8192, 8_000_000 // count))
+    step = max(256, min(8192, 4_000_000 // count))
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     for lo in range(0, total, step):
@@ -162,13 +180,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         matrix = np.zeros((count, min(step, total - lo)), np.float32)
         matrix[owner[a:b], token[a:b] - lo] = 1
         out += matrix @ matrix.T
-    out = np.rint(out).astype(np.int64)
+    out = np.rint(out, out=out).astype(np.int64)
     out[np.arange(count), np.arange(count)] = [len(s) for s in sets]
     return out
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a symmetric boolean matrix."""
+    """A spanning forest of a symmetric boolean matrix: stars round the first of each tree."""
     free, edges = np.ones(len(linked), bool), []
     for root in range(len(linked)):
         if not free[root]:
@@ -178,7 +196,7 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
             at = queue.pop()
             new = np.flatnonzero(linked[at] & free)
             free[new] = False
-            edges += [(at, k) for k in new.tolist()]
+            edges += [(root, k) for k in new.tolist()]
             queue += new.tolist()
     return edges
 
@@ -197,7 +215,7 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of a block's links, on the whole sets."""
     n = np.asarray([len(s) for s in sets])
     both = overlaps(sets)
-    linked = 100 * both >= percent * (np.add.outer(n, n) - both)
+    linked = (100 + percent) * both >= percent * np.add.outer(n, n)
     np.fill_diagonal(linked, False)
     return forest(linked)
 
@@ -258,78 +276,131 @@ def _carried(places: DataFrame, payload: DataFrame) -> DataFrame:
     return met.select("at.token", "at.block", *payload.columns)
 
 
-def _joined_in_blocks(placed: DataFrame, label: str, compare) -> DataFrame | None:
-    """Edges of all blocks of `placed` (token, block, blocks, doc_id), compared by `compare(places)`.
+def weight_of(n: Column) -> Column:
+    """What a member of n tokens takes of a block."""
+    return F.greatest(n, F.lit(-(-BLOCK_TOKENS // BLOCK)).cast("long"))
+
+
+def dealt(places: DataFrame, by: list[str]) -> DataFrame:
+    """`places` (`by` columns, doc_id, n: tokens, total: weight of all members of the bucket) with their `block`, and whether the bucket is `hot`.
+
+    A block has at most BLOCK members, and but for its last one fewer than BLOCK_TOKENS tokens. A large bucket is dealt
+    by hash into parts of some DEAL blocks, and each part into blocks by a running sum, so no window holds a bucket.
+    """
+    small = places.where(F.col("total") <= BLOCK_TOKENS).select(*by, "doc_id", F.lit(0).cast("long").alias("block"), F.lit(False).alias("hot"))
+    if places.where(F.col("total") > BLOCK_TOKENS).isEmpty():
+        return small
+    parts = F.floor(F.col("total") / (DEAL * BLOCK_TOKENS)) + 1
+    large = places.where(F.col("total") > BLOCK_TOKENS).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), parts)).withColumn("weight", weight_of(F.col("n")))
+    before = F.sum("weight").over(Window.partitionBy(*by, "part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    block = F.col("part") * F.lit(2**32) + F.floor(F.coalesce(before, F.lit(0)) / BLOCK_TOKENS)
+    return small.union(large.select(*by, "doc_id", block.cast("long").alias("block"), F.lit(True).alias("hot")))
+
+
+def totalled(places: DataFrame, by: list[str]) -> DataFrame:
+    return places.join(places.groupBy(*by).agg(F.sum(weight_of(F.col("n"))).alias("total")), by)
+
 
-    Blocks are compared in themselves first. Of a token dealt into several, the members outside
-    its largest component then visit all its blocks, which leaves no pair of different components out.
+def paired_blocks(known: DataFrame) -> DataFrame:
+    """(token, block, doc_id) of the pairs of blocks that are still to be compared, of `known` (token, doc_id, n, component).
+
+    Members outside the largest component of their bucket meet each other and the members in it; the latter are linked already.
     """
+    sizes = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    sided = known.join(main, "token").select("token", "doc_id", "n", (F.col("component") != F.col("main")).alias("rest"))
+    open_ones = sided.where("rest").select("token").distinct()
+    sides = cut(totalled(sided.join(open_ones, "token", "left_semi"), ["token", "rest"]), "sides")
+    placed = dealt(sides, ["token", "rest"]).select("token", "doc_id", F.struct("rest", "block").alias("mine"))
+    blocks = placed.groupBy("token").agg(F.collect_set("mine").alias("all"))
+    met = placed.join(blocks, "token")
+    # A pair is named by its blocks in order; of two blocks one at least is of the rest.
+    others = F.when(F.col("mine.rest"), F.col("all")).otherwise(F.filter("all", lambda b: b["rest"]))
+    pair = F.explode(F.transform(others, lambda b: F.xxhash64(F.least(F.col("mine"), b), F.greatest(F.col("mine"), b))))
+    return met.select("token", pair.alias("block"), "doc_id")
+
+
+def _joined_in_blocks(buckets: DataFrame, label: str, compare) -> DataFrame:
+    """Edges of all buckets (token, doc_id, n, total), compared by `compare(places)`, places being (token, block, doc_id).
+
+    Blocks are compared in themselves first, then two at a time as far as their members aren't linked yet.
+    """
+    placed = dealt(buckets, ["token"])
     edges = cut(compare(placed.select("token", "block", "doc_id")), label)
-    hot = placed.where("blocks > 1")
+    hot = placed.where("hot")
     if hot.isEmpty():
         return edges
     joined = components(edges)
-    known = hot.join(joined, hot["doc_id"] == joined["node"], "left").select("token", "block", "blocks", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    sizes = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    visits = known.join(main, "token").withColumn("to", F.when(F.col("component") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return edges.union(cut(compare(visits.select("token", F.explode("to").alias("block"), "doc_id")), label))
+    known = hot.select("token", "doc_id").join(buckets, ["token", "doc_id"]).join(joined, F.col("doc_id") == joined["node"], "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    return edges.union(cut(compare(paired_blocks(cut(known, "known"))), label))
+
+
+def _shared(spread: DataFrame) -> DataFrame:
+    """doc_id, tag and the tokens of a set that others have too, with the number of sets; of `spread` (doc_id, tag, token)."""
+    frequency = spread.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    return spread.join(frequency.hint("shuffle_hash"), "token").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
 
 
-def _dealt(places: DataFrame, sizes: DataFrame) -> DataFrame:
-    """`places` (token, doc_id) of the tokens in `sizes` (token, members, volume), dealt into blocks."""
-    least = lambda c, most: F.floor((F.col(c) - 1) / most) + 1
-    blocks = sizes.select("token", F.least(F.greatest(least("members", BLOCK), least("volume", BLOCK_TOKENS)), F.col("members")).cast("long").alias("blocks"))
-    return places.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+def counted_tokens(nodes: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """doc_id, tag, n, m and shared tokens with their frequency: of the first class, and of all in `toks` where rare ones of that don't fill a prefix."""
+    of_first = F.element_at("m", 1).cast("int")
+    none = F.array().cast("array<struct<token:bigint,df:int>>")
+    shared = F.coalesce("shared", none)
+    first = _shared(nodes.select("doc_id", "tag", F.explode(F.slice("toks", 1, of_first)).alias("token")))
+    full = of_first - F.size(F.filter(shared, lambda t: t["df"] > frequent)) >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rest = F.when(~full, F.slice("toks", of_first + 1, F.size("toks")))
+    met = nodes.join(first, ["doc_id", "tag"], "left").select("doc_id", "tag", "n", "m", shared.alias("shared"), rest.alias("rest"))
+    met = cut(met.where("rest is not null or size(shared) > 0"), "counted")
+    more = _shared(met.where("size(rest) > 0").select("doc_id", "tag", F.explode("rest").alias("token"))).withColumnRenamed("shared", "more")
+    return met.join(more, ["doc_id", "tag"], "left").select("doc_id", "tag", "n", "m", F.concat("shared", F.coalesce("more", none)).alias("shared"))
 
 
-def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; components of the links with similarity >= percent / 100."""
     table = cut(shingle_table(docs, words, percent).withColumn("tag", F.hash("sig")), "shingles")
-    light = table.select("doc_id", "n", "sig")
+    light = cut(table.select("doc_id", "n", "sig"), "sizes")
     classes = light.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"))
     # A node is a doc_id and a tag of its set, for a doc_id may have several texts.
     nodes = table.join(classes, (table["doc_id"] == classes["node"]) & (table["sig"] == classes["sig"]), "left_semi").dropDuplicates(["doc_id", "sig"])
     nodes = cut(nodes.drop("sig"), "nodes")
+    release(table)
 
-    # Document frequency over nodes; tokens of one node only are left out.
-    spread = nodes.select("doc_id", "tag", F.explode("toks").alias("token"))
-    frequent = spread.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
-    shared = spread.join(frequent.hint("shuffle_hash"), "token").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
-    prefixed = cut(_prefixes(nodes.select("doc_id", "tag", "n", "m").join(shared, ["doc_id", "tag"]), percent).where("size(first) > 0"), "prefixes")
+    prefixed = cut(_prefixes(counted_tokens(nodes, percent, frequent), percent, frequent).where("size(first) > 0"), "prefixes")
+    release(nodes)
 
     # Buckets of the first order; of those with the same members one is enough.
     posts = prefixed.select("doc_id", (F.size("second") + F.size("third")).alias("n"), F.explode("first").alias("token")).groupBy("doc_id", "token").agg(F.sum("n").alias("n"))
     marks = posts.groupBy("token").agg(
-        F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit(2**40 - 1))).alias("s")
+        F.count(F.lit(1)).alias("members"), F.sum(weight_of(F.col("n"))).alias("total"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit(2**40 - 1))).alias("s")
     ).where("members > 1")
-    placed = cut(_dealt(posts, marks.groupBy("members", "volume", "x", "s").agg(F.min("token").alias("token"))), "buckets")
+    placed = cut(posts.join(marks.groupBy("members", "total", "x", "s").agg(F.min("token").alias("token")).select("token", "total"), "token"), "buckets")
 
-    # Candidates share prefix tokens under all orders. Their components are small, and every link is
+    # Candidates share prefix tokens under all three orders. Their components are small, and every link is
     # inside one, so that each whole set moves once, to its component.
     payload = prefixed.select("doc_id", "n", "second", "third")
     grouped = components(_joined_in_blocks(placed, "candidates", lambda places: _candidates(_carried(places, payload), percent)))
     grouped = grouped.union(grouped.select(F.col("component").alias("node"), "component").distinct())
     groups = cut(grouped.select(F.col("component").alias("token"), F.col("node").alias("doc_id")), "groups")
+    release(placed, prefixed)
     texts = _columns(docs).join(groups.select("doc_id"), "doc_id", "left_semi")
     whole = cut(shingle_sets(texts, words).dropDuplicates(["doc_id", "tag"]).select("doc_id", "toks"), "sets")
     amounts = whole.groupBy("doc_id").agg(F.sum(F.size("toks")).alias("n"))
-    sizes = groups.join(amounts, "doc_id").groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"))
-    joined = components(_joined_in_blocks(_dealt(groups, sizes), "links", lambda places: _links(_carried(places, whole), percent)))
+    joined = components(_joined_in_blocks(cut(totalled(groups.join(amounts, "doc_id"), ["token"]), "groups"), "links", lambda places: _links(_carried(places, whole), percent)))
+    release(whole, groups)
     of_class = classes.join(joined, classes["node"] == joined["node"], "left").select(classes["sig"].alias("class_sig"), F.coalesce("component", classes["node"]).alias("component"))
     out = light.join(of_class, light["sig"] == of_class["class_sig"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
+def _prefixes(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in _small(batches):
             pairs = batch.column(4)
             flat, offsets = pairs.flatten(), pairs.offsets.to_numpy()
             tokens, df = (c.to_numpy() for c in flat.flatten())
             at = offsets - offsets[0]
-            out = [choose_prefixes(tokens[a:b], df[a:b], m, n, percent) for a, b, n, m in zip(at, at[1:], batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=False)]
+            out = [choose_prefixes(tokens[a:b], df[a:b], m, n, percent, frequent) for a, b, n, m in zip(at, at[1:], batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([o[k] for o in out], many) for k in range(3))], ["doc_id", "tag", "n", "first", "second", "third"])
 
     return shared.select("doc_id", "tag", "n", "m", "shared").mapInArrow(run, "doc_id long, tag int, n long, first array<long>, second array<long>, third array<long>")
@@ -340,7 +411,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(words)
-        for batch in batches:
+        for batch in _small(batches):
             found = [(d, h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(h := of(t))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d for d, _ in found], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for _, h in found], pa.string()), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))],

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 import pytest
 from compare import oracle, same
@@ -71,8 +72,67 @@ def test_join_against_brute_force_in_small_blocks(spark, sf, monkeypatch, words,
     base = " ".join(f"w{k % 97}x{k % 89}" for k in range(140)).split()
     family = [(1000 + k, " ".join(base[: 40 + k % 7] + [f"new{k}"] + base[40 + k % 7 :])) for k in range(60)]
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(family, "doc_id long, text string"))
-    got = sorted((tuple(r) for r in ngram_join.similarity_classes(docs, words, percent).collect()), key=repr)
-    assert got == brute([tuple(r) for r in docs.collect()], words, percent)
+    want = brute([tuple(r) for r in docs.collect()], words, percent)
+    for frequent in (2, 256):
+        assert sorted((tuple(r) for r in ngram_join.similarity_classes(docs, words, percent, frequent).collect()), key=repr) == want
+
+
+def test_components_in_rounds_and_in_one_task(spark):
+    draw = random.Random(3)
+    edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(50)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    near, seen = collections.defaultdict(set), {}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    for root in sorted(near):
+        todo = [root] if root not in seen else []
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen[at] = root
+                todo += near[at]
+    want = {(n, c) for n, c in seen.items() if n != c}
+    for most in (0, 1_000_000):
+        assert {tuple(r) for r in components(df, local_edges=most).collect()} == want
+
+
+def test_blocks_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 2000)
+    # 400 members that aren't linked, 300 that are, some of them with large sets, and two small buckets.
+    rows = [(1, d, 900 if d % 50 == 0 else 40, d if d < 400 else 400) for d in range(700)] + [(2, 1, 5, 1), (2, 2, 5, 2), (3, 7, 9000, 7), (3, 8, 10, 8)]
+    known = spark.createDataFrame(rows, "token long, doc_id long, n long, component long")
+    first = ngram_join.dealt(ngram_join.totalled(known.select("token", "doc_id", "n"), ["token"]), ["token"]).collect()
+    sizes = {(r[0], r[1]): r[2] for r in rows}
+    assert len(first) == len(rows) and {r["hot"] for r in first if r["token"] == 2} == {False}
+
+    def blocks(found):
+        out = collections.defaultdict(list)
+        for r in found:
+            out[r["token"], r["block"]].append(r["doc_id"])
+        return out
+
+    for (token, _), members in blocks(first).items():
+        assert len(members) <= 10 and sum(sizes[token, d] for d in members) < 2000 + max(sizes[token, d] for d in members)
+    pairs = blocks(ngram_join.paired_blocks(known.where("token = 1")).collect())
+    assert max(map(len, pairs.values())) <= 20 and max(sum(sizes[1, d] for d in m) for m in pairs.values()) < 2 * 2900
+    met = {(a, b) for m in pairs.values() for a in m for b in m if a < b}
+    assert all((a, b) in met for a in range(400) for b in range(a + 1, 700))
+    assert sum(map(len, pairs.values())) < 700 * 100
+    alone = blocks(ngram_join.paired_blocks(known.where("token = 2")).collect())
+    assert any({1, 2} <= set(m) for m in alone.values())
+
+
+def test_unlinked_members_of_a_hot_bucket(spark, monkeypatch):
+    """Texts that share half of their words, with links over all blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 600)
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join(common + [f"d{k % 40}x{j}" for j in range(45)] + [f"e{k}"]) for k in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.similarity_classes(docs, 1, 70).collect()), key=repr)
+    assert got == brute(list(enumerate(texts)), 1, 70) and len({c for _, _, c in got}) == 40
 
 
 def test_join_edges(edge, empty):
