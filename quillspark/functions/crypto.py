@@ -33,7 +33,8 @@ def name_hmac(secret: str, name: Column) -> Column:
 
 
 def category_hmac(secret: str, category: Column) -> Column:
-    return hmac_sha256(f"category:{secret}", F.concat(F.lit("sensitive:"), category))
+    """Categories share the key of names, behind a prefix that no name has."""
+    return hmac_sha256(f"name:{secret}", F.concat(F.lit("sensitive:"), category))
 
 
 def is_hmac(c: Column) -> Column:

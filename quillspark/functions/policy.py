@@ -14,6 +14,11 @@ EXTENSIONS = {
     "held-email": (".eml", ".mbox", ".mbx"), "held-archive": (".zip",), "held-ocr": (".png", ".jpg", ".jpeg"),
     "held-audio": (".mp3", ".mpga", ".m4a", ".wav", ".aac", ".flac", ".ogg", ".oga", ".opus"), "held-video": (".mp4", ".mov", ".webm", ".mkv", ".avi", ".mpeg", ".mpg"),
 }
+NEEDS = {
+    "held-pdf": "page render needs the model pass", "held-docx": "document parse needs the model pass", "held-xlsx": "sheet parse needs the model pass", "held-pptx": "slide walk needs the model pass",
+    "held-email": "email parses natively on drain; the model pass is the fallback", "held-archive": "members parse natively on drain; the model pass is the fallback",
+    "held-ocr": "vision OCR needs the model pass", "held-audio": "transcription needs the Workers AI model pass", "held-video": "transcription needs the Workers AI model pass",
+}
 TYPES = {"held-pdf": ("application/pdf",), "held-email": ("message/rfc822", "application/mbox"), "held-archive": ("application/zip", "application/x-zip-compressed")}
 PREFIXES = {"held-ocr": "image/", "held-audio": "audio/", "held-video": "video/"}
 
@@ -28,7 +33,7 @@ def extension(name: Column) -> Column:
 
 
 def classify_lane(name: Column, content_type: Column, size: Column) -> Column:
-    """Struct of lane, reason of a rejection and the kind of table."""
+    """Struct of lane, why it is rejected or held, and the kind of table."""
     ext, mime = extension(name), F.lower(F.coalesce(content_type, F.lit("")))
     lane = F.when(size.isNull() | (size <= 0) | (size > MAX_DOC_BYTES), "rejected")
     for k, names in EXTENSIONS.items():
@@ -42,6 +47,8 @@ def classify_lane(name: Column, content_type: Column, size: Column) -> Column:
     reason = F.when(size.isNull() | (size <= 0), "empty document").when(size > MAX_DOC_BYTES, F.format_string(f"size %d exceeds cap {MAX_DOC_BYTES}", size)).when(
         lane == "rejected", F.concat(F.lit("unsupported type "), F.when(ext != "", ext).otherwise(mime))
     )
+    for k, why in NEEDS.items():
+        reason = reason.when(lane == k, why)
     return F.struct(lane.alias("lane"), reason.alias("reason"), F.when((lane == "native") & ext.isin(".csv", ".tsv"), F.substr(ext, F.lit(2))).alias("table"))
 
 

@@ -1,7 +1,9 @@
 """Sinks for tables kept as Parquet; K1 to K3, K9 to K11.
 
-Plain Parquet has no transactions: a table is rewritten beside itself and then named in a pointer
-file, so a reader sees either version. One writer per table.
+Plain Parquet has no transactions. A version of a table is a numbered pointer file that lists the
+version's folders; folders are written first, the pointer is renamed into place last, and nothing
+that a pointer names is changed. Readers take the pointer with the largest number, so they see one
+version or the next. One writer per table: a number that is taken already is refused.
 """
 
 from __future__ import annotations
@@ -11,8 +13,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.crypto import name_hmac
 from quillspark.operators.consent import latest_by
 
+#: Versions that stay for readers under way, and the folders of a version above which it is written anew as one.
+KEPT, MOST_FOLDERS = 3, 32
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -20,31 +26,57 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def current(spark: SparkSession, path: str) -> str | None:
-    """The folder of a table's present version."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that are there, in order."""
+    fs, at = _fs(spark, path)
+    home = at(f"{path}/_versions")
+    names = [s.getPath().getName() for s in fs.listStatus(home)] if fs.exists(home) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _folders(spark: SparkSession, path: str, version: int) -> list[str]:
+    return [r[0] for r in spark.read.text(f"{path}/_versions/{version:09d}").collect() if r[0]]
+
+
+def _publish(spark: SparkSession, path: str, folders: list[str]) -> None:
+    """Make the next version of these folders, then forget versions that are no longer kept."""
     fs, at = _fs(spark, path)
-    if not fs.exists(at(f"{path}/CURRENT")):
-        return None
-    return f"{path}/" + spark.read.text(f"{path}/CURRENT").first()[0]
+    there = versions(spark, path)
+    number = there[-1] + 1 if there else 1
+    fresh, final = at(f"{path}/_versions/next-{uuid.uuid4().hex}"), at(f"{path}/_versions/{number:09d}")
+    stream = fs.create(fresh, False)
+    stream.write(bytearray("\n".join(folders).encode()))
+    stream.close()
+    if fs.exists(final) or not fs.rename(fresh, final):
+        raise RuntimeError(f"{path}: version {number} was written by another writer")
+    live = {f for v in [*there, number][-KEPT:] for f in _folders(spark, path, v)}
+    for old in there[: -KEPT + 1] if len(there) >= KEPT else []:
+        for folder in _folders(spark, path, old):
+            if folder not in live:
+                fs.delete(at(f"{path}/{folder}"), True)
+        fs.delete(at(f"{path}/_versions/{old:09d}"), False)
+
+
+def current(spark: SparkSession, path: str) -> list[str]:
+    """The folders of a table's present version."""
+    there = versions(spark, path)
+    return [f"{path}/{f}" for f in _folders(spark, path, there[-1])] if there else []
 
 
 def read(spark: SparkSession, path: str) -> DataFrame | None:
     found = current(spark, path)
-    return spark.read.parquet(found) if found else None
+    return spark.read.option("mergeSchema", len(found) > 1).parquet(*found) if found else None
+
+
+def _written(df: DataFrame, path: str) -> str:
+    folder = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    return folder
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """K1: write a whole new version; the pointer is written last."""
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    fs, at = _fs(spark, path)
-    fresh = at(f"{path}/NEXT-{version}")
-    stream = fs.create(fresh)
-    stream.write(bytearray(version.encode()))
-    stream.close()
-    fs.delete(at(f"{path}/CURRENT"), False)
-    fs.rename(fresh, at(f"{path}/CURRENT"))
+    """K1: write a whole new version; the pointer comes last."""
+    _publish(df.sparkSession, path, [_written(df, path)])
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -53,14 +85,19 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def insert_ignore(new: DataFrame, path: str, keys: list[str]) -> None:
-    """K2: rows whose keys are not there yet; running twice changes nothing."""
-    old = read(new.sparkSession, path)
-    fresh = new.dropDuplicates(keys)
-    replace(fresh if old is None else old.unionByName(fresh.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True), path)
+    """K2: rows whose keys are not there yet; running twice changes nothing. Only the keys of the old rows are read, and only new rows are written."""
+    spark, fresh = new.sparkSession, new.dropDuplicates(keys)
+    old, folders = read(spark, path), [f.rpartition("/")[2] for f in current(spark, path)]
+    if old is not None:
+        fresh = fresh.join(old.select(*keys), keys, "left_anti").select(*new.columns)
+    folders.append(_written(fresh, path))
+    _publish(spark, path, folders)
+    if len(folders) > MOST_FOLDERS:
+        replace(read(spark, path), path)
 
 
 def upsert(new: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """K3: the last row of each key by `order`."""
+    """K3: the last row of each key by `order`. Rows of other keys are copied, so gather small batches first."""
     old = read(new.sparkSession, path)
     replace(latest_by(new if old is None else old.unionByName(new, allowMissingColumns=True), keys, [order]), path)
 
@@ -75,15 +112,21 @@ def export_text(df: DataFrame, path: str, body: str = "body") -> None:
     df.select(F.col(body)).coalesce(1).write.mode("overwrite").text(path)
 
 
-def ingest_batch(drained: DataFrame, path: str, batch_id: int) -> None:
-    """K1: documents, mirror and entity index of one batch, and the batch's commit mark last; a batch that is marked is skipped."""
+def ingest_batch(drained: DataFrame, path: str, batch_id: int, secret: str) -> None:
+    """K1: documents, mirror and entity index of one batch, and the batch's commit mark last; a batch that is marked is skipped.
+
+    `drained` is computed once, names only as keyed hashes; the three tables are made from what that wrote.
+    """
     spark = drained.sparkSession
     fs, at = _fs(spark, path)
-    mark = f"{path}/commits/{batch_id}"
+    mark, staged = f"{path}/commits/{batch_id}", f"{path}/staged/batch={batch_id}"
     if fs.exists(at(mark)):
         return
-    own = drained.withColumn("batch_id", F.lit(batch_id))
+    entities = F.transform("hits", lambda h: F.struct(h["label"].alias("label"), name_hmac(secret, h["name"]).alias("name_hmac")))
+    drained.withColumn("entities", entities).drop("hits").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(staged)
+    own = spark.read.parquet(staged)
     own.select("path", "name", "lane", "status", "reason", "verdict", "tier", "batch_id").write.mode("overwrite").parquet(f"{path}/docs/batch={batch_id}")
     own.where("text is not null").select("path", "text", "batch_id").write.mode("overwrite").parquet(f"{path}/mirror/batch={batch_id}")
-    own.select("path", F.explode("hits").alias("h"), "batch_id").select("path", "h.label", F.sha2(F.lower("h.name"), 256).alias("name_hmac"), "batch_id").write.mode("overwrite").parquet(f"{path}/entities/batch={batch_id}")
+    own.select("path", F.explode("entities").alias("e"), "batch_id").select("path", "e.label", "e.name_hmac", "batch_id").distinct().write.mode("overwrite").parquet(f"{path}/entities/batch={batch_id}")
     fs.create(at(mark)).close()
+    fs.delete(at(staged), True)

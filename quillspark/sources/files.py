@@ -28,21 +28,21 @@ def native_text(lane: str, name: str, data: bytes) -> str | None:
         kind = name.lower().rpartition(".")[2]
         out = raw if raw is None or kind not in ("csv", "tsv") else parsers.delimited_text(raw, "," if kind == "csv" else "\t")
     elif lane == "held-archive":
-        out = parsers.archive_text(data, _member)
+        out = parsers.archive_text(data, member_lane, native_text)
     else:
         read = {"held-pdf": pdf.pdf_text, "held-docx": parsers.docx_text, "held-xlsx": parsers.xlsx_text, "held-pptx": parsers.pptx_text, "held-email": parsers.email_text}.get(lane)
         out = read(data) if read else None
     return out if out and out.strip() else None
 
 
-def lane_of(name: str) -> str:
+def member_lane(name: str, size: int) -> tuple[str, str | None]:
+    """P2 for a member of an archive, whose name and size are all that is known."""
     dot = name.lower().rfind(".")
     ext = name.lower()[dot:] if dot >= 0 else ""
-    return next((lane for lane, known in policy.EXTENSIONS.items() if ext in known), "rejected")
-
-
-def _member(name: str, data: bytes) -> str | None:
-    return native_text(lane_of(name), name, data)
+    if size <= 0 or size > policy.MAX_DOC_BYTES:
+        return "rejected", "empty document" if size <= 0 else f"size {size} exceeds cap {policy.MAX_DOC_BYTES}"
+    lane = next((lane for lane, known in policy.EXTENSIONS.items() if ext in known), "rejected")
+    return lane, policy.NEEDS.get(lane, f"unsupported type {ext}" if lane == "rejected" else None)
 
 
 @F.pandas_udf(StringType())
@@ -106,8 +106,14 @@ def web_snapshots(captures: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
     return out.select("snapshot_id", "url", "error", "text", F.sha2("text", 256).alias("content_sha256"), F.octet_length("text").alias("byte_length"), text.injection_flags(F.col("text")).alias("flags"))
 
 
+def recordings_listed(documents: DataFrame, provenance: DataFrame) -> DataFrame:
+    """The recordings of the corpus with what is known of their consent, nulls where nothing is."""
+    own = documents.where(policy.is_recording(F.col("lane")))
+    return own.join(provenance.select("doc_id", "consent_status", "recorded_by"), "doc_id", "left")
+
+
 def search_chain(providers: list[Callable[[str], list | None]], query: str) -> tuple[list, int | None]:
-    """The first provider that answers, an empty answer included; an error only if all fail."""
+    """The first provider that answers, an empty answer included; an error only if all fail."""
     errors = []
     for k, ask in enumerate(providers):
         try:

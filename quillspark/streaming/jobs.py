@@ -23,11 +23,11 @@ def landing(spark: SparkSession, path: str, per_trigger: int = 5) -> DataFrame:
     return raw.withColumn("name", name).withColumn("c", policy.classify_lane(name, F.lit(""), F.col("length"))).select("path", "name", "length", "c.lane", "c.reason", "content")
 
 
-def drain_stream(spark: SparkSession, source: str, target: str, checkpoint: str, handlers: dict | None = None) -> StreamingQuery:
-    """Drain all files that are there, batch by batch, and stop."""
+def drain_stream(spark: SparkSession, source: str, target: str, checkpoint: str, secret: str, handlers: dict | None = None) -> StreamingQuery:
+    """Drain all files that are there, batch by batch, and stop. `secret` keys the hashes of names."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        sinks.ingest_batch(files.drain(batch, handlers), target, batch_id)
+        sinks.ingest_batch(files.drain(batch, handlers), target, batch_id, secret)
 
     return landing(spark, source).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,3 +1,4 @@
+import hmac
 import io
 import zipfile
 import zlib
@@ -71,17 +72,35 @@ def test_mail_threads():
 
     box = mail("2", "<1>", "Re: =?utf-8?q?Caf=C3=A9?=") + mail("1") + mail("3", "<9> <2>") + mail("4", "", "Other", "aGk=", "base64")
     out = parsers.email_text(box)
-    assert out.count("# Thread: Café") == 1 and "# Thread: Other" in out and "hello there" in out and out.endswith("hi")
+    assert out.count("# Email thread: Café") == 1 and "# Email thread: Other\n## Message 1\nFrom: a@b\n\nhi" in out and "hello there" in out and out.endswith("hi")
     html = b"Subject: s\nContent-Type: text/html\n\n<p>a&amp;b<script>x</script></p>"
     assert "a&b" in parsers.email_text(html) and parsers.email_text(b"no mail at all") == ""
-    loop = [parsers.parse_message(mail("a", "<b>"), 0), parsers.parse_message(mail("b", "<a>"), 1)]
-    assert [len(t) for t in parsers.thread_order(loop)] == [1, 1]
+    def places(*rows):
+        return [[m["ord"] for m in t] for t in parsers.thread_order([{"message_id": i, "refs": r, "ord": k} for k, (i, r) in enumerate(rows)])]
 
+    assert places(("a", ["b"]), ("b", ["a"])) == [[0, 1]]  # a cycle is one thread
+    assert places(("c", ["a"]), ("a", ["b"]), ("b", ["a"])) == [[1, 0, 2]]
+    assert places(("r", []), ("x", ["r"]), ("y", ["r"]), ("z", ["x", "gone"])) == [[0, 1, 3, 2]]  # depth first
+    assert places(("r", []), ("r", []), ("x", ["r"]), (None, []), ("s", ["s"])) == [[0], [1, 2], [3], [4]]  # equal ids: none is lost, the last is meant
+    both = mail("1", body="first") + mail("1", body="second")
+    assert "first" in parsers.email_text(both) and "second" in parsers.email_text(both)
 
-def test_archive():
+
+def test_archive(monkeypatch):
     inner = zipped({"deep.txt": b"deep", "again.zip": zipped({"x.txt": b"x"})})
-    out = parsers.archive_text(zipped({"a.txt": b"alpha", "../evil.txt": b"no", "n.zip": inner, "b.bin": b"\xff"}), files._member)
-    assert "## Member: a.txt\nalpha" in out and "[skipped: unsafe path]" in out and "deep" in out and "[skipped: nested archive]" in out and "[skipped: no text]" in out
+    read = lambda members: parsers.archive_text(zipped(members), files.member_lane, files.native_text)
+    out = read({"a.txt": b"alpha", "../evil.txt": b"no", "n.zip": inner, "b.bin": b"\xff", "c.md": b" ", "p.png": b"x", "e.txt": b"", "d.docx": b"bad"})
+    assert out.split("\n") == [
+        "# Archive: 8 members", "## Member: a.txt (native)", "alpha", "## Member: ../evil.txt (refused: unsafe path)", "# Archive: 2 members", "## Member: deep.txt (native)", "deep",
+        "## Member: again.zip (refused: nesting limit 1)", "## Member: b.bin (refused: unsupported type .bin)", "## Member: c.md (native, skipped: extracted no text)",
+        "## Member: p.png (held-ocr, skipped: vision OCR needs the model pass)", "## Member: e.txt (refused: empty document)", "## Member: d.docx (held-docx, skipped: native parse failed)",
+    ]
+    assert parsers.archive_text(b"no zip", files.member_lane, files.native_text) == ""
+    monkeypatch.setattr(parsers, "MAX_INFLATED", 400)  # one budget for the whole tree
+    many = read({f"{k}.zip": zipped({"t.txt": b"x" * 250}) for k in range(3)})
+    assert many.count("(native)") == 1 and many.count("(refused: archive byte budget exhausted)") == 2
+    monkeypatch.setattr(parsers, "MAX_CHARS", 60)
+    assert read({"a.txt": b"a" * 50, "b.txt": b"b"}).endswith("[archive truncated at 60 characters]")
 
 
 def test_stitch():
@@ -99,10 +118,11 @@ def test_drain_and_stream(spark, tmp_path):
     assert rows["f.png"]["status"] == "OCRed" and rows["g.pdf"]["text"] == "in a pdf" and rows["c.docx"]["tier"] == "native"
     out = str(tmp_path / "out")
     for _ in range(2):  # the second run finds nothing new
-        jobs.drain_stream(spark, str(src), out, str(tmp_path / "cp")).awaitTermination()
+        jobs.drain_stream(spark, str(src), out, str(tmp_path / "cp"), "s3cret").awaitTermination()
     streamed = {r["path"].rpartition("/")[2]: r["status"] for r in spark.read.parquet(f"{out}/docs").collect()}
     assert {k: v for k, v in streamed.items() if k != "f.png"} == {k: r["status"] for k, r in rows.items() if k != "f.png"} and streamed["f.png"] == "held"
-    assert spark.read.parquet(f"{out}/entities").count() >= 1
+    found = spark.read.parquet(f"{out}/entities").where("label = '[person A]'").first()
+    assert found["name_hmac"] == hmac.new(b"name:s3cret", b"ann lee", "sha256").hexdigest()
 
 
 def test_sinks_are_idempotent(spark, tmp_path):
@@ -116,6 +136,46 @@ def test_sinks_are_idempotent(spark, tmp_path):
     assert jobs.memoised(spark, str(tmp_path), "step", lambda: 1 / 0).count() == 2
 
 
+def test_versions_survive_a_crash_and_readers(spark, tmp_path):
+    at = str(tmp_path / "t")
+    rows = lambda *ids: spark.createDataFrame([(k,) for k in ids], "id long")
+    assert sinks.read(spark, at) is None
+    sinks.replace(rows(1, 2), at)
+    reader = sinks.read(spark, at)
+    sinks._written(rows(7), at)  # a crash before the pointer
+    (tmp_path / "t" / "_versions" / "next-0").write_text("v-nothing")  # and one before its rename
+    sinks.insert_ignore(rows(2, 3), at, ["id"])
+    assert sorted(r[0] for r in sinks.read(spark, at).collect()) == [1, 2, 3] and sorted(r[0] for r in reader.collect()) == [1, 2]
+    for k in range(4, 12):
+        sinks.insert_ignore(rows(k), at, ["id"])
+        assert sorted(r[0] for r in sinks.read(spark, at).collect()) == list(range(1, k + 1))
+    assert len(sinks.versions(spark, at)) == sinks.KEPT
+
+
+def test_old_folders_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MOST_FOLDERS", 2)
+    at = str(tmp_path / "t")
+    for k in range(8):
+        sinks.insert_ignore(spark.createDataFrame([(k,)], "id long"), at, ["id"])
+    assert sinks.read(spark, at).count() == 8 and len(sinks.current(spark, at)) <= 2
+    assert sum(p.name.startswith("v-") for p in (tmp_path / "t").iterdir()) <= 8
+
+
+def test_a_batch_is_drained_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        calls.add(1)
+        return "some text"
+
+    raw = spark.range(3).select(F.col("id").cast("string").alias("path"))
+    drained = raw.select("path", F.col("path").alias("name"), F.lit("held-ocr").alias("lane"), F.lit("OCRed").alias("status"), F.lit(None).cast("string").alias("reason"), seen("path").alias("text"), F.lit("clean").alias("verdict"), F.array().cast("array<struct<label:string,name:string>>").alias("hits"), F.lit("model").alias("tier"))
+    for _ in range(2):
+        sinks.ingest_batch(drained, str(tmp_path), 0, "k")
+    assert calls.value == 3 and spark.read.parquet(f"{tmp_path}/mirror").count() == 3
+
+
 def test_web_and_transcripts(spark):
     caps = spark.createDataFrame([(1, "https://example.com/a", "text/html; x", "<p>jailbreak me</p>"), (2, "http://example.com", "text/html", "x"), (3, "https://example.com", "image/png", "x"), (4, "https://example.com", "text/plain", " ")], "snapshot_id long, url string, content_type string, html string")
     rows = {r["snapshot_id"]: r for r in files.web_snapshots(caps).collect()}
