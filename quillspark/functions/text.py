@@ -37,9 +37,14 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def _where_needed(normal, c: Column) -> Column:
+    """A normal form, with only those texts sent to Python that aren't ASCII, where all forms are the same."""
+    return F.coalesce(normal(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def canonical(c: Column) -> Column:
     """NFC without format characters."""
-    return F.regexp_replace(_nfc(c), r"\p{Cf}", "")
+    return F.regexp_replace(_where_needed(_nfc, c), r"\p{Cf}", "")
 
 
 def entity_markers(c: Column) -> Column:
@@ -84,7 +89,7 @@ def normalise_title(c: Column) -> Column:
 
 def normalise_topic(c: Column) -> Column:
     """compatibility form, invisible characters and white space to single spaces, lower case."""
-    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(_nfkc(c), INVISIBLE, " "), r"\s+", " ")), " +", " "))
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(_where_needed(_nfkc, c), INVISIBLE, " "), r"\s+", " ")), " +", " "))
 
 
 def matching_form(c: Column) -> Column:

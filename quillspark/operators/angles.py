@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
+from quillspark.lineage import numbered
+from quillspark.operators.mirror import first_of, holders
 
 
 def propose(topics: DataFrame, mirror: DataFrame, exhibits: int = 3) -> DataFrame:
     """For each topic (topic, topic_ord) up to three exhibits, the first documents by `ord` that contain one of its seeds.
 
-    Topics are an operator's few words (their number is that of the request), so each text is
-    compared with their seeds; only ids and seeds go on, and the ranking keeps three rows per
-    topic and task before it shuffles. Texts come back for the chosen exhibits alone.
+    Distinct seeds are looked for in each text once. A topic's first documents are among the first ones of its seeds,
+    so each seed keeps three, partly before the shuffle, and texts come back for the chosen exhibits alone.
     """
-    seeds = topics.select("topic", "topic_ord", F.posexplode(text.topic_seeds(F.col("topic"))).alias("seed_pos", "seed"))
-    low = mirror.where(F.trim("text") != "").select("doc_id", "ord", F.lower("text").alias("low"))
-    met = low.join(seeds, F.contains("low", "seed")).groupBy("topic_ord", "topic", "doc_id", "ord").agg(F.min_by("seed", "seed_pos").alias("hit"))
-    place = F.row_number().over(Window.partitionBy("topic_ord", "topic").orderBy("ord", "doc_id"))
-    kept = met.withColumn("place", place).where(F.col("place") <= exhibits).drop("ord").join(mirror.select("doc_id", "text"), "doc_id")
-    kept = kept.withColumn("snippet", text.snippet_for(F.col("text"), F.col("hit")))
+    seeded = topics.select("topic", "topic_ord", text.topic_seeds(F.col("topic")).alias("seeds"))
+    seeds = seeded.select("topic", "topic_ord", F.explode("seeds").alias("seed")).where("seed <> ''")
+    named = seeds.select(F.col("seed").alias("snippet")).distinct().withColumn("snippet_id", F.xxhash64("snippet"))
+    low = mirror.where(F.trim("text") != "").select("doc_id", F.lower("text").alias("text"))
+    hits = holders(named, low).join(mirror.select("doc_id", "ord"), "doc_id")
+    first = first_of(hits, ["snippet_id"], ["ord", "doc_id"], exhibits).drop("place")
+    met = seeds.withColumn("snippet_id", F.xxhash64("seed")).join(first, "snippet_id").where("seed is not null").select("topic_ord", "topic", "doc_id", "ord").distinct()
+    kept = first_of(met, ["topic_ord", "topic"], ["ord", "doc_id"], exhibits).drop("ord").join(mirror.select("doc_id", "text"), "doc_id").join(seeded, ["topic_ord", "topic"])
+    kept = kept.withColumn("snippet", text.snippet_for(F.col("text"), text.first_hit(F.col("text"), F.col("seeds"))))
     rows = kept.groupBy("topic_ord", "topic").agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "snippet"))).alias("found"))
     listed = F.transform("found", lambda e: F.struct(e["doc_id"].alias("doc_id"), e["snippet"].alias("snippet")))
     rationale = F.format_string('Grounded in %d exhibit(s) sharing vocabulary with "%s".', F.size("found"), F.col("topic"))
@@ -31,7 +35,7 @@ def rank(angles: DataFrame) -> DataFrame:
     """O2: one angle per normalised title (the first by `ord`), most exhibits first, ties by `ord`."""
     first = F.row_number().over(Window.partitionBy(text.normalise_title(F.col("title"))).orderBy("ord"))
     unique = angles.withColumn("_first", first).where("_first = 1").drop("_first")
-    return unique.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.size("exhibits")), "ord")))
+    return numbered(unique, [F.desc(F.size("exhibits")), F.col("ord")], "rank")
 
 
 def fresh_topics(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -53,11 +57,34 @@ def retrigger(completed: DataFrame, topics: DataFrame, ledger: DataFrame, most:
     return fresh_topics(own.withColumn("ord", place).where(F.col("ord") <= most), ledger)
 
 
-def store(angles: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Angles whose topic isn't settled, with suspicion flags and status; every one lists the topics of the call."""
-    fresh = fresh_topics(angles.withColumn("topic", F.col("topic")), ledger)
-    flags = text.suspicion_flags(F.concat_ws(" ", "title", "rationale"), F.transform("exhibits", lambda e: e["snippet"]))
-    return fresh.withColumn("flags", flags).withColumn("status", F.when(F.size("flags") > 0, "held").otherwise("queued"))
+def grounded(proposed: DataFrame, mirror: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A model's angles (ord, title, rationale, exhibits of doc_id and snippet) with only the exhibits that stand verbatim in their document, ranked, and the number dropped.
+
+    An angle left without exhibits is dropped, and counts once more. Where none is left, the floor proposes.
+    """
+    each = proposed.select("ord", F.posexplode("exhibits").alias("pos", "e")).select("ord", "pos", "e.doc_id", "e.snippet")
+    good = each.join(mirror.select("doc_id", "text"), "doc_id").where(F.contains("text", "snippet"))
+    kept = good.groupBy("ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "doc_id", "snippet"))), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["snippet"].alias("snippet"))).alias("kept"))
+    met = proposed.join(kept, "ord", "left")
+    lost = F.size("exhibits") - F.coalesce(F.size("kept"), F.lit(0)) + F.col("kept").isNull().cast("int")
+    dropped = met.agg(F.coalesce(F.sum(lost), F.lit(0)).cast("long").alias("dropped"))
+    some = met.where("kept is not null").select("ord", "title", "rationale", F.col("kept").alias("exhibits"))
+    if some.isEmpty():
+        some = propose(topics, mirror).select(F.col("topic_ord").alias("ord"), "title", "rationale", "exhibits")
+    return rank(some), dropped
+
+
+def store(angles: DataFrame, call_topics: DataFrame, ledger: DataFrame) -> DataFrame:
+    """A call's ranked angles (rank, title, rationale, exhibits) with suspicion flags, status, place and the topics of the call.
+
+    An angle lists all topics of its call, in normal form. The call is a repetition, and stores nothing, if it has topics and all of them are settled.
+    """
+    forms = call_topics.select(text.normalise_topic(F.col("topic")).alias("form")).where("form <> ''").distinct()
+    settled = ledger.select(text.normalise_topic(F.col("topic")).alias("form")).distinct().withColumn("settled", F.lit(True))
+    call = forms.join(settled, "form", "left").agg(F.sort_array(F.collect_set("form")).alias("topics"), F.coalesce(F.bool_and(F.coalesce("settled", F.lit(False))), F.lit(False)).alias("repeated"))  # one row
+    flags = text.suspicion_flags(F.col("title"), F.transform("exhibits", lambda e: e["snippet"]))
+    out = angles.join(F.broadcast(call)).where("not repeated").drop("repeated").withColumn("flags", flags).withColumn("status", F.when(F.size("flags") > 0, "held").otherwise("queued"))
+    return out.withColumn("place", F.col("rank") - 1)
 
 
 def review(status: Column, flags: Column, action: Column) -> Column:

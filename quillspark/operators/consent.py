@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.crypto import category_hmac
+
 
 def latest(captures: DataFrame) -> DataFrame:
     """The last decision of each submission and category. `captures` has submission_id, id, created_at, decisions (category, granted)."""
@@ -49,3 +51,9 @@ def inherit(captures: DataFrame, children: DataFrame) -> DataFrame:
 def latest_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """W2 and others: the last row of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(o) if isinstance(o, str) else o for o in order]))).where("_n = 1").drop("_n")
+
+
+def named_categories(stored: DataFrame, categories: list[str], secret: str) -> DataFrame:
+    """Stored rows (category_hmac) with their category's name, null for hashes of no category. The dictionary has a row a category."""
+    known = stored.sparkSession.createDataFrame([(c,) for c in categories], "category string").withColumn("category_hmac", category_hmac(secret, F.col("category")))
+    return stored.join(F.broadcast(known), "category_hmac", "left")

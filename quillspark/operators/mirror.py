@@ -18,18 +18,25 @@ PATTERN_BYTES = 8 << 20
 def search(mirror: DataFrame, queries: DataFrame, limit: int = 4) -> DataFrame:
     """for each query (query_id, terms) the first `limit` documents, in `ord`, that hold a word starting with one of its words.
 
-    A document's distinct tokens meet the queries' words on their first three characters, so
-    no document is compared with all queries. The limit is the search's own, not a cap on work.
+    A query's first documents are among the first ones of the tokens that it asks for, so each distinct token keeps
+    its first `limit` documents, partly before any shuffle, and only those meet the queries. The limit is the
+    search's own, not a cap on work.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(text.query_words(F.col("terms")))).alias("word")).withColumn("start", F.substring("word", 1, 3))
     tokens = mirror.select("doc_id", "ord", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("token")).where(F.length("token") > 2)
-    tokens = tokens.withColumn("start", F.substring("token", 1, 3))
-    hits = tokens.join(wanted, "start").where(F.col("token").startswith(F.col("word"))).select("query_id", "doc_id", "ord").distinct()
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("ord", "doc_id"))
-    first = hits.withColumn("place", place).where(F.col("place") <= limit)
+    asked = tokens.withColumn("start", F.substring("token", 1, 3)).join(wanted.select("start").distinct(), "start", "left_semi")
+    kept = first_of(asked, ["token"], ["ord", "doc_id"], limit)
+    hits = kept.join(wanted, "start").where(F.col("token").startswith(F.col("word"))).select("query_id", "doc_id", "ord").distinct()
+    first = first_of(hits, ["query_id"], ["ord", "doc_id"], limit)
     return first.join(mirror.select("doc_id", F.substring("text", 1, 400).alias("snippet")), "doc_id").select("query_id", "place", "doc_id", "snippet")
 
 
+def first_of(rows: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
+    """The first rows of each group, with their `place`; tasks keep as many of a group before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= limit)
+
+
 def ground(citations: DataFrame, mirror: DataFrame) -> DataFrame:
     """J5 with a document id: every citation with `grounded`, whether its snippet stands verbatim in that document."""
     docs = mirror.select("doc_id", "text")
@@ -37,16 +44,22 @@ def ground(citations: DataFrame, mirror: DataFrame) -> DataFrame:
 
 
 def ground_anywhere(snippets: DataFrame, mirror: DataFrame, id_column: str = "item_id") -> DataFrame:
-    """J5 without one: pairs of a snippet and a document that holds it verbatim.
+    """J5 without one: pairs of a snippet and a document that holds it verbatim."""
+    named = snippets.select(F.col(id_column).alias("snippet_id"), F.col("text").alias("snippet"))
+    return holders(named, mirror).withColumnRenamed("snippet_id", id_column)
+
+
+def holders(named: DataFrame, mirror: DataFrame, most_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """Pairs (snippet_id, doc_id) of a snippet that isn't empty and a text (doc_id, text) that contains it.
 
     Few snippets go to every task as one multi-pattern automaton, so each text is read once;
-    their size is measured first. More of them meet documents on a hashed run of words.
+    their size is measured first. More of them meet documents on a run of words or characters.
     """
-    named = snippets.select(F.col(id_column).alias("snippet_id"), F.col("text").alias("snippet")).where("snippet is not null and snippet <> ''")
+    named = named.select("snippet_id", "snippet").where("snippet is not null and snippet <> ''")
     size = named.agg(F.sum(F.octet_length("snippet"))).first()[0] or 0
-    if size <= PATTERN_BYTES:
-        return _by_automaton([(r[0], r[1]) for r in named.collect()], mirror).withColumnRenamed("snippet_id", id_column)
-    return ground_by_words(named, mirror).withColumnRenamed("snippet_id", id_column)
+    if size <= most_bytes:
+        return _by_automaton([(r[0], r[1]) for r in named.collect()], mirror)
+    return ground_by_words(named, mirror)
 
 
 def _by_automaton(patterns: list[tuple[int, str]], mirror: DataFrame) -> DataFrame:
@@ -63,32 +76,53 @@ def _by_automaton(patterns: list[tuple[int, str]], mirror: DataFrame) -> DataFra
         if by_text:
             machine.make_automaton()
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if content and by_text:
-                    found += [(who, doc) for who in sorted({w for _, ids in machine.iter(content) for w in ids})]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["snippet_id", "doc_id"])
+            for lo in range(0, batch.num_rows, 1024):
+                part, found = batch.slice(lo, 1024), []
+                for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if content and by_text:
+                        # One list of ids a pattern, so that a text full of one pattern holds it once.
+                        met = {id(ids): ids for _, ids in machine.iter(content)}
+                        found += [(who, doc) for who in sorted({w for ids in met.values() for w in ids})]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["snippet_id", "doc_id"])
 
     return mirror.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "snippet_id long, doc_id long")
 
 
 def ground_by_words(named: DataFrame, mirror: DataFrame, run: int = 3) -> DataFrame:
-    """Candidates share an inner run of whole words; shorter snippets are compared with every document."""
+    """Pairs as of `holders`, whose candidates share an inner run of whole words; for shorter snippets a run of characters."""
     space = r"\s+"
 
     def grams(words):
         return F.transform(F.sequence(F.lit(1), F.size(words) - run + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, run), " ")))
 
-    parts = named.withColumn("words", F.split("snippet", space))
+    parts = named.where("snippet is not null and snippet <> ''").withColumn("words", F.split("snippet", space))
     inner = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))  # the outer words may be cut
     long = parts.where(F.size("words") >= run + 2).select("snippet_id", "snippet", F.array_min(grams(inner)).alias("gram"))
-    short = parts.where(F.size("words") < run + 2).select("snippet_id", "snippet")
     words = F.split("text", space)
     posts = mirror.select("doc_id", words.alias("words")).where(F.size("words") >= run).select("doc_id", F.explode(F.array_distinct(grams(F.col("words")))).alias("gram"))
-    pairs = posts.join(long, "gram").select("snippet_id", "snippet", "doc_id").distinct()
-    good = pairs.join(mirror.select("doc_id", "text"), "doc_id").where(F.contains("text", "snippet")).select("snippet_id", "doc_id")
-    few = mirror.join(F.broadcast(short) if short.isEmpty() else short, F.contains("text", "snippet")).select("snippet_id", "doc_id")
-    return good.union(few).distinct()
+    short = parts.where(F.size("words") < run + 2).select("snippet_id", "snippet")
+    return _verified(posts.join(long, "gram"), mirror).union(ground_by_characters(short, mirror)).distinct()
+
+
+def ground_by_characters(named: DataFrame, mirror: DataFrame, run: int = 4) -> DataFrame:
+    """Pairs as of `holders`, whose candidates share a run of characters, one of the snippet's; in snippets of fewer characters, all of them."""
+
+    def grams(c, size: int):
+        return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+    chosen = named.withColumn("size", F.least(F.lit(run), F.length("snippet")))
+    found = None
+    for size in range(1, run + 1):
+        # Of a snippet's runs the least by hash, so that common ones are not chosen more often than others.
+        mine = chosen.where(F.col("size") == size).withColumn("gram", F.array_min(F.transform(grams(F.col("snippet"), size), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+        met = mirror.select("doc_id", F.explode(grams(F.col("text"), size)).alias("gram")).join(mine, "gram").select("snippet_id", "snippet", "doc_id")
+        found = met if found is None else found.union(met)
+    return _verified(found, mirror)
+
+
+def _verified(candidates: DataFrame, mirror: DataFrame) -> DataFrame:
+    pairs = candidates.select("snippet_id", "snippet", "doc_id").distinct()
+    return pairs.join(mirror.select("doc_id", "text"), "doc_id").where(F.contains("text", "snippet")).select("snippet_id", "doc_id")
 
 
 def check_web(citations: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -51,3 +51,16 @@ def publish(bodies: DataFrame, versions: DataFrame, gates: DataFrame) -> DataFra
 def current(reports: DataFrame, versions: DataFrame) -> DataFrame:
     """The body of each report's current version."""
     return reports.join(versions.withColumnRenamed("version", "current_version"), ["report_type", "current_version"])
+
+
+def report_index(types: DataFrame, reports: DataFrame, counts: DataFrame, now: Column) -> DataFrame:
+    """Every report type (report_type, ord) with its state, its next version and the gates that are not met.
+
+    `reports` has report_type, enabled, current_version, approved, manual_required, min_submissions, min_evidence, publish_after;
+    a type without a row is disabled, at version 0 and gated by nothing but approval. `counts` is one row of submissions and evidence.
+    """
+    met = types.join(reports, "report_type", "left").join(F.broadcast(counts))  # one row
+    flag = lambda c, other: F.coalesce(c, F.lit(other))
+    unmet = policy.unmet_gates(flag("manual_required", True), flag("approved", False), flag("min_submissions", 0), flag("min_evidence", 0), F.coalesce("publish_after", now), F.col("submissions"), F.col("evidence"), now)
+    version = flag("current_version", 0).cast("long")
+    return met.select("report_type", "ord", flag("enabled", False).alias("enabled"), version.alias("current_version"), (version + 1).alias("pending_version"), unmet.alias("unmet"), (F.size(unmet) == 0).alias("ok"))

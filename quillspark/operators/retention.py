@@ -58,3 +58,11 @@ def sweep(rows: DataFrame, windows: DataFrame, now: Column, remove: Callable[[st
             yield frame.assign(expired=True, deleted=deleted, verified=verified)
 
     return due.mapInPandas(run, "category string, id string, raw_key string, expired boolean, deleted boolean, verified boolean")
+
+
+def windows_in_hours(catalogue: DataFrame, stored: DataFrame) -> DataFrame:
+    """Every category of the catalogue (category, default_ms, min_ms, max_ms) with its window in force, its default and its bounds, in hours."""
+    met = catalogue.join(stored.select("category", "window_ms"), "category", "left")
+    hours = lambda c: (c / 3_600_000).cast("double")
+    window = F.when((F.col("window_ms") > 0) & ~F.isnan(F.col("window_ms").cast("double")), F.col("window_ms")).otherwise(F.col("default_ms"))
+    return met.select("category", hours(window).alias("window_hours"), *(hours(F.col(f"{k}_ms")).alias(f"{k}_hours") for k in ("default", "min", "max")))

@@ -152,7 +152,7 @@ _CLASSIFIED = f"""
 
 
 @query(f"""WITH {_CLASSIFIED} SELECT doc_id, lane, CASE WHEN size <= 0 THEN 'empty document' WHEN size > {25 << 20} THEN 'size ' || size || ' exceeds cap {25 << 20}'
- WHEN lane = 'rejected' THEN 'unsupported type ' || CASE WHEN ext <> '' THEN ext ELSE m END END AS reason, CASE WHEN lane = 'native' AND ext IN ('.csv', '.tsv') THEN substring(ext, 2) END AS table_kind FROM l""")
+ WHEN lane = 'rejected' THEN 'unsupported type ' || CASE WHEN ext <> '' THEN ext ELSE m END {" ".join(f"WHEN lane = '{k}' THEN '{v}'" for k, v in policy.NEEDS.items())} END AS reason, CASE WHEN lane = 'native' AND ext IN ('.csv', '.tsv') THEN substring(ext, 2) END AS table_kind FROM l""")
 def lane_classify(t: Tables) -> DataFrame:
     c = policy.classify_lane(F.col("name"), F.col("mime"), F.col("size"))
     return files_of(t).withColumn("c", c).select("doc_id", "c.lane", "c.reason", F.col("c.table").alias("table_kind"))
@@ -194,11 +194,11 @@ def canonical_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "text").union(odd).select("doc_id", F.sha2(text.canonical(F.col("text")), 256).alias("digest"))
 
 
-@query("""SELECT doc_id, len(m) AS n, list_aggregate(m[1:5], 'string_agg', ' ') AS first_five FROM (SELECT doc_id,
+@query("""SELECT doc_id, len(m) AS n, sha256(list_aggregate(m, 'string_agg', '|')) AS digest FROM (SELECT doc_id,
  regexp_extract_all(text, '\\b(?:\\p{Lu}\\p{Ll}*(?:[''’\\-]\\p{L}+)+|\\p{Lu}\\p{Ll}+|\\p{Lu}{2,})\\b') AS m FROM documents) WHERE len(m) > 0""")
 def name_candidates(t: Tables) -> DataFrame:
     m = t.documents.select("doc_id", names.name_candidates(F.col("text")).alias("m")).where(F.size("m") > 0)
-    return m.select("doc_id", F.size("m").alias("n"), F.array_join(F.slice("m", 1, 5), " ").alias("first_five"))
+    return m.select("doc_id", F.size("m").alias("n"), F.sha2(F.array_join("m", "|"), 256).alias("digest"))
 
 
 @query()
@@ -436,21 +436,21 @@ def quota_admission(t: Tables) -> DataFrame:
 
 
 _CAPTURES = """
- cap AS (SELECT user_id AS submission_id, event_id AS id, ts AS created_at, 'v' || (event_id % 3) AS wording_version, event_type, value FROM events WHERE event_id % 2 = 0),
+ cap AS (SELECT user_id AS submission_id, event_id AS id, ts AS created_at, 'v' || (event_id % 3) AS wording_version, event_type, value FROM events),
  dec AS (SELECT submission_id, id, created_at, 0 AS pos, event_type AS category, value > 30 AS granted FROM cap UNION ALL SELECT submission_id, id, created_at, 1, 'sensitive', value > 60 FROM cap),
- lat AS (SELECT submission_id, category, arg_max(granted, row(created_at, id, pos)) AS granted FROM dec GROUP BY ALL), pre AS (SELECT DISTINCT user_id AS submission_id, event_type AS category FROM events WHERE event_id % 3 = 0)
+ lat AS (SELECT submission_id, category, arg_max(granted, row(created_at, id, pos)) AS granted FROM dec GROUP BY ALL), pre AS (SELECT DISTINCT user_id AS submission_id, event_type AS category FROM events)
 """
 
 
 def captures_of(t: Tables) -> DataFrame:
-    return t.events.where("event_id % 2 = 0").select(
+    return t.events.select(
         F.col("user_id").alias("submission_id"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("wording_version"),
         F.array(F.struct(F.col("event_type").alias("category"), (F.col("value") > 30).alias("granted")), F.struct(F.lit("sensitive").alias("category"), (F.col("value") > 60).alias("granted"))).alias("decisions"),
     )
 
 
 def present_of(t: Tables) -> DataFrame:
-    return t.events.where("event_id % 3 = 0").select(F.col("user_id").alias("submission_id"), F.col("event_type").alias("category"))
+    return t.events.select(F.col("user_id").alias("submission_id"), F.col("event_type").alias("category"))
 
 
 _CATEGORIES = ["click", "purchase", "error", "signup", "view", "sensitive", "health"]
@@ -595,7 +595,7 @@ def thread_messages(t: Tables) -> DataFrame:
 def thread_roots(t: Tables) -> DataFrame:
     c = F.col("c_custkey")
     refs = F.when(c % 10 == 0, F.array().cast("array<bigint>")).when(c % 7 == 0, F.array(c - 1, c - 3)).otherwise(F.array(c - 1, c))
-    return threads.thread_roots(t.customer.select(c.alias("message_id"), c.alias("ord"), refs.alias("refs")))
+    return threads.thread_roots(t.customer.select(c.alias("message_id"), c.alias("ord"), refs.alias("refs"))).select("message_id", "root")
 
 
 @query("SELECT 'orders' AS table_name, 'body_envelope' AS column_name, count(*) AS total, count(*) FILTER (o_orderkey % 9 = 0) AS malformed FROM orders UNION ALL SELECT 'customer', 'filename', count(*), count(*) FILTER (c_custkey % 4 = 0) FROM customer")
@@ -648,10 +648,10 @@ def media_chunks(t: Tables) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, trim(regexp_replace(replace(text, 'the', 'teh'), '\\s+', ' ', 'g')) AS o FROM benchmark)
-SELECT item_id, t = o AS exact, round(greatest(0.0, least(1.0, 1 - levenshtein(t, o) / greatest(1, length(t)))), 4) AS char_accuracy, length(o)::INT AS chars_out, len(string_split(o, ' '))::INT AS words_out FROM a""")
+SELECT item_id, t = o AS exact, round(greatest(0.0, 1 - len(list_filter(range(1, len(string_split(t, ' ')) + 1), lambda i: string_split(t, ' ')[i] <> string_split(o, ' ')[i])) / len(string_split(t, ' '))), 4) AS word_accuracy, round(greatest(0.0, least(1.0, 1 - levenshtein(t, o) / greatest(1, length(t)))), 4) AS char_accuracy, length(o)::INT AS chars_out, len(string_split(o, ' '))::INT AS words_out FROM a""")
 def edit_accuracy(t: Tables) -> DataFrame:
     a = audit.edit_accuracy(F.col("text"), F.replace("text", F.lit("the"), F.lit("teh")))
-    return t.benchmark.withColumn("a", a).select("item_id", "a.exact", "a.char_accuracy", "a.chars_out", "a.words_out")
+    return t.benchmark.withColumn("a", a).select("item_id", "a.exact", "a.char_accuracy", "a.word_accuracy", "a.chars_out", "a.words_out")
 
 
 @query("""WITH m AS (SELECT o_orderkey % 3 AS k, o_orderkey % 2 = 0 AS exact, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 100) / 100.0 END AS c, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 50) / 50.0 END AS w FROM orders)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import policy, text
+from quillspark.lineage import numbered
 
 MAX_LINES, MAX_TITLE, MAX_SNIPPET = 50, 200, 500
 
@@ -82,6 +83,19 @@ def assemble(blocks: DataFrame, mirror: DataFrame, strict: bool) -> DataFrame:
     return met.groupBy("report_type").agg(body.alias("body"), F.count_if("uncited").alias("uncited"))
 
 
+def stored_timeline(entries: DataFrame, strict: bool) -> DataFrame:
+    """A body per report_type from its stored entries (report_type, position, date, label, paragraph, citations), in order; with `strict` only from cited ones.
+
+    A report without entries has no row: its evidence render stands.
+    """
+    rows = entries.where(F.size("citations") > 0) if strict else entries
+    marks = F.array_join(F.transform("citations", lambda c: F.concat(F.lit("["), c["doc_id"].cast("string"), F.lit(": "), c["snippet"], F.lit("]"))), " ")
+    head = F.concat(F.lit("- "), text.capped(F.col("date"), 64), F.lit(": **"), text.capped(F.col("label"), 200), F.lit("** — "), "paragraph")
+    line = F.concat(head, F.when(F.size("citations") > 0, F.concat(F.lit("\n  "), marks)).otherwise(F.lit(" [uncited]")))
+    listed = rows.groupBy("report_type").agg(F.sort_array(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
+    return listed.select("report_type", F.array_join(F.transform("lines", lambda r: r["line"]), "\n").alias("body"))
+
+
 def case_dossier(angles: DataFrame, lines: DataFrame) -> DataFrame:
     """Per angle its lines, in order, as one text."""
     line = F.concat(F.lit("### "), text.line_anchor(F.col("line_id").cast("string")), F.lit("\n"), cited(F.col("citations"), F.col("flags")))
@@ -98,4 +112,4 @@ def breach_statement(breaches: DataFrame, now: Column) -> DataFrame:
 
 def timeline_place(lines: DataFrame) -> DataFrame:
     """Lines with their place in time, before the cap."""
-    return lines.withColumn("place", F.row_number().over(Window.orderBy("created_at", "ord")))
+    return numbered(lines, [F.col("created_at"), F.col("ord")], "place")

@@ -99,6 +99,10 @@ def test_thread_roots_of_long_chains_and_cycles(spark):
     from quillspark.operators.threads import thread_roots
 
     chain = [(k, k, [k - 1] if k else []) for k in range(300)]
-    ring = [(1000 + k, k, [1000 + (k + 1) % 3]) for k in range(3)] + [(2000, 1, [1000])]
-    got = {r["message_id"]: r["root"] for r in thread_roots(spark.createDataFrame(chain + ring, "message_id long, ord long, refs array<long>")).collect()}
-    assert got == {**{k: 0 for k in range(300)}, **{k: k for k in (1000, 1001, 1002, 2000)}}
+    ring = [(1000 + k, 500 + k, [1000 + (k + 1) % 3]) for k in range(3)] + [(2000, 400, [1001]), (2001, 401, [2000, 77777])]
+    twice = [(3000, 600, []), (3000, 601, [0]), (3001, 602, [3000]), (3002, 603, [3002])]
+    rows = thread_roots(spark.createDataFrame(chain + ring + twice, "message_id long, ord long, refs array<long>")).collect()
+    assert len(rows) == 309
+    got = {r["ord"]: r["root_ord"] for r in rows}
+    assert got == {**{k: 0 for k in range(300)}, **{k: 500 for k in (500, 501, 502, 400, 401)}, 600: 600, 601: 0, 602: 0, 603: 603}
+    assert all(r["root"] == {500: 1000, 0: 0}.get(r["root_ord"], r["message_id"]) for r in rows)
