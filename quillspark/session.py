@@ -15,6 +15,7 @@ def session(name: str = "quillspark", master: str | None = None, shuffle_partiti
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     if shuffle_partitions:
