@@ -138,15 +138,6 @@ def lzw_streams(frames: list[bytes], bits: int = 8) -> list[bytes]:
     return [_stream(lzw_codes(f, bits), bits) for f in frames]
 
 
-def _packed(values: np.ndarray, starts: np.ndarray, size: int) -> bytes:
-    """Values put at bit positions, lowest bits first."""
-    at, moved = starts >> 3, values << (starts & 7)
-    out = np.zeros(size + 3)
-    for k in range(3):
-        out[k : size + k] += np.bincount(at, (moved >> (8 * k)) & 255, size)
-    return out[:size].astype(np.uint8).tobytes()
-
-
 def _stream(stretches: list[list[int]], bits: int) -> bytes:
     """One stream, with a clear code before each stretch."""
     clear, table = 1 << bits, _WIDTHS[bits]

@@ -236,5 +236,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents scored at least `threshold`, with all their columns."""
-    return with_score(docs, train(docs, labels, sample_rows)).where((F.col("_score") >= threshold) & (F.col("_place") >= 0)).select("_row.*")
+    """The documents scored at least `threshold`, with all their columns; all of them where no label tells anything."""
+    model = train(docs, labels, sample_rows)
+    if model == RuleModel(0.0):
+        return docs
+    return with_score(docs, model).where((F.col("_score") >= threshold) & (F.col("_place") >= 0)).select("_row.*")

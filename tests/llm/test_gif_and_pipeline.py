@@ -68,6 +68,58 @@ def test_damaged_gifs(spark):
     assert len(rows) == 1 and rows[0]["delay_ms"] == 50 and sum(rows[0]["histogram"]) == 8 and np.frombuffer(rows[0]["rgba"], np.uint8).reshape(2, 4, 4)[0, 0].tolist() == [255, 0, 0, 255]
 
 
+def plain_gif(data):
+    """Pixels (rgb) of all frames of a full-canvas GIF with one palette, one code at a time."""
+    flags, at = data[10], 13
+    size = 2 << (flags & 7)
+    palette, at, frames = [tuple(data[at + 3 * k : at + 3 * k + 3]) for k in range(size)], at + 3 * size, []
+    while data[at] != 0x3B:
+        is_image, body = data[at] == 0x2C, b""
+        at += 11 if is_image else 2
+        bits = data[at - 1]
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        if not is_image:
+            continue
+        stream, held, place, out = 0, 0, 0, []
+        clear, width, table, last = 1 << bits, bits + 1, {}, None
+        while True:
+            while held < width:
+                stream |= body[place] << held
+                place, held = place + 1, held + 8
+            code, stream, held = stream & (1 << width) - 1, stream >> width, held - width
+            if code == clear:
+                width, table, last = bits + 1, {k: bytes([k]) for k in range(clear)}, None
+                continue
+            if code == clear + 1:
+                break
+            entry = table[code] if code in table else last + last[:1]
+            out.append(entry)
+            if last is not None and len(table) + 2 < 4096:
+                table[len(table) + 2] = last + entry[:1]
+                if len(table) + 2 == 1 << width and width < 12:
+                    width += 1
+            last = entry
+        frames.append([palette[p] for p in b"".join(out)])
+    return frames
+
+
+def test_features_against_a_plain_decoder(spark):
+    texts = ["", "plain words " * 80, "Ünïcödé 中文 😀 " * 30, "".join(chr(32 + k * 7 % 90) for k in range(3000))]
+    rows = {r["doc_id"]: r for r in g.stored_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        gif = g.store_texts([text])[0][1]
+        assert rows[k]["media_sha256"] == hashlib.sha256(gif).hexdigest() and rows[k]["media_bytes"] == len(gif)
+        frames, bins = plain_gif(gif), [0] * g.BINS
+        for red, green, blue in (p for f in frames for p in f):
+            bins[(red * 299 + green * 587 + blue * 114 + 500) // 1000 * g.BINS // 256] += 1
+        assert rows[k]["feature"] == ",".join(map(str, bins)) and rows[k]["n_frames"] == len(frames)
+        payload = g.payload_of(text.encode())
+        assert [p[0] for f in frames for p in f] == list(payload)  # the palette is the grey ramp
+
+
 def test_pipeline_against_plain_python(spark, sf):
     """Each stage on its predecessor's rows, against sets and dictionaries."""
     import corpus_pipeline as p
@@ -93,3 +145,23 @@ def test_pipeline_against_plain_python(spark, sf):
     packed = stage["packing"](spark, mixed, sf).collect()
     assert {r["doc_id"] for r in packed} == want
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in p.run(spark, sf).collect()) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed)
+
+
+def test_pipeline_stages_on_edges(spark, sf, edge, empty, tmp_path):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, sf).count() == 0, name
+        out = stage(spark, edge, sf)
+        rows = out.collect()
+        if name == "packing":
+            assert len(rows) >= edge.count() and sum(r["length"] for r in rows if r["doc_id"] in (3, 4, 5)) == 3
+        else:
+            assert out.columns == edge.columns and {r["doc_id"] for r in rows} <= {None, *range(1, 12)}, name
+            kept = {"exact dedup": {2, 5, 7, 8, 9, 10, 11}, "n-gram join": {None, 1, 3, 4, 5, 6, 8, 9, 10, 11}, "mixing": {None, *range(1, 12)}}.get(name)
+            assert kept is None or {r["doc_id"] for r in rows} == kept, name
+    for name, docs in (("edge", edge), ("empty", empty)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert p.run(spark, f"{tmp_path}/empty").count() == 0
+    assert {r["doc_id"] for r in p.run(spark, f"{tmp_path}/edge").collect()} <= {None, *range(1, 12)}
