@@ -29,6 +29,21 @@ def small_enough(df: DataFrame, columns: list[str], limit: int) -> bool:
     return (df.agg(F.sum(size)).first()[0] or 0) < limit
 
 
+def met_by_key(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, most: int = 2000) -> DataFrame:
+    """`rows` with the columns of their group, equi-joined on `key`; `groups` has a row a key, with its number of rows in `size`.
+
+    Keys with more than the most-th part of all `total` rows, of which there are fewer than `most`, go to every
+    task, so that no large group meets in one.
+    """
+    least = max(1, total // most)
+    names = [c for c in groups.columns if c != key]
+    hot = F.broadcast(groups.where(F.col(size) > least).withColumn("_hot", F.lit(True)))
+    cold = groups.where(F.col(size) <= least)
+    met = rows.join(hot, key, "left")
+    warm = met.where("_hot").select(*rows.columns, *names)
+    return warm.union(met.where("_hot is null").select(*rows.columns).join(cold, key).select(*rows.columns, *names))
+
+
 #: Edges that one task may join: two numbers each.
 LOCAL_EDGES = 1_000_000
 

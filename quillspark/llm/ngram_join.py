@@ -16,6 +16,9 @@ outside the bucket's largest component, dealt into blocks of their own, meet all
 two blocks at a time, so that no task holds more than two. A result is a spanning forest of the
 links in it, so groups of copies never expand into pairs.
 
+Joins of sides that both grow with the corpus are told to be merge joins, so that plans are alike
+at every size.
+
 Shingles are compared by hash: two different ones of a pair of documents coincide with
 probability below 1e-12 for documents of 1,000 words.
 
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, cut, release
+from quillspark.llm.common import components, cut, met_by_key, release
 
 #: Members of a block and the tokens of their sets (one set more at most); a task compares two blocks at most.
 BLOCK, BLOCK_TOKENS = 512, 250_000
@@ -112,17 +115,17 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 need = prefix_length(size, percent)
                 taken = upto[1] if upto[1] >= need else size
                 n.append(size)
-                sig.append(xxhash.xxh3_128_hexdigest(h.tobytes()) if size else None)
+                sig.append(xxhash.xxh3_128_digest(h.tobytes()) if size else None)
                 m.append([upto[0], upto[1] - upto[0], size - upto[1]])
                 toks.append(h[:taken].view(np.int64) if size else np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
             flat = np.concatenate(toks) if toks else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.string()), pa.array(m, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(m, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 ["doc_id", "n", "sig", "m", "toks"],
             )
 
-    return _columns(docs).mapInArrow(run, "doc_id long, n long, sig string, m array<long>, toks array<long>")
+    return _columns(docs).mapInArrow(run, "doc_id long, n long, sig binary, m array<long>, toks array<long>")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -260,19 +263,24 @@ def _edges(docs: list, edges: list[tuple[int, int]]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array([docs[a] for a, _ in edges], pa.int64()), pa.array([docs[b] for _, b in edges], pa.int64())], ["a", "b"]) if edges else None
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Spanning links (a, b) of all blocks."""
+def _links(places: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Spanning links (a, b) of all blocks of `places` (token, block, doc_id), on whole sets made of the texts (doc_id, text).
+
+    A text meets the list of its places once, and its set moves once to each.
+    """
 
     def work(key, docs, sets):
         return _edges(docs, links(sets, percent))
 
-    return _by_block(members, ["doc_id", "toks"], work, "a long, b long")
+    per_node = places.groupBy("doc_id").agg(F.collect_set(F.struct("token", "block")).alias("at"))
+    met = shingle_sets(texts.join(per_node.hint("merge"), "doc_id").select("doc_id", "text", "at"), words)
+    return _by_block(met.withColumn("at", F.explode("at")).select("at.token", "at.block", "doc_id", "toks"), ["doc_id", "toks"], work, "a long, b long")
 
 
 def _carried(places: DataFrame, payload: DataFrame) -> DataFrame:
     """Places (token, block, doc_id) with the payload of their node, which is shuffled once per node before it spreads."""
     per_node = places.groupBy("doc_id").agg(F.collect_set(F.struct("token", "block")).alias("at"))
-    met = payload.join(per_node, "doc_id").withColumn("at", F.explode("at"))
+    met = payload.join(per_node.hint("merge"), "doc_id").withColumn("at", F.explode("at"))
     return met.select("at.token", "at.block", *payload.columns)
 
 
@@ -336,9 +344,9 @@ def _joined_in_blocks(buckets: DataFrame, label: str, compare) -> DataFrame:
 
 
 def _shared(spread: DataFrame) -> DataFrame:
-    """doc_id, tag and the tokens of a set that others have too, with the number of sets; of `spread` (doc_id, tag, token)."""
+    """row and the tokens of its set that others have too, with the number of sets; of `spread` (row, token)."""
     frequency = spread.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
-    return spread.join(frequency.hint("shuffle_hash"), "token").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
+    return spread.join(frequency.hint("shuffle_hash"), "token").groupBy("row").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
 
 
 def counted_tokens(nodes: DataFrame, percent: int, frequent: int) -> DataFrame:
@@ -346,34 +354,33 @@ def counted_tokens(nodes: DataFrame, percent: int, frequent: int) -> DataFrame:
     of_first = F.element_at("m", 1).cast("int")
     none = F.array().cast("array<struct<token:bigint,df:int>>")
     shared = F.coalesce("shared", none)
-    first = _shared(nodes.select("doc_id", "tag", F.explode(F.slice("toks", 1, of_first)).alias("token")))
+    first = _shared(nodes.select("row", F.explode(F.slice("toks", 1, of_first)).alias("token")))
     full = of_first - F.size(F.filter(shared, lambda t: t["df"] > frequent)) >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rest = F.when(~full, F.slice("toks", of_first + 1, F.size("toks")))
-    met = nodes.join(first, ["doc_id", "tag"], "left").select("doc_id", "tag", "n", "m", shared.alias("shared"), rest.alias("rest"))
-    met = cut(met.where("rest is not null or size(shared) > 0"), "counted")
-    more = _shared(met.where("size(rest) > 0").select("doc_id", "tag", F.explode("rest").alias("token"))).withColumnRenamed("shared", "more")
-    return met.join(more, ["doc_id", "tag"], "left").select("doc_id", "tag", "n", "m", F.concat("shared", F.coalesce("more", none)).alias("shared"))
+    met = nodes.select("row", "doc_id", "tag", "n", "m").join(first.hint("merge"), "row", "left").withColumn("shared", shared).withColumn("full", full)
+    met = cut(met.where("not full or size(shared) > 0"), "counted")
+    rest = nodes.join(met.where("not full").select("row"), "row", "left_semi").select("row", F.explode(F.slice("toks", of_first + 1, F.size("toks"))).alias("token"))
+    more = _shared(rest).withColumnRenamed("shared", "more")
+    return met.join(more.hint("merge"), "row", "left").select("doc_id", "tag", "n", "m", F.concat("shared", F.coalesce("more", none)).alias("shared"))
 
 
 def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; components of the links with similarity >= percent / 100."""
-    table = cut(shingle_table(docs, words, percent).withColumn("tag", F.hash("sig")), "shingles")
-    light = cut(table.select("doc_id", "n", "sig"), "sizes")
-    classes = light.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"))
+    table = shingle_table(docs, words, percent).withColumn("tag", F.hash("sig")).withColumn("row", F.monotonically_increasing_id())
+    table = cut(table, "shingles")
+    light = cut(table.select("row", "doc_id", "n", "sig"), "sizes")
+    classes = light.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
+    classes = cut(classes.select("sig", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row"), "size"), "classes")
     # A node is a doc_id and a tag of its set, for a doc_id may have several texts.
-    nodes = table.join(classes, (table["doc_id"] == classes["node"]) & (table["sig"] == classes["sig"]), "left_semi").dropDuplicates(["doc_id", "sig"])
-    nodes = cut(nodes.drop("sig"), "nodes")
-    release(table)
-
+    nodes = table.drop("sig").join(classes.select("row"), "row", "left_semi")
     prefixed = cut(_prefixes(counted_tokens(nodes, percent, frequent), percent, frequent).where("size(first) > 0"), "prefixes")
-    release(nodes)
+    release(table)
 
     # Buckets of the first order; of those with the same members one is enough.
     posts = prefixed.select("doc_id", (F.size("second") + F.size("third")).alias("n"), F.explode("first").alias("token")).groupBy("doc_id", "token").agg(F.sum("n").alias("n"))
     marks = posts.groupBy("token").agg(
         F.count(F.lit(1)).alias("members"), F.sum(weight_of(F.col("n"))).alias("total"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit(2**40 - 1))).alias("s")
     ).where("members > 1")
-    placed = cut(posts.join(marks.groupBy("members", "total", "x", "s").agg(F.min("token").alias("token")).select("token", "total"), "token"), "buckets")
+    placed = cut(posts.join(marks.groupBy("members", "total", "x", "s").agg(F.min("token").alias("token")).select("token", "total").hint("merge"), "token"), "buckets")
 
     # Candidates share prefix tokens under all three orders. Their components are small, and every link is
     # inside one, so that each whole set moves once, to its component.
@@ -382,13 +389,18 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80, frequ
     grouped = grouped.union(grouped.select(F.col("component").alias("node"), "component").distinct())
     groups = cut(grouped.select(F.col("component").alias("token"), F.col("node").alias("doc_id")), "groups")
     release(placed, prefixed)
-    texts = _columns(docs).join(groups.select("doc_id"), "doc_id", "left_semi")
-    whole = cut(shingle_sets(texts, words).dropDuplicates(["doc_id", "tag"]).select("doc_id", "toks"), "sets")
-    amounts = whole.groupBy("doc_id").agg(F.sum(F.size("toks")).alias("n"))
-    joined = components(_joined_in_blocks(cut(totalled(groups.join(amounts, "doc_id"), ["token"]), "groups"), "links", lambda places: _links(_carried(places, whole), percent)))
-    release(whole, groups)
-    of_class = classes.join(joined, classes["node"] == joined["node"], "left").select(classes["sig"].alias("class_sig"), F.coalesce("component", classes["node"]).alias("component"))
-    out = light.join(of_class, light["sig"] == of_class["class_sig"], "left")
+    texts = _columns(docs)
+    repeated = light.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("n"))
+    if not repeated.where("doc_id is not null and times > 1").isEmpty():  # rows that repeat would repeat their links
+        texts = texts.dropDuplicates()
+    sized = cut(totalled(groups.join(repeated.select("doc_id", "n"), "doc_id"), ["token"]), "groups")
+    release(groups)
+    joined = components(_joined_in_blocks(sized, "links", lambda places: _links(places, texts, words, percent)))
+    of_class = cut(classes.join(joined, "node", "left").select("sig", "size", F.coalesce("component", "node").alias("component")), "components")
+    release(sized, classes)
+    alone = light.where("n = 0 or doc_id is null").select("doc_id", "n", "sig", F.lit(None).cast("long").alias("component"))
+    some = light.where("n > 0 and doc_id is not null").select("doc_id", "n", "sig")
+    out = met_by_key(some, of_class, "sig", "size", some.count()).select("doc_id", "n", "sig", "component").union(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
@@ -406,19 +418,18 @@ def _prefixes(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
     return shared.select("doc_id", "tag", "n", "m", "shared").mapInArrow(run, "doc_id long, tag int, n long, first array<long>, second array<long>, third array<long>")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, tag and whole set of each row with words."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """`texts` (doc_id, text, at) as doc_id, at and the whole set of each row with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(words)
         for batch in _small(batches):
-            found = [(d, h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(h := of(t))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _ in found], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for _, h in found], pa.string()), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))],
-                ["doc_id", "sig", "toks"],
-            )
+            sets = [of(t) for t in batch.column(1).to_pylist()]
+            some = pa.array([len(h) > 0 for h in sets])
+            kept = [batch.column(k).filter(some) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([h.view(np.int64) for h in sets if len(h)], pa.list_(pa.int64()))], ["doc_id", "at", "toks"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig string, toks array<long>").select("doc_id", F.hash("sig").alias("tag"), "toks")
+    return texts.mapInArrow(run, f"doc_id long, at {dict(texts.dtypes)['at']}, toks array<long>")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
