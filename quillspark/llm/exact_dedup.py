@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, text_of
+from quillspark.llm.common import cut, met_by_key, text_of
 
 #: Chunk sizes in characters: no cut before MIN_CHUNK, none later than MAX_CHUNK.
 MIN_CHUNK, MAX_CHUNK = 512, 4096
@@ -56,16 +56,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     The chunk dictionary is de-duplicated first (a hot chunk is pre-aggregated in each task)
     and proves that no identifier stands for two contents; if one does, recipes are spelled
-    with the chunks' SHA-256 instead. Groups come from equal recipes. The join back is a
-    plain equi-join on the recipe, whose hot keys adaptive execution splits on the document
-    side, since the group side has each recipe once.
+    with the chunks' SHA-256 instead. Groups come from equal recipes; their decisions go back to the
+    documents on the recipe, those of large groups to every task.
     """
     listed = cut(recipes(docs), "recipes")
     verified = colliding(listed).isEmpty()
     recipe = F.col("ids") if verified else F.col("digests")
     listed = listed.select("doc_id", "text_sha256", recipe.alias("recipe"))
     groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return listed.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    met = met_by_key(listed, groups, "recipe", "group_size", listed.count())
+    return met.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
