@@ -1,145 +1,209 @@
 """Masked pseudo-likelihood scores from a bidirectional window network, trained in numpy.
 
-Tokens are the corpus's most frequent words and, for all others, buckets of their last
-characters. For every place the network sees the tokens on both sides and predicts the one
-between: log-probabilities of all places add up to a document's score.
+For every place of a text the network sees the tokens on both sides and predicts the one between:
+log-probabilities of all places add up to a document's score.
+
+A token is a leaf: one of the words that the corpus has at least LEAST times (the MOST_WORDS most
+frequent ones at most), or for all other words a bucket of their last characters. Leaves stand in
+clusters, about as many as a cluster has leaves; the network gives a cluster, and a leaf in its
+cluster, so that a place costs the root of the vocabulary. Within a bucket a word has the share of
+its corpus count, so that words of one bucket aren't interchangeable; these counts grow with the corpus.
 
 The vocabulary counts every word of the corpus, summed per task before the shuffle. Training
 reads every place of every document. Documents are dealt by hash, whatever files they come from,
 into shards of about SHARD tokens; each shard runs Adagrad from the same start, as often over its
-places as STEPS steps need, and the weights are averaged by places read, as a distributed sum.
-Only the vocabulary and the averaged weights, both of fixed size, reach the driver.
-
-The network gives a place the probability of a class: a word of its own, or a bucket. Within its
-bucket a word has the share of its corpus count, so that words of one bucket aren't
-interchangeable. Shares of the HELD most frequent words go to the tasks; the other words of each
-document meet their counts in a join.
+places as STEPS steps need, and the weights are averaged by places read, part by part.
+Only the vocabulary, the HELD most frequent words and the averaged weights, all of bounded size,
+reach the driver. Other words of each document meet their counts in a join.
 
 Defined cases: null, empty or white-space text has 0 tokens, score 0 and null per token. Rows
-repeat as they come. An empty table gives an empty table. Without any text the network is
-untrained. Other columns are ignored.
+repeat as they come, with the same score; of words with the same count the lesser bytes come first.
+An empty table gives an empty table. Without any text the network is untrained. Other columns are
+ignored. Scores depend on the texts and ids of the table, not on its files or partitions.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut
 
-WORDS, BUCKETS, WIDTH = 160, 96, 16
+#: Occurrences that give a word a leaf of its own, leaves of words at most, buckets, and the width of the network.
+LEAST, MOST_WORDS, BUCKETS, WIDTH = 400, 2000, 256, 16
 SIDES = (-2, -1, 1, 2)
-#: Tokens a shard, places a step, and the steps a shard takes at least.
-SHARD, BATCH, RATE, STEPS = 4_000_000, 4096, 0.15, 900
+#: Tokens a shard, shards at most (beyond, they grow), places a step, and the steps a shard takes at least.
+SHARD, SHARDS, BATCH, RATE, STEPS = 4_000_000, 4096, 8192, 0.15, 450
 _SLICE = 1024  # rows of logits that stay in the processor's cache
 _CACHE = 300_000
+#: Words whose shares go to the tasks.
 HELD = 100_000
-_PART = 512
+_PART, _ROWS = 512, 1024
 SCORE_SCHEMA = "doc_id long, n_tokens long, pll double, pll_per_token double, perplexity double"
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def bucket_of(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % BUCKETS
+
+
 class Reader:
-    """Token ids of texts."""
+    """Numbers of a text's words: a held word's place in the list, and ~bucket for others."""
 
-    def __init__(self, vocabulary: list[bytes]):
-        self.known = {w: k for k, w in enumerate(vocabulary)}
+    def __init__(self, held: list[bytes]):
+        self.known = {w: k for k, w in enumerate(held)}
         self.cache = dict(self.known)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         cache = self.cache
-        if len(cache) > _CACHE:
+        if len(cache) > _CACHE + len(self.known):
             cache = self.cache = dict(self.known)
         for w in set(words):
             if w not in cache:
-                cache[w] = WORDS + zlib.crc32(w[-3:]) % BUCKETS
+                cache[w] = ~bucket_of(w)
         return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
 
 
+def leaves_of(numbers: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Leaves of a reader's numbers, where its list is the vocabulary."""
+    return np.where(numbers >= 0, numbers, vocabulary + ~numbers)
+
+
+def _log_softmax(rows: np.ndarray) -> np.ndarray:
+    rows -= rows.max(1, keepdims=True)
+    return rows - np.log(np.exp(rows).sum(1, keepdims=True))
+
+
+def _by_cluster(cluster: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each cluster among the places, with those places."""
+    order = np.argsort(cluster, kind="stable")
+    found, begin = np.unique(cluster[order], return_index=True)
+    for k, a, b in zip(found.tolist(), begin, [*begin[1:], len(order)], strict=True):
+        yield k, order[a:b]
+
+
 @dataclass
 class Network:
-    """logits = out @ tanh(sum of embeddings by side + shift) + bias"""
+    """h = tanh(sum of embeddings by side + shift); logits of clusters = top @ h + top_bias, and of a cluster's leaves = out @ h + bias."""
 
-    sides: np.ndarray  # len(SIDES) x (size + 1) x WIDTH; the last token is the edge of the text
+    sides: np.ndarray  # len(SIDES) x (leaves + 1) x WIDTH; the last token is the edge of the text
     shift: np.ndarray
-    out: np.ndarray  # size x WIDTH
+    top: np.ndarray  # clusters x WIDTH
+    top_bias: np.ndarray
+    out: np.ndarray  # clusters x leaves of a cluster x WIDTH
     bias: np.ndarray
 
     @staticmethod
     def new(counts: np.ndarray, seed: int = 0) -> Network:
-        draw, size = np.random.default_rng(seed), len(counts)
-        share = (counts + 1.0) / (counts + 1.0).sum()
-        f = np.float32
-        return Network(draw.normal(0, 0.1, (len(SIDES), size + 1, WIDTH)).astype(f), np.zeros(WIDTH, f), draw.normal(0, 0.1, (size, WIDTH)).astype(f), np.log(share).astype(f))
+        """Clusters of neighbouring leaves; the biases begin as the logarithms of shares of the counts."""
+        size = max(1, int(np.ceil(np.sqrt(len(counts)))))
+        clusters = -(-len(counts) // size)
+        full = np.full(clusters * size, 1e-6)
+        full[: len(counts)] = counts + 1.0
+        share, draw, f = full.reshape(clusters, size), np.random.default_rng(seed), np.float32
+        of_cluster = share.sum(1)
+        return Network(
+            draw.normal(0, 0.1, (len(SIDES), clusters * size + 1, WIDTH)).astype(f), np.zeros(WIDTH, f), draw.normal(0, 0.1, (clusters, WIDTH)).astype(f),
+            np.log(of_cluster / of_cluster.sum()).astype(f), draw.normal(0, 0.1, (clusters, size, WIDTH)).astype(f), np.log(share / of_cluster[:, None]).astype(f),
+        )
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.sides, self.shift, self.top, self.top_bias, self.out, self.bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([a.ravel() for a in (self.sides, self.shift, self.out, self.bias)])
+        return np.concatenate([a.ravel() for a in self.arrays()])
 
     def filled(self, flat: np.ndarray) -> Network:
         parts, at = [], 0
-        for a in (self.sides, self.shift, self.out, self.bias):
+        for a in self.arrays():
             parts.append(flat[at : at + a.size].reshape(a.shape).astype(np.float32))
             at += a.size
         return Network(*parts)
 
+    @property
+    def edge(self) -> int:
+        return self.sides.shape[1] - 1
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.shift + self.sides[0][context[:, 0]]
         for k in range(1, len(SIDES)):
             total += self.sides[k][context[:, k]]
-        return np.tanh(total)
+        return np.tanh(total, out=total)
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         h, out = self.hidden(context), np.empty(len(target), np.float32)
+        cluster, leaf = np.divmod(target, self.bias.shape[1])
         for k in range(0, len(target), _SLICE):
-            logits, of = h[k : k + _SLICE] @ self.out.T, target[k : k + _SLICE]
-            logits += self.bias
-            logits -= logits.max(1, keepdims=True)
-            own = logits[np.arange(len(of)), of]
-            out[k : k + _SLICE] = own - np.log(np.exp(logits, out=logits).sum(1))
+            here = cluster[k : k + _SLICE]
+            out[k : k + _SLICE] = _log_softmax(h[k : k + _SLICE] @ self.top.T + self.top_bias)[np.arange(len(here)), here]
+        for c, at in _by_cluster(cluster):
+            for k in range(0, len(at), _SLICE):
+                mine = at[k : k + _SLICE]
+                out[mine] += _log_softmax(h[mine] @ self.out[c].T + self.bias[c])[np.arange(len(mine)), leaf[mine]]
         return out
 
 
 class Adagrad:
     def __init__(self, net: Network):
         self.net = net
-        self.seen = [np.full(a.shape, 1e-3, np.float32) for a in (net.sides, net.shift, net.out, net.bias)]
+        self.seen = [np.full(a.shape, 1e-3, np.float32) for a in net.arrays()]
+
+    @staticmethod
+    def _move(value: np.ndarray, seen: np.ndarray, gradient: np.ndarray) -> None:
+        seen += gradient * gradient
+        value -= np.float32(RATE) * gradient / np.sqrt(seen)
+
+    @staticmethod
+    def _errors(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """Derivatives of the mean loss by the logits."""
+        p = h @ weights.T
+        p += bias
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True) * np.float32(n)
+        p[np.arange(len(of)), of] -= np.float32(1 / n)
+        return p
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, len(target)
         h = net.hidden(context)
-        back, out, bias = np.empty_like(h), np.zeros_like(net.out), np.zeros_like(net.bias)
+        cluster, leaf = np.divmod(target, net.bias.shape[1])
+        back, top, top_bias = np.empty_like(h), np.zeros_like(net.top), np.zeros_like(net.top_bias)
         for k in range(0, n, _SLICE):
-            part, of = h[k : k + _SLICE], target[k : k + _SLICE]
-            p = part @ net.out.T
-            p += net.bias
-            p -= p.max(1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True) * np.float32(n)
-            p[np.arange(len(of)), of] -= np.float32(1 / n)
-            back[k : k + _SLICE] = p @ net.out
-            out += p.T @ part
-            bias += p.sum(0)
+            p = self._errors(h[k : k + _SLICE], net.top, net.top_bias, cluster[k : k + _SLICE], n)
+            back[k : k + _SLICE] = p @ net.top
+            top += p.T @ h[k : k + _SLICE]
+            top_bias += p.sum(0)
+        for c, at in _by_cluster(cluster):
+            part = h[at]
+            p = self._errors(part, net.out[c], net.bias[c], leaf[at], n)
+            back[at] += p @ net.out[c]
+            self._move(net.out[c], self.seen[4][c], p.T @ part)
+            self._move(net.bias[c], self.seen[5][c], p.sum(0))
         back *= 1 - h * h
         flat, rows = back.ravel(), net.sides.shape[1]
-        spread = [np.bincount((context[:, k, None] * WIDTH + np.arange(WIDTH)).ravel(), flat, rows * WIDTH) for k in range(len(SIDES))]
-        sides = np.stack(spread).reshape(net.sides.shape).astype(np.float32)
-        for value, gradient, seen in zip((net.sides, net.shift, net.out, net.bias), (sides, back.sum(0), out, bias), self.seen, strict=True):
-            seen += gradient * gradient
-            value -= RATE * gradient / np.sqrt(seen)
+        for k in range(len(SIDES)):
+            spread = np.bincount((context[:, k, None] * WIDTH + np.arange(WIDTH)).ravel(), flat, rows * WIDTH)
+            self._move(net.sides[k], self.seen[0][k], spread.reshape(rows, WIDTH).astype(np.float32))
+        for value, seen, gradient in zip((net.shift, net.top, net.top_bias), self.seen[1:4], (back.sum(0), top, top_bias), strict=True):
+            self._move(value, seen, gradient)
 
 
-def windows(ids: np.ndarray, size: int) -> np.ndarray:
+def windows(ids: np.ndarray, edge: int) -> np.ndarray:
     """The tokens on both sides of each place."""
     reach = max(SIDES)
-    padded = np.concatenate([np.full(reach, size), ids, np.full(reach, size)])
+    padded = np.concatenate([np.full(reach, edge), ids, np.full(reach, edge)])
     return np.stack([padded[reach + s : reach + s + len(ids)] for s in SIDES], 1)
 
 
@@ -147,6 +211,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(lo, _ROWS)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word (binary) and count over the whole corpus."""
 
@@ -156,10 +226,10 @@ def count_words(docs: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "count"])
 
-        for batch in batches:
+        for batch in _small(batches):
             for text in batch.column(1).to_pylist():
-                held.update((text or "").encode("utf-8", "surrogatepass").lower().split())
-                if len(held) > 500_000:
+                held.update(words_of(text))
+                if len(held) > _CACHE:
                     yield out()
                     held.clear()
         yield out()
@@ -169,17 +239,16 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def shards_of(tokens: int) -> tuple[int, int]:
     """Shards of a corpus of so many tokens, and how often each reads its places."""
-    shards = max(1, -(-tokens // SHARD))
+    shards = min(SHARDS, max(1, -(-tokens // SHARD)))
     return shards, max(1, -(-STEPS * BATCH * shards // max(1, tokens)))
 
 
 def _trained(docs: DataFrame, vocabulary: list[bytes], net: Network, tokens: int) -> tuple[Network, int]:
     """Every shard trains from `net` on all places of its documents; the average comes back, with the places read in one pass."""
-    size = len(net.bias)
     shards, passes = shards_of(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, mine = Reader(vocabulary), Network(*(a.copy() for a in (net.sides, net.shift, net.out, net.bias)))
+        read, mine = Reader(vocabulary), Network(*(a.copy() for a in net.arrays()))
         learner, held, kept, places, waiting = Adagrad(mine), [], [], 0, 0
 
         def learn(context: np.ndarray, target: np.ndarray) -> None:
@@ -196,13 +265,13 @@ def _trained(docs: DataFrame, vocabulary: list[bytes], net: Network, tokens: int
             held[:] = [(context[whole:], target[whole:])]
             waiting = len(target) - whole
 
-        for batch in batches:
+        for batch in _small(batches):
             for text in batch.column(1).to_pylist():
-                ids = read(text)
+                ids = leaves_of(read(words_of(text)), len(vocabulary))
                 if len(ids):
-                    held.append((windows(ids, size), ids))
+                    held.append((windows(ids, mine.edge), ids))
                     waiting, places = waiting + len(ids), places + len(ids)
-                    if waiting >= 16 * BATCH:
+                    if waiting >= 8 * BATCH:
                         drain(False)
         if waiting:
             drain(True)
@@ -217,23 +286,26 @@ def _trained(docs: DataFrame, vocabulary: list[bytes], net: Network, tokens: int
 
     deal = F.xxhash64("doc_id", "text")
     dealt = _texts(docs).withColumn("_at", deal).repartition(shards, "_at").sortWithinPartitions("_at", "doc_id").drop("_at")
-    local = dealt.mapInArrow(run, "part int, sums array<double>, places long")
-    single = local.select("part", "places", F.posexplode("sums").alias("at", "value"))
-    rows = single.groupBy("part", "at").agg((F.sum("value") / F.sum("places")).alias("mean"), F.sum("places").alias("places")).collect()  # as many as the network has weights
-    if not rows:
+    parts = dealt.mapInArrow(run, "part int, sums array<double>, places long").groupBy("part").applyInPandas(_averaged, "part int, means array<double>, places long")
+    found = parts.toArrow().to_pylist()  # the network's weights
+    if not found:
         return net, 0
-    flat = np.zeros(len(net.flat()))
-    for r in rows:
-        flat[r["part"] * _PART + r["at"]] = r["mean"]
-    return net.filled(flat), rows[0]["places"]
+    return net.filled(np.concatenate([r["means"] for r in sorted(found, key=lambda r: r["part"])])), found[0]["places"]
+
+
+def _averaged(frame: pd.DataFrame) -> pd.DataFrame:
+    """The mean of one part of the weights over all shards, of which there are at most SHARDS: 16 MB."""
+    frame = frame.sort_values("places", kind="stable")
+    places = int(frame["places"].sum())
+    return pd.DataFrame({"part": frame["part"].iloc[:1], "means": [np.sum(np.stack(frame["sums"]), 0) / places], "places": [places]})
 
 
 @dataclass
 class Model:
     vocabulary: list[bytes]
     net: Network
-    counts: DataFrame  # word and count of words in buckets
-    buckets: list[int]  # occurrences by bucket
+    counts: DataFrame | None = None  # word and count of words in buckets
+    buckets: tuple[int, ...] = ()  # occurrences by bucket
 
 
 def _bucket(word: str) -> Column:
@@ -243,87 +315,63 @@ def _bucket(word: str) -> Column:
 def fit(docs: DataFrame) -> Model:
     """The vocabulary, the network and the counts, from the whole corpus."""
     counts = cut(count_words(docs), "words")
-    top = counts.orderBy(F.desc("count"), "word").limit(WORDS).collect()  # WORDS rows
+    top = counts.where(F.col("count") >= LEAST).orderBy(F.desc("count"), "word").limit(MOST_WORDS).collect()  # at most MOST_WORDS rows
     vocabulary = [bytes(r["word"]) for r in top]
     rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w),) for w in vocabulary], "word binary")), "word", "left_anti")
     tails = rest.groupBy(_bucket("word").alias("bucket")).agg(F.sum("count").alias("count")).collect()  # BUCKETS rows
-    amounts = np.zeros(WORDS + BUCKETS)
+    amounts = np.zeros(len(vocabulary) + BUCKETS)
     amounts[: len(top)] = [r["count"] for r in top]
     for r in tails:
-        amounts[WORDS + r["bucket"]] = r["count"]
+        amounts[len(top) + r["bucket"]] = r["count"]
     net = _trained(docs, vocabulary, Network.new(amounts), int(amounts.sum()))[0]
-    return Model(vocabulary, net, rest, [int(x) for x in amounts[WORDS:]])
-
-
-def train(docs: DataFrame) -> tuple[list[bytes], Network]:
-    """The vocabulary and the network, from the whole corpus."""
-    model = fit(docs)
-    return model.vocabulary, model.net
-
-
-def _scorer(vocabulary: list[bytes], net: Network):
-    """Lengths and scores of the texts of a batch."""
-    read, size = Reader(vocabulary), len(net.bias)
-
-    def score(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        texts = [read(t) for t in batch.column(1).to_pylist()]
-        lengths = np.asarray([len(t) for t in texts], np.int64)
-        sums, lo = np.zeros(len(texts)), 0
-        while lo < len(texts):  # some documents at a time
-            hi, tokens = lo, 0
-            while hi < len(texts) and (hi == lo or tokens + lengths[hi] <= 16 * BATCH):
-                tokens += lengths[hi]
-                hi += 1
-            if tokens:
-                context, target = np.concatenate([windows(t, size) for t in texts[lo:hi]]), np.concatenate(texts[lo:hi])
-                logp = np.concatenate([net.log_probabilities(context[k : k + BATCH], target[k : k + BATCH]) for k in range(0, len(target), BATCH)])
-                sums[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), lengths[lo:hi]), logp, hi - lo)
-            lo = hi
-        return lengths, sums
-
-    return score
-
-
-def pseudo_likelihoods(docs: DataFrame, vocabulary: list[bytes], net: Network) -> DataFrame:
-    """doc_id, n_tokens, pll, pll_per_token and perplexity of every document, by classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(vocabulary, net)
-        for batch in batches:
-            lengths, sums = score(batch)
-            some = lengths > 0
-            mean = np.where(some, sums / np.maximum(lengths, 1), np.nan)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths), pa.array(sums), pa.array(mean, mask=~some), pa.array(np.exp(-mean), mask=~some)],
-                ["doc_id", "n_tokens", "pll", "pll_per_token", "perplexity"],
-            )
-
-    return _texts(docs).mapInArrow(run, SCORE_SCHEMA)
+    return Model(vocabulary, net, rest, tuple(int(x) for x in amounts[len(top) :]))
+
+
+def class_scores(net: Network, texts: list[np.ndarray]) -> np.ndarray:
+    """Sums of log-probabilities of the leaves of some texts, some documents at a time."""
+    lengths = [len(t) for t in texts]
+    sums, lo = np.zeros(len(texts)), 0
+    while lo < len(texts):
+        hi, tokens = lo, 0
+        while hi < len(texts) and (hi == lo or tokens + lengths[hi] <= 8 * BATCH):
+            tokens += lengths[hi]
+            hi += 1
+        if tokens:
+            context, target = np.concatenate([windows(t, net.edge) for t in texts[lo:hi]]), np.concatenate(texts[lo:hi])
+            logp = np.concatenate([net.log_probabilities(context[k : k + 8 * BATCH], target[k : k + 8 * BATCH]) for k in range(0, len(target), 8 * BATCH)])
+            sums[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), lengths[lo:hi]), logp, hi - lo)
+        lo = hi
+    return sums
 
 
 def _within(docs: DataFrame, model: Model, held: int) -> DataFrame:
-    """doc_id, n_tokens, pll of classes, and of the words of buckets: the sum of the held ones' log shares, and the others."""
-    vocabulary, net = model.vocabulary, model.net
+    """doc_id, n_tokens, pll of leaves, and of the words of buckets: the sum of the held ones' log shares, and the others."""
+    net, vocabulary = model.net, model.vocabulary
     top = model.counts.orderBy(F.desc("count"), "word").limit(held).collect()  # `held` rows
-    shares = {w: 0.0 for w in vocabulary} | {bytes(r["word"]): math.log(r["count"] / model.buckets[zlib.crc32(bytes(r["word"])[-3:]) % BUCKETS]) for r in top}
+    words = vocabulary + [bytes(r["word"]) for r in top]
+    bucket = np.asarray([bucket_of(w) for w in words[len(vocabulary) :]], np.int64)
+    leaf = np.concatenate([np.arange(len(vocabulary)), len(vocabulary) + bucket, [0]])  # the last one is for words not held, whose leaf isn't taken from here
+    share = np.concatenate([np.zeros(len(vocabulary)), np.log(np.asarray([r["count"] for r in top], float) / np.asarray(model.buckets, float)[bucket])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(vocabulary, net)
-        for batch in batches:
-            lengths, sums = score(batch)
-            near, far = [], []
+        read = Reader(words)
+        for batch in _small(batches):
+            texts, near, far = [], [], []
             for text in batch.column(1).to_pylist():
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                got = [shares.get(w) for w in words]
-                near.append(sum(x for x in got if x is not None))
-                far.append([w for w, x in zip(words, got, strict=True) if x is None])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(sums), pa.array(near, pa.float64()), pa.array(far, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "pll", "near", "far"])
+                mine = words_of(text)
+                numbers = read(mine)
+                unknown = numbers < 0
+                texts.append(np.where(unknown, len(vocabulary) + ~numbers, leaf[np.where(unknown, -1, numbers)]))
+                near.append(float(share[numbers[~unknown]].sum()))
+                far.append([mine[k] for k in np.flatnonzero(unknown).tolist()])
+            lengths = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array(class_scores(net, texts)), pa.array(near, pa.float64()), pa.array(far, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "pll", "near", "far"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, pll double, near double, far array<binary>")
 
 
 def score_documents(docs: DataFrame, held: int = HELD) -> DataFrame:
-    """doc_id, n_tokens, pll, pll_per_token and perplexity of every document, by words."""
+    """doc_id, n_tokens, pll, pll_per_token and perplexity of every document."""
     model = fit(docs)
     scored = cut(_within(docs, model, held).withColumn("_row", F.monotonically_increasing_id()), "scores")
     far = scored.select("_row", F.explode("far").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("times"))
