@@ -1,41 +1,47 @@
 """Main text of HTML pages by wrapper induction over same-host pages.
 
-Each page is parsed into a tree of block elements whose leaves are runs of text. Its tree is
-aligned by simple tree matching with a reference tree of its host, the host's shortest page.
-Over all pages of the host, texts are counted by slot (leaf of the reference) and by host alone,
-each different page content once. A text that hardly ever differs in its slot is template; so is
-one that most pages of the host have, wherever it stands, as in places the reference lacks. Within
-the page's main region, other content outside boilerplate elements is kept. A page that repeats
-the reference's whole content is no evidence that the content is template.
-
-The reference table (one page a host) is broadcast only when its measured size is small;
-beyond that pages meet it in an equi-join on the host, whose hot keys adaptive execution
-splits on the page side. Evidence is pre-aggregated before its shuffle.
+Each page is parsed into a tree of block elements whose leaves are runs of text. A host's wrapper is
+grown from some of its pages: of CANDIDATES pages, drawn by hash, the one most like the others, into
+which the others are merged by simple tree matching, node by node, so that it has the slots of all
+their layouts. Every page of the host is then aligned with the wrapper. Texts are counted by slot (leaf
+of the wrapper) and by host, each different page content once. A text that hardly ever differs in its
+slot is template; so is one that most pages of the host have, wherever it stands. What varies is
+content, unless its element, by its name, its role or a whole class name of its own, is
+boilerplate: adverts and comments vary too. Such names never rule out an element that holds the
+article, or, on pages without one, most of the text.
+
+The wrapper table (one row a host) is broadcast only when its measured size is small; beyond that
+pages meet it in an equi-join on the host, whose hot keys adaptive execution splits on the page side.
+Evidence is pre-aggregated before its shuffle. Hosts with fewer than LEAST_PAGES pages have no wrapper.
 
 Defined cases: null or empty html gives empty text, as does html without text. Broken or cut
-markup is read as far as it goes. A null url is a host of its own. Rows repeat as they come.
-An empty table gives an empty table. Other columns are ignored.
+markup is read as far as it goes. A null url is a host of its own. Rows repeat as they come; pages
+with equal html are drawn as one, and of pages equally like the others the first by html is the
+wrapper's root. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, small_enough
 
 # Element names and the words of class names and ids that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select option button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("nav footer aside form head dialog menu fieldset audio video".split()) | RAW
+RAW = frozenset("script style noscript template textarea title iframe canvas".split())
+UNSHOWN = frozenset("svg object select option button".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mfenced mspace mstyle semantics a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = frozenset("nav footer aside form head dialog menu fieldset audio video".split()) | RAW | UNSHOWN
 MAIN = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = frozenset(
@@ -43,59 +49,93 @@ MARKS = frozenset(
     "header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted recommended related replies reply respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Marks of what readers and other pages say, which may be longer than the article, and of the articles among them.
+OTHERS = frozenset("ad ads advert advertisement comment comments commentlist disqus promo promoted recommended related replies reply respond sponsored".split())
+NEGATED = frozenset("has is js no not show with without".split())
+HOLDERS = frozenset("area bar block box bottom button buttons card container content form inner item items left link links list panel posts right section slot text top unit wrap wrapper".split())
+GROUPS = frozenset("div section ul ol dl table header center".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
     "tbody": frozenset(["thead", "tbody", "tr", "td", "th"]), "tfoot": frozenset(["thead", "tbody", "tr", "td", "th"]),
 }
 
-#: Depth below which elements are put beside each other, and the bytes of references that may be broadcast.
+#: Depth below which elements are put beside each other, and the bytes of wrappers that may be broadcast.
 DEEPEST, BROADCAST_BYTES = 120, 32 << 20
 #: Share of same texts, and pages seen, that make a slot template; and share of the host's pages that makes a text template.
 SAME_SHARE, LEAST_PAGES, HOST_SHARE = 0.9, 5, 0.5
+#: Pages that a host's wrapper is grown from.
+CANDIDATES = 6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# Quoted values may hold marks as long as what follows them is an attribute or the end; else the tag ends at the first bracket.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"<]*\"|'[^'<]*'|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S
+)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.S)
-_WORDS = re.compile(r"[A-Za-z]+")
+_PARTS = re.compile(r"[-_]+")
 _SPACES = re.compile(r"\s+")
 
 
 class Node:
     """A block element, or (tag '#') a run of text."""
 
-    __slots__ = ("tag", "label", "children", "text", "linked", "skip", "depth", "shape", "content", "number")
+    __slots__ = ("tag", "label", "children", "text", "linked", "mark", "skip", "depth", "shape", "content", "number", "size", "told", "titled")
 
-    def __init__(self, tag: str, label: str, skip: bool, depth: int):
-        self.tag, self.label, self.skip, self.depth = tag, label, skip, depth
+    def __init__(self, tag: str, label: str, depth: int, mark: int = 0):
+        self.tag, self.label, self.depth, self.mark = tag, label, depth, mark
         self.children: list[Node] = []
-        self.text, self.linked = "", 0
+        self.text, self.linked, self.skip, self.size, self.told, self.titled = "", 0, False, 0, 0, False
         self.shape = self.content = self.number = -1
 
 
-def _is_boilerplate(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
-    if tag in SKIPPED or (tag == "header" and not in_main):
-        return True
-    if not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return True
-    if attributes.get("role", "").lower() in ROLES:
-        return True
-    if tag in MAIN or tag in ("body", "html"):
+# Kinds of boilerplate: never shown, by element or role, by a whole class name, by a compound class name.
+HIDDEN, KIND, NAMED, COMPOUND = 1, 2, 3, 4
+def _compound(name: str) -> bool:
+    """Whether a class name such as cookie-banner or share_buttons says boilerplate; has-sidebar says nothing of the element."""
+    parts = _PARTS.split(name)
+    if len(parts) < 2 or parts[0] in NEGATED:
         return False
-    return any(w.lower() in MARKS for k in ("class", "id") for part in attributes.get(k, "").split() for w in _WORDS.findall(part))
+    return parts[-1] in MARKS or (parts[0] in MARKS and parts[-1] in HOLDERS)
+
+
+def _mark(tag: str, attributes: dict[str, str]) -> int:
+    """The kind of boilerplate that an element is by its own name and attributes; 0 for none."""
+    if tag in RAW or tag in UNSHOWN or tag == "head":
+        return HIDDEN
+    if attributes and ("hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""))):
+        return HIDDEN
+    if tag in SKIPPED or tag == "header" or attributes.get("role", "").lower() in ROLES:
+        return KIND
+    names = [n.lower() for k in ("class", "id") for n in attributes.get(k, "").split()]
+    if tag == "article":
+        return NAMED if any(_PARTS.split(n)[0] in OTHERS for n in names) else 0
+    if tag in ("main", "body", "html"):
+        return 0
+    if any(n in OTHERS for n in names):
+        return KIND
+    if any(n in MARKS for n in names):
+        return NAMED
+    return COMPOUND if tag in GROUPS and any(map(_compound, names)) else 0
 
 
 def parse(source: str) -> Node:
     """The block tree of a page."""
-    root = Node("#root", "#root", False, 0)
+    root = Node("#root", "#root", 0)
     stack, pieces, linked, links = [root], [], [], 0
     skip_inline: list[str] = []
+    last_end: dict[str, int] = {}
+
+    def closes(tag: str) -> bool:
+        """Whether an end tag is still to come; an element without one must not swallow the page."""
+        if tag not in last_end:
+            ends = [m.start() for m in re.finditer(rf"</{re.escape(tag)}\b", source, re.I)]
+            last_end[tag] = ends[-1] if ends else -1
+        return last_end[tag] >= at
 
     def close_run() -> None:
         if pieces:
             text = _SPACES.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                leaf = Node("#", "#", stack[-1].skip, stack[-1].depth + 1)
+                leaf = Node("#", "#", stack[-1].depth + 1)
                 leaf.text, leaf.linked = text, len(_SPACES.sub(" ", "".join(linked)).strip())
                 stack[-1].children.append(leaf)
             pieces.clear()
@@ -138,13 +178,15 @@ def parse(source: str) -> Node:
         if tag in RAW:
             if raw.endswith("/"):
                 continue
-            if tag in ("select", "option", "button", "object", "svg", "math"):
-                if not skip_inline and tag != "option":
-                    skip_inline.append(tag)
-                continue
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at) if closes(tag) else None
             at = end.end() if end else n
             continue
+        if skip_inline and skip_inline[-1] in ("button", "select", "option") and tag not in INLINE and tag not in UNSHOWN and tag not in VOID and tag != "optgroup":
+            skip_inline.clear()  # a block ends what was left open
+        if tag in UNSHOWN:
+            if not raw.endswith("/") and tag != "option" and closes(tag):
+                skip_inline.append(tag)
+            continue
         if skip_inline:
             if tag == skip_inline[-1] and not raw.endswith("/"):
                 skip_inline.append(tag)
@@ -155,7 +197,7 @@ def parse(source: str) -> Node:
         if tag in INLINE:
             if tag == "a":
                 links += 1
-            if tag not in VOID and _is_boilerplate(tag, attributes, True) and not raw.endswith("/"):
+            if attributes and tag not in VOID and _mark(tag, attributes) and not raw.endswith("/") and closes(tag):
                 skip_inline.append(tag)
             continue
         close_run()
@@ -169,10 +211,8 @@ def parse(source: str) -> Node:
             while len(stack) > 1 and stack[-1].tag in ends:
                 stack.pop()
         parent = stack[-1]
-        in_main = any(s.tag in MAIN for s in stack)
-        skip = parent.skip or _is_boilerplate(tag, attributes, in_main)
         classes = ".".join(sorted(attributes.get("class", "").lower().split()))
-        node = Node(tag, f"{tag}.{classes}" if classes else tag, skip, parent.depth + 1)
+        node = Node(tag, f"{tag}.{classes}" if classes else tag, parent.depth + 1, _mark(tag, attributes))
         if attributes.get("role", "").lower() == "main" or "articlebody" in attributes.get("itemprop", "").lower():
             node.tag = "main"
         parent.children.append(node)
@@ -181,9 +221,42 @@ def parse(source: str) -> Node:
             del stack[DEEPEST - 1]
     if not skip_inline:
         close_run()
+    _decide(root)
     return root
 
 
+def _decide(root: Node) -> None:
+    """Characters of all elements and of the articles in them, and which elements are skipped as boilerplate."""
+    order, todo = [], [root]
+    while todo:
+        at = todo.pop()
+        order.append(at)
+        todo += at.children
+    for at in reversed(order):
+        shown = [c for c in at.children if c.mark != HIDDEN]
+        at.size = len(at.text) + sum(c.size for c in shown)
+        at.told = at.size if at.tag in MAIN and not at.mark else sum(c.told for c in shown)
+        at.titled = at.tag == "h1" or any(c.titled for c in shown)
+    todo = [(root, False)]
+    while todo:
+        at, inside = todo.pop()
+        inside = inside or (at.tag in MAIN and not at.skip)
+        for c in at.children:
+            c.skip = at.skip or _ruled_out(c, inside, root)
+            todo.append((c, inside))
+
+
+def _ruled_out(at: Node, inside: bool, root: Node) -> bool:
+    if not at.mark or at.mark == HIDDEN:
+        return at.mark == HIDDEN
+    if at.tag == "header" and at.mark == KIND and inside:  # an article's own head
+        return False
+    if at.mark != KIND or at.tag in ("form", "header"):  # names don't rule out what holds the article, or most of a page without one
+        if not inside and (2 * at.told > root.told if root.told else 2 * at.size > root.size):
+            return False
+    return at.mark != COMPOUND or not at.titled
+
+
 class Matcher:
     """Simple tree matching between pages and one reference: labels must agree, children match in order."""
 
@@ -289,43 +362,122 @@ def leaves(node: Node) -> list[Node]:
 
 
 def main_leaves(root: Node) -> list[Node]:
-    """Leaves of the page's main region outside boilerplate: the article or main element with most text, or else all blocks that aren't mostly links."""
-    best, most, todo = None, 0, [root]
+    """Leaves of the page's main region outside boilerplate.
+
+    That is the main element with most text, or the article with most text and others beside it of a third of
+    that, or else all blocks; outside of articles without those that are mostly links.
+    """
+    regions, todo = [], [root]
     while todo:
         at = todo.pop()
         if at.tag in MAIN and not at.skip:
-            size = sum(len(x.text) for x in leaves(at) if not x.skip)
-            if size > most or (size == most and best is None):
-                best, most = at, size
-            if at.tag == "article":
-                continue
-        todo += reversed(at.children)
-    if best is not None and most:
-        inner = [x for x in _articles(best) if sum(len(y.text) for y in leaves(x)) * 2 > most] if best.tag == "main" else []
-        return [x for x in leaves(inner[0] if inner else best) if not x.skip]
-    return [x for x in leaves(root) if not x.skip and 2 * x.linked < len(x.text)]
+            regions.append(at)
+        else:
+            todo += reversed(at.children)
+    sized = [(sum(len(x.text) for x in leaves(at) if not x.skip), at) for at in regions]
+    best = max((size for size, _ in sized), default=0)
+    if not best:
+        return [x for x in leaves(root) if not x.skip and 2 * x.linked < len(x.text)]
+    first = next(at for size, at in sized if size == best)
+    chosen = [first] if first.tag == "main" else [at for size, at in sized if at.tag == "article" and 3 * size >= best]
+    return [x for at in chosen for x in _shown(at, at.tag == "article")]
 
 
-def _articles(node: Node) -> list[Node]:
-    out, todo = [], list(reversed(node.children))
+def _shown(node: Node, in_article: bool) -> list[Node]:
+    out, todo = [], [(node, in_article)]
     while todo:
-        at = todo.pop()
-        if at.tag == "article" and not at.skip:
+        at, inside = todo.pop()
+        if at.skip:
+            continue
+        if at.tag == "#" and (inside or 2 * at.linked < len(at.text)):
             out.append(at)
-        else:
-            todo += reversed(at.children)
+        todo += [(c, inside or at.tag == "article") for c in reversed(at.children)]
     return out
 
 
-def content_blocks(source: str, reference: Matcher | None) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Content blocks of a page, each with its slot in the reference (-1: none) and whether the texts are the same; and whether the page is evidence."""
+def content_blocks(source: str, wrapper: Matcher | None) -> list[tuple[str, int]]:
+    """Content blocks of a page by its own marks, each with its slot in the wrapper (-1: none)."""
     root = parse(source)
     kept = main_leaves(root)
-    if reference is None:
-        return [(x.text, -1, False) for x in kept], False
-    slot = {id(y): (x.number, x.text == y.text) for x, y in reference.match(root)}
-    blocks = [(x.text, *slot.get(id(x), (-1, False))) for x in kept]
-    return blocks, not all(same for _, _, same in blocks)
+    slot = {id(y): x.number for x, y in wrapper.match(root)} if wrapper else {}
+    return [(x.text, slot.get(id(x), -1)) for x in kept]
+
+
+# Wrappers.
+
+
+def _likeness(a: Matcher, page: Node) -> float:
+    """Share of leaves that match."""
+    return 2 * len(a.match(page)) / max(1, len(leaves(a.reference)) + len(leaves(page)))
+
+
+def grown(sources: list[str]) -> Node:
+    """The wrapper of some pages: the page most like the others, with what it lacks inserted from them, most alike first."""
+    pages = [parse(x) for x in sorted(set(sources))]
+    alike = [[_likeness(Matcher(a), b) if a is not b else 1.0 for b in pages] for a in pages]
+    root = max(range(len(pages)), key=lambda k: sum(alike[k]))
+    for k in sorted((k for k in range(len(pages)) if k != root), key=lambda k: -alike[root][k]):
+        matcher = Matcher(pages[root])
+        matcher._describe(pages[k])
+        _merge(matcher, pages[root], pages[k])
+    return pages[root]
+
+
+def _merge(matcher: Matcher, x: Node, y: Node) -> None:
+    """Insert the children of y that match none of x behind the one that stands before them, and so on below."""
+    todo = [(x, y)]
+    while todo:
+        x, y = todo.pop()
+        if not y.children:
+            continue
+        pairs = matcher._align(x.children, y.children, True)
+        partner = {id(b): a for a, b in pairs}
+        children, at = list(x.children), 0
+        for child in y.children:
+            if id(child) in partner:
+                at = next(k for k, c in enumerate(children) if c is partner[id(child)]) + 1
+            else:
+                children.insert(at, child)
+                at += 1
+        todo += [(a, b) for a, b in pairs if a.tag != "#"]
+        x.children = children
+
+
+def packed(node: Node) -> str:
+    def plain(at: Node):
+        return at.text if at.tag == "#" else [at.label, [plain(c) for c in at.children]]
+
+    return json.dumps(plain(node), ensure_ascii=False)
+
+
+def unpacked(source: str) -> Node:
+    def made(x, depth: int) -> Node:
+        if isinstance(x, str):
+            out = Node("#", "#", depth)
+            out.text = x
+        else:
+            out = Node(x[0].split(".")[0], x[0], depth)
+            out.children = [made(c, depth + 1) for c in x[1]]
+        return out
+
+    return made(json.loads(source), 0)
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host and wrapper of the hosts with pages enough. `pages` has host and html; a host's drawn pages meet in one task."""
+    some = pages.where(F.length("html") > 0).select("host", "html", F.xxhash64("html").alias("draw"))
+    # Only hashes are ranked, and as many of a host as are drawn leave a task; the pages drawn then move, equal ones once.
+    place = F.row_number().over(Window.partitionBy("host").orderBy("draw"))
+    ranked = some.select("host", "draw").distinct().withColumn("place", place).where(F.col("place") <= max(CANDIDATES, LEAST_PAGES))
+    enough = ranked.where(F.col("place") == LEAST_PAGES).select("host")
+    keys = cut(ranked.where(F.col("place") <= CANDIDATES).join(enough, "host", "left_semi").select("host", "draw"), "drawn")
+    small = F.broadcast(keys) if small_enough(keys, ["host"], BROADCAST_BYTES) else keys
+    drawn = some.join(small, ["host", "draw"]).groupBy("host", "draw").agg(F.min("html").alias("html"))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [key[0]], "reference": [packed(grown(frame["html"].tolist()))]})
+
+    return drawn.select("host", "html").groupBy("host").applyInPandas(run, "host string, reference string")
 
 
 _BLOCKS = "page_id long, url string, host string, blocks array<struct<text:string,anywhere:long,placed:long>>"
@@ -337,18 +489,18 @@ def _hash(*parts: str | int) -> int:
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """(page_id, url, host, content blocks, evidence) of each page, batch by batch."""
+    """(page_id, url, host, content blocks) of each page, some at a time."""
     matchers: dict[str, Matcher | None] = {}
     for batch in batches:
-        rows = []
-        for page, url, host, source, ref in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if host not in matchers:
-                if len(matchers) >= 64:
-                    matchers.clear()
-                matchers[host] = Matcher(parse(ref)) if ref else None
-            found, says = content_blocks(source, matchers[host]) if source else ([], False)
-            rows.append((page, url, host, found, says and source != ref))
-        yield rows
+        for lo in range(0, batch.num_rows, 512):
+            rows = []
+            for page, url, host, source, ref in zip(*(c.to_pylist() for c in batch.slice(lo, 512).columns[:5]), strict=True):
+                if host not in matchers:
+                    if len(matchers) >= 64:
+                        matchers.clear()
+                    matchers[host] = Matcher(unpacked(ref)) if ref else None
+                rows.append((page, url, host, content_blocks(source, matchers[host]) if source else []))
+            yield rows
 
 
 def _met(pages: DataFrame, references: DataFrame, broadcast: bool) -> DataFrame:
@@ -361,11 +513,11 @@ def slot_evidence(met: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _aligned(batches):
             seen: dict[tuple, None] = {}
-            for _, _, host, blocks, says in rows:
-                if says:
-                    content = _hash(*(t for t, _, _ in blocks))
+            for _, _, host, blocks in rows:
+                if blocks:
+                    content = _hash(*(t for t, _ in blocks))
                     seen[host, -1, None, content] = None
-                    for text, slot, _ in blocks:
+                    for text, slot in blocks:
                         seen[host, -1, _hash(-1, text), content] = None
                         if slot >= 0:
                             seen[host, slot, None, content] = None
@@ -385,7 +537,7 @@ def page_blocks(met: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.list_(pa.struct([("text", pa.string()), ("anywhere", pa.int64()), ("placed", pa.int64())]))
         for rows in _aligned(batches):
-            listed = [[{"text": t, "anywhere": _hash(-1, t), "placed": _hash(s, t)} for t, s, _ in r[3]] for r in rows]
+            listed = [[{"text": t, "anywhere": _hash(-1, t), "placed": _hash(s, t)} for t, s in r[3]] for r in rows]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))), pa.array(listed, block)], ["page_id", "url", "host", "blocks"])
 
     return met.mapInArrow(run, _BLOCKS)
@@ -395,8 +547,7 @@ def extract_main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES)
     """page_id, url, text and n_chars of every page."""
     host = F.lower(F.coalesce(F.regexp_extract(pages["url"].cast("string"), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
     mine = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"), host.alias("host"))
-    size = F.length("html")
-    references = cut(mine.where(size > 0).groupBy("host").agg(F.min_by("html", F.struct(size, F.col("page_id"), F.col("html"))).alias("reference")), "references")
+    references = cut(wrappers(mine), "references")
     # Pages are read twice, so that no copy of their texts is stored between evidence and extraction.
     both = _met(mine, references, small_enough(references, ["host", "reference"], broadcast_bytes))
     share = F.when(F.col("slot") < 0, HOST_SHARE).otherwise(SAME_SHARE)
