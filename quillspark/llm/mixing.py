@@ -10,7 +10,7 @@ block that meets the budget in the order of theirs.
 
 Blocks are dealt by a hash of doc_id. A decision needs a document's own hashes and a row per
 source, so texts never move; hot sources are summed per block and task before any shuffle, and
-the only ordered walks are over a source's blocks and over the documents of one block.
+the only ordered walks are over ranges of a source's blocks, the blocks of one range, and the documents of one block.
 
 Defined cases: a null source counts as "". Null or empty text has no tokens; a source without
 tokens has weight 0 and one epoch if everything is to be kept, else none. Documents with the same
@@ -111,17 +111,28 @@ def plan_sources(keys: DataFrame, entropy_share: float | None = 0.9, repeat_limi
     met = keys.join(_sided(plan.select("source", "n_blocks", "epochs", "rest")), "source").where("rest > 0")
     met = met.withColumn("block", block_of(F.col("doc_id"), F.col("n_blocks"), seed))
     blocks = met.groupBy("source", "block", "epochs", "rest").agg(F.sum("tokens").alias("tokens")).withColumn("order", block_order(F.col("source"), F.col("block"), F.col("epochs"), seed))
-    run = F.sum("tokens").over(Window.partitionBy("source").orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    over = blocks.withColumn("run", run).where("run > rest")
-    edge = over.groupBy("source").agg(F.min_by(F.struct("order", "block", (F.col("rest") - F.col("run") + F.col("tokens")).alias("left")), "order").alias("e")).select("source", "e.order", "e.block", "e.left")
-    edge = cut(edge, "edges")
-    inside = met.join(_sided(edge.withColumnRenamed("block", "edge_block")), "source").where("block = edge_block").withColumn("doc_order", doc_order(F.col("doc_id"), F.col("epochs"), seed))
+    edge = cut(_first_over(blocks), "edges")
+    inside = met.where("tokens > 0").join(_sided(edge.select("source", F.col("block").alias("edge_block"), "left")), "source").where("block = edge_block").withColumn("doc_order", doc_order(F.col("doc_id"), F.col("epochs"), seed))
     upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("doc_order").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     taken = inside.withColumn("upto", upto).where("upto <= left").groupBy("source").agg(F.max("doc_order").alias("cut_doc"))
     edge = edge.select("source", F.col("order").alias("cut_order"))
     return cut(plan.join(edge, "source", "left").join(taken, "source", "left"), "plan")
 
 
+def _first_over(blocks: DataFrame) -> DataFrame:
+    """For each source the first block, by `order`, with which its running sum of tokens is more than `rest`: order, block and what is `left` for it.
+
+    Sums over 4,096 ranges of the order come first, so that only the blocks of one range of a source are sorted together.
+    """
+    upto = lambda order: F.sum("tokens").over(Window.partitionBy("source").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = blocks.withColumn("part", F.shiftright("order", 52))
+    runs = parts.groupBy("source", "part", "rest").agg(F.sum("tokens").alias("tokens")).withColumn("run", upto("part")).where("run > rest")
+    at = runs.groupBy("source").agg(F.min_by(F.struct("part", (F.col("run") - F.col("tokens")).alias("before")), "part").alias("p"))
+    near = parts.join(_sided(at.select("source", "p.part", "p.before")), ["source", "part"]).withColumn("run", F.col("before") + upto("order")).where("run > rest")
+    left = (F.col("rest") - F.col("run") + F.col("tokens")).alias("left")
+    return near.groupBy("source").agg(F.min_by(F.struct("order", "block", left), "order").alias("e")).select("source", "e.order", "e.block", "e.left")
+
+
 def _sided(small: DataFrame) -> DataFrame:
     """Broadcast a per-source table if its measured size is small; beyond that the join shuffles."""
     return F.broadcast(small) if small_enough(small, ["source"], BROADCAST_BYTES) else small
