@@ -6,10 +6,15 @@ SHA-512 value of the key, the kind, the round and the symbols of the other parit
 one pseudonym, whatever its separators or letter case, so documents stay linked; and since
 every round can be undone, different values of a kind keep different pseudonyms.
 
-Kinds: payment card numbers (13 to 19 digits, Luhn-valid; the check digit is made anew), dates
-(year-month-day, day/month/year, day.month.year that exist, of 73,000 days from 1900-01-01),
-phone numbers (the country code stays), social security numbers, IPv4 addresses, e-mail
-addresses (the local part) and hexadecimal secrets. What does not validate is left alone.
+Kinds: payment card numbers (13 to 19 digits, Luhn-valid; the check digit is made anew), bank account
+numbers (IBAN; country and length stay, check digits are made anew), dates that exist from 1900 to 2099
+(year-month-day, year/month/day, day/month/year, month/day/year where that alone exists,
+day.month.year; parts keep being padded or not, and a pseudonym may be as late as 2102), phone numbers (the country code stays),
+social security numbers, IPv4 addresses, e-mail addresses (the local part) and hexadecimal
+secrets. What does not validate is left alone. A date of which day and month may change places
+is read as day first; so may the pseudonym of one that was written month first.
+
+The key has no default: whoever has it can undo the permutation.
 
 Defined cases: null text stays null with no kinds; empty text stays empty. Rows repeat as they
 come. An empty table gives an empty table. Other columns are ignored.
@@ -21,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "set-a-secret-key-of-your-own"
 
 # Patterns of the kinds, in the order in which they are tried.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -29,14 +33,17 @@ PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9./\-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3]?[0-9]/[01]?[0-9]/(?:19|20)[0-9]{2}|[0-3]?[0-9]\.[01]?[0-9]\.(?:19|20)[0-9]{2})(?![0-9/\-]|\.[0-9])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?|[0-9A-Z]{11,30})(?![0-9A-Za-z])",
+    "date": r"(?<![0-9./\-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|(?:19|20)[0-9]{2}/[01]?[0-9]/[0-3]?[0-9]|[0-3]?[0-9]/[0-3]?[0-9]/(?:19|20)[0-9]{2}|[0-3]?[0-9]\.[01]?[0-9]\.(?:19|20)[0-9]{2})(?![0-9/\-]|\.[0-9])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9\-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])",
     "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,4}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,4}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])",
 }
 #: Values start where no letter or digit stands before, so that inside a word one look is enough.
 ANY = r"(?<![0-9A-Za-z])(?=[0-9A-Za-z+(])(?:" + "|".join(PATTERNS.values()) + ")"
-_FIRST_DAY, _DAYS, _HIGH, _LOW = "1900-01-01", 73_000, 250, 292
+_FIRST_DAY, _DAYS, _HIGH, _LOW = "1900-01-01", 74_000, 250, 296
+#: Country codes of phone numbers: those of one and two digits, and all others of three.
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
 def let(value: Column, body) -> Column:
@@ -50,15 +57,15 @@ def feistel(codes: Column, radix: Column, key: str, kind: str, rounds: int = ROU
     def step(radix: Column, now: Column, r: Column) -> Column:
         others = F.filter(now, lambda c, i: (i % 2) != (r % 2))
         said = F.concat_ws("|", F.lit(f"{key}|{kind}"), r.cast("string"), F.size(now).cast("string"), F.array_join(F.transform(others, lambda c: c.cast("string")), ","))
-        stream = F.concat(F.sha2(F.concat(said, F.lit("|a")), 512), F.sha2(F.concat(said, F.lit("|b")), 512))
+
+        def stream(said: Column) -> Column:
+            """Four hexadecimal digits for each symbol; a hash has 32 of them."""
+            blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(now) - 1) / 32).cast("int")))
+            return F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", said, b.cast("string")), 512)), "")
+
         return let(
-            stream,
-            lambda h: F.transform(
-                now,
-                lambda c, i: F.when(
-                    (i % 2) == (r % 2), F.pmod(c + F.conv(F.substring(h, F.pmod(i, F.lit(64)) * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.get(radix, i)).cast("int")
-                ).otherwise(c),
-            ),
+            let(said, stream),
+            lambda h: F.transform(now, lambda c, i: F.when((i % 2) == (r % 2), F.pmod(c + F.conv(F.substring(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.get(radix, i)).cast("int")).otherwise(c)),
         )
 
     return let(radix, lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), codes, lambda now, r: step(x, now, r)))
@@ -104,7 +111,7 @@ def _number(m: Column, key: str, kind: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(\-])", 0)
+    code = F.regexp_extract(m, _COUNTRY, 0)
     return F.concat(code, _number(F.substr(m, F.length(code) + 1), key, "phone"))
 
 
@@ -130,23 +137,56 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(_letters(local, key, "email", 26), F.substr(m, F.length(local) + 1))
 
 
-def _day(m: Column) -> Column:
-    """Days from the first day of the window; null for what isn't a date of it."""
-    sep = F.regexp_extract(m, "[-./]", 0)
-    parts = F.split(m, "[-./]")
+def _days(year: Column, month: Column, day: Column) -> Column:
+    """Days from the first day of the window; null for what isn't a date of 1900 to 2099."""
+    date = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    found = F.datediff(date, F.lit(_FIRST_DAY).cast("date"))
+    return F.when(found.between(0, _DAYS - 1), found)
+
+
+def _read_date(m: Column) -> Column:
+    """Struct of the day's number, null for what isn't a date, and the format that the match has."""
+    parts, sep = F.split(m, "[-./]"), F.regexp_extract(m, "[-./]", 0)
     a, b, c = (F.get(parts, F.lit(k)) for k in range(3))
-    iso = F.when(sep == "-", F.concat_ws("-", a, F.lpad(b, 2, "0"), F.lpad(c, 2, "0"))).otherwise(F.concat_ws("-", c, F.lpad(b, 2, "0"), F.lpad(a, 2, "0")))
-    day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(_FIRST_DAY).cast("date"))
-    return F.when(day.between(0, _DAYS - 1), day)
+    year_first, slash = F.length(a) == 4, sep == "/"
+    day_first, month_first = _days(c, b, a), F.when(slash, _days(c, a, b))
+    short = F.when(year_first, (F.length(b) < 2) | (F.length(c) < 2)).otherwise((F.length(a) < 2) | (F.length(b) < 2))
+    day, month = F.when(short, "d").otherwise("dd"), F.when(short, "M").otherwise("MM")
+    order = F.when(year_first, F.concat_ws(",", F.lit("yyyy"), month, day)).when(day_first.isNotNull(), F.concat_ws(",", day, month, F.lit("yyyy"))).otherwise(F.concat_ws(",", month, day, F.lit("yyyy")))
+    return F.struct(F.when(year_first, _days(a, b, c)).otherwise(F.coalesce(day_first, month_first)).alias("day"), F.replace(order, F.lit(","), sep).alias("format"))
 
 
 def _date(m: Column, key: str) -> Column:
-    def shown(new: Column) -> Column:
+    def shown(new: Column, how: Column) -> Column:
         date = F.date_add(F.lit(_FIRST_DAY).cast("date"), F.get(new, F.lit(0)) * _LOW + F.get(new, F.lit(1)))
-        return F.when(F.contains(m, F.lit("-")), F.date_format(date, "yyyy-MM-dd")).when(F.contains(m, F.lit("/")), F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "dd.MM.yyyy"))
+        shown = F.lit(None).cast("string")
+        for style in ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy/M/d", "dd/MM/yyyy", "d/M/yyyy", "MM/dd/yyyy", "M/d/yyyy", "dd.MM.yyyy", "d.M.yyyy"):
+            shown = F.when(how == style, F.date_format(date, style)).otherwise(shown)
+        return shown
+
+    halves = lambda day: F.array((day / _LOW).cast("int"), F.pmod(day, F.lit(_LOW)).cast("int"))
+    return let(_read_date(m), lambda d: let(feistel(halves(d["day"]), F.array(F.lit(_HIGH), F.lit(_LOW)), key, "date"), lambda new: shown(new, d["format"])))
+
+
+def mod_97(text: Column) -> Column:
+    """The number that the letters (A is 10) and digits of `text` spell, modulo 97."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda now, c: F.when(c.rlike("[0-9]"), (now * 10 + c.cast("int")) % 97).otherwise((now * 100 + F.ascii(c) - 55) % 97))
+
+
+def _iban(m: Column, key: str) -> Column:
+    body = _letters(F.substr(m, F.lit(5)), key, "iban", 26)
+
+    def checked(new: Column) -> Column:
+        plain = F.concat(F.regexp_replace(new, " ", ""), F.substring(m, 1, 2), F.lit("00"))
+        return F.concat(F.substring(m, 1, 2), F.lpad((98 - mod_97(plain)).cast("string"), 2, "0"), new)
+
+    return let(body, checked)
+
 
-    halves = let(_day(m), lambda day: F.array((day / _LOW).cast("int"), F.pmod(day, F.lit(_LOW)).cast("int")))
-    return let(feistel(halves, F.array(F.lit(_HIGH), F.lit(_LOW)), key, "date"), shown)
+def _good_iban(m: Column) -> Column:
+    plain = F.regexp_replace(m, " ", "")
+    return F.length(plain).between(15, 34) & (mod_97(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))) == 1)
 
 
 def kind_of(m: Column) -> Column:
@@ -154,7 +194,7 @@ def kind_of(m: Column) -> Column:
     whole = {k: m.rlike(rf"^(?:{p})$") for k, p in PATTERNS.items()}
     good_card = let(_ints(_digits(m)), luhn_sum) % 10 == 0
     return (
-        F.when(whole["email"], "email").when(whole["ip"], "ip").when(whole["date"], F.when(_day(m).isNotNull(), "date"))
+        F.when(whole["email"], "email").when(whole["ip"], "ip").when(whole["iban"] & ~whole["secret"], F.when(_good_iban(m), "iban")).when(whole["date"], F.when(_read_date(m)["day"].isNotNull(), "date"))
         .when(whole["card"] & ~whole["secret"], F.when(good_card, "card"))
         .when(whole["phone"], "phone").when(whole["ssn"], "ssn")
         .when(whole["secret"], F.when(m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), "secret"))
@@ -163,12 +203,12 @@ def kind_of(m: Column) -> Column:
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return (
-        F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).when(kind == "card", _card(m, key))
+        F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).when(kind == "card", _card(m, key)).when(kind == "iban", _iban(m, key))
         .when(kind == "phone", _phone(m, key)).when(kind == "ssn", _number(m, key, "ssn")).when(kind == "secret", _letters(m, key, "secret", 6)).otherwise(m)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with pseudonyms, kinds (of the values replaced, in order) and n_replaced."""
     text = docs["text"].cast("string")
     found = docs.select(

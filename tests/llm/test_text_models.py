@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -37,14 +38,69 @@ def test_template_that_the_shortest_page_lacks(spark):
     assert all(got[200 + k] == "First 7\nSecond 7\nSubscribe to us now\nThird 7" for k in range(9))
 
 
-def test_copies_of_the_reference_are_no_evidence():
-    source = PAGE.replace("{n}", "1")
-    blocks, says = html_wrapper.content_blocks(source, html_wrapper.Matcher(html_wrapper.parse(source)))
-    assert not says and all(same for _, _, same in blocks)
+def texts(source):
+    return [b[0] for b in html_wrapper.content_blocks(source, None)]
 
 
 def test_deep_markup_is_read():
-    assert [b[0] for b in html_wrapper.content_blocks("<div>" * 3000 + "deep" + "</div>" * 3000, None)[0]] == ["deep"]
+    assert texts("<div>" * 3000 + "deep" + "</div>" * 3000) == ["deep"]
+
+
+ARTICLE = "<article><h1>T</h1><p>Body text one.</p><p>Two.</p></article>"
+BODY = ["T", "Body text one.", "Two."]
+
+
+def test_names_do_not_rule_out_what_holds_the_article():
+    for page in (
+        f'<nav>m</nav><div class="layout has-sidebar">{ARTICLE}</div>', f'<div id="page" class="no-sidebar">{ARTICLE}</div>', f'<div class="header">{ARTICLE}</div>', f"<form>{ARTICLE}</form>",
+        f"<button>Menu{ARTICLE}", f"<svg><path d=x>{ARTICLE}", f'<div class="cookie-banner">We use</div>{ARTICLE}<div class="share-buttons"><a>x</a></div>',
+        f'{ARTICLE}<div id="comments"><article class="comment"><p>{"I say " * 50}</p></article></div>', f'{ARTICLE}<section class="comments"><article><p>{"I say " * 50}</p></article></section>',
+        f'<main>{ARTICLE}</main><aside><article><p>{"teaser " * 50}</p></article></aside>', f'<div hidden>{"x " * 300}</div>{ARTICLE}', f'<main>{ARTICLE}<ul class="links"><li><a>More of this</a></ul></main>',
+    ):
+        assert texts(page) == BODY, page
+    assert texts('<article><div class="post-header"><h1>Title</h1></div><p>x y</p></article>') == ["Title", "x y"]
+    assert texts('<article><p class="search-term">kept</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>') == ["kept", "So x=2 holds."]
+    assert texts("<main><article><p>First long text.</p></article><article><p>Second.</p></article></main>") == ["First long text.", "Second."]
+    assert texts('<article><p title="abc>First</p><p>Sec <a href="x">l</a></p></article>') == ["First", "Sec l"]
+    assert texts('<article><p title="a > b <c>">First</p></article>') == ["First"]
+    assert texts("<form><p>Long text of a page in a form, as some are.</p><input></form><footer>f</footer>") == ["Long text of a page in a form, as some are."]
+
+
+LAYOUTS = "<div><div>Site words</div><div>{n} is what it says first, number {n}.</div>{promo}<div>{n} ends here, after {n}.</div></div>"
+
+
+def layout_rows(promo):
+    return [(k, f"https://c.example/{k}", LAYOUTS.format(n=f"Page {k}", promo=promo if k % 10 < 4 else "")) for k in range(40)]
+
+
+def test_alignment_finds_what_one_layout_repeats(spark, monkeypatch):
+    """Without an article only what varies is content; the promotion stands on four pages of ten."""
+    df = spark.createDataFrame(layout_rows("<div><p>Buy our book today</p></div>"), "page_id long, url string, html string")
+    want = {k: f"Page {k} is what it says first, number Page {k}.\nPage {k} ends here, after Page {k}." for k in range(40)}
+    assert {r["page_id"]: r["text"] for r in html_wrapper.extract_main_text(df).collect()} == want
+    none = spark.createDataFrame([], "host string, reference string")
+    monkeypatch.setattr(html_wrapper, "wrappers", lambda pages: none)
+    off = {r["page_id"]: r["text"] for r in html_wrapper.extract_main_text(df).collect()}
+    assert off[0] == want[0].replace("\n", "\nBuy our book today\n") and off[9] == want[9]
+
+
+def test_wrapper_has_the_slots_of_all_layouts():
+    pages = [LAYOUTS.format(n=k, promo=p) for k, p in enumerate(("", "<div><p>Buy</p></div>", "", "<ul><li>one<li>two</ul>", ""))]
+    wrapper = html_wrapper.grown(pages)
+    assert [x.text for x in html_wrapper.leaves(wrapper)].count("Site words") == 1
+    assert {"Buy", "one", "two"} <= {x.text for x in html_wrapper.leaves(wrapper)} and len(html_wrapper.leaves(wrapper)) == 6
+    again = html_wrapper.unpacked(html_wrapper.packed(wrapper))
+    assert [x.text for x in html_wrapper.leaves(again)] == [x.text for x in html_wrapper.leaves(wrapper)]
+    slots = [dict(html_wrapper.content_blocks(p, html_wrapper.Matcher(again))) for p in pages]
+    assert len({s["Site words"] for s in slots}) == 1 and slots[1]["Buy"] not in slots[0].values() and all(x >= 0 for s in slots for x in s.values())
+
+
+def test_repeated_rows_long_pages_and_ties(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {k} of many.</p>" for k in range(20_000)) + "</article>"
+    rows = [(1, "https://a.example/1", long), (1, "https://a.example/1", long), (2, None, "<p>alone</p>"), *((10 + k, "https://t.example/x", f"<p>{k} same length</p><p>Common line</p>") for k in range(6))]
+    got = [(r["page_id"], r["text"]) for r in html_wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(got) == len(rows) and sum(t == "\n".join(f"Paragraph {k} of many." for k in range(20_000)) for p, t in got if p == 1) == 2
+    assert sorted(t for p, t in got if p >= 10) == [f"{k} same length" for k in range(6)] and dict(got)[2] == "alone"
 
 
 def test_pages_of_the_driver(spark, sf):
@@ -94,11 +150,69 @@ def test_feistel_is_a_permutation(spark):
     assert len(got) == 1000 and all(0 <= a < 25 and 0 <= b < 40 for a, b in got)
 
 
+def plain_feistel(codes, radix, key, kind):
+    codes = list(codes)
+    for r in range(pii.ROUNDS):
+        others = ",".join(str(c) for i, c in enumerate(codes) if i % 2 != r % 2)
+        said = f"{key}|{kind}|{r}|{len(codes)}|{others}"
+        stream = "".join(hashlib.sha512(f"{said}|{b}".encode()).hexdigest() for b in range(max(0, (len(codes) - 1) // 32) + 1))
+        codes = [(c + int(stream[4 * i : 4 * i + 4], 16)) % m if i % 2 == r % 2 else c for i, (c, m) in enumerate(zip(codes, radix, strict=True))]
+    return codes
+
+
+def test_feistel_against_plain_python(spark):
+    draw = np.random.default_rng(2)
+    rows = [([int(x) for x in draw.integers(0, 7, n)], [int(x) for x in draw.integers(7, 300, n)]) for n in (0, 1, 2, 3, 31, 32, 33, 64, 130) for _ in range(3)]
+    df = spark.createDataFrame(rows, "codes array<int>, radix array<int>").select("codes", "radix", pii.feistel(F.col("codes"), F.col("radix"), "k", "t").alias("made"))
+    for r in df.collect():
+        assert r["made"] == plain_feistel(r["codes"], r["radix"], "k", "t")
+    first = [plain_feistel([5] * 130, [1000] * 130, "k", "t")[i] for i in (0, 64, 128)]
+    assert len(set(first)) == 3  # the stream doesn't repeat
+
+
+def test_pseudonyms_against_plain_python(spark):
+    import datetime
+
+    day0 = datetime.date(1900, 1, 1)
+
+    def date(y, m, d):
+        n = (datetime.date(y, m, d) - day0).days
+        a, b = plain_feistel([n // pii._LOW, n % pii._LOW], [pii._HIGH, pii._LOW], "k", "date")
+        return day0 + datetime.timedelta(days=a * pii._LOW + b)
+
+    new = date(2001, 2, 1)
+    got = [t.split() for t, _ in pseudo(spark, "2001-02-01 2001/02/01 2001/2/1 01/02/2001 1/2/2001 01.02.2001 1.2.2001", "12/25/2001 2099-12-01 31/12/2099 13/13/2001 2001-02-30 2/29/2001")]
+    assert got[0] == [f"{new:%Y-%m-%d}", f"{new:%Y/%m/%d}", f"{new.year}/{new.month}/{new.day}", f"{new:%d/%m/%Y}", f"{new.day}/{new.month}/{new.year}", f"{new:%d.%m.%Y}", f"{new.day}.{new.month}.{new.year}"]
+    assert got[1] == [f"{date(2001, 12, 25):%m/%d/%Y}", f"{date(2099, 12, 1):%Y-%m-%d}", f"{date(2099, 12, 31):%d/%m/%Y}", "13/13/2001", "2001-02-30", "2/29/2001"]
+    digits = lambda s: [int(c) for c in s if c.isdigit()]
+    ten = lambda s, kind: "".join(map(str, plain_feistel(digits(s), [10] * len(digits(s)), "k", kind)))
+    phones = pseudo(spark, "+14155550100, +1 415 555 0100, +1-415-555-0100, (415) 555-0100, 415-555-0100; +49 30 1234 5678 +493012345678")[0][0]
+    p, q = ten("4155550100", "phone"), ten("3012345678", "phone")
+    assert phones == f"+1{p}, +1 {p[:3]} {p[3:6]} {p[6:]}, +1-{p[:3]}-{p[3:6]}-{p[6:]}, ({p[:3]}) {p[3:6]}-{p[6:]}, {p[:3]}-{p[3:6]}-{p[6:]}; +49 {q[:2]} {q[2:6]} {q[6:]} +49{q}"
+    s = ten("123-45-6789", "ssn")
+    assert pseudo(spark, "ssn 123-45-6789.")[0] == (f"ssn {s[:3]}-{s[3:5]}-{s[5:]}.", ["ssn"])
+    card = ten("453914880343646", "card")
+    assert pseudo(spark, "4539 1488 0343 6467")[0][0].replace(" ", "")[:15] == card
+    ip = ".".join(map(str, plain_feistel([1, 43, 173, 185], [256] * 4, "k", "ip")))
+    assert pseudo(spark, "at 1.43.173.185")[0][0] == f"at {ip}"
+
+
+def test_bank_accounts_stay_valid(spark):
+    def valid(s):
+        plain = s.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+    a, b, bad = pseudo(spark, "DE89370400440532013000 GB29 NWBK 6016 1331 9268 19", "GB29NWBK60161331926819 and DE89 3704 0044 0532 0130 00", "DE88370400440532013000")
+    de, gb = a[0].split(" ", 1)
+    assert valid(de) and valid(gb) and de[:2] == "DE" and gb[:2] == "GB" and de != "DE89370400440532013000" and len(de) == 22 and a[1] == ["iban", "iban"]
+    assert b[0] == f"{gb.replace(' ', '')} and " + " ".join(de[k : k + 4] for k in range(0, 22, 4)) and bad[1] == []
+
+
 def test_pii_leaves_clean_text_and_edges(spark, edge, empty):
     clean = "version 3.0 of 12 items, 1234567890123456 and 10:30 on page 5/6"
     assert pseudo(spark, clean, "", "$1 \\1 a") == [(clean, []), ("", []), ("$1 \\1 a", [])]
-    rows = pii.pseudonymise(edge).collect()
-    assert len(rows) == edge.count() and sum(r["text"] is None for r in rows) == 3 and pii.pseudonymise(empty).count() == 0
+    rows = pii.pseudonymise(edge, 'k').collect()
+    assert len(rows) == edge.count() and sum(r["text"] is None for r in rows) == 3 and pii.pseudonymise(empty, 'k').count() == 0
 
 
 # Quality.
@@ -177,6 +291,41 @@ def test_mix_in_small_blocks_keeps_all(spark):
     assert 2.3 < small / (200 * 20) <= 2.5
 
 
+def test_last_epochs_against_a_plain_walk(spark):
+    """Which blocks and documents fill the last part of an epoch, from the orders of all of them."""
+    rows = [(k, "w " * (k * 7 % 23), "a" if k % 3 else "b") for k in range(900)] + [(900 + k, "w", "c") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {"entropy_share": 0.99, "repeat_limit": 6.0, "block_tokens": 300, "seed": 5}
+    keys = docs.select("source", "doc_id", mixing.n_tokens(F.col("text")).alias("tokens"))
+    plan = {r["source"]: r for r in mixing.plan_sources(keys, **target).collect()}
+    want = set()
+    for source, p in plan.items():
+        mine = keys.where(F.col("source") == source).withColumn("block", mixing.block_of(F.col("doc_id"), F.lit(p["n_blocks"]), 5))
+        mine = mine.withColumn("b", mixing.block_order(F.col("source"), F.col("block"), F.lit(p["epochs"]), 5)).withColumn("d", mixing.doc_order(F.col("doc_id"), F.lit(p["epochs"]), 5)).collect()
+        want |= {(r["doc_id"], e) for r in mine for e in range(p["epochs"])}
+        blocks, left = {}, p["budget"] - p["epochs"] * sum(r["tokens"] for r in mine)
+        if left <= 0:
+            continue
+        for r in mine:
+            blocks.setdefault(r["b"], []).append(r)
+        for b in sorted(blocks):
+            size = sum(r["tokens"] for r in blocks[b])
+            if size <= left:
+                left -= size
+                want |= {(r["doc_id"], p["epochs"]) for r in blocks[b]}
+                continue
+            some, upto = [r for r in sorted(blocks[b], key=lambda r: r["d"]) if r["tokens"]], []
+            for r in some:
+                if sum(x["tokens"] for x in upto) + r["tokens"] > left:
+                    break
+                upto.append(r)
+            if upto:
+                want |= {(r["doc_id"], p["epochs"]) for r in blocks[b] if r["d"] <= upto[-1]["d"]}
+            break
+    got = {(r["doc_id"], r["epoch"]) for r in mixing.mix(docs, **target).collect()}
+    assert got == want and len(plan) == 3 and any(p["rest"] > 0 for p in plan.values())
+
+
 def test_mix_edges(edge, empty):
     out = mixing.mixed_documents(edge, entropy_share=0.9, repeat_limit=2.0, keep_all=True)
     assert out.columns == edge.columns and {r["doc_id"] for r in out.collect()} == {None, *range(1, 12)}
@@ -186,53 +335,102 @@ def test_mix_edges(edge, empty):
 # Language model.
 
 
-def test_network_learns_word_order(spark, docs):
+def leaves(model, text):
+    return lm_score.leaves_of(lm_score.Reader(model.vocabulary)(lm_score.words_of(text)), len(model.vocabulary))
+
+
+def plain_pll(model, ids):
+    """The sum of log-probabilities, place by place."""
+    net, total = model.net, 0.0
+    size = net.bias.shape[1]
+    for k, target in enumerate(ids):
+        h = net.shift.astype(float)
+        for s, side in zip(lm_score.SIDES, net.sides, strict=True):
+            h = h + side[ids[k + s] if 0 <= k + s < len(ids) else net.edge]
+        h = np.tanh(h)
+        for logits, at in ((net.top.astype(float) @ h + net.top_bias, target // size), (net.out[target // size].astype(float) @ h + net.bias[target // size], target % size)):
+            total += logits[at] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+    return total
+
+
+def test_network_learns_word_order(spark):
     draw = np.random.default_rng(0)
     words = [f"t{k}" for k in range(30)]
     good = [" ".join(words[(s + k) % 30] for k in range(200)) for s in draw.integers(0, 30, 80)]
     bad = [" ".join(draw.choice(words, 200)) for _ in range(5)]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(good * 6)], "doc_id long, text string").repartition(1)
-    vocabulary, net = lm_score.train(df)
-    both = spark.createDataFrame([(0, good[0]), *((k + 1, t) for k, t in enumerate(bad))], "doc_id long, text string")
-    scored = {r["doc_id"]: r["pll_per_token"] for r in lm_score.pseudo_likelihoods(both, vocabulary, net).collect()}
-    assert all(scored[0] > scored[k] + 0.3 for k in range(1, 6))
-
-
-def test_scores_are_sums_of_log_probabilities(spark, docs):
-    vocabulary, net = lm_score.train(docs)
-    read, size = lm_score.Reader(vocabulary), len(net.bias)
-    got = {r["doc_id"]: r for r in lm_score.pseudo_likelihoods(docs, vocabulary, net).collect()}
-    for r in docs.limit(5).collect():
-        ids = read(r["text"]).tolist()
-        total = 0.0
-        for k, target in enumerate(ids):
-            h = net.shift.astype(float)
-            for s, side in zip(lm_score.SIDES, net.sides, strict=True):
-                h = h + side[ids[k + s] if 0 <= k + s < len(ids) else size]
-            logits = net.out.astype(float) @ np.tanh(h) + net.bias
-            total += logits[target] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
-        assert abs(got[r["doc_id"]]["pll"] - total) < 1e-3 * max(1, abs(total))
-
-
-def test_training_reads_every_place_whatever_the_files(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(good * 6)], "doc_id long, text string")
+    model = lm_score.fit(df)
+    scored = lm_score.class_scores(model.net, [leaves(model, t) for t in (good[0], *bad)]) / 200
+    assert all(scored[0] > x + 0.3 for x in scored[1:])
+
+
+def test_scores_are_sums_of_log_probabilities(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "LEAST", 20)
+    monkeypatch.setattr(lm_score, "STEPS", 5)
+    model = lm_score.fit(docs)
+    assert len(model.vocabulary) > 100 and len(model.net.top) > 10
+    counts = {}
+    for r in docs.collect():
+        for w in lm_score.words_of(r["text"]):
+            counts[w] = counts.get(w, 0) + 1
+    assert set(model.vocabulary) == {w for w, n in counts.items() if n >= 20}
+    totals = {}
+    for w, n in counts.items():
+        if n < 20:
+            totals[lm_score.bucket_of(w)] = totals.get(lm_score.bucket_of(w), 0) + n
+    monkeypatch.setattr(lm_score, "fit", lambda docs: model)
+    for held in (0, 50, 100_000):
+        got = {r["doc_id"]: r for r in lm_score.score_documents(docs, held=held).collect()}
+        for r in docs.orderBy(F.length("text")).limit(12).collect():
+            words = lm_score.words_of(r["text"])
+            want = plain_pll(model, leaves(model, r["text"]).tolist()) + sum(math.log(counts[w] / totals[lm_score.bucket_of(w)]) for w in words if counts[w] < 20)
+            assert abs(got[r["doc_id"]]["pll"] - want) < 1e-3 * max(1, abs(want)) and got[r["doc_id"]]["n_tokens"] == len(words)
+
+
+def test_steps_follow_the_gradient():
+    """Adagrad's first step moves every weight against the sign of a plain derivative."""
+    draw = np.random.default_rng(1)
+    net = lm_score.Network.new(draw.integers(1, 9, 20), 3)
+    ids = draw.integers(0, 20, 60)
+    context = lm_score.windows(ids, net.edge)
+    before, loss = net.filled(net.flat()), lambda n: -n.log_probabilities(context, ids).astype(float).mean()
+    lm_score.Adagrad(net).step(context, ids)
+    assert loss(net) < loss(before)
+    moved = net.flat() - before.flat()
+    for k in draw.choice(len(moved), 40, replace=False).tolist():
+        flat = before.flat().astype(float)
+        slopes = []
+        for e in (1e-2, -1e-2):
+            flat[k] += e
+            slopes.append(loss(before.filled(flat)))
+            flat[k] -= e
+        slope = (slopes[0] - slopes[1]) / 2e-2
+        assert abs(slope) < 1e-4 or np.sign(moved[k]) == -np.sign(slope)
+
+
+def test_training_reads_every_place_whatever_the_files(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "STEPS", 20)
     rows = [(k, " ".join(f"t{(k * 7 + j) % 20}" for j in range(k % 13))) for k in range(300)]
     df, tokens = spark.createDataFrame(rows, "doc_id long, text string"), sum(k % 13 for k in range(300))
-    a, b = lm_score.train(df.repartition(1)), lm_score.train(df.repartition(7))
-    assert a[0] == b[0] and np.allclose(a[1].flat(), b[1].flat(), atol=1e-5)
-    assert lm_score._trained(df, a[0], a[1], tokens)[1] == tokens
-    assert lm_score.shards_of(10 * lm_score.SHARD) == (10, 1) and lm_score.shards_of(tokens)[0] == 1
+    a, b = lm_score.fit(df.repartition(1)), lm_score.fit(df.repartition(7))
+    assert a.vocabulary == b.vocabulary and np.allclose(a.net.flat(), b.net.flat(), atol=1e-5)
+    assert lm_score._trained(df, a.vocabulary, a.net, tokens)[1] == tokens
+    assert lm_score.shards_of(10 * lm_score.SHARD) == (10, 1) and lm_score.shards_of(tokens)[0] == 1 and lm_score.shards_of(10**15)[0] == lm_score.SHARDS
 
 
-def test_words_of_a_bucket_are_not_interchangeable(spark):
-    common = " ".join(f"w{k} w{k} w{k} w{k}" for k in range(lm_score.WORDS))
+def test_words_of_a_bucket_are_not_interchangeable(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "LEAST", 4)
+    monkeypatch.setattr(lm_score, "STEPS", 20)
+    common = " ".join(f"w{k} w{k} w{k} w{k}" for k in range(50))
     rows = [(0, f"{common} xxing"), (1, f"{common} yying"), *((k, "yying") for k in range(2, 4))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for held in (1, 1000):
+    for held in (0, 1, 1000):
         got = {r["doc_id"]: r["pll"] for r in lm_score.score_documents(df, held=held).collect()}
         assert abs(got[1] - got[0] - math.log(3)) < 1e-6
 
 
-def test_lm_edges(edge, empty):
+def test_lm_edges(edge, empty, monkeypatch):
+    monkeypatch.setattr(lm_score, "STEPS", 20)
     rows = lm_score.score_documents(edge).collect()
     assert len(rows) == edge.count() and all(r["pll"] == 0 and r["pll_per_token"] is None for r in rows if r["n_tokens"] == 0)
     assert lm_score.score_documents(empty).count() == 0
