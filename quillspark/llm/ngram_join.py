@@ -42,6 +42,8 @@ from quillspark.llm.common import components, cut, met_by_key, release
 
 #: Members of a block and the tokens of their sets (one set more at most); a task compares two blocks at most.
 BLOCK, BLOCK_TOKENS = 512, 250_000
+#: Bytes of places that may go to every task.
+BROADCAST_BYTES = 64 << 20
 #: Blocks' worth of members whose order is settled together when a bucket is dealt.
 DEAL = 16
 #: Class bounds as multiples of the prefix share 1 - t.
@@ -266,14 +268,17 @@ def _edges(docs: list, edges: list[tuple[int, int]]) -> pa.RecordBatch | None:
 def _links(places: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Spanning links (a, b) of all blocks of `places` (token, block, doc_id), on whole sets made of the texts (doc_id, text).
 
-    A text meets the list of its places once, and its set moves once to each.
+    A text meets the list of its places once, and its set moves once to each. Where the counted places
+    are few, they go to the texts, so that no text moves.
     """
 
     def work(key, docs, sets):
         return _edges(docs, links(sets, percent))
 
+    places = cut(places, "places")
     per_node = places.groupBy("doc_id").agg(F.collect_set(F.struct("token", "block")).alias("at"))
-    met = shingle_sets(texts.join(per_node.hint("merge"), "doc_id").select("doc_id", "text", "at"), words)
+    small = places.count() * 64 <= BROADCAST_BYTES  # a place takes 16 bytes, a node 8 and what holds them
+    met = shingle_sets(texts.join(F.broadcast(per_node) if small else per_node.hint("merge"), "doc_id").select("doc_id", "text", "at"), words)
     return _by_block(met.withColumn("at", F.explode("at")).select("at.token", "at.block", "doc_id", "toks"), ["doc_id", "toks"], work, "a long, b long")
 
 
@@ -406,16 +411,18 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80, frequ
 
 def _prefixes(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = pa.list_(pa.int64())
+        kinds = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())
         for batch in _small(batches):
             pairs = batch.column(4)
             flat, offsets = pairs.flatten(), pairs.offsets.to_numpy()
             tokens, df = (c.to_numpy() for c in flat.flatten())
             at = offsets - offsets[0]
             out = [choose_prefixes(tokens[a:b], df[a:b], m, n, percent, frequent) for a, b, n, m in zip(at, at[1:], batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([o[k] for o in out], many) for k in range(3))], ["doc_id", "tag", "n", "first", "second", "third"])
+            # Of the second and third prefixes half of each hash is enough: what coincides is verified.
+            short = [(a, *(np.unique(x.view(np.int32)[::2]) for x in (b, c))) for a, b, c in out]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([o[k] for o in short], kinds[k]) for k in range(3))], ["doc_id", "tag", "n", "first", "second", "third"])
 
-    return shared.select("doc_id", "tag", "n", "m", "shared").mapInArrow(run, "doc_id long, tag int, n long, first array<long>, second array<long>, third array<long>")
+    return shared.select("doc_id", "tag", "n", "m", "shared").mapInArrow(run, "doc_id long, tag int, n long, first array<long>, second array<int>, third array<int>")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
