@@ -74,10 +74,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Rows that repeat both doc_id and text collapse to one. The decision table has ids only;
     texts move once, to meet it by doc_id.
     """
-    found = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_keep_sha")).distinct()
-    mine = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_id"), F.sha2(text_of(docs), 256).alias("_sha"))
-    stay = mine.join(found, mine["_id"].eqNullSafe(found["_keep"]) & (mine["_sha"] == found["_keep_sha"]), "left_semi")
-    return stay.dropDuplicates(["_id", "_sha"]).select("_row.*")
+    key = lambda doc, sha: F.concat_ws(":", sha, doc.cast("string"))  # noqa: E731  without an end where there is no doc_id
+    found = exact_groups(docs).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    mine = docs.select(F.struct("*").alias("_row"), key(docs["doc_id"].cast("long"), F.sha2(text_of(docs), 256)).alias("_key"))
+    # One partitioning serves the join and the repetitions.
+    return mine.join(found, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 SQL = """
