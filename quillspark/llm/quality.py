@@ -159,15 +159,19 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 0) -> RuleModel:
     clipped = np.clip(x, low, high)
     spread = clipped.std(0)
     usable = np.flatnonzero(spread > 1e-9)
-    # Features on a common scale; a rule's is its support's spread.
+    # Features on a common scale, made in place; a rule's is its support's spread.
+    r = len(unique)
     scale = np.concatenate([[max(1e-3, c.std()) for _, c in unique], spread[usable] / 0.4])
-    raw = np.concatenate([np.stack([c for _, c in unique], 1).astype(np.float64), clipped[:, usable]], 1) if unique else clipped[:, usable]
-    middle = raw.mean(0)
-    z = (raw - middle) / scale
+    z = np.empty((len(x), len(scale)), np.float32)
+    for k, (_, column) in enumerate(unique):
+        z[:, k] = column
+    z[:, r:] = clipped[:, usable]
+    middle = z.mean(0, dtype=np.float64)
+    z -= middle.astype(np.float32)
+    z /= scale.astype(np.float32)
     weights, bias = _lasso(z, y)
     weights = weights / scale
     bias = float(bias - (weights * middle).sum())
-    r = len(unique)
     return RuleModel(
         bias,
         [(tests, float(w)) for (tests, _), w in zip(unique, weights[:r], strict=True) if w],
@@ -178,7 +182,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 0) -> RuleModel:
 def _lasso(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic loss with an L1 penalty, by accelerated proximal steps."""
     n, k = z.shape
-    vector = np.random.default_rng(1).normal(size=k)
+    vector = np.random.default_rng(1).normal(size=k).astype(z.dtype)
     for _ in range(30):
         vector = z.T @ (z @ vector)
         vector /= np.linalg.norm(vector) or 1
@@ -186,8 +190,8 @@ def _lasso(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     w, b, v, vb, t = np.zeros(k), math.log(y.mean() / (1 - y.mean())), np.zeros(k), 0.0, 1.0
     vb = b
     for _ in range(STEPS):
-        residual = 1 / (1 + np.exp(-(z @ v + vb))) - y
-        new = v - size * (z.T @ residual) / n
+        residual = 1 / (1 + np.exp(-((z @ v.astype(z.dtype)).astype(np.float64) + vb))) - y
+        new = v - size * (z.T @ residual.astype(z.dtype)).astype(np.float64) / n
         new = np.sign(new) * np.maximum(np.abs(new) - size * PENALTY, 0)
         nb = vb - size * residual.mean()
         nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
