@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import cut
 
 #: Occurrences that give a word a leaf of its own, leaves of words at most, buckets, and the width of the network.
-LEAST, MOST_WORDS, BUCKETS, WIDTH = 400, 2000, 256, 16
+LEAST, MOST_WORDS, BUCKETS, WIDTH = 400, 1000, 256, 16
 SIDES = (-2, -1, 1, 2)
 #: Tokens a shard, shards at most (beyond, they grow), places a step, and the steps a shard takes at least.
 SHARD, SHARDS, BATCH, RATE, STEPS = 4_000_000, 4096, 8192, 0.15, 450
@@ -80,9 +80,11 @@ def leaves_of(numbers: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.where(numbers >= 0, numbers, vocabulary + ~numbers)
 
 
-def _log_softmax(rows: np.ndarray) -> np.ndarray:
+def _log_share(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of one place of each row; the rows are used up."""
     rows -= rows.max(1, keepdims=True)
-    return rows - np.log(np.exp(rows).sum(1, keepdims=True))
+    own = rows[np.arange(len(at)), at]
+    return own - np.log(np.exp(rows, out=rows).sum(1))
 
 
 def _by_cluster(cluster: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -146,11 +148,15 @@ class Network:
         cluster, leaf = np.divmod(target, self.bias.shape[1])
         for k in range(0, len(target), _SLICE):
             here = cluster[k : k + _SLICE]
-            out[k : k + _SLICE] = _log_softmax(h[k : k + _SLICE] @ self.top.T + self.top_bias)[np.arange(len(here)), here]
+            logits = h[k : k + _SLICE] @ self.top.T
+            logits += self.top_bias
+            out[k : k + _SLICE] = _log_share(logits, here)
         for c, at in _by_cluster(cluster):
             for k in range(0, len(at), _SLICE):
                 mine = at[k : k + _SLICE]
-                out[mine] += _log_softmax(h[mine] @ self.out[c].T + self.bias[c])[np.arange(len(mine)), leaf[mine]]
+                logits = h[mine] @ self.out[c].T
+                logits += self.bias[c]
+                out[mine] += _log_share(logits, leaf[mine])
         return out
 
 
