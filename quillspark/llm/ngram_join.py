@@ -42,7 +42,7 @@ from quillspark.llm.common import components, cut, met_by_key, release
 
 #: Members of a block and the tokens of their sets (one set more at most); a task compares two blocks at most.
 BLOCK, BLOCK_TOKENS = 512, 250_000
-#: Bytes of places that may go to every task.
+#: Bytes of places or row numbers that may go to every task.
 BROADCAST_BYTES = 64 << 20
 #: Blocks' worth of members whose order is settled together when a bucket is dealt.
 DEAL = 16
@@ -348,6 +348,12 @@ def _joined_in_blocks(buckets: DataFrame, label: str, compare) -> DataFrame:
     return edges.union(cut(compare(paired_blocks(cut(known, "known"))), label))
 
 
+def _of_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of `table` whose number is in `rows`. Few numbers, by their count, go to every task, so that no token moves."""
+    few = rows.count() * 16 <= BROADCAST_BYTES
+    return table.join(F.broadcast(rows) if few else rows, "row", "left_semi")
+
+
 def _shared(spread: DataFrame) -> DataFrame:
     """row and the tokens of its set that others have too, with the number of sets; of `spread` (row, token)."""
     frequency = spread.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
@@ -363,7 +369,7 @@ def counted_tokens(nodes: DataFrame, percent: int, frequent: int) -> DataFrame:
     full = of_first - F.size(F.filter(shared, lambda t: t["df"] > frequent)) >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     met = nodes.select("row", "doc_id", "tag", "n", "m").join(first.hint("merge"), "row", "left").withColumn("shared", shared).withColumn("full", full)
     met = cut(met.where("not full or size(shared) > 0"), "counted")
-    rest = nodes.join(met.where("not full").select("row"), "row", "left_semi").select("row", F.explode(F.slice("toks", of_first + 1, F.size("toks"))).alias("token"))
+    rest = _of_rows(nodes, met.where("not full").select("row")).select("row", F.explode(F.slice("toks", of_first + 1, F.size("toks"))).alias("token"))
     more = _shared(rest).withColumnRenamed("shared", "more")
     return met.join(more.hint("merge"), "row", "left").select("doc_id", "tag", "n", "m", F.concat("shared", F.coalesce("more", none)).alias("shared"))
 
@@ -376,7 +382,7 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80, frequ
     classes = light.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
     classes = cut(classes.select("sig", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row"), "size"), "classes")
     # A node is a doc_id and a tag of its set, for a doc_id may have several texts.
-    nodes = table.drop("sig").join(classes.select("row"), "row", "left_semi")
+    nodes = _of_rows(table.drop("sig"), classes.select("row"))
     prefixed = cut(_prefixes(counted_tokens(nodes, percent, frequent), percent, frequent).where("size(first) > 0"), "prefixes")
     release(table)
 
