@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup, html_wrapper, lm_score, media_gif, mixing, ngram_join, packing, pii, quality, token_counts
+from quillspark.llm import chat_format, exact_dedup, html_wrapper, lm_score, media_gif, mixing, ngram_join, packing, pii, quality, spelling, token_align, token_counts
 
 
 #: Setting of the session that holds the key of pseudonyms.
@@ -60,12 +60,28 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_gif.stored_media(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(chat_format.format_conversations(said.unionByName(chat_format.probe(spark))))
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_wrapper, op2_ngram_join, op3_mix_sources, op4_exact_dedup, op5_pii_pseudonyms,
         op6_token_counts, op7_best_fit_packing, op8_quality_rules, op9_pseudo_likelihood, op10_gif_media,
+        op11_chat_format, op12_token_align, op13_spelling_variants,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op2_ngram_join": ngram_join.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.SQL, "op4_exact_dedup": exact_dedup.SQL, "op11_chat_format": chat_format.SQL, "op13_spelling_variants": spelling.SQL,
+}
