@@ -149,9 +149,19 @@ def thread_subject(c: Column) -> Column:
     return F.when(bare == "", F.lit("(no subject)")).otherwise(bare)
 
 
+#: Characters that are a letter with marks, by their canonical decomposition, and that letter.
+ACCENTED = {c: d[0] for c in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.category(m) == "Mn" for m in d[1:])}
+
+
+def unaccented(c: Column) -> Column:
+    """Letters without their marks, in lower case: what a search takes for the same."""
+    return F.translate(F.regexp_replace(F.lower(c), r"\p{M}", ""), "".join(ACCENTED), "".join(ACCENTED.values()))
+
+
 def query_words(terms: Column, most: int = 8) -> Column:
-    """search words of some terms: a-z and 0-9, over two characters, the first `most`."""
-    words = F.flatten(F.transform(terms, lambda t: F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+)"), F.lit(1))))
+    """search words of some terms: a-z and 0-9 without accents, over two characters, the first `most`."""
+    plain = lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), unaccented(t)).otherwise(F.lower(t))
+    words = F.flatten(F.transform(terms, lambda t: F.regexp_extract_all(plain(t), F.lit("([a-z0-9]+)"), F.lit(1))))
     return F.slice(F.filter(words, lambda w: F.length(w) > 2), 1, most)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.lineage import numbered
-from quillspark.operators.mirror import first_of, holders
+from quillspark.operators.mirror import holders
+from quillspark.operators.search_index import first_of
 
 
 def propose(topics: DataFrame, mirror: DataFrame, exhibits: int = 3) -> DataFrame:

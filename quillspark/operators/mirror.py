@@ -5,36 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import policy, text
 from quillspark.functions.crypto import sha256_hex
+from quillspark.operators import search_index
 
 #: Bytes of snippets that may be sent to every task; more are joined by word n-grams.
 PATTERN_BYTES = 8 << 20
 
 
-def search(mirror: DataFrame, queries: DataFrame, limit: int = 4) -> DataFrame:
-    """for each query (query_id, terms) the first `limit` documents, in `ord`, that hold a word starting with one of its words.
+def search(mirror: DataFrame, queries: DataFrame, limit: int = 4, index: str | None = None) -> DataFrame:
+    """for each query (query_id, terms) the first `limit` documents, in `ord`, that hold a word starting with one of its words, and how they begin.
 
-    A query's first documents are among the first ones of the tokens that it asks for, so each distinct token keeps
-    its first `limit` documents, partly before any shuffle, and only those meet the queries. The limit is the
-    search's own, not a cap on work.
+    `index` is where `search_index.extend` has stored the mirror's postings; without it every text is read.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(text.query_words(F.col("terms")))).alias("word")).withColumn("start", F.substring("word", 1, 3))
-    tokens = mirror.select("doc_id", "ord", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("token")).where(F.length("token") > 2)
-    asked = tokens.withColumn("start", F.substring("token", 1, 3)).join(wanted.select("start").distinct(), "start", "left_semi")
-    kept = first_of(asked, ["token"], ["ord", "doc_id"], limit)
-    hits = kept.join(wanted, "start").where(F.col("token").startswith(F.col("word"))).select("query_id", "doc_id", "ord").distinct()
-    first = first_of(hits, ["query_id"], ["ord", "doc_id"], limit)
-    return first.join(mirror.select("doc_id", F.substring("text", 1, 400).alias("snippet")), "doc_id").select("query_id", "place", "doc_id", "snippet")
-
-
-def first_of(rows: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
-    """The first rows of each group, with their `place`; tasks keep as many of a group before the shuffle."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("place", place).where(F.col("place") <= limit)
+    found = search_index.search(queries, index, limit) if index else search_index.search_unstored(queries, mirror, limit)
+    return found.join(mirror.select("doc_id", F.substring("text", 1, 400).alias("snippet")), "doc_id").select("query_id", "place", "doc_id", "snippet")
 
 
 def ground(citations: DataFrame, mirror: DataFrame) -> DataFrame:
@@ -161,12 +149,13 @@ def finish_lines(lines: DataFrame, citations: DataFrame, mirror: DataFrame, snap
     return out.select("line_id", F.col("error").isNull().alias("ok"), "error", done.alias("status"), "flags")
 
 
-def floor_research(angles: DataFrame, mirror: DataFrame) -> DataFrame:
+def floor_research(angles: DataFrame, mirror: DataFrame, index: str | None = None) -> DataFrame:
     """Excerpts of the first three documents found for each angle (angle_id, title, topics, exhibits); its exhibits where none is, and held without either."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
     terms = F.concat(words(F.col("title")), F.flatten(F.transform("topics", words)))
     asked = angles.select(F.col("angle_id").alias("query_id"), terms.alias("terms"))
-    hits = search(mirror, asked).where("place <= 3").select("query_id", "place", "doc_id")
+    titled = angles.select(F.col("angle_id").alias("query_id"), F.concat(F.array("title"), "topics").alias("terms"))
+    hits = (search_index.search(titled, index) if index else search_index.search_unstored(titled, mirror)).where("place <= 3")
     full = hits.join(mirror.select("doc_id", "text"), "doc_id").join(asked, "query_id")
     found = full.withColumn("snippet", text.excerpt(F.col("text"), F.col("terms"))).where("snippet <> ''")
     cites = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "doc_id", "snippet"))), lambda c: F.struct(c["doc_id"].cast("string").alias("doc_id"), c["snippet"].alias("snippet"))).alias("cites"))

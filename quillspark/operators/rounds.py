@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import policy
-from quillspark.operators.mirror import first_of
+from quillspark.operators.search_index import first_of
 
 PER_ROUND = 3
 

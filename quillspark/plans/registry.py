@@ -7,13 +7,15 @@ telemetry, orders and lineitem are research lines and spend.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import crypto, names, policy, text
-from quillspark.operators import angles, audit, consent, entities, ledger, mirror, publish, retention, threads
+from quillspark.lineage import shared_dir
+from quillspark.operators import angles, audit, consent, entities, ledger, mirror, publish, retention, search_index, threads
 from quillspark.plans import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,14 +264,35 @@ def keyword_histogram(t: Tables) -> DataFrame:
     return t.documents.select(F.explode(text.keywords(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH q AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2)[1:8] AS ws FROM benchmark), w AS (SELECT DISTINCT item_id, unnest(ws) AS word FROM q),
- k AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents),
+def stored_index(t: Tables) -> str:
+    """The documents' index, in two batches, each of which reads its own documents only."""
+    index = f"{shared_dir(t.spark).rstrip('/')}/search-index-{uuid.uuid4().hex}"
+    docs, half = t.documents.select("doc_id", "text", F.col("doc_id").alias("ord")), t.documents.agg(F.avg("doc_id")).first()[0] or 0
+    search_index.extend(docs.where(F.col("doc_id") < half), index, 0)
+    search_index.extend(docs.where(~F.coalesce(F.col("doc_id") < half, F.lit(False))), index, 1)
+    return index
+
+
+#: Words of each benchmark item, and the tokens of documents and of their ids.
+_WORDS = "w AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+'), lambda w: length(w) > 2)[1:8]) AS word FROM benchmark)"
+_TOKENS = "k AS (SELECT DISTINCT doc_id, unnest(list_append(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+'), doc_id::VARCHAR)) AS token FROM documents)"
+
+
+@query(f"""WITH {_WORDS}, {_TOKENS},
  h AS (SELECT DISTINCT item_id, doc_id FROM w JOIN k ON substring(token, 1, 3) = substring(word, 1, 3) AND starts_with(token, word)),
  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS place FROM h)
 SELECT item_id AS query_id, place, doc_id, substring(d.text, 1, 400) AS snippet FROM r JOIN documents d USING (doc_id) WHERE place <= 4""")
 def mirror_search(t: Tables) -> DataFrame:
     docs = t.documents.withColumn("ord", F.col("doc_id"))
-    return mirror.search(docs, t.benchmark.select(F.col("item_id").alias("query_id"), F.array("text").alias("terms"))).withColumn("place", F.col("place").cast("long"))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.array("text").alias("terms"))
+    return mirror.search(docs, asked, index=stored_index(t)).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""WITH {_WORDS}, {_TOKENS}, n AS (SELECT token, count(*) AS docs FROM k GROUP BY token), u AS (SELECT DISTINCT word FROM w)
+SELECT word, token, docs FROM u JOIN n ON substring(token, 1, 3) = substring(word, 1, 3) AND starts_with(token, word)""")
+def mirror_vocabulary(t: Tables) -> DataFrame:
+    asked = search_index.query_words(t.benchmark.select(F.col("item_id").alias("query_id"), F.array("text").alias("terms")))
+    return search_index.vocabulary(t.spark, stored_index(t), asked).select("word", "token", "docs")
 
 
 def topics_of(t: Tables) -> DataFrame:
@@ -340,8 +363,8 @@ def floor_excerpts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.excerpt(F.col("text"), F.array(F.lit("the"), F.lit("tion"), F.lit("lich"), "lang")).alias("excerpt"))
 
 
-@query(f"""WITH {_ANGLES}, q AS (SELECT topic_ord, list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: length(w) > 2) AS ws, regexp_extract_all(lower(title), '[a-z0-9]+') AS terms FROM a),
- w AS (SELECT DISTINCT topic_ord, unnest(ws[1:8]) AS word FROM q), k AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents),
+@query(f"""WITH {_ANGLES}, q AS (SELECT topic_ord, list_filter(regexp_extract_all(lower(strip_accents(title)), '[a-z0-9]+'), lambda w: length(w) > 2) AS ws, regexp_extract_all(lower(title), '[a-z0-9]+') AS terms FROM a),
+ w AS (SELECT DISTINCT topic_ord, unnest(ws[1:8]) AS word FROM q), {_TOKENS},
  h AS (SELECT DISTINCT topic_ord, doc_id FROM w JOIN k ON substring(token, 1, 3) = substring(word, 1, 3) AND starts_with(token, word)),
  r AS (SELECT *, row_number() OVER (PARTITION BY topic_ord ORDER BY doc_id) AS place FROM h),
  g AS (SELECT topic_ord, string_agg(doc_id, ',' ORDER BY place) AS docs FROM r WHERE place <= 3 GROUP BY topic_ord), x AS (SELECT topic_ord, string_agg(doc_id, ',' ORDER BY place) AS docs FROM c GROUP BY topic_ord)
@@ -349,7 +372,7 @@ SELECT a.topic_ord AS angle_id, 'findings' AS kind, coalesce(g.docs, x.docs) AS
 def floor_research(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text", F.col("doc_id").alias("ord"))
     asked = angles.propose(topics_of(t), docs).select(F.col("topic_ord").alias("angle_id"), "title", F.array().cast("array<string>").alias("topics"), F.transform("exhibits", lambda e: F.struct(e["doc_id"].cast("string").alias("doc_id"), e["snippet"].alias("snippet"))).alias("exhibits"))
-    return mirror.floor_research(asked, docs).select("angle_id", "kind", F.array_join(F.transform("citations", lambda c: c["doc_id"]), ",").alias("docs"))
+    return mirror.floor_research(asked, docs, stored_index(t)).select("angle_id", "kind", F.array_join(F.transform("citations", lambda c: c["doc_id"]), ",").alias("docs"))
 
 
 # Research lines from orders: the customer is the angle, the cap is fixed, items are calls.

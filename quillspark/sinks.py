@@ -112,6 +112,19 @@ def export_text(df: DataFrame, path: str, body: str = "body") -> None:
     df.select(F.col(body)).coalesce(1).write.mode("overwrite").text(path)
 
 
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose commit mark is there, in order."""
+    fs, at = _fs(spark, path)
+    home = at(f"{path}/commits")
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(home) if s.getPath().getName().isdigit()) if fs.exists(home) else []
+
+
+def commit(spark: SparkSession, path: str, batch_id: int) -> None:
+    """The mark of a batch, written when all of its tables are."""
+    fs, at = _fs(spark, path)
+    fs.create(at(f"{path}/commits/{batch_id}")).close()
+
+
 def ingest_batch(drained: DataFrame, path: str, batch_id: int, secret: str) -> None:
     """K1: documents, mirror and entity index of one batch, and the batch's commit mark last; a batch that is marked is skipped.
 
