@@ -18,7 +18,7 @@ from quillspark.operators import angles, audit, consent, publish
 from quillspark.plans import fixtures
 from quillspark.plans.registry import Tables, now, query
 from quillspark.sources import files
-from quillspark.streaming import jobs
+from quillspark.streaming import jobs, lifecycle
 
 # What stands on a line of these files: the text with single blanks, which all formats keep.
 _FLAT = "trim(regexp_replace(text, '[\\s\\x1c-\\x1f]+', ' ', 'g'))"
@@ -180,6 +180,33 @@ def stream_completions(t: Tables) -> DataFrame:
     return sinks.read(t.spark, at).select(F.col("submission_id").alias("user_id"), F.col("completed_at").cast("string").alias("completed_at"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, ts, event_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'settle' ELSE 'round' END AS kind FROM events),
+ w AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM events),
+ seen AS (SELECT e.*, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM e, w WHERE epoch_ms(ts) <= mark),
+ s AS (SELECT *, min(CASE WHEN kind = 'settle' THEN rn END) OVER a AS settle_rn, min(CASE WHEN kind = 'settle' THEN ts END) OVER a AS settle_ts FROM seen
+       WINDOW a AS (PARTITION BY key ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+ f AS (SELECT * FROM s WHERE kind = 'fail'),
+ g AS (SELECT f.key, f.rn, min(n.rn) AS next_rn FROM f JOIN f n ON n.key = f.key AND n.rn > f.rn AND (n.rn > f.settle_rn OR n.ts >= f.ts + INTERVAL 90 MINUTE) GROUP BY ALL),
+ h AS (SELECT key, min(rn) AS rn FROM f GROUP BY key UNION ALL SELECT g.key, g.next_rn FROM h JOIN g ON g.key = h.key AND g.rn = h.rn),
+ r AS (SELECT f.key, f.ts + k * INTERVAL 30 MINUTE AS due, k AS number, settle_ts FROM h JOIN f ON f.key = h.key AND f.rn = h.rn, (SELECT unnest([1, 2, 3]) AS k)),
+ c AS (SELECT key, ts AS due, row_number() OVER (PARTITION BY key ORDER BY rn) AS n FROM seen WHERE kind = 'round')
+SELECT key, strftime(due, '%Y-%m-%d %H:%M:%S.%f') AS "at", 'retry' AS event, number FROM r, w WHERE (settle_ts IS NULL OR due <= settle_ts) AND epoch_ms(due) <= mark
+UNION ALL SELECT key, strftime(due, '%Y-%m-%d %H:%M:%S.%f'), 'completed', 7 FROM c WHERE n = 7""")
+def submission_lifecycle(t: Tables) -> DataFrame:
+    """Events arrive in three parts by time, each streamed from where the last run stopped; a fourth run finds nothing new."""
+    kind = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "settle").otherwise("round")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = t.events.agg(F.min(us), F.max(us)).first()
+    third = F.floor((us - F.lit(low or 0)) * 3 / F.lit((high or 0) - (low or 0) + 1))
+    steps = t.events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), third.alias("third"))
+    landing, out, marks = place(t), place(t), place(t)
+    for part in range(4):
+        steps.where(F.col("third") == part).drop("third").write.mode("append").parquet(landing)
+        arriving = t.spark.readStream.schema(steps.drop("third").schema).parquet(landing)
+        lifecycle.run(arriving, out, marks, rounds_max=7, window="30 minutes", retries=3, late="10 minutes").awaitTermination()
+    return t.spark.read.parquet(out).select("key", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "event", "number")
+
+
 @query("SELECT doc_id, CEIL(length(text) / 4.0)::INT AS tokens FROM documents")
 def approx_tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.approx_tokens(F.col("text")).alias("tokens"))
