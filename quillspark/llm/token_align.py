@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,15 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import cut, met_by_key
 from quillspark.llm.token_counts import byte_symbols
 
-#: Characters of texts that are encoded in one call.
-CALL_CHARS = 2_000_000
+#: Characters of texts whose words are looked up together, and words whose pieces a task remembers beyond them.
+CALL_CHARS, MOST_WORDS = 1_000_000, 400_000
 #: Spans whose counts are remembered, and the longest of them.
 MOST_SPANS, LONG_SPAN = 200_000, 64
 #: Pairs of ids that go to every task as one table: 16 bytes each, some hundred MB as Spark holds them.
 MOST_PAIRS = 2_000_000
 
 NONE, A_END, B_END, BOTH = b"\0", b"\1", b"\2", b"\3"
+WORDS = re.compile(" +[^ ]*")
 SPANS = re.compile(rb"[^\x03]*\x03")
 
 
@@ -69,7 +71,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.spelled_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes_a, self.sizes_b = (np.asarray([len(x) for x in s], np.int64) for s in (self.spelled_a, self.spelled_b))
-        self.counts = _Counts()
+        self.counts, self.words = _Counts(), {}
         # Decimal ids with the sign that follows: inside a side of a group, and at its end.
         self.written = np.asarray([f"{i}{sign}" for n, end in ((len(self.spelled_a), "|"), (len(pieces), ";")) for i in range(n) for sign in (",", end)], object)
 
@@ -81,15 +83,36 @@ class Aligner:
             while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= CALL_CHARS):
                 chars += len(texts[hi] or "")
                 hi += 1
-            for text, b in zip(texts[lo:hi], self.b.encode([t or "" for t in texts[lo:hi]], num_threads=1), strict=True):
-                if not text:
-                    yield None
-                    continue
-                a, data = self.a.encode_ordinary(" " + text), b" " + text.encode()
-                spells = b"".join(map(self.spelled_a.__getitem__, a)) == data and b"".join(map(self.spelled_b.__getitem__, b)) == data
-                yield (np.asarray(a, np.int64), np.asarray(b, np.int64)) if spells else None
+            for text, b in zip(texts[lo:hi], self.pieces(texts[lo:hi]), strict=True):
+                # A always spells what it is given.
+                yield None if b is None else (np.asarray(self.a.encode_ordinary(" " + text), np.int64), np.asarray(b, np.int64))
             lo = hi
 
+    def pieces(self, texts: list[str | None]) -> Iterator[list[int] | None]:
+        """Ids of B of each text, None if they don't spell it.
+
+        No piece goes on behind the end of a word, so words with the spaces before them are encoded by themselves,
+        those that aren't remembered in one call. Where a word's pieces don't spell it the text is encoded as a whole.
+        """
+        words = [WORDS.findall(" " + t) if t and "▁" not in t else [] for t in texts]
+        known, new = self.words, set()
+        for w in words:
+            new.update(w)
+        if len(known) + len(new) > MOST_WORDS:
+            known.clear()
+        new = [w for w in new if w not in known]
+        for word, ids in zip(new, self.b.encode([w[1:] for w in new], num_threads=1), strict=True):  # the library adds a space of its own
+            known[word] = ids if b"".join(map(self.spelled_b.__getitem__, ids)) == word.encode() else None
+        for text, own in zip(texts, words, strict=True):
+            found = list(map(known.__getitem__, own))
+            if not text:
+                yield None
+            elif own and None not in found:
+                yield list(chain.from_iterable(found))
+            else:
+                ids = self.b.encode(text)
+                yield ids if b"".join(map(self.spelled_b.__getitem__, ids)) == b" " + text.encode() else None
+
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many tokens of A and of B each group has."""
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
