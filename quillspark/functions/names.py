@@ -18,7 +18,7 @@ from itertools import pairwise
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: This library's own default list of capitalised words that are not names, by kinds of words. Deployments
@@ -29,10 +29,14 @@ OWN_LIST = {
     "prepositions": "about above after against at before below between by during for from in into of on onto over since through to under until with without",
     "conjunctions": "and as because but if nor or so than though when where while how why also however therefore otherwise",
     "verbs": "am are be been being can could did do does had has have is may might must shall should was were will would",
+    "ordinals": "first second third fourth fifth last next previous one two three four five six seven eight nine ten",
+    "headings": "abstract annex appendix article attachment chapter contents date dear draft email figure file introduction item letter list message minutes note notice page paragraph part "
+    "question answer re report reply row section sheet slide source statement subject summary survey table title topic total update version",
     "adverbs": "again even here just now only please same still then there today tomorrow too very well yes yesterday not",
 }
 ALLOWED = frozenset(w for line in OWN_LIST.values() for w in line.split()) | frozenset(w.lower() for w in (*calendar.day_name, *(f"{d}s" for d in calendar.day_name), *calendar.month_name[1:]))
 
+# Fixed value: the shape of a name.
 WORD = r"\p{Lu}\p{Ll}*(?:['’\-]\p{L}+)+|\p{Lu}\p{Ll}+|\p{Lu}{2,}"
 _ASCII_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 GATE_SCHEMA = "scrubbed string, hits array<struct<label:string,name:string>>"
@@ -47,6 +51,29 @@ def allow_list(lines: Iterable[str]) -> frozenset[str]:
     return frozenset(w.lower() for line in lines for w in re.split(r"[\s,]+", line) if w)
 
 
+#: A word is ordinary if it makes up this share of all words in lower case, so that there are not more than 1 / share of
+#: them, and stands in lower case so many times as often as with a capital.
+ORDINARY_SHARE, ORDINARY_TIMES = 1 / 200_000, 3
+
+
+def ordinary_words(texts: DataFrame, column: str = "text", share: float = ORDINARY_SHARE, times: int = ORDINARY_TIMES) -> DataFrame:
+    """F3 by counting: words that a corpus itself mostly writes in lower case are no names at the start of a sentence: word, lower_n, upper_n.
+
+    Words are summed in each task before they meet. A rare word stays a candidate, so the gate errs towards labels.
+    """
+    words = texts.select(F.explode(F.regexp_extract_all(column, F.lit(r"(\p{Lu}?\p{Ll}+)"), F.lit(1))).alias("w"))
+    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("word", F.lower("w"))
+    both = counts.groupBy("word").agg(F.sum(F.when(F.col("w") == F.col("word"), F.col("n")).otherwise(0)).alias("lower_n"), F.sum(F.when(F.col("w") != F.col("word"), F.col("n")).otherwise(0)).alias("upper_n"))
+    least = counts.agg((F.sum("n") * share).alias("_least"))  # one row
+    found = both.crossJoin(F.broadcast(least)).where((F.col("lower_n") >= F.greatest(F.lit(2), "_least")) & (F.col("lower_n") >= F.col("upper_n") * times))
+    return found.select("word", "lower_n", "upper_n")
+
+
+def allow_list_of(texts: DataFrame, column: str = "text", **options) -> frozenset[str]:
+    """The own list with a corpus' ordinary words, for `allowed`; at most 1 / share words reach the driver and the tasks."""
+    return ALLOWED | {r[0] for r in ordinary_words(texts, column, **options).select("word").collect()}
+
+
 def label(k: int) -> str:
     """A, B, ..., Z, AA, AB, ..."""
     out = ""

@@ -209,6 +209,20 @@ def gate_verdict(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", names.gate(F.col("text")).alias("g")).select("doc_id", "g.verdict", "g.names", F.sha2("g.text", 256).alias("digest"))
 
 
+@query("""WITH c AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\p{Lu}?\\p{Ll}+')) AS w FROM documents) GROUP BY w),
+ b AS (SELECT lower(w) AS word, coalesce(sum(n) FILTER (w = lower(w)), 0)::BIGINT AS lower_n, coalesce(sum(n) FILTER (w <> lower(w)), 0)::BIGINT AS upper_n FROM c GROUP BY 1)
+SELECT * FROM b WHERE lower_n >= greatest(2, (SELECT sum(n) / 200000.0 FROM c)) AND lower_n >= 3 * upper_n""")
+def ordinary_words(t: Tables) -> DataFrame:
+    return names.ordinary_words(t.documents)
+
+
+@query()
+def gate_verdict_counted(t: Tables) -> DataFrame:
+    """The gate with the documents' own ordinary words allowed; tests/test_names.py compares it with a plain version."""
+    gated = names.gate(F.col("text"), allowed=names.allow_list_of(t.documents))
+    return t.documents.select("doc_id", gated.alias("g")).select("doc_id", "g.verdict", "g.names", F.sha2("g.text", 256).alias("digest"))
+
+
 _MARKED = "SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' [person A] met [person B]' ELSE ' [person A] and [person AB], [person A], [person ]' END AS text FROM conversations"
 
 

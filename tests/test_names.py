@@ -64,3 +64,19 @@ def test_long_texts_with_many_names_take_linear_time():
     began = time.time()
     scrubbed, hits = names.Gate()(text)
     assert len(hits) == 15_000 and time.time() - began < 5 and scrubbed.startswith("[person A] said")
+
+
+def test_ordinary_words_of_a_corpus_are_no_names(spark, sf):
+    rows = [("Nurses came. The nurses left, nurses stay. Ann met nurses.",), ("ann is rare; Ann, Ann and Ann aren't. Éclair éclair éclair éclair",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "text string")
+    found = {r["word"]: (r["lower_n"], r["upper_n"]) for r in names.ordinary_words(df).collect()}
+    assert found["nurses"] == (3, 1) and found["éclair"] == (3, 1) and "ann" not in found and "rare" not in found
+    assert names.ordinary_words(df.limit(0)).count() == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    allowed = names.allow_list_of(docs)
+    few = docs.limit(40)
+    got = {r["doc_id"]: (r["g"]["text"], r["g"]["names"]) for r in few.select("doc_id", names.gate("text", allowed=allowed).alias("g")).collect()}
+    want = {r["doc_id"]: plain(r["text"], allowed) for r in few.collect()}
+    assert got == {k: (out, len(hits)) for k, (out, hits) in want.items()}
+    labels = lambda a: sum(len(names.Gate(a)(r["text"])[1]) for r in few.collect())
+    assert labels(allowed) < labels(names.ALLOWED)
