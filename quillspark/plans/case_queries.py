@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import crypto
-from quillspark.operators import angles, chain, consent, entities, publish, retention, rounds, threads
+from quillspark.operators import angles, chain, consent, entities, publish, research, retention, rounds, threads
 from quillspark.plans import reports
-from quillspark.plans.registry import Tables, now, query, topics_of
+from quillspark.plans.registry import _TOKENS, Tables, now, place, query, stored_index, topics_of
 from quillspark.sources import files
 
 _POOL = "[" + ", ".join(f"{{'topic': '{t}', 'question': '{q.replace(chr(39), chr(39) * 2)}'}}" for t, q in rounds.STATIC_QUESTIONS) + "]"
@@ -188,3 +188,81 @@ def recordings_listed(t: Tables) -> DataFrame:
 def file_labels(t: Tables) -> DataFrame:
     names = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.col("o_orderkey").cast("string"))).alias("names")).withColumn("labels", rounds.file_labels(F.col("names"), "corpus"))
     return names.select("o_custkey", F.size("labels").cast("long").alias("n"), F.size(rounds.hits_kept(F.col("labels"), 3)).cast("long").alias("kept"), F.element_at("labels", -1)["label"].alias("last_label"))
+
+
+# The research loop over all documents, with a model that is a column of the prompt: it searches, fetches the first hit, and then
+# does by that document what a model may do: it finishes, goes on reading until a cap stops it, answers in no form, or cites what isn't there.
+
+
+def toy_model(prompt):
+    line = F.regexp_extract(prompt, 'angle "#(\\d+)', 1).cast("long")
+    seen = F.regexp_count(prompt, F.lit('(?m)^(?:search "[a-z]*" -> |fetch \\d+ -> )'))
+    doc = F.regexp_extract(prompt, r'" -> \[\{"doc_id":"(\d+)"', 1)
+    quoted = F.regexp_extract(prompt, r"(?ms)^fetch \d+ -> (.{1,20})", 1)
+    final = lambda snippet: F.to_json(F.struct(F.lit("final").alias("tool"), F.lit("found").alias("findings"), F.array(F.struct(doc.alias("doc_id"), snippet.alias("snippet"))).alias("citations")))
+    act = lambda tool, key, value: F.to_json(F.struct(F.lit(tool).alias("tool"), value.alias(key)))
+    kind = doc.cast("long") % 4
+    raw = (
+        F.when(seen == 0, act("search", "query", F.regexp_extract(prompt, 'angle "#\\d+ ([a-z]*)"', 1)))
+        .when((seen == 1) & (line % 11 == 5), F.lit(None).cast("string")).when((seen == 1) & (doc == ""), '{"tool":"final","findings":"none","citations":[]}')
+        .when((seen == 1) | (kind == 1), act("fetch", "doc_id", doc)).when(kind == 0, final(quoted)).when(kind == 2, "no JSON").otherwise(final(F.concat(quoted, F.lit("#not there#"))))
+    )
+    return F.struct(raw.alias("raw"), (700 + 37 * seen + line * 13 % 900).alias("tokens"))
+
+
+def researched(t: Tables):
+    """Lines (all documents), the mirror and its stored index."""
+    docs = t.documents.select("doc_id", "text", F.col("doc_id").alias("ord"))
+    word = F.regexp_extract(F.lower("text"), "[a-z]{5,}", 0)
+    lines = t.documents.select(
+        F.col("doc_id").alias("line_id"), F.concat(F.lit("#"), F.col("doc_id").cast("string"), F.lit(" "), word).alias("title"), F.array().cast("array<string>").alias("topics"), F.lit("").alias("rationale"),
+        F.array(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, 10).alias("snippet"))).alias("exhibits"), (F.col("doc_id") * 7 % 9000 + 1000).alias("spend_cap"), (F.col("doc_id") % 1100).alias("spend_used"),
+        F.when(F.col("doc_id") % 13 == 0, "held").otherwise("running").alias("status"),
+    )
+    return lines, docs, stored_index(t)
+
+
+_LOOP = f"""{_TOKENS},
+ l AS (SELECT doc_id AS line_id, regexp_extract(lower(text), '[a-z]{{5,}}') AS word, doc_id * 7 % 9000 + 1000 AS cap, doc_id % 1100 AS used FROM documents),
+ hit AS (SELECT line_id, min(k.doc_id) AS doc FROM l JOIN k ON word <> '' AND substring(token, 1, 3) = substring(word, 1, 3) AND starts_with(token, word) GROUP BY 1),
+ p AS (SELECT l.*, doc FROM l LEFT JOIN hit USING (line_id)),
+ loop AS (
+  SELECT line_id, word, doc, cap, 0 AS seen, 0 AS steps, 0::BIGINT AS tokens, used::BIGINT AS spend, CASE WHEN used >= cap THEN 'spend' END AS stop FROM p
+  UNION ALL
+  SELECT line_id, word, doc, cap, seen + 1, steps + n, tokens + n * u, spend + n * u,
+   CASE WHEN n = 0 THEN 'failed' WHEN spend + u >= cap THEN 'spend'
+    WHEN seen = 0 THEN CASE WHEN word = '' OR length(word) > 512 THEN 'failed' WHEN tokens + u >= 20000 THEN 'caps' END
+    WHEN seen = 1 THEN CASE WHEN doc IS NULL THEN 'failed' END
+    WHEN doc % 4 = 0 THEN 'final' WHEN doc % 4 = 1 THEN CASE WHEN steps + 1 >= 8 OR tokens + u >= 20000 THEN 'caps' END ELSE 'failed' END
+  FROM (SELECT *, 700 + 37 * seen + line_id * 13 % 900 AS u, CASE WHEN seen = 1 AND line_id % 11 = 5 THEN 0 ELSE 1 END AS n FROM loop WHERE stop IS NULL)),
+ o AS (SELECT *, CASE stop WHEN 'caps' THEN 'caps exhausted after ' || steps || ' step(s)' WHEN 'spend' THEN 'spend cap reached (' || spend || ' of ' || cap || ' tokens)' END AS reason FROM loop WHERE stop IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_LOOP}
+SELECT line_id, CASE WHEN stop IN ('caps', 'spend') THEN 'held' ELSE 'findings' END AS kind, CASE WHEN stop = 'failed' THEN 'extractive-fallback' ELSE 'live' END AS tier, steps, tokens, spend AS spend_used, reason,
+ CASE WHEN stop = 'final' THEN doc END AS cited FROM o""")
+def research_loop(t: Tables) -> DataFrame:
+    lines, docs, index = researched(t)
+    out = research.live_loop(lines, docs, toy_model, place(t), index=index)
+    cited = F.when(F.col("tier") == "live", F.get("citations", F.lit(0))["doc_id"].cast("long"))
+    return out.select("line_id", "kind", "tier", "steps", "tokens", "spend_used", "reason", cited.alias("cited"))
+
+
+@query(f"""WITH RECURSIVE {_LOOP}, r AS (SELECT o.*, line_id % 13 = 0 AS idle FROM o)
+SELECT line_id, CASE WHEN idle THEN 'skipped' WHEN stop IN ('caps', 'spend') THEN 'held' ELSE 'complete' END AS status, CASE WHEN idle THEN 'none' WHEN stop = 'failed' THEN 'extractive-fallback' ELSE 'live' END AS tier,
+ CASE WHEN idle THEN 0 ELSE steps END AS steps, CASE WHEN idle THEN line_id % 1100 ELSE spend END AS spend_used, CASE WHEN idle THEN 'line held' ELSE reason END AS reason,
+ CASE WHEN idle THEN NULL WHEN stop IN ('caps', 'spend') THEN 'capped' ELSE 'complete' END AS outcome FROM r""")
+def research_runs(t: Tables) -> DataFrame:
+    """What each line's run leaves; held lines are skipped."""
+    lines, docs, index = researched(t)
+    return research.run_lines(lines, docs, toy_model, place(t), index=index).select("line_id", "status", "tier", "steps", "spend_used", "reason", "outcome")
+
+
+@query(f"""WITH RECURSIVE {_LOOP}, c AS (SELECT greatest(seen - 1, 0) AS step FROM loop WHERE seen > 0 OR stop IS NOT NULL UNION ALL SELECT seen FROM loop WHERE stop = 'caps')
+SELECT step::INT AS step, count(*) AS lines FROM c GROUP BY 1""")
+def research_receipts(t: Tables) -> DataFrame:
+    """Receipts of the steps: how many lines each step's table has."""
+    lines, docs, index = researched(t)
+    folder = place(t)
+    research.live_loop(lines, docs, toy_model, folder, index=index)
+    return research.receipts(t.spark, folder).select("step", "lines")

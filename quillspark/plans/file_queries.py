@@ -6,17 +6,14 @@ against SQL that knows the text. Sinks write a table, change it and read it back
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark import sinks
 from quillspark.functions import crypto, policy, text
-from quillspark.lineage import shared_dir
 from quillspark.operators import angles, audit, consent, publish
 from quillspark.plans import fixtures
-from quillspark.plans.registry import Tables, now, query
+from quillspark.plans.registry import Tables, now, place, query
 from quillspark.sources import files
 from quillspark.streaming import jobs, lifecycle
 
@@ -112,11 +109,6 @@ def drain_summary(t: Tables) -> DataFrame:
     return drained(t).groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("settled", policy.mirrored(F.col("status")))
 
 
-def place(t: Tables) -> str:
-    """A new folder for a table that a query writes."""
-    return f"{shared_dir(t.spark).rstrip('/')}/sinks-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {_DRAINED} SELECT 'docs' AS part, path, sha256(status) AS digest FROM r UNION ALL SELECT 'mirror', path, sha256(text) FROM r WHERE text IS NOT NULL")
 def sink_ingest(t: Tables) -> DataFrame:
     at = place(t)

@@ -278,9 +278,14 @@ def keyword_histogram(t: Tables) -> DataFrame:
     return t.documents.select(F.explode(text.keywords(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def place(t: Tables) -> str:
+    """A new folder for what a query writes."""
+    return f"{shared_dir(t.spark).rstrip('/')}/query-{uuid.uuid4().hex}"
+
+
 def stored_index(t: Tables) -> str:
     """The documents' index, in two batches, each of which reads its own documents only."""
-    index = f"{shared_dir(t.spark).rstrip('/')}/search-index-{uuid.uuid4().hex}"
+    index = place(t)
     docs, half = t.documents.select("doc_id", "text", F.col("doc_id").alias("ord")), t.documents.agg(F.avg("doc_id")).first()[0] or 0
     search_index.extend(docs.where(F.col("doc_id") < half), index, 0)
     search_index.extend(docs.where(~F.coalesce(F.col("doc_id") < half, F.lit(False))), index, 1)
