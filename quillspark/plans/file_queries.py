@@ -14,7 +14,7 @@ from quillspark.functions import crypto, policy, text
 from quillspark.operators import angles, audit, consent, publish
 from quillspark.plans import fixtures
 from quillspark.plans.registry import Tables, now, place, query
-from quillspark.sources import files
+from quillspark.sources import files, leads
 from quillspark.streaming import jobs, lifecycle
 
 # What stands on a line of these files: the text with single blanks, which all formats keep.
@@ -328,3 +328,32 @@ def inherited_captures(t: Tables) -> DataFrame:
     return first.groupBy("c_custkey", "c_mktsegment").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")), ",").alias("first_three"))
 
 
+
+
+_HOST = "regexp_extract(url, '^https?://([^/]+)', 1)"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT 'extract' AS kind, url AS request FROM pages UNION SELECT 'extract', 'http://nowhere.example.com/' UNION SELECT DISTINCT 'search', {_HOST} FROM pages),
+ s AS (SELECT *, {_HOST} AS key, page_id % 3 = 0 AS first FROM pages WHERE html <> ''),
+ n AS (SELECT kind, request, kind = 'extract' AND contains(request, '/fr/') AS down1, kind = 'extract' AND contains(request, '=2') AS down2,
+   CASE kind WHEN 'extract' THEN (SELECT min(sha256(url || html)) FROM s WHERE s.url = q.request AND first AND html = (SELECT min(html) FROM s x WHERE x.url = s.url AND x.first)) END AS own1,
+   CASE kind WHEN 'extract' THEN (SELECT min(sha256(url || html)) FROM s WHERE s.url = q.request AND NOT first AND html = (SELECT min(html) FROM s x WHERE x.url = s.url AND NOT x.first)) END AS own2,
+   (SELECT least(count(*), 10) FROM s WHERE s.key = q.request AND first) AS hits FROM q)
+SELECT kind, request, CASE WHEN kind = 'search' THEN 'one' WHEN NOT down1 AND own1 IS NOT NULL THEN 'one' WHEN NOT down2 AND own2 IS NOT NULL THEN 'two' END AS provider,
+ CASE WHEN kind = 'search' THEN CASE WHEN hits > 0 THEN 'found' ELSE 'empty' END WHEN (NOT down1 AND own1 IS NOT NULL) OR (NOT down2 AND own2 IS NOT NULL) THEN 'found' WHEN down1 AND down2 THEN 'failed' ELSE 'missed' END AS outcome,
+ CASE WHEN kind = 'search' THEN hits WHEN (NOT down1 AND own1 IS NOT NULL) OR (NOT down2 AND own2 IS NOT NULL) THEN 1 ELSE 0 END AS n_leads,
+ CASE WHEN kind = 'extract' THEN CASE WHEN NOT down1 AND own1 IS NOT NULL THEN own1 WHEN NOT down2 AND own2 IS NOT NULL THEN own2 END END AS digest FROM n""")
+def search_leads(t: Tables) -> DataFrame:
+    """Every page's URL and host asked of three providers, whose stores Spark writes from the pages: one lacks its secret, the others fail on some URLs and share the pages."""
+    key = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    at, own = place(t), t.pages.select("page_id", key.alias("key"), "url", F.lit("").alias("title"), F.col("html").alias("text"))
+    for name, part in (("one", own.where("page_id % 3 = 0")), ("two", own.where("page_id % 3 <> 0"))):
+        part.drop("page_id").repartitionByRange("url").sortWithinPartitions("url").write.parquet(f"{at}/{name}")
+    asked = t.pages.select(F.lit("extract").alias("kind"), F.col("url").alias("request")).union(t.pages.select(F.lit("search"), key)).union(t.pages.limit(1).select(F.lit("extract"), F.lit("http://nowhere.example.com/")))
+    asked.distinct().repartitionByRange("kind", "request").sortWithinPartitions("kind", "request").write.parquet(f"{at}/requests")
+    chain = [
+        {"kind": "http", "label": "none", "at": "http://127.0.0.1:9", "secret": "A_SECRET_THAT_IS_NOT_SET"},
+        {"kind": "store", "label": "one", "at": f"{at}/one", "refuses": "/fr/"}, {"kind": "store", "label": "two", "at": f"{at}/two", "refuses": "=2"},
+    ]
+    found = leads.leads(t.spark, f"{at}/requests", chain)
+    return found.groupBy("kind", "request", "provider", "outcome").agg(F.count("place").alias("n_leads"), F.min(F.when(F.col("kind") == "extract", F.sha2(F.concat("url", "text"), 256))).alias("digest"))
