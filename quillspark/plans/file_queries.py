@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from quillspark import sinks
 from quillspark.functions import crypto, policy, text
+from quillspark.lineage import cut
 from quillspark.operators import angles, audit, consent, publish
 from quillspark.plans import fixtures
 from quillspark.plans.registry import Tables, now, place, query
-from quillspark.sources import files, leads
+from quillspark.sources import bounded, files, leads
 from quillspark.streaming import jobs, lifecycle
 
 # What stands on a line of these files: the text with single blanks, which all formats keep.
@@ -114,8 +115,34 @@ def sink_ingest(t: Tables) -> DataFrame:
     at = place(t)
     for _ in range(2):  # the second run finds the batch's mark
         sinks.ingest_batch(drained(t), at, 1, "key")
-    docs = t.spark.read.parquet(f"{at}/docs").select(F.lit("docs").alias("part"), "path", F.sha2("status", 256).alias("digest"))
-    return docs.union(t.spark.read.parquet(f"{at}/mirror").select(F.lit("mirror"), "path", F.sha2("text", 256)))
+    seen = sinks.Batches(t.spark, at)
+    docs = seen.docs().select(F.lit("docs").alias("part"), "path", F.sha2("status", 256).alias("digest"))
+    return docs.union(seen.mirror().select(F.lit("mirror"), "path", F.sha2("text", 256)))
+
+
+@query(f"""WITH {_DRAINED} SELECT path, CASE WHEN status = 'held' AND path::BIGINT % 4 = 2 THEN 'parsed' ELSE status END AS status, CASE WHEN status = 'held' AND path::BIGINT % 4 <> 2 THEN path END AS raw_key,
+ CASE WHEN status = 'held' AND path::BIGINT % 4 <> 2 THEN '2024-01-27' END AS retry_after, CASE WHEN status = 'held' AND path::BIGINT % 4 = 2 THEN 2 ELSE 1 END AS batch_id FROM r""")
+def ingest_retries(t: Tables) -> DataFrame:
+    """A second batch drains again the documents of one lane that the first one held, this time with a handler; a third has no mark and isn't seen."""
+    at, rows = place(t), cut(drained(t), "drained")
+    sinks.ingest_batch(rows, at, 1, "key", now())
+    again = sinks.Batches(t.spark, at).docs().where("status = 'held' and lane = 'held-docx'").select("path", "name", "lane", "verdict", F.lit("seen").alias("text"), F.lit("model").alias("tier"))
+    again = again.select("path", "name", "lane", F.lit("parsed").alias("status"), F.lit(None).cast("string").alias("reason"), "text", "verdict", F.array().cast("array<struct<label:string,name:string>>").alias("hits"), "tier")
+    sinks.ingest_batch(again, at, 2, "key", now())
+    rows.limit(5).withColumn("batch_id", F.lit(3)).select("path", "name", "lane", "status", "reason", "verdict", "tier", "batch_id").write.parquet(f"{at}/docs/batch=3")
+    return sinks.Batches(t.spark, at).docs().select("path", "status", "raw_key", F.date_format("retry_after", "yyyy-MM-dd").alias("retry_after"), "batch_id")
+
+
+@query("""WITH d AS (SELECT doc_id::VARCHAR AS object, octet_length(encode(text)) AS n, sha256(text) AS digest FROM documents)
+SELECT object, CASE WHEN n > 4000 THEN 'refused' ELSE 'stored' END AS status, CASE WHEN n > 4000 THEN NULL ELSE n END AS n_bytes, CASE WHEN n > 4000 THEN NULL ELSE digest END AS digest FROM d""")
+def bounded_uploads(t: Tables) -> DataFrame:
+    """Every document is uploaded in chunks of 1,000 bytes; those over 4,000 bytes are reported and leave nothing."""
+    at, data = place(t), F.encode("text", "UTF-8")
+    begins = F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length("text") - 1, F.lit(0)) / 1000).cast("int"))
+    chunks = t.documents.withColumn("data", data).select(F.col("doc_id").cast("string").alias("object"), F.explode(begins).alias("part"), "data").select("object", "part", F.expr("substring(data, part * 1000 + 1, 1000)").alias("content"))
+    bounded.upload(chunks, at, 4000)
+    told, kept = bounded.report(t.spark, at), bounded.stored(t.spark, at).select("object", F.sha2("content", 256).alias("digest"), F.octet_length("content").cast("long").alias("n_bytes"))
+    return told.select("object", "status").join(kept, "object", "left").select("object", "status", "n_bytes", "digest")
 
 
 @query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1 UNION ALL SELECT o_custkey, min(o_orderkey) FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderkey % 2 = 0) = 0")

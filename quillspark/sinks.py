@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.crypto import name_hmac
@@ -125,21 +125,58 @@ def commit(spark: SparkSession, path: str, batch_id: int) -> None:
     fs.create(at(f"{path}/commits/{batch_id}")).close()
 
 
-def ingest_batch(drained: DataFrame, path: str, batch_id: int, secret: str) -> None:
-    """K1: documents, mirror and entity index of one batch, and the batch's commit mark last; a batch that is marked is skipped.
+#: How long the raw bytes of a document that is held wait for another drain.
+RETRY_WINDOW = "7 days"
 
-    `drained` is computed once, names only as keyed hashes; the three tables are made from what that wrote.
+
+def ingest_batch(drained: DataFrame, path: str, batch_id: int, secret: str, now: Column | None = None) -> None:
+    """Documents, mirror and entity index of one batch, and the batch's commit mark last; a batch that is marked is skipped.
+
+    `drained` is computed once, names only as keyed hashes; the three tables are made from what that wrote. What is
+    settled has no raw bytes any more (`raw_key` is null); what is held keeps them until `retry_after`. `Batches` reads it.
     """
     spark = drained.sparkSession
-    fs, at = _fs(spark, path)
     mark, staged = f"{path}/commits/{batch_id}", f"{path}/staged/batch={batch_id}"
+    fs, at = _fs(spark, path)
     if fs.exists(at(mark)):
         return
+    held = F.col("status") == "held"
     entities = F.transform("hits", lambda h: F.struct(h["label"].alias("label"), name_hmac(secret, h["name"]).alias("name_hmac")))
-    drained.withColumn("entities", entities).drop("hits").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(staged)
+    waits = F.when(held, (F.current_timestamp() if now is None else now) + F.expr(f"INTERVAL {RETRY_WINDOW}"))
+    rows = drained.withColumn("entities", entities).drop("hits").withColumn("raw_key", F.when(held, F.col("path"))).withColumn("retry_after", waits)
+    rows.write.mode("overwrite").parquet(staged)
     own = spark.read.parquet(staged)
-    own.select("path", "name", "lane", "status", "reason", "verdict", "tier", "batch_id").write.mode("overwrite").parquet(f"{path}/docs/batch={batch_id}")
-    own.where("text is not null").select("path", "text", "batch_id").write.mode("overwrite").parquet(f"{path}/mirror/batch={batch_id}")
-    own.select("path", F.explode("entities").alias("e"), "batch_id").select("path", "e.label", "e.name_hmac", "batch_id").distinct().write.mode("overwrite").parquet(f"{path}/entities/batch={batch_id}")
-    fs.create(at(mark)).close()
+    tables = {
+        "docs": own.select("path", "name", "lane", "status", "reason", "verdict", "tier", "raw_key", "retry_after"),
+        "mirror": own.where("text is not null").select("path", "text"),
+        "entities": own.select("path", F.explode("entities").alias("e")).select("path", "e.label", "e.name_hmac").distinct(),
+    }
+    for name, table in tables.items():
+        table.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+    commit(spark, path, batch_id)
     fs.delete(at(staged), True)
+
+
+class Batches:
+    """One consistent view of the tables of an ingest: the batches that are marked when it is made, whole, and no other.
+
+    A batch is a folder of each table, so a view reads the folders of its batches alone; later batches don't change it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.ids = spark, path, committed(spark, path)
+
+    def table(self, name: str) -> DataFrame:
+        if not self.ids:
+            raise ValueError(f"{self.path}: no batch is committed")
+        return self.spark.read.parquet(*(f"{self.path}/{name}/batch={b}" for b in self.ids))
+
+    def docs(self) -> DataFrame:
+        """The last state of each document: a later batch drains again what an earlier one held."""
+        return latest_by(self.table("docs"), ["path"], ["batch_id"])
+
+    def mirror(self) -> DataFrame:
+        return self.table("mirror")
+
+    def entities(self) -> DataFrame:
+        return self.table("entities")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from quillspark.functions import names, policy, text
+from quillspark.lineage import cut
 from quillspark.sources import parsers, pdf
 
 
@@ -74,7 +75,10 @@ def drain(files: DataFrame, handlers: dict[str, Handler] | None = None, gate_opt
     stands before anything may be searched. What gives no text is held with its reason.
     """
     names_ = ("path", "name", "lane", "reason", "text", "tier")
-    read = files.repartition(F.col("path")).select("path", "name", "lane", "reason", "content", parsed("lane", "name", "content").alias("text")).withColumn("tier", F.when(F.col("text").isNotNull(), "native"))
+    read = files.repartition(F.col("path")).select("path", "name", "lane", "reason", "content", parsed("lane", "name", "content").alias("text"))
+    # Stored, so that each file is parsed once, behind the shuffle; of files, what a handler will see.
+    wanted = F.col("text").isNull() & F.col("lane").isin(list(handlers or {}))
+    read = cut(read.withColumn("content", F.when(wanted, F.col("content"))), "parsed").withColumn("tier", F.when(F.col("text").isNotNull(), "native"))
     done = read.where("text is not null or lane = 'rejected'").select(*names_)
     rest = read.where("text is null and lane <> 'rejected'")
     for lane, handle in (handlers or {}).items():
