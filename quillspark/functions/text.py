@@ -191,7 +191,8 @@ def version_anchor(report_type: Column, version: Column) -> Column:
 
 def file_name(header: Column) -> Column:
     """a percent-decoded file name of at most 256 characters."""
-    return F.substring(F.coalesce(F.try_url_decode(header), header, F.lit("attachment")), 1, 256)
+    # A plus sign is itself in a header.
+    return F.substring(F.coalesce(F.try_url_decode(F.replace(header, F.lit("+"), F.lit("%2B"))), header, F.lit("attachment")), 1, 256)
 
 
 def iso_day(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillspark.functions.crypto import is_sealed, seal, unseal
+from quillspark.functions.ddl import is_sealed_name, table_columns
 
 
 def sealed_columns(df: DataFrame) -> list[str]:
@@ -17,6 +18,17 @@ def sealed_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.endswith("_envelope") or c == "filename"]
 
 
+def sealed_by_ddl(schemas: DataFrame, ddl: str = "ddl") -> DataFrame:
+    """table_name and column_name of every column that texts of DDL define and that must be sealed."""
+    found = schemas.select(F.explode(table_columns(F.col(ddl))).alias("c")).select("c.*")
+    return found.where(is_sealed_name(F.col("column_name"))).distinct()
+
+
+def uncovered_by(schemas: DataFrame, audited: DataFrame, ddl: str = "ddl") -> DataFrame:
+    """Sealed columns of the DDL for which the audit (table_name, column_name) has no row."""
+    return sealed_by_ddl(schemas, ddl).join(audited, ["table_name", "column_name"], "left_anti")
+
+
 def ciphertext_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and malformed envelopes of every sealed column."""
     parts = [df.agg(F.count(F.lit(1)).alias("total"), F.count_if(~is_sealed(F.col(c))).alias("malformed")).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "total", "malformed") for t, df in tables.items() for c in sealed_columns(df)]

@@ -336,12 +336,14 @@ def web_snapshot_errors(t: Tables) -> DataFrame:
     return seen.select("snapshot_id", "error", F.when(F.col("error").isNull(), F.length("text").cast("long")).alias("n"))
 
 
-@query("SELECT doc_id AS media_id, CASE WHEN octet_length(encode(text)) > 3100 THEN NULL ELSE sha256(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'))) END AS digest FROM documents WHERE trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) <> '' AND length(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'))) <= 100")
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{1,5}') AS ws FROM documents)
+SELECT doc_id AS media_id, sha256(array_to_string(list_transform(ws, lambda w, i: w || i), ' ')) AS digest FROM w WHERE len(ws) > 0""")
 def media_transcripts(t: Tables) -> DataFrame:
-    """Recordings of one chunk: what the model says of it is the transcript."""
-    words = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
-    media = t.documents.select(F.col("doc_id").alias("media_id"), words.alias("w")).where("w <> '' and length(w) <= 100").select("media_id", F.encode("w", "UTF-8").alias("content"))
-    said = files.transcribe(media, lambda index, part: F.decode(part, "UTF-8"), 100, 10)
+    """All documents as recordings of numbered words, in chunks of 200 bytes that share 32; the model says the words that a chunk surely holds whole."""
+    words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{1,5})"), F.lit(1)), lambda w, i: F.concat(w, (i + 1).cast("string")))
+    media = t.documents.select(F.col("doc_id").alias("media_id"), words.alias("w")).where(F.size("w") > 0).select("media_id", F.encode(F.concat(F.lit("^ "), F.array_join("w", " "), F.lit(" $")), "UTF-8").alias("content"))
+    whole = lambda index, part: F.regexp_replace(F.decode(part, "UTF-8"), r"^[^ ]* ?|[^ ]*$", "")
+    said = files.transcribe(media, whole, 200, 32, 1 << 20)
     return said.select("media_id", F.sha2("text", 256).alias("digest"))
 
 
@@ -384,3 +386,60 @@ def search_leads(t: Tables) -> DataFrame:
     ]
     found = leads.leads(t.spark, f"{at}/requests", chain)
     return found.groupBy("kind", "request", "provider", "outcome").agg(F.count("place").alias("n_leads"), F.min(F.when(F.col("kind") == "extract", F.sha2(F.concat("url", "text"), 256))).alias("digest"))
+
+
+@query("SELECT doc_id, substring(text || '+', 1, 256) AS decoded, substring('%zz' || text, 1, 256) AS raw FROM documents")
+def header_names(t: Tables) -> DataFrame:
+    """F37 over all texts as names: encoded ones, and ones whose encoding is broken."""
+    encoded = F.concat(F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20")), F.lit("+"))
+    return t.documents.select("doc_id", text.file_name(encoded).alias("decoded"), text.file_name(F.concat(F.lit("%zz"), "text")).alias("raw"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN false ELSE true END AS unsafe FROM pages""")
+def unsafe_paths(t: Tables) -> DataFrame:
+    """P20 over all pages' URLs as members of an archive, three in four with what leads out of it."""
+    inner = F.regexp_replace("url", "^https?://", "")
+    path = F.when(F.col("page_id") % 4 == 0, inner).when(F.col("page_id") % 4 == 1, F.concat(F.lit("/"), inner)).when(F.col("page_id") % 4 == 2, F.concat(inner, F.lit("/../x"))).otherwise(F.concat(F.lit("C:"), inner))
+    return t.pages.select("page_id", policy.unsafe_path(path).alias("unsafe"))
+
+
+@query("SELECT conv_id, turn, sha256('sensitive-consent-v1' || chr(10) || text) AS digest FROM conversations")
+def consent_wording_digests(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", crypto.consent_wording_digest(F.col("text")).alias("digest"))
+
+
+@query("""SELECT conv_id, count(*) AS lines, sha256(string_agg(turn || ' ' || trim(regexp_replace(text, '[\\s\\x1c-\\x1f]+', ' ', 'g')), chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1""")
+def report_exports(t: Tables) -> DataFrame:
+    """A text file for each conversation, read back."""
+    at = place(t)
+    sinks.export_reports(t.conversations.select("conv_id", "turn", F.concat(F.col("turn").cast("string"), F.lit(" "), flat()).alias("body")), at, "conv_id", "turn")
+    lines = t.spark.read.schema("value string, conv_id long").text(at).select("conv_id", F.struct(F.substring_index("value", " ", 1).cast("int").alias("turn"), "value").alias("l"))
+    return lines.groupBy("conv_id").agg(F.count(F.lit(1)).alias("lines"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda l: l["value"]), "\n"), 256).alias("digest"))
+
+
+def ddl_of(t: Tables) -> DataFrame:
+    """A statement for each document, with its text in comments, in a string and in names."""
+    quoted = lambda c, mark: F.replace(c, F.lit(mark), F.lit(mark * 2))
+    k = (F.col("doc_id") % 5).cast("string")
+    ddl = F.concat(
+        F.lit("-- CREATE TABLE none (a_envelope TEXT)\nCREATE TABLE IF NOT EXISTS main.\"t"), F.col("doc_id").cast("string"), F.lit('" (\n id INTEGER PRIMARY KEY, -- '), F.regexp_replace("text", r"[\r\n]", " "),
+        F.lit("\n w"), k, F.lit("_envelope TEXT NOT NULL DEFAULT '"), quoted(F.col("text"), "'"), F.lit("',\n filename TEXT /* "), F.replace("text", F.lit("*/"), F.lit("")), F.lit(" */,\n note TEXT CHECK (length(note) IN (1, 2), 'x, y_envelope TEXT'), \""),
+        quoted(F.substring("text", 1, 40), '"'), F.lit('_envelope" BLOB,\n FOREIGN KEY (id) REFERENCES other(b_envelope), UNIQUE (filename, note)\n);'),
+    )
+    return t.documents.select("doc_id", ddl.alias("ddl"))
+
+
+_SEALED = """s AS (SELECT 't' || doc_id AS table_name, unnest(['w' || (doc_id % 5) || '_envelope', 'filename', substring(text, 1, 40) || '_envelope']) AS column_name, doc_id FROM documents)"""
+
+
+@query(f"WITH {_SEALED} SELECT DISTINCT table_name, column_name FROM s")
+def sealed_by_ddl(t: Tables) -> DataFrame:
+    return audit.sealed_by_ddl(ddl_of(t))
+
+
+@query(f"WITH {_SEALED} SELECT DISTINCT table_name, column_name FROM s WHERE NOT (column_name = 'filename' OR doc_id % 2 = 0)")
+def uncovered_by_ddl(t: Tables) -> DataFrame:
+    """The audit has rows of all file names, and of every column of every second table."""
+    sealed = audit.sealed_by_ddl(ddl_of(t))
+    audited = sealed.where((F.col("column_name") == "filename") | (F.substring("table_name", 2, 20).cast("long") % 2 == 0))
+    return audit.uncovered_by(ddl_of(t), audited)

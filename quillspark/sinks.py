@@ -125,6 +125,12 @@ def commit(spark: SparkSession, path: str, batch_id: int) -> None:
     fs.create(at(f"{path}/commits/{batch_id}")).close()
 
 
+def export_reports(lines: DataFrame, path: str, report: str, order: str, body: str = "body") -> None:
+    """One text file for each value of `report`, in a folder of its own, its lines (without line ends) in `order`; reports are written side by side."""
+    rows = lines.select(report, order, body).repartition(report).sortWithinPartitions(report, order)
+    rows.select(report, body).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(report).text(path)
+
+
 #: How long the raw bytes of a document that is held wait for another drain.
 RETRY_WINDOW = "7 days"
 

@@ -91,12 +91,37 @@ def drain(files: DataFrame, handlers: dict[str, Handler] | None = None, gate_opt
     return out.select("path", "name", "lane", "o.status", "o.reason", F.when(policy.mirrored(F.col("o.status")), F.col("gate.text")).alias("text"), F.col("gate.verdict").alias("verdict"), F.col("gate.hits").alias("hits"), "tier")
 
 
-def transcribe(media: DataFrame, model: Handler, chunk: int = 1 << 20, overlap: int = 64 << 10) -> DataFrame:
+def transcribe(media: DataFrame, model: Handler, chunk: int = 1 << 20, overlap: int = 64 << 10, most: int = 32) -> DataFrame:
     """Recordings (media_id, content) cut into overlapping chunks, each transcribed, stitched in order; never a part of one."""
-    cuts = media.select("media_id", "content", F.explode_outer(policy.media_chunks(F.octet_length("content").cast("long"), chunk, overlap)).alias("c"))
-    said = cuts.select("media_id", "c.index", model(F.col("c.index"), F.expr("substring(content, cast(c.start as int) + 1, cast(c.end - c.start as int))")).alias("words"))
-    per = said.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("index", "words"))).alias("parts"), F.bool_or(F.col("words").isNull()).alias("lacking"))
-    return per.select("media_id", F.when(~F.col("lacking"), stitched(F.transform("parts", lambda p: p["words"]))).alias("text"))
+    part = lambda c: F.struct(c["index"].alias("index"), F.substring(F.col("content"), c["start"].cast("int") + 1, (c["end"] - c["start"]).cast("int")).alias("part"))
+    ranges = policy.media_chunks(F.octet_length("content").cast("long"), chunk, overlap, most)
+    cuts = media.select("media_id", F.explode_outer(F.transform(ranges, part)).alias("c")).select("media_id", "c.index", "c.part")
+    return stitch_chunks(cuts.select("media_id", "index", model(F.col("index"), F.col("part")).alias("words")))
+
+
+def stitch_chunks(said: DataFrame, most: int = 16) -> DataFrame:
+    """one text for the chunks of each recording (media_id, index, words): at each seam the longest run of up to `most` words that ends one chunk and begins the next is said once.
+
+    A seam depends on the last words before it, so chunks meet their neighbours by a join and seams are found side by side,
+    also those of one long recording. Where a chunk has fewer words than a seam looks at, the recording is folded in order.
+    A recording of which a chunk has no words (null) has no text.
+    """
+    said = cut(said.select("media_id", "index", F.when(F.col("words").isNotNull(), F.filter(F.split("words", r"\s+"), lambda w: w != "")).alias("words")), "said")
+    sizes = said.groupBy("media_id").agg(F.max("index").alias("last"), F.bool_or(F.col("words").isNull()).alias("lacking"))
+    few = (F.col("index") < F.col("last")) & (F.coalesce(F.size("words"), F.lit(0)) < most)
+    odd = said.join(sizes, "media_id").groupBy("media_id").agg(F.bool_or(few).alias("odd"), F.bool_or("lacking").alias("lacking"))
+    ends = said.select("media_id", (F.col("index") + 1).alias("index"), F.transform(F.slice("words", F.greatest(F.size("words") - most + 1, F.lit(1)), F.lit(most)), F.lower).alias("before"))
+    head = F.transform(F.slice("words", 1, most), F.lower)
+    met = said.join(ends, ["media_id", "index"], "left").withColumn("head", head)
+    widths = F.reverse(F.sequence(F.lit(0), F.least(F.size("before"), F.size("head"))))
+    seam = F.filter(widths, lambda k: (k == 0) | (F.slice("before", F.size("before") - k + 1, k) == F.slice("head", F.lit(1), k)))[0]
+    kept = F.when(F.col("before").isNull(), F.col("words")).otherwise(F.slice("words", seam + 1, F.size("words")))
+    parts = met.select("media_id", "index", F.array_join(kept, " ").alias("part")).groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("index", "part"))).alias("parts"))
+    joined = F.array_join(F.filter(F.transform("parts", lambda p: p["part"]), lambda p: p != ""), " ")
+    quick = parts.join(odd.where("not odd and not lacking"), "media_id").select("media_id", joined.alias("text"))
+    walked = said.join(odd.where("odd and not lacking").select("media_id"), "media_id").groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("index", F.array_join("words", " ").alias("words")))).alias("parts"))
+    slow = walked.select("media_id", stitched(F.transform("parts", lambda p: p["words"])).alias("text"))
+    return quick.unionByName(slow).unionByName(odd.where("lacking").select("media_id", F.lit(None).cast("string").alias("text")))
 
 
 def web_snapshots(captures: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
