@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.crypto import is_hmac
+from quillspark import sinks
+from quillspark.functions.crypto import is_hmac, seal, unseal
 from quillspark.functions.text import entity_markers
 
 
@@ -32,3 +33,30 @@ def reveal(entity_index: DataFrame, requests: DataFrame) -> DataFrame:
     grouped = entity_index.groupBy("name_hmac").agg(F.sort_array(F.collect_set(F.struct("submission_id", "label"))).alias("links"))
     met = requests.join(grouped, "name_hmac", "left")
     return met.withColumn("error", F.when(~is_hmac(F.col("name_hmac")), "invalid_hmac").when(F.col("links").isNull(), "not_found"))
+
+
+def open_names(entities: DataFrame, requests: DataFrame, key: Column, audit: str, now: Column | None = None) -> DataFrame:
+    """The names behind requested hashes (request_id, name_hmac, revealed_by, reason), each with its audit record, or why there is none.
+
+    The records are written and committed first, and a name is opened only for a request that is read back from them: no
+    record, no name. A request that comes again finds its record and leaves no second one; one whose id stands for another hash opens nothing.
+    """
+    first = F.min_by("name_envelope", F.struct("submission_id", "label")).alias("_envelope")
+    asked = requests.select("request_id", "name_hmac").distinct()
+    held = entities.join(asked.select("name_hmac").distinct(), "name_hmac", "left_semi")
+    judged = reveal(held.select("name_hmac", "submission_id", "label"), requests).join(held.groupBy("name_hmac").agg(first), "name_hmac", "left")
+    record = seal(F.to_json(F.struct("revealed_by", "reason")), key)
+    rows = judged.where("error is null").select("request_id", "name_hmac", F.to_json("links").alias("links"), record.alias("record_envelope"), (F.current_timestamp() if now is None else now).alias("revealed_at"))
+    sinks.insert_ignore(rows, audit, ["request_id"])
+    kept = sinks.read(requests.sparkSession, audit).select("request_id", "name_hmac", F.lit(True).alias("_kept"))
+    met = judged.join(kept, ["request_id", "name_hmac"], "left")
+    name = F.when(F.col("_kept"), unseal(F.col("_envelope"), key))
+    error = F.when(F.col("error").isNull() & F.col("_kept").isNull(), "not_recorded").when(F.col("error").isNull() & name.isNull(), "unreadable").otherwise(F.col("error"))
+    return met.select("request_id", "name_hmac", name.alias("name"), F.when(F.col("_kept"), F.col("links")).alias("links"), error.alias("error"))
+
+
+def reveals(spark: SparkSession, audit: str, key: Column) -> DataFrame:
+    """The audit for its readers: who opened which hash and why; names are no part of it."""
+    opened = F.from_json(unseal(F.col("record_envelope"), key), "revealed_by string, reason string")
+    links_ = F.from_json("links", "array<struct<submission_id: string, label: string>>")
+    return sinks.read(spark, audit).withColumn("o", opened).select("request_id", "name_hmac", links_.alias("links"), "o.revealed_by", "o.reason", "revealed_at")

@@ -52,3 +52,19 @@ def session_state(steps: DataFrame, rounds_max: int = 3) -> DataFrame:
         F.count_if(F.col("kind") == "round").alias("rounds"), F.min(F.when(F.col("kind") == "complete", F.col("at"))).alias("completed_at"), F.max("at").alias("last_activity")
     )
     return ordered.withColumn("status", F.when(F.col("completed_at").isNotNull(), "complete").when(F.col("rounds") >= rounds_max, "awaiting").otherwise("open"))
+
+
+def forward_steps(steps: DataFrame, key: str, order: list[str], wants: str, leaves: str, copy: str) -> DataFrame:
+    """Steps of each key in order, with the phase they find (`at`), whether they are `accepted`, and the `version` of their copy.
+
+    A step asks for a phase (`wants`) and leaves one (`leaves`, not above the next); earlier phases may be skipped, and none is gone back to. What a
+    refused step leaves isn't above the phase it found, so the phase is a running maximum. The version starts at 1 and grows only when
+    an accepted step's copy differs from the last accepted one; steps without a copy (null) keep it.
+    """
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = steps.withColumn("at", F.coalesce(F.max(leaves).over(before), F.lit(0))).withColumn("accepted", F.col(wants) >= F.col("at"))
+    kept = F.when(F.col("accepted"), F.col(copy))
+    last = F.last(kept, ignorenulls=True).over(before)
+    changed = F.when(kept.isNotNull() & last.isNotNull() & (kept != last), 1).otherwise(0)
+    return out.withColumn("_changed", changed).withColumn("version", (F.sum("_changed").over(upto) + 1).cast("int")).drop("_changed")

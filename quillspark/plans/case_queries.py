@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import crypto
-from quillspark.operators import angles, chain, consent, entities, publish, research, retention, rounds, threads
+from quillspark.operators import angles, chain, consent, entities, ledger, publish, research, retention, rounds, threads
 from quillspark.plans import reports
 from quillspark.plans.registry import _TOKENS, Tables, now, place, query, stored_index, topics_of
 from quillspark.sources import files
@@ -266,3 +266,36 @@ def research_receipts(t: Tables) -> DataFrame:
     folder = place(t)
     research.live_loop(lines, docs, toy_model, folder, index=index)
     return research.receipts(t.spark, folder).select("step", "lines")
+
+
+@query("""WITH s AS (SELECT event_id, user_id, ts, event_id * 7 % 5 AS wants, least(4, event_id * 7 % 5 + event_id % 2) AS leaves, CASE WHEN event_id % 3 > 0 THEN event_type END AS copy FROM events),
+ a AS (SELECT *, coalesce(max(leaves) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "at" FROM s),
+ k AS (SELECT event_id, user_id, ts, copy, lag(copy) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM a WHERE wants >= "at" AND copy IS NOT NULL),
+ v AS (SELECT user_id, ts, event_id, sum(CASE WHEN copy <> last THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) + 1 AS version FROM k)
+SELECT a.event_id, a."at"::INT AS "at", a.wants >= a."at" AS accepted, coalesce(v.version, 1)::INT AS version FROM a ASOF LEFT JOIN v ON a.user_id = v.user_id AND (a.ts, a.event_id) >= (v.ts, v.event_id)""")
+def setup_steps(t: Tables) -> DataFrame:
+    """All events as steps of their user's setup."""
+    wants = F.col("event_id") * 7 % 5
+    steps = t.events.select("event_id", "user_id", "ts", wants.cast("int").alias("wants"), F.least(F.lit(4), wants + F.col("event_id") % 2).cast("int").alias("leaves"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("copy"))
+    return ledger.forward_steps(steps, "user_id", ["ts", "event_id"], "wants", "leaves", "copy").select("event_id", "at", "accepted", "version")
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id AS submission_id, '[person ' || upper(event_type[1]) || ']' AS label, user_id % 97 AS who FROM events),
+ q AS (SELECT user_id AS request_id, CASE WHEN user_id % 5 = 0 THEN 'no hash' WHEN user_id % 7 = 0 THEN sha256('nobody' || user_id) ELSE sha256('n' || (user_id % 97)) END AS name_hmac, user_id % 97 AS who, user_id % 5 = 0 AS bad, user_id % 7 = 0 AS lost
+       FROM (SELECT DISTINCT user_id FROM events))
+SELECT request_id, CASE WHEN NOT bad AND NOT lost THEN 'Name ' || q.who END AS name, CASE WHEN NOT bad AND NOT lost THEN (SELECT count(*) FROM e WHERE e.who = q.who) ELSE 0 END AS n_links,
+ CASE WHEN bad THEN 'invalid_hmac' WHEN lost THEN 'not_found' END AS error, CASE WHEN bad OR lost THEN 0 ELSE 1 END AS records FROM q""")
+def opened_names(t: Tables) -> DataFrame:
+    """Every user's request twice: names come with exactly one record each."""
+    key, who = F.lit("k" * 32), F.col("user_id") % 97
+    held = t.events.select(F.col("user_id").alias("submission_id"), F.concat(F.lit("[person "), F.upper(F.substring("event_type", 1, 1)), F.lit("]")).alias("label"), who.alias("who")).distinct()
+    held = held.select("submission_id", "label", crypto.seal(F.concat(F.lit("Name "), F.col("who").cast("string")), key).alias("name_envelope"), F.sha2(F.concat(F.lit("n"), F.col("who").cast("string")), 256).alias("name_hmac"))
+    user = F.col("user_id")
+    asked_for = F.when(user % 5 == 0, "no hash").when(user % 7 == 0, F.sha2(F.concat(F.lit("nobody"), user.cast("string")), 256)).otherwise(F.sha2(F.concat(F.lit("n"), who.cast("string")), 256))
+    asked = t.events.select(user.alias("request_id"), asked_for.alias("name_hmac"), F.lit("editor").alias("revealed_by"), F.lit("why").alias("reason")).distinct()
+    audit = place(t)
+    for _ in range(2):
+        out = entities.open_names(held, asked, key, audit, now())
+    records = entities.reveals(t.spark, audit, key).where("revealed_by = 'editor' and reason = 'why'").groupBy("request_id").agg(F.count(F.lit(1)).alias("records"))
+    met = out.join(records, "request_id", "left")
+    return met.select("request_id", "name", F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"), "error", F.coalesce("records", F.lit(0)).cast("int").alias("records"))

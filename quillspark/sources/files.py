@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 from quillspark.functions import names, policy, text
 from quillspark.lineage import cut
 from quillspark.sources import parsers, pdf
+from quillspark.sources.leads import opened
 
 
 def scan(spark: SparkSession, path: str, most_bytes: int = policy.MAX_DOC_BYTES) -> DataFrame:
@@ -22,6 +24,29 @@ def scan(spark: SparkSession, path: str, most_bytes: int = policy.MAX_DOC_BYTES)
     return raw.withColumn("name", name).withColumn("c", lane).select("path", "name", "length", "c.lane", "c.reason", F.col("c.table").alias("table_kind"), F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
 
 
+def write_files(rows: DataFrame, path: str) -> None:
+    """Each row (name, content) as a file below `path`, a folder that tasks can open; each file is renamed into place when it is whole."""
+
+    def write(batches):
+        where, home = opened(path)
+        where.create_dir(home, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = f"{home}/.{name}.{uuid.uuid4().hex}"
+                with where.open_output_stream(part) as out:
+                    out.write(content or b"")
+                where.move(part, f"{home}/{name}")
+            yield batch.select([0]).slice(0, 0)
+
+    rows.select("name", "content").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+def spread(files: DataFrame, large: int = 8 << 20) -> DataFrame:
+    """Files for parsers, so that large ones don't share a task with others of the same split: they are dealt anew by path, small ones stay where they are read."""
+    big = F.col("length") > large
+    return files.where(~big).unionByName(files.where(big).repartition("path"))
+
+
 def native_text(lane: str, name: str, data: bytes) -> str | None:
     """Text of a file by a native parser; None means that the lane needs a model, or that there is no text."""
     if lane == "native":
