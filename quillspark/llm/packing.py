@@ -4,8 +4,9 @@ Bounded-space best fit: pieces come one by one, a bitset keyed by free space fin
 that they fit best, and at most OPEN_BINS bins are open, of which the fullest closes first.
 Pieces are tokenised in place, written once as small rows (no token ids) and dealt into groups of
 about GROUP_TOKENS by a hash of their row, so that copies spread and work per task is bounded at
-every input size. A group fills about twice as many bins as may be open at once, or more. Its
-pieces arrive longest first, which leaves the short ones for the gaps.
+every input size. A group's pieces arrive in the order of another hash and are placed as they come; a group
+fills about four times as many bins as may be open at once, or more, so bins are closed in every group of full size.
+Longest first would need 0.7 % fewer sequences (2,271 instead of 2,286 on 9.3 million tokens, whose bound is 2,270).
 
 A batch's texts are lower-cased and cut into the tokenizer's words by Arrow; its distinct words
 are spelled side by side, one merge of each a step, and texts are put together from their words.
@@ -34,7 +35,7 @@ from quillspark.llm.token_counts import byte_symbols
 LIMIT = 4096
 END_ID = 1
 #: Tokens dealt to one packing task, and bins it may hold open.
-GROUP_TOKENS, OPEN_BINS = 4_000_000, 512
+GROUP_TOKENS, OPEN_BINS = 4_000_000, 256
 #: Bytes of texts spelled together, words put together at once, and bytes of a word that is spelled here.
 SLICE_BYTES, SLICE_WORDS, LONGEST = 6_000_000, 1_000_000, 64
 _NO_MERGE = np.int32(2**31 - 1)
@@ -245,7 +246,7 @@ class BestFit:
 
     def __init__(self, capacity: int, open_bins: int):
         self.capacity, self.most = capacity, open_bins
-        self.bits, self.stacks, self.open, self.bins = 0, {}, 0, 0
+        self.bits, self.stacks, self.open, self.bins, self.closed = 0, {}, 0, 0, 0
 
     def _take(self, free: int) -> int:
         stack = self.stacks[free]
@@ -265,6 +266,7 @@ class BestFit:
         else:
             if self.open >= self.most and length < self.capacity:  # the fullest closes first
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             found, free, self.bins = self.bins, self.capacity, self.bins + 1
         if left := free - length:
             self.stacks.setdefault(left, []).append(found)
@@ -273,13 +275,19 @@ class BestFit:
         return found, self.capacity - free
 
 
+def dealt(pieces: DataFrame, groups: int) -> DataFrame:
+    """Pieces with their group and, by another hash, the order in which they arrive there; the row's place in the written table tells rows that repeat apart."""
+    row = ("doc_id", "piece", F.monotonically_increasing_id())
+    return pieces.withColumn("bin_group", F.pmod(F.xxhash64(*row), F.lit(groups))).withColumn("arrival", F.xxhash64(F.lit("arrival"), *row))
+
+
 def pack(pieces: DataFrame, limit: int = LIMIT, group_tokens: int = GROUP_TOKENS, open_bins: int = OPEN_BINS) -> DataFrame:
     """Add sequence_id and offset to `pieces`; whole sequences never span groups."""
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
 
     def one(frame):
-        frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        frame = frame.sort_values(["arrival", "doc_id", "piece", "ids_crc32"], kind="stable")
         fit = BestFit(limit, open_bins)
         placed = [fit.put(n) for n in frame["length"].tolist()]
         group = int(frame["bin_group"].iloc[0])
@@ -287,9 +295,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT, group_tokens: int = GROUP_TOKENS
         frame["offset"] = [o for _, o in placed]
         return frame[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    # The row's place in the written table tells rows that repeat apart.
-    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("bin_group").applyInPandas(one, PACKED_SCHEMA)
+    return dealt(pieces, groups).groupBy("bin_group").applyInPandas(one, PACKED_SCHEMA)
 
 
 def best_fit_pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS, open_bins: int = OPEN_BINS) -> DataFrame:

@@ -126,8 +126,9 @@ def test_groups_are_packed_as_plainly(spark, docs):
     for r in rows:
         groups.setdefault(r["sequence_id"] >> 40, []).append(r)
     assert len(groups) > 2
+    arrival = {(r["doc_id"], r["piece"]): r["arrival"] for r in packing.dealt(pieces, len(groups)).collect()}
     for found in groups.values():
-        found.sort(key=lambda r: (-r["length"], r["doc_id"], r["piece"], r["ids_crc32"]))
+        found.sort(key=lambda r: (arrival[r["doc_id"], r["piece"]], r["doc_id"], r["piece"], r["ids_crc32"]))
         assert [(r["sequence_id"] & (1 << 40) - 1, r["offset"]) for r in found] == plain_best_fit([r["length"] for r in found], 256, 8)
 
 
@@ -143,3 +144,17 @@ def test_packing_edges(edge, empty):
     rows = packing.best_fit_pack(edge, WORDS).collect()
     check_packing(rows, [r["length"] for r in rows], 4096)
     assert sum(r["length"] for r in rows if r["doc_id"] in (3, 4, 5)) == 3 and packing.best_fit_pack(empty, WORDS).count() == 0
+
+
+def test_bins_close_in_groups_of_full_size():
+    """The bound acts: pieces come in no order, and the fullest bin closes when another is to be opened."""
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(rng.lognormal(6.3, 1.2, 4400).astype(int) + 1, packing.LIMIT).tolist()
+    assert sum(lengths) > packing.GROUP_TOKENS
+    fit, used = packing.BestFit(packing.LIMIT, packing.OPEN_BINS), {}
+    for n in lengths:
+        b, offset = fit.put(n)
+        assert offset == used.get(b, 0)
+        used[b] = offset + n
+        assert fit.open <= packing.OPEN_BINS and used[b] <= packing.LIMIT
+    assert fit.closed > 0 and fit.bins <= 1.03 * -(-sum(lengths) // packing.LIMIT)
