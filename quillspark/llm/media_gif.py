@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 SIDE = 24
 FRAME = SIDE * SIDE
-#: Hundredths of a second that a stored frame is shown, and bins of the histogram column.
+#: Hundredths of a second that a stored frame is shown, and bins of the histogram column for each of red, green and blue.
 DELAY, BINS = 10, 16
 _GRAY = bytes(v for v in range(256) for _ in range(3))
 
@@ -407,19 +407,19 @@ def render(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]
             canvas = kept
 
 
-def luma_bins(rgb: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Counts of colours by lightness."""
-    level = (rgb[..., 0].astype(np.int64) * 299 + rgb[..., 1].astype(np.int64) * 587 + rgb[..., 2].astype(np.int64) * 114 + 500) // 1000
-    return np.bincount((level * bins >> 8).ravel(), minlength=bins)
+def colour_bins(rgb: np.ndarray) -> np.ndarray:
+    """Counts of pixels by their red, then by their green, then by their blue."""
+    level = (rgb[..., :3].reshape(-1, 3).astype(np.int64) * BINS >> 8) + np.arange(3) * BINS
+    return np.bincount(level.ravel(), minlength=3 * BINS)
 
 
 def histogram(width: int, height: int, frames: list[Frame]) -> np.ndarray:
     """Colour histogram over all shown frames. Frames that cover the canvas go by their indices, others are composited."""
-    total = np.zeros(BINS, np.int64)
+    total = np.zeros(3 * BINS, np.int64)
     plain = all(f.transparent is None and (f.left, f.top, f.width, f.height) == (0, 0, width, height) for f in frames)
     if not plain:
         for canvas in render(width, height, frames):
-            total += luma_bins(canvas)
+            total += colour_bins(canvas)
         return total
     by_palette: dict[int, list[Frame]] = {}
     for f in frames:
@@ -429,8 +429,8 @@ def histogram(width: int, height: int, frames: list[Frame]) -> np.ndarray:
         palette = np.zeros((256, 3), np.uint8)
         own = same[0].palette
         palette[: len(own)] = own
-        level = (palette.astype(np.int64) @ [299, 587, 114] + 500) // 1000 * BINS >> 8
-        total += np.bincount(level, counts, BINS).astype(np.int64)
+        level = (palette.astype(np.int64) * BINS >> 8) + np.arange(3) * BINS
+        total += np.bincount(level.ravel(), np.repeat(counts, 3), 3 * BINS).astype(np.int64)
     return total
 
 
@@ -497,7 +497,7 @@ def frame_table(media: DataFrame, id_column: str, bytes_column: str) -> DataFram
             for who, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 width, height, frames = read_gif(data or b"")
                 for k, canvas in enumerate(render(width, height, frames)):
-                    row = (who, k, 10 * frames[k].delay, width, height, frames[k].disposal, canvas.tobytes(), luma_bins(canvas).tolist())
+                    row = (who, k, 10 * frames[k].delay, width, height, frames[k].disposal, canvas.tobytes(), colour_bins(canvas).tolist())
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
     return media.select(media[id_column].cast("long").alias("media_id"), media[bytes_column].alias("data")).mapInArrow(run, FRAME_SCHEMA)

@@ -15,7 +15,7 @@ def test_payloads_round_trip(edge, empty, docs):
         texts = {(r["doc_id"], (r["text"] or "")) for r in df.collect()}
         want = {(d, hashlib.sha256(g.payload_of(t.encode())).hexdigest(), len(t.encode()), zlib.crc32(g.payload_of(t.encode())[-32:])) for d, t in texts}
         assert {(r["doc_id"], r["payload_sha256"], r["n_bytes"], r["tail_crc32"]) for r in rows} == want
-        assert all(r["payload_bytes"] == 576 * r["n_frames"] and sum(map(int, r["feature"].split(","))) == r["payload_bytes"] for r in rows)
+        assert all(r["payload_bytes"] == 576 * r["n_frames"] and sum(map(int, r["feature"].split(","))) == 3 * r["payload_bytes"] for r in rows)
     assert g.stored_media(empty).count() == 0
 
 
@@ -65,7 +65,7 @@ def test_damaged_gifs(spark):
         g.read_gif(data[:k])
     assert g.read_gif(b"not a gif") == (0, 0, [])
     rows = g.frame_table(spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(b"x"))], "id long, gif binary"), "id", "gif").collect()
-    assert len(rows) == 1 and rows[0]["delay_ms"] == 50 and sum(rows[0]["histogram"]) == 8 and np.frombuffer(rows[0]["rgba"], np.uint8).reshape(2, 4, 4)[0, 0].tolist() == [255, 0, 0, 255]
+    assert len(rows) == 1 and rows[0]["delay_ms"] == 50 and sum(rows[0]["histogram"]) == 24 and np.frombuffer(rows[0]["rgba"], np.uint8).reshape(2, 4, 4)[0, 0].tolist() == [255, 0, 0, 255]
 
 
 def plain_gif(data):
@@ -112,9 +112,10 @@ def test_features_against_a_plain_decoder(spark):
     for k, text in enumerate(texts):
         gif = g.store_texts([text])[0][1]
         assert rows[k]["media_sha256"] == hashlib.sha256(gif).hexdigest() and rows[k]["media_bytes"] == len(gif)
-        frames, bins = plain_gif(gif), [0] * g.BINS
-        for red, green, blue in (p for f in frames for p in f):
-            bins[(red * 299 + green * 587 + blue * 114 + 500) // 1000 * g.BINS // 256] += 1
+        frames, bins = plain_gif(gif), [0] * (3 * g.BINS)
+        for pixel in (p for f in frames for p in f):
+            for channel in range(3):
+                bins[channel * g.BINS + pixel[channel] * g.BINS // 256] += 1
         assert rows[k]["feature"] == ",".join(map(str, bins)) and rows[k]["n_frames"] == len(frames)
         payload = g.payload_of(text.encode())
         assert [p[0] for f in frames for p in f] == list(payload)  # the palette is the grey ramp
@@ -165,3 +166,8 @@ def test_pipeline_stages_on_edges(spark, sf, edge, empty, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
     assert p.run(spark, f"{tmp_path}/empty").count() == 0
     assert {r["doc_id"] for r in p.run(spark, f"{tmp_path}/edge").collect()} <= {None, *range(1, 12)}
+
+
+def test_frames_of_one_lightness_differ_by_colour():
+    red, grey = np.full((4, 4, 3), (255, 0, 0), np.uint8), np.full((4, 4, 3), 76, np.uint8)
+    assert g.colour_bins(red).tolist() != g.colour_bins(grey).tolist() and g.colour_bins(red)[[15, 16, 32]].tolist() == [16, 16, 16]
