@@ -29,13 +29,16 @@ ROUNDS = 8
 
 # Patterns of the kinds, in the order in which they are tried.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Not where a date begins: a number of groups ends before one.
+_NO_DATE = r"(?!(?:19|20)[0-9]{2}[/\-][0-9]|[0-3]?[0-9][/.][0-3]?[0-9][/.][0-9])"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?|[0-9A-Z]{11,30})(?![0-9A-Za-z])",
     "date": r"(?<![0-9./\-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|(?:19|20)[0-9]{2}/[01]?[0-9]/[0-3]?[0-9]|[0-3]?[0-9]/[0-3]?[0-9]/(?:19|20)[0-9]{2}|[0-3]?[0-9]\.[01]?[0-9]\.(?:19|20)[0-9]{2})(?![0-9/\-]|\.[0-9])",
-    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9\-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])",
+    "phone": rf"(?<![0-9])\+1[ .\-]?\(?[0-9]{{3}}\)?[ .\-]?[0-9]{{3}}[ .\-]?[0-9]{{4}}(?![0-9])|(?<![0-9])\+[0-9]{{1,3}}[ .\-]?\(?[0-9]{{2,4}}\)?(?:[ .\-]?{_NO_DATE}[0-9]{{2,4}}){{2,4}}(?![0-9])|"
+    r"(?<![0-9])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9\-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])",
     "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,4}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,4}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])",
 }
@@ -68,7 +71,14 @@ def feistel(codes: Column, radix: Column, key: str, kind: str, rounds: int = ROU
             lambda h: F.transform(now, lambda c, i: F.when((i % 2) == (r % 2), F.pmod(c + F.conv(F.substring(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.get(radix, i)).cast("int")).otherwise(c)),
         )
 
-    return let(radix, lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), codes, lambda now, r: step(x, now, r)))
+    def alone(code: Column, radix: Column) -> Column:
+        """One symbol has no other to be mixed with: its place in the order of the symbols' hashes."""
+        order = F.array_sort(F.transform(F.sequence(F.lit(0), radix - 1), lambda s: F.struct(F.sha2(F.concat_ws("|", F.lit(f"{key}|{kind}|one"), s.cast("string")), 256).alias("h"), s.alias("s"))))
+        return F.array(F.get(order, code)["s"].cast("int"))
+
+    single = alone(F.get(codes, F.lit(0)), F.get(radix, F.lit(0)))
+    mixed = let(radix, lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), codes, lambda now, r: step(x, now, r)))
+    return F.when(F.size(codes) == 1, single).otherwise(mixed)
 
 
 def _digits(s: Column) -> Column:

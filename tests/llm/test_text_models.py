@@ -197,6 +197,30 @@ def test_pseudonyms_against_plain_python(spark):
     assert pseudo(spark, "at 1.43.173.185")[0][0] == f"at {ip}"
 
 
+def test_values_beside_each_other_keep_their_pseudonyms(spark):
+    """Every kind next to every other, apart by a space or a comma."""
+    values = [
+        "a.b@x.example.com", "1.43.173.185", "2001/12/25", "2001-12-25", "25.12.2001", "1/2/2001", "+14155550100", "+1 415 555 0100", "+49 30 1234 5678", "(415) 555-0100", "415-555-0100", "123-45-6789",
+        "4539148803436467", "4539 1488 0343 6467", "DE89370400440532013000", "5f4dcc3b5aa765d61d8327deb882cf99",
+    ]
+    alone = dict(zip(values, (t for t, _ in pseudo(spark, *values)), strict=True))
+    assert all(alone[v] != v for v in values)
+    pairs = [(a, b, sep) for a in values for b in values for sep in (" ", ", ")]
+    got = pseudo(spark, *(a + sep + b for a, b, sep in pairs))
+    # A number written in groups goes on where bare groups follow, with nothing between them that ends it.
+    open_end = lambda a, b, sep: sep == " " and a in ("+49 30 1234 5678", "4539 1488 0343 6467", "DE89370400440532013000") and b[0].isdigit()
+    wrong = [(a, b, sep, t) for (a, b, sep), (t, _) in zip(pairs, got, strict=True) if t != alone[a] + sep + alone[b] and not open_end(a, b, sep)]
+    assert not wrong, wrong[:5]
+    dates = [(a, b, t) for (a, b, sep), (t, _) in zip(pairs, got, strict=True) if a == "+49 30 1234 5678" and b in ("2001/12/25", "2001-12-25", "25.12.2001", "1/2/2001") and t != alone[a] + sep + alone[b]]
+    assert not dates, dates
+
+
+def test_one_letter_is_permuted_by_the_key(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    to = "".join(t[0] for t, _ in pseudo(spark, *(f"{c}@x.example.com" for c in letters)))
+    assert sorted(to) == list(letters) and len({(ord(y) - ord(x)) % 26 for x, y in zip(letters, to, strict=True)}) > 5
+
+
 def test_bank_accounts_stay_valid(spark):
     def valid(s):
         plain = s.replace(" ", "")
