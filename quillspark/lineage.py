@@ -20,12 +20,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Characters of a plan that the driver keeps as text for each of the last thousand queries, where the session sets no limit of its own.
+PLAN_CHARS = 8192
+
+
+def short_plans(spark: SparkSession) -> None:
+    """Bound what the driver remembers of plans: those of long joins take megabytes each, and adaptive execution writes them anew at every step."""
+    name = "spark.sql.maxPlanStringLength"
+    if int(spark.conf.get(name).rstrip("bB") or 0) > 1 << 30:
+        spark.conf.set(name, str(PLAN_CHARS))
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
     The table outlives lost executors, and what follows neither recomputes nor
     re-plans what came before.
     """
+    short_plans(df.sparkSession)
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
