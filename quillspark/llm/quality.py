@@ -70,18 +70,30 @@ class RuleModel:
     rules: list[tuple[tuple[tuple[int, bool, float], ...], float]] = field(default_factory=list)
     linear: list[tuple[int, float, float, float]] = field(default_factory=list)
 
-    def column(self, stats: dict[str, Column]) -> Column:
-        """The score as a Spark expression."""
+    def column(self, x: Column) -> Column:
+        """The score as a Spark expression of the array of statistics, a column of its own.
+
+        Rules are a table in arrays, walked by one lambda: a term for each of them is code
+        that the driver, and each executor, would compile in hundreds of megabytes.
+        """
         logit = F.lit(self.bias)
-        for tests, weight in self.rules:
-            holds = None
-            for k, above, at in tests:
-                c = stats[NAMES[k]]
-                test = c > F.lit(at) if above else c <= F.lit(at)
-                holds = test if holds is None else holds & test
-            logit = logit + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
+        if self.rules:
+            depth = max(len(tests) for tests, _ in self.rules)
+            filled = [(*tests, *[(0, True, -math.inf)] * (depth - len(tests))) for tests, _ in self.rules]
+            parts = {"weight": [w for _, w in self.rules]}
+            for d in range(depth):
+                parts |= {f"{name}{d}": [t[d][k] for t in filled] for k, name in enumerate(("k", "above", "at"))}
+            table = F.arrays_zip(*(_listed(values).alias(name) for name, values in parts.items()))
+
+            def add(total: Column, rule: Column) -> Column:
+                holds = F.lit(True)
+                for d in range(depth):
+                    holds = holds & ((F.get(x, rule[f"k{d}"]) > rule[f"at{d}"]) == rule[f"above{d}"])
+                return total + F.when(holds, rule["weight"]).otherwise(F.lit(0.0))
+
+            logit = F.aggregate(table, logit, add)
         for k, low, high, weight in self.linear:
-            logit = logit + F.least(F.greatest(stats[NAMES[k]], F.lit(low)), F.lit(high)) * F.lit(weight)
+            logit = logit + F.least(F.greatest(F.get(x, F.lit(k)), F.lit(low)), F.lit(high)) * F.lit(weight)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -94,6 +106,12 @@ class RuleModel:
         return 1 / (1 + np.exp(-logit))
 
 
+def _listed(values: list) -> Column:
+    """A constant array, one literal of text: it is folded when planned."""
+    kind = {bool: "boolean", int: "int", float: "double"}[type(values[0])]
+    return F.split(F.lit(",".join("-Infinity" if v == -math.inf else repr(v) for v in values)), ",").cast(f"array<{kind}>")
+
+
 def holds(x: np.ndarray, tests: tuple) -> np.ndarray:
     out = np.ones(len(x), bool)
     for k, above, at in tests:
@@ -218,16 +236,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def with_score(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """(_row struct of all columns, _id, _score, _place): statistics first, as columns, then the rules over them.
+    """(_row struct of all columns, _id, _score, _place): statistics first, as a column, then the rules over them.
 
     A filter on the score names _place too: that keeps it above the statistics, which would else be
     made anew for each of the rules.
     """
     stats = statistics(text_of(docs))
-    wide = docs.select(
-        F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_id"), F.monotonically_increasing_id().alias("_place"), *(c.cast("double").alias(f"_{k}") for k, c in stats.items())
-    )
-    return wide.select("_row", "_id", model.column({k: F.col(f"_{k}") for k in NAMES}).alias("_score"), "_place")
+    wide = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_id"), F.monotonically_increasing_id().alias("_place"), F.array(*(stats[k].cast("double") for k in NAMES)).alias("_x"))
+    return wide.select("_row", "_id", model.column(F.col("_x")).alias("_score"), "_place")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -253,6 +253,19 @@ def test_rules_learn_and_compile(spark, sf, docs):
     assert np.allclose(np.sort(got), np.sort(model.scores(x)), atol=1e-9)
 
 
+def test_rules_are_data_in_the_plan(spark, docs):
+    """A term for each rule would be code that the driver compiles in hundreds of megabytes."""
+    draw = np.random.default_rng(5)
+    rules = [(tuple((int(draw.integers(len(quality.NAMES))), bool(draw.random() < 0.5), float(draw.random() * 4)) for _ in range(1 + k % 3)), float(draw.normal())) for k in range(300)]
+    model = quality.RuleModel(0.25, rules, [(0, 1.0, 5.0, 0.3)])
+    scored = quality.with_score(docs, model)
+    assert scored._jdf.queryExecution().analyzed().toString().count("CASE WHEN") < 40  # those of the statistics and one of the rules
+    stats = quality.statistics(F.col("text"))
+    x = np.asarray([[float(r[k]) for k in quality.NAMES] for r in docs.select(*(stats[k].cast("double").alias(k) for k in quality.NAMES)).collect()])
+    assert np.allclose(np.sort([r["_score"] for r in scored.select("_score").collect()]), np.sort(model.scores(x)), atol=1e-12)
+    assert quality.with_score(docs, quality.RuleModel(0.0)).select("_score").distinct().collect() == [(0.5,)]
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
