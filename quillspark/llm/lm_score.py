@@ -25,13 +25,13 @@ ignored. Scores depend on the texts and ids of the table, not on its files or pa
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +43,11 @@ SIDES = (-2, -1, 1, 2)
 #: Tokens a shard, shards at most (beyond, they grow), places a step, and the steps a shard takes at least.
 SHARD, SHARDS, BATCH, RATE, STEPS = 4_000_000, 4096, 8192, 0.15, 450
 _SLICE = 1024  # rows of logits that stay in the processor's cache
-_CACHE = 300_000
 #: Words whose shares go to the tasks.
 HELD = 100_000
-_PART, _ROWS = 512, 1024
+_PART = 512
+#: Rows and bytes of text whose words are counted at once; Spark sums the counts of a task before the shuffle.
+_COUNTED_ROWS, _COUNTED_BYTES = 10_000, 32 << 20
 SCORE_SCHEMA = "doc_id long, n_tokens long, pll double, pll_per_token double, perplexity double"
 
 
@@ -54,25 +55,53 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of some texts: how many each text has, the places of all in an array of the different ones, and that array."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lists.flatten()
+    some = pc.not_equal(words, "")  # white space at either end leaves an empty one
+    lengths = np.bincount(pc.list_parent_indices(lists).filter(some).to_numpy(), minlength=len(texts))
+    found = words.filter(some).dictionary_encode()
+    return lengths, found.indices.to_numpy(), found.dictionary.cast(pa.binary())
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> np.uint32(1)) ^ np.uint32(0xEDB88320), table >> np.uint32(1))
+    return table
+
+
+_CRC = _crc_table()
+
+
 def bucket_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BUCKETS
 
 
+def buckets_of(words: pa.Array) -> np.ndarray:
+    """The bucket of each word: CRC-32 of its last bytes, a byte of all words at a time."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for k in (3, 2, 1):
+        has = np.diff(ends) >= k
+        crc[has] = (crc[has] >> np.uint32(8)) ^ _CRC[(crc[has] ^ data[ends[1:][has] - k]) & np.uint32(255)]
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)).astype(np.int64)
+
+
 class Reader:
-    """Numbers of a text's words: a held word's place in the list, and ~bucket for others."""
+    """Numbers of words: a held word's place in the list, and ~bucket for others."""
 
     def __init__(self, held: list[bytes]):
-        self.known = {w: k for k, w in enumerate(held)}
-        self.cache = dict(self.known)
+        self.held = pa.array(held, pa.binary())
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > _CACHE + len(self.known):
-            cache = self.cache = dict(self.known)
-        for w in set(words):
-            if w not in cache:
-                cache[w] = ~bucket_of(w)
-        return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+    def __call__(self, words: pa.Array | list[bytes]) -> np.ndarray:
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        if not len(words):
+            return np.zeros(0, np.int64)
+        place = pc.index_in(words, value_set=self.held).fill_null(-1).to_numpy().astype(np.int64)
+        return np.where(place >= 0, place, ~buckets_of(words))
 
 
 def leaves_of(numbers: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -80,19 +109,19 @@ def leaves_of(numbers: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.where(numbers >= 0, numbers, vocabulary + ~numbers)
 
 
-def _log_share(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of one place of each row; the rows are used up."""
-    rows -= rows.max(1, keepdims=True)
-    own = rows[np.arange(len(at)), at]
-    return own - np.log(np.exp(rows, out=rows).sum(1))
+def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of one place of each column; the columns are used up."""
+    logits -= logits.max(0)
+    own = logits[at, np.arange(len(at))]
+    return own - np.log(np.exp(logits, out=logits).sum(0))
 
 
-def _by_cluster(cluster: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each cluster among the places, with those places."""
-    order = np.argsort(cluster, kind="stable")
-    found, begin = np.unique(cluster[order], return_index=True)
-    for k, a, b in zip(found.tolist(), begin, [*begin[1:], len(order)], strict=True):
-        yield k, order[a:b]
+def _by_value(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the places by small numbers, where each number begins in it, and the numbers."""
+    order = np.argsort(values.astype(np.int16), kind="stable")  # of 16 bits: by counting
+    ranked = values[order]
+    begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return order, begin, ranked[begin]
 
 
 @dataclass
@@ -147,16 +176,18 @@ class Network:
         h, out = self.hidden(context), np.empty(len(target), np.float32)
         cluster, leaf = np.divmod(target, self.bias.shape[1])
         for k in range(0, len(target), _SLICE):
-            here = cluster[k : k + _SLICE]
-            logits = h[k : k + _SLICE] @ self.top.T
-            logits += self.top_bias
-            out[k : k + _SLICE] = _log_share(logits, here)
-        for c, at in _by_cluster(cluster):
-            for k in range(0, len(at), _SLICE):
-                mine = at[k : k + _SLICE]
-                logits = h[mine] @ self.out[c].T
-                logits += self.bias[c]
-                out[mine] += _log_share(logits, leaf[mine])
+            logits = self.top @ h[k : k + _SLICE].T
+            logits += self.top_bias[:, None]
+            out[k : k + _SLICE] = _log_share(logits, cluster[k : k + _SLICE])
+        order, begin, found = _by_value(cluster)
+        h, leaf, more = h[order], leaf[order], np.empty(len(target), np.float32)
+        for c, a, b in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+            for k in range(a, b, _SLICE):
+                mine = slice(k, min(k + _SLICE, b))
+                logits = self.out[c] @ h[mine].T
+                logits += self.bias[c][:, None]
+                more[mine] = _log_share(logits, leaf[mine])
+        out[order] += more
         return out
 
 
@@ -172,36 +203,40 @@ class Adagrad:
 
     @staticmethod
     def _errors(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-        """Derivatives of the mean loss by the logits."""
-        p = h @ weights.T
-        p += bias
-        p -= p.max(1, keepdims=True)
+        """Derivatives of the mean loss by the logits, a column a place: sums over logits then run along rows."""
+        p = weights @ h.T
+        p += bias[:, None]
+        p -= p.max(0)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True) * np.float32(n)
-        p[np.arange(len(of)), of] -= np.float32(1 / n)
+        p /= p.sum(0) * np.float32(n)
+        p[of, np.arange(len(of))] -= np.float32(1 / n)
         return p
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, len(target)
-        h = net.hidden(context)
         cluster, leaf = np.divmod(target, net.bias.shape[1])
+        order, begin, found = _by_value(cluster)
+        context, cluster, leaf = context[order], cluster[order], leaf[order]
+        h = net.hidden(context)
         back, top, top_bias = np.empty_like(h), np.zeros_like(net.top), np.zeros_like(net.top_bias)
         for k in range(0, n, _SLICE):
             p = self._errors(h[k : k + _SLICE], net.top, net.top_bias, cluster[k : k + _SLICE], n)
-            back[k : k + _SLICE] = p @ net.top
-            top += p.T @ h[k : k + _SLICE]
-            top_bias += p.sum(0)
-        for c, at in _by_cluster(cluster):
-            part = h[at]
-            p = self._errors(part, net.out[c], net.bias[c], leaf[at], n)
-            back[at] += p @ net.out[c]
-            self._move(net.out[c], self.seen[4][c], p.T @ part)
-            self._move(net.bias[c], self.seen[5][c], p.sum(0))
+            back[k : k + _SLICE] = p.T @ net.top
+            top += p @ h[k : k + _SLICE]
+            top_bias += p.sum(1)
+        for c, a, b in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), n], strict=True):
+            part = h[a:b]
+            p = self._errors(part, net.out[c], net.bias[c], leaf[a:b], n)
+            back[a:b] += p.T @ net.out[c]
+            self._move(net.out[c], self.seen[4][c], p @ part)
+            self._move(net.bias[c], self.seen[5][c], p.sum(1))
         back *= 1 - h * h
-        flat, rows = back.ravel(), net.sides.shape[1]
         for k in range(len(SIDES)):
-            spread = np.bincount((context[:, k, None] * WIDTH + np.arange(WIDTH)).ravel(), flat, rows * WIDTH)
-            self._move(net.sides[k], self.seen[0][k], spread.reshape(rows, WIDTH).astype(np.float32))
+            # Tokens that aren't there have no derivative: only the others' rows move.
+            order, begin, found = _by_value(context[:, k])
+            value, seen = net.sides[k][found], self.seen[0][k][found]
+            self._move(value, seen, np.add.reduceat(back[order], begin, axis=0))
+            net.sides[k][found], self.seen[0][k][found] = value, seen
         for value, seen, gradient in zip((net.shift, net.top, net.top_bias), self.seen[1:4], (back.sum(0), top, top_bias), strict=True):
             self._move(value, seen, gradient)
 
@@ -217,28 +252,24 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of so many rows and bytes of text at most, or one longer row."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, _ROWS):
-            yield batch.slice(lo, _ROWS)
+        ends, lo = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(), dtype=np.int64), 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right"))
+            hi = min(max(hi, lo + 1), lo + rows, batch.num_rows)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """word (binary) and count over the whole corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "count"])
-
-        for batch in _small(batches):
-            for text in batch.column(1).to_pylist():
-                held.update(words_of(text))
-                if len(held) > _CACHE:
-                    yield out()
-                    held.clear()
-        yield out()
+        for batch in _small(batches, _COUNTED_ROWS, _COUNTED_BYTES):
+            _, places, words = words_in(batch.column(1))
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(places, minlength=len(words)), pa.int64())], ["word", "count"])
 
     return _texts(docs).mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
@@ -272,8 +303,9 @@ def _trained(docs: DataFrame, vocabulary: list[bytes], net: Network, tokens: int
             waiting = len(target) - whole
 
         for batch in _small(batches):
-            for text in batch.column(1).to_pylist():
-                ids = leaves_of(read(words_of(text)), len(vocabulary))
+            lengths, at, words = words_in(batch.column(1))
+            numbers = leaves_of(read(words), len(vocabulary))[at]
+            for ids in np.split(numbers, np.cumsum(lengths)[:-1]):
                 if len(ids):
                     held.append((windows(ids, mine.edge), ids))
                     waiting, places = waiting + len(ids), places + len(ids)
@@ -362,16 +394,16 @@ def _within(docs: DataFrame, model: Model, held: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(words)
         for batch in _small(batches):
-            texts, near, far = [], [], []
-            for text in batch.column(1).to_pylist():
-                mine = words_of(text)
-                numbers = read(mine)
-                unknown = numbers < 0
-                texts.append(np.where(unknown, len(vocabulary) + ~numbers, leaf[np.where(unknown, -1, numbers)]))
-                near.append(float(share[numbers[~unknown]].sum()))
-                far.append([mine[k] for k in np.flatnonzero(unknown).tolist()])
-            lengths = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array(class_scores(net, texts)), pa.array(near, pa.float64()), pa.array(far, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "pll", "near", "far"])
+            lengths, at, mine = words_in(batch.column(1))
+            numbers = read(mine)
+            leaves = np.where(numbers < 0, len(vocabulary) + ~numbers, leaf[np.where(numbers < 0, -1, numbers)])
+            shares = np.where(numbers < 0, 0.0, share[np.where(numbers < 0, 0, numbers)]) if len(share) else np.zeros(len(numbers))
+            row, ends = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths)
+            near, unknown = np.bincount(row, shares[at], len(lengths)), numbers[at] < 0
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[unknown], minlength=len(lengths)))])
+            far = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), mine.take(pa.array(at[unknown])))
+            scores = class_scores(net, np.split(leaves[at], ends[:-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(scores), pa.array(near, pa.float64()), far], ["doc_id", "n_tokens", "pll", "near", "far"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, pll double, near double, far array<binary>")
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.llm import html_wrapper, lm_score, mixing, pii, quality
@@ -473,3 +474,15 @@ def test_lm_edges(edge, empty, monkeypatch):
     rows = lm_score.score_documents(edge).collect()
     assert len(rows) == edge.count() and all(r["pll"] == 0 and r["pll_per_token"] is None for r in rows if r["n_tokens"] == 0)
     assert lm_score.score_documents(empty).count() == 0
+
+
+def test_words_are_read_a_column_at_a_time():
+    texts = ["".join(f"{chr(k)}A{chr(k)}b" for k in range(0x250)), None, "", " ", " a  B\x0b\x0cc ", "Ünï　x\x85y z\x1c\x1dq", "a\x00b c😀 D", "ÄÖ \xa0 k", "a b a"]
+    lengths, at, found = lm_score.words_in(pa.array(texts))
+    found, want = found.to_pylist(), [lm_score.words_of(t) for t in texts]
+    assert [list(x) for x in np.split(np.asarray([found[k] for k in at], object), np.cumsum(lengths)[:-1])] == want and len(set(found)) == len(found)
+    words = pa.array([b"", *found, b"abc", b"ab"], pa.binary())
+    for some in (words, words[3:7]):
+        assert lm_score.buckets_of(some).tolist() == [lm_score.bucket_of(w) for w in some.to_pylist()]
+        assert lm_score.Reader([b"b", b"abc"])(some).tolist() == [[b"b", b"abc"].index(w) if w in (b"b", b"abc") else ~lm_score.bucket_of(w) for w in some.to_pylist()]
+    assert [b.num_rows for b in lm_score._small([pa.record_batch([pa.array(range(6)), pa.array(["aaaa", None, "bb", "c", "dddddddddd", "e"])], ["a", "b"])], 3, 5)] == [2, 2, 1, 1]
