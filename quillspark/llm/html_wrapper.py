@@ -27,6 +27,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -72,7 +73,6 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.S)
 _PARTS = re.compile(r"[-_]+")
-_SPACES = re.compile(r"\s+")
 
 
 class Node:
@@ -117,6 +117,17 @@ def _mark(tag: str, attributes: dict[str, str]) -> int:
     return COMPOUND if tag in GROUPS and any(map(_compound, names)) else 0
 
 
+@lru_cache(1 << 13)
+def _told(tag: str, raw: str) -> tuple[int, str, bool]:
+    """What a start tag says by its attributes: its kind of boilerplate, its label, and whether it is a main region. The same tags come again and again."""
+    attributes = {}
+    if raw and not raw.isspace():
+        attributes = {(a[1] or a[5]).lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(raw)}
+    classes = ".".join(sorted(attributes.get("class", "").lower().split()))
+    main = attributes.get("role", "").lower() == "main" or "articlebody" in attributes.get("itemprop", "").lower()
+    return _mark(tag, attributes) if attributes or tag not in INLINE else 0, f"{tag}.{classes}" if classes else tag, main
+
+
 def parse(source: str) -> Node:
     """The block tree of a page."""
     root = Node("#root", "#root", 0)
@@ -133,10 +144,10 @@ def parse(source: str) -> Node:
 
     def close_run() -> None:
         if pieces:
-            text = _SPACES.sub(" ", html.unescape("".join(pieces))).strip()
+            text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 leaf = Node("#", "#", stack[-1].depth + 1)
-                leaf.text, leaf.linked = text, len(_SPACES.sub(" ", "".join(linked)).strip())
+                leaf.text, leaf.linked = text, len(" ".join("".join(linked).split())) if linked else 0
                 stack[-1].children.append(leaf)
             pieces.clear()
             linked.clear()
@@ -172,9 +183,6 @@ def parse(source: str) -> Node:
                     break
             continue
         raw = found[3]
-        attributes = {}
-        if raw and not raw.isspace():
-            attributes = {(a[1] or a[5]).lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(raw)}
         if tag in RAW:
             if raw.endswith("/"):
                 continue
@@ -197,7 +205,7 @@ def parse(source: str) -> Node:
         if tag in INLINE:
             if tag == "a":
                 links += 1
-            if attributes and tag not in VOID and _mark(tag, attributes) and not raw.endswith("/") and closes(tag):
+            if raw and tag not in VOID and (_told if len(raw) < 512 else _told.__wrapped__)(tag, raw)[0] and not raw.endswith("/") and closes(tag):
                 skip_inline.append(tag)
             continue
         close_run()
@@ -211,9 +219,9 @@ def parse(source: str) -> Node:
             while len(stack) > 1 and stack[-1].tag in ends:
                 stack.pop()
         parent = stack[-1]
-        classes = ".".join(sorted(attributes.get("class", "").lower().split()))
-        node = Node(tag, f"{tag}.{classes}" if classes else tag, parent.depth + 1, _mark(tag, attributes))
-        if attributes.get("role", "").lower() == "main" or "articlebody" in attributes.get("itemprop", "").lower():
+        mark, label, main = (_told if len(raw) < 512 else _told.__wrapped__)(tag, raw)
+        node = Node(tag, label, parent.depth + 1, mark)
+        if main:
             node.tag = "main"
         parent.children.append(node)
         stack.append(node)
@@ -233,6 +241,9 @@ def _decide(root: Node) -> None:
         order.append(at)
         todo += at.children
     for at in reversed(order):
+        if not at.children and at.tag != "h1" and at.tag not in MAIN:
+            at.size = len(at.text)
+            continue
         shown = [c for c in at.children if c.mark != HIDDEN]
         at.size = len(at.text) + sum(c.size for c in shown)
         at.told = at.size if at.tag in MAIN and not at.mark else sum(c.told for c in shown)
@@ -242,8 +253,9 @@ def _decide(root: Node) -> None:
         at, inside = todo.pop()
         inside = inside or (at.tag in MAIN and not at.skip)
         for c in at.children:
-            c.skip = at.skip or _ruled_out(c, inside, root)
-            todo.append((c, inside))
+            c.skip = at.skip or (c.mark > 0 and _ruled_out(c, inside, root))
+            if c.children:
+                todo.append((c, inside))
 
 
 def _ruled_out(at: Node, inside: bool, root: Node) -> bool:
@@ -272,11 +284,11 @@ class Matcher:
     def _describe(self, node: Node) -> None:
         for c in node.children:
             self._describe(c)
-        key = (node.label, *(c.shape for c in node.children))
+        key = (node.label, *[c.shape for c in node.children])
         node.shape = self.shapes.setdefault(key, len(self.shapes))
         if node.shape == len(self.samples):
             self.samples.append(node)
-        node.content = hash((node.text, *(c.content for c in node.children)))
+        node.content = hash((node.text, *[c.content for c in node.children]))
 
     def _weight(self, a: int, b: int) -> float:
         """Matched nodes of two shapes."""

@@ -23,6 +23,13 @@ def test_wrapper_learns_the_template(spark):
     assert [got[k]["text"] for k in (50, 51, 52, 53, 54)] == ["Only page", "", "", "cut off", "no markup &am"]
 
 
+def test_start_tags_are_told_once():
+    html_wrapper._told.cache_clear()
+    root = html_wrapper.parse('<main><div class="b a">x  y</div><div class="b a">&nbsp;z </div><p class="ad">n</p>' + '<div data-x="%s" class="c">t</div></main>' % ("q" * 600))
+    assert [(c.label, c.mark, c.children[0].text) for c in root.children[0].children] == [("div.a.b", 0, "x y"), ("div.a.b", 0, "z"), ("p.ad", html_wrapper.KIND, "n"), ("div.c", 0, "t")]
+    assert html_wrapper._told.cache_info()[:2] == (1, 3)  # the tag that repeats is a hit, the long one isn't held
+
+
 def test_wrapper_without_broadcast_and_on_nothing(spark):
     rows = [(k, f"https://a.example/{k}", PAGE.replace("{n}", f"{k}")) for k in range(8)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash"))
