@@ -4,7 +4,9 @@ Tokens are 64-bit hashes of word shingles. Two sets with Jaccard similarity >= t
 token among their first n - ceil(t n) + 1 under any total order of tokens. Three orders are
 used: classes of the token's hash, then document frequency (exact, or as a power of 2 or 4),
 then a hash of its own for each order; behind them come frequent tokens, those of more than
-FREQUENT sets. A pair is verified only if it shares a prefix token under all three. Tokens of the
+FREQUENT sets. A pair is verified only if it shares a prefix token under all three, and if its
+histograms, the tokens of each set counted by PARTS ranges of the hash, have enough in common: no
+two sets share more tokens than the sum of the lesser counts. Tokens of the
 first class are counted for all sets; those of the next only for sets whose prefix isn't full of
 rare ones yet, so that a passage which many documents share brings none of them together as
 long as enough of their text is their own. A token that no other set has is never joined.
@@ -50,6 +52,8 @@ DEAL = 16
 CLASS_BOUNDS = (1.4, 2.8)
 #: Sets with a token, above which it comes last in all orders.
 FREQUENT = 256
+#: Ranges of the hash by which the tokens of a set are counted; a power of 2.
+PARTS = 64
 #: Entries of a worker's cache of word hashes, and rows of text read at once.
 _WORDS, _ROWS = 200_000, 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -103,14 +107,20 @@ def class_limits(percent: int) -> list[int]:
     return [min(2**64 - 1, int(b * share * 2**64)) for b in CLASS_BOUNDS]
 
 
+def histogram(h: np.ndarray) -> bytes:
+    """The tokens of a set by range of their hash, as 16-bit counts; empty where one is too large for that."""
+    counts = np.bincount((h.view(np.uint64) >> np.uint64(65 - PARTS.bit_length())).astype(np.int64), minlength=PARTS)
+    return counts.astype("<u2").tobytes() if counts.max(initial=0) < 2**16 else b""
+
+
 def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n (set size), sig (digest of the set), m (tokens in each class) and toks (tokens of the first two classes, or of all where its prefix needs more)."""
+    """Per row: doc_id, n (set size), sig (digest of the set), m (tokens in each class), hist and toks (tokens of the first two classes, or of all where its prefix needs more)."""
     limits = [np.uint64(x) for x in class_limits(percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(words)
         for batch in _small(batches):
-            n, sig, m, toks = [], [], [], []
+            n, sig, m, hist, toks = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = of(text)
                 size, upto = len(h), [int(np.searchsorted(h, x, "right")) for x in limits]
@@ -119,15 +129,16 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 n.append(size)
                 sig.append(xxhash.xxh3_128_digest(h.tobytes()) if size else None)
                 m.append([upto[0], upto[1] - upto[0], size - upto[1]])
+                hist.append(histogram(h))
                 toks.append(h[:taken].view(np.int64) if size else np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
             flat = np.concatenate(toks) if toks else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(m, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc_id", "n", "sig", "m", "toks"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(m, pa.list_(pa.int64())), pa.array(hist, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["doc_id", "n", "sig", "m", "hist", "toks"],
             )
 
-    return _columns(docs).mapInArrow(run, "doc_id long, n long, sig binary, m array<long>, toks array<long>")
+    return _columns(docs).mapInArrow(run, "doc_id long, n long, sig binary, m array<long>, hist binary, toks array<long>")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -206,13 +217,28 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def candidates(n: np.ndarray, prefixes: list[list[np.ndarray]], percent: int) -> np.ndarray:
-    """Pairs of a block that pass the size filter and share a prefix token under every other order too."""
+def alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, counts: np.ndarray, percent: int, step: int = 4096) -> np.ndarray:
+    """Whether sets a[k] and b[k] can be similar enough by their `counts` (a row a set), which bound what they share."""
+    out = np.empty(len(a), bool)
+    for lo in range(0, len(a), step):
+        i, j = a[lo : lo + step], b[lo : lo + step]
+        out[lo : lo + step] = (100 + percent) * np.minimum(counts[i], counts[j]).sum(1, np.int64) >= percent * (n[i] + n[j])
+    return out
+
+
+def candidates(n: np.ndarray, prefixes: list[list[np.ndarray]], percent: int, hist: list[bytes] | None = None) -> np.ndarray:
+    """Pairs of a block that pass the size filter, share a prefix token under every other order too, and have histograms that allow it."""
     maybe = 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
     np.fill_diagonal(maybe, False)
     for other in prefixes:
         if maybe.any():
             maybe &= overlaps(other) > 0
+    if hist is not None and maybe.any():
+        known = np.asarray([len(x) > 0 for x in hist])
+        counts = np.frombuffer(b"".join(x or bytes(2 * PARTS) for x in hist), "<u2").reshape(len(hist), PARTS)
+        a, b = np.nonzero(np.triu(maybe & np.logical_and.outer(known, known)))
+        bad = ~alike(a, b, n, counts, percent)
+        maybe[a[bad], b[bad]] = maybe[b[bad], a[bad]] = False
     return maybe
 
 
@@ -255,10 +281,10 @@ def _by_block(rows: DataFrame, columns: list[str], work, schema: str) -> DataFra
 def _candidates(members: DataFrame, percent: int) -> DataFrame:
     """A spanning forest (a, b) of each block's candidate pairs."""
 
-    def work(key, docs, n, second, third):
-        return _edges(docs, forest(candidates(np.asarray(n), [second, third], percent)))
+    def work(key, docs, n, second, third, hist):
+        return _edges(docs, forest(candidates(np.asarray(n), [second, third], percent, hist)))
 
-    return _by_block(members, ["doc_id", "n", "second", "third"], work, "a long, b long")
+    return _by_block(members, ["doc_id", "n", "second", "third", "hist"], work, "a long, b long")
 
 
 def _edges(docs: list, edges: list[tuple[int, int]]) -> pa.RecordBatch | None:
@@ -361,17 +387,17 @@ def _shared(spread: DataFrame) -> DataFrame:
 
 
 def counted_tokens(nodes: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """doc_id, tag, n, m and shared tokens with their frequency: of the first class, and of all in `toks` where rare ones of that don't fill a prefix."""
+    """doc_id, tag, n, m, hist and shared tokens with their frequency: of the first class, and of all in `toks` where rare ones of that don't fill a prefix."""
     of_first = F.element_at("m", 1).cast("int")
     none = F.array().cast("array<struct<token:bigint,df:int>>")
     shared = F.coalesce("shared", none)
     first = _shared(nodes.select("row", F.explode(F.slice("toks", 1, of_first)).alias("token")))
     full = of_first - F.size(F.filter(shared, lambda t: t["df"] > frequent)) >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    met = nodes.select("row", "doc_id", "tag", "n", "m").join(first.hint("merge"), "row", "left").withColumn("shared", shared).withColumn("full", full)
+    met = nodes.select("row", "doc_id", "tag", "n", "m", "hist").join(first.hint("merge"), "row", "left").withColumn("shared", shared).withColumn("full", full)
     met = cut(met.where("not full or size(shared) > 0"), "counted")
     rest = _of_rows(nodes, met.where("not full").select("row")).select("row", F.explode(F.slice("toks", of_first + 1, F.size("toks"))).alias("token"))
     more = _shared(rest).withColumnRenamed("shared", "more")
-    return met.join(more.hint("merge"), "row", "left").select("doc_id", "tag", "n", "m", F.concat("shared", F.coalesce("more", none)).alias("shared"))
+    return met.join(more.hint("merge"), "row", "left").select("doc_id", "tag", "n", "m", "hist", F.concat("shared", F.coalesce("more", none)).alias("shared"))
 
 
 def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
@@ -395,7 +421,7 @@ def similarity_classes(docs: DataFrame, words: int = 5, percent: int = 80, frequ
 
     # Candidates share prefix tokens under all three orders. Their components are small, and every link is
     # inside one, so that each whole set moves once, to its component.
-    payload = prefixed.select("doc_id", "n", "second", "third")
+    payload = prefixed.select("doc_id", "n", "second", "third", "hist")
     grouped = components(_joined_in_blocks(placed, "candidates", lambda places: _candidates(_carried(places, payload), percent)))
     grouped = grouped.union(grouped.select(F.col("component").alias("node"), "component").distinct())
     groups = cut(grouped.select(F.col("component").alias("token"), F.col("node").alias("doc_id")), "groups")
@@ -419,16 +445,16 @@ def _prefixes(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())
         for batch in _small(batches):
-            pairs = batch.column(4)
+            pairs = batch.column(5)
             flat, offsets = pairs.flatten(), pairs.offsets.to_numpy()
             tokens, df = (c.to_numpy() for c in flat.flatten())
             at = offsets - offsets[0]
             out = [choose_prefixes(tokens[a:b], df[a:b], m, n, percent, frequent) for a, b, n, m in zip(at, at[1:], batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=False)]
             # Of the second and third prefixes half of each hash is enough: what coincides is verified.
             short = [(a, *(np.unique(x.view(np.int32)[::2]) for x in (b, c))) for a, b, c in out]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([o[k] for o in short], kinds[k]) for k in range(3))], ["doc_id", "tag", "n", "first", "second", "third"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([o[k] for o in short], kinds[k]) for k in range(3)), batch.column(4)], ["doc_id", "tag", "n", "first", "second", "third", "hist"])
 
-    return shared.select("doc_id", "tag", "n", "m", "shared").mapInArrow(run, "doc_id long, tag int, n long, first array<long>, second array<int>, third array<int>")
+    return shared.select("doc_id", "tag", "n", "m", "hist", "shared").mapInArrow(run, "doc_id long, tag int, n long, first array<long>, second array<int>, third array<int>, hist binary")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:

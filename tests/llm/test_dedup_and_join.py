@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from compare import oracle, same
 
@@ -77,6 +78,19 @@ def test_join_against_brute_force_in_small_blocks(spark, sf, monkeypatch, words,
         assert sorted((tuple(r) for r in ngram_join.similarity_classes(docs, words, percent, frequent).collect()), key=repr) == want
 
 
+def test_histograms_rule_out_what_only_shares_prefixes():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 400, np.uint64)
+    sets = [np.unique(np.concatenate([base[: 400 - lost], rng.integers(0, 2**64, lost, np.uint64)])) for lost in (0, 5, 12, 19, 20, 150, 160, 170)]
+    n, prefix = np.asarray([len(s) for s in sets]), [base[:9].view(np.int64)] * len(sets)
+    linked = {(i, j) for i in range(8) for j in range(8) if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
+    hist = [ngram_join.histogram(s) for s in sets]
+    found = set(zip(*map(np.ndarray.tolist, np.nonzero(ngram_join.candidates(n, [prefix, prefix], 90, hist))), strict=True))
+    assert linked <= found and {k for pair in found for k in pair} <= set(range(5))  # before, every pair was one
+    # A set without a histogram is ruled out by nothing.
+    assert ngram_join.histogram(np.arange(2**16, dtype=np.uint64)) == b"" and ngram_join.candidates(n, [prefix, prefix], 90, [b"", *hist[1:]])[0].sum() == 7
+
+
 def test_components_in_rounds_and_in_one_task(spark):
     draw = random.Random(3)
     edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(50)]
