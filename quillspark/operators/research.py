@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillspark import sinks
 from quillspark.functions import text
+from quillspark.lineage import cut
 from quillspark.operators import mirror as corpus
 from quillspark.operators import search_index
 from quillspark.streaming.jobs import memoised
@@ -97,7 +98,8 @@ def _acted(called: DataFrame, tools: set[str], docs: DataFrame, index: str | Non
     def searched() -> DataFrame:
         asking = on.where(tool == "search")
         queries = asking.select(F.col("line_id").alias("query_id"), F.array(a["query"]).alias("terms"))
-        found = search_index.search(queries, index) if index else search_index.search_unstored(queries, docs)
+        # Stored: what goes on is read twice, by those that stop and by those that ask again.
+        found = cut(search_index.search(queries, index) if index else search_index.search_unstored(queries, docs), "hits")
         shown = found.join(docs.select("doc_id", F.substring("text", 1, 400).alias("snippet")), "doc_id")
         hit = F.struct(F.col("doc_id").cast("string").alias("doc_id"), "snippet")
         hits = shown.groupBy(F.col("query_id").alias("line_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", hit.alias("hit")))), lambda h: h["hit"]).alias("hits"))
@@ -214,7 +216,7 @@ def run_lines(lines: DataFrame, docs: DataFrame, model: Model, folder: str, **op
     Columns: line_id, status, tier, steps, n_citations, flags, reason, spend_used, outcome (what telemetry records).
     """
     running = lines.where("status = 'running'")
-    out = live_loop(running, docs, model, folder, **options)
+    out = cut(live_loop(running, docs, model, folder, **options), "outcomes")  # read three times below
     found = out.where("kind = 'findings'")
     cites = found.select("line_id", F.posexplode("citations").alias("pos", "c")).select("line_id", "pos", F.col("c.doc_id").alias("doc_id"), F.col("c.snapshot_id").alias("snapshot_id"), F.col("c.snippet").alias("snippet"))
     empty = "snapshot_id string, text string, content_sha256 string"

@@ -101,3 +101,31 @@ def test_unaccented_agrees_with_sql(spark):
     mine = spark.createDataFrame([(letters,)], "t string").select(text.unaccented(F.col("t")).alias("t"))
     theirs = duckdb.sql("SELECT lower(strip_accents(?)) AS t", params=[letters]).fetchall()
     same(mine, ["t"], theirs)
+
+
+def test_a_word_meets_its_tokens_once_for_all_queries(spark, tmp_path):
+    """Queries with the same word don't each meet all tokens that begin with it; long words are told apart behind their first characters."""
+    many = [(k, k, f"common{k} deinstitutionalisation{k}") for k in range(40)]
+    at = str(tmp_path / "index")
+    search_index.extend(spark.createDataFrame(many, "doc_id long, ord long, text string"), at, 0)
+    queries = spark.createDataFrame([(k, ["common"]) for k in range(50)] + [(50, ["deinstitutionalisation7"]), (51, ["deinstitutionalisatiom"])], "query_id long, terms array<string>")
+    out = search_index.search(queries, at)
+    got = found(out)
+    assert got == {k: [0, 1, 2, 3] for k in range(50)} | {50: [7]}
+    ran = out._jdf.queryExecution().executedPlan()
+    out._jdf.queryExecution().executedPlan().executeCollect()
+    rows = []
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage") or node.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+            walk(node.plan())
+        metrics = node.metrics()
+        if "Join" in node.nodeName() and metrics.contains("numOutputRows"):
+            rows.append(metrics.apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(ran)
+    assert rows and max(rows) <= 4 * 50 + 100  # before, 50 queries met 40 tokens each
