@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark import sinks
 from quillspark.functions.crypto import is_hmac, seal, unseal
 from quillspark.functions.text import entity_markers
+from quillspark.lineage import cut
 
 
 def index(gated: DataFrame, sealed: DataFrame) -> DataFrame:
@@ -40,23 +41,39 @@ def open_names(entities: DataFrame, requests: DataFrame, key: Column, audit: str
 
     The records are written and committed first, and a name is opened only for a request that is read back from them: no
     record, no name. A request that comes again finds its record and leaves no second one; one whose id stands for another hash opens nothing.
+
+    A name's links, as they are then, are stored once below the audit (`links_id`, a row a link), whatever number of requests opens it;
+    records hold the set's id and size. `n_links` is the size of `links`, which meet the requests last and aren't made where nobody reads them.
     """
-    first = F.min_by("name_envelope", F.struct("submission_id", "label")).alias("_envelope")
-    asked = requests.select("request_id", "name_hmac").distinct()
-    held = entities.join(asked.select("name_hmac").distinct(), "name_hmac", "left_semi")
-    judged = reveal(held.select("name_hmac", "submission_id", "label"), requests).join(held.groupBy("name_hmac").agg(first), "name_hmac", "left")
+    names = requests.select("name_hmac").distinct()
+    pair = ("submission_id", "label")
+    held = cut(entities.join(names, "name_hmac", "left_semi").groupBy("name_hmac", *pair).agg(F.min("name_envelope").alias("name_envelope")), "held")
+    half = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.to_json(F.struct(*pair))).cast("decimal(20,0)"))  # noqa: E731  in any order
+    sums = held.groupBy("name_hmac").agg(F.count(F.lit(1)).alias("n_links"), half(1).alias("_a"), half(2).alias("_b"), F.min_by("name_envelope", F.struct(*pair)).alias("_envelope"))
+    sums = cut(sums.select("name_hmac", "n_links", "_envelope", F.sha2(F.concat_ws(" ", "name_hmac", "n_links", "_a", "_b"), 256).alias("links_id")), "names")
+    refused = F.when(~is_hmac(F.col("name_hmac")), "invalid_hmac").when(F.col("links_id").isNull(), "not_found")
+    judged = requests.join(sums, "name_hmac", "left").withColumn("error", refused)
     record = seal(F.to_json(F.struct("revealed_by", "reason")), key)
-    rows = judged.where("error is null").select("request_id", "name_hmac", F.to_json("links").alias("links"), record.alias("record_envelope"), (F.current_timestamp() if now is None else now).alias("revealed_at"))
+    rows = judged.where("error is null").select("request_id", "name_hmac", "links_id", "n_links", record.alias("record_envelope"), (F.current_timestamp() if now is None else now).alias("revealed_at"))
+    sinks.insert_ignore(held.join(sums.where(is_hmac(F.col("name_hmac"))).select("name_hmac", "links_id"), "name_hmac").select("links_id", *pair), f"{audit}/links", ["links_id", *pair])
     sinks.insert_ignore(rows, audit, ["request_id"])
     kept = sinks.read(requests.sparkSession, audit).select("request_id", "name_hmac", F.lit(True).alias("_kept"))
     met = judged.join(kept, ["request_id", "name_hmac"], "left")
     name = F.when(F.col("_kept"), unseal(F.col("_envelope"), key))
     error = F.when(F.col("error").isNull() & F.col("_kept").isNull(), "not_recorded").when(F.col("error").isNull() & name.isNull(), "unreadable").otherwise(F.col("error"))
-    return met.select("request_id", "name_hmac", name.alias("name"), F.when(F.col("_kept"), F.col("links")).alias("links"), error.alias("error"))
+    grouped = held.groupBy("name_hmac").agg(F.sort_array(F.collect_list(F.struct(*pair))).alias("links"))
+    told = met.select("request_id", "name_hmac", name.alias("name"), F.when(F.col("_kept"), F.col("n_links")).alias("n_links"), error.alias("error"), "_kept")
+    return told.join(grouped, "name_hmac", "left").select("request_id", "name_hmac", "name", "n_links", F.when(F.col("_kept"), F.col("links")).alias("links"), "error")
 
 
 def reveals(spark: SparkSession, audit: str, key: Column) -> DataFrame:
     """The audit for its readers: who opened which hash and why; names are no part of it."""
     opened = F.from_json(unseal(F.col("record_envelope"), key), "revealed_by string, reason string")
-    links_ = F.from_json("links", "array<struct<submission_id: string, label: string>>")
-    return sinks.read(spark, audit).withColumn("o", opened).select("request_id", "name_hmac", links_.alias("links"), "o.revealed_by", "o.reason", "revealed_at")
+    link = F.struct(F.col("submission_id").cast("string").alias("submission_id"), "label")
+    links_ = sinks.read(spark, f"{audit}/links").groupBy("links_id").agg(F.sort_array(F.collect_list(link)).alias("links"))
+    return records(spark, audit).withColumn("o", opened).join(links_, "links_id", "left").select("request_id", "name_hmac", "links", "o.revealed_by", "o.reason", "revealed_at")
+
+
+def records(spark: SparkSession, audit: str) -> DataFrame:
+    """The stored records as they are: request_id, name_hmac, links_id, n_links, record_envelope, revealed_at."""
+    return sinks.read(spark, audit)

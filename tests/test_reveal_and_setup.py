@@ -42,6 +42,23 @@ def test_no_name_without_its_record(spark, names, tmp_path, monkeypatch):
     assert stolen["name"] is None and stolen["error"] == "not_recorded" and entities.reveals(spark, at, key).count() == 3
 
 
+def test_links_of_a_name_are_stored_once(spark, tmp_path):
+    at, key = str(tmp_path / "audit"), F.lit("k" * 32)
+    rows = [(f"s{k}", "[person A]", "v1.broken.x", H["ann"]) for k in range(50)]
+    held = spark.createDataFrame(rows, "submission_id string, label string, name_envelope string, name_hmac string")
+    requests = asked(spark, *((f"r{k}", H["ann"]) for k in range(40)))
+    for _ in range(2):
+        out = entities.open_names(held, requests, key, at).collect()
+        assert {r["n_links"] for r in out} == {50} and {len(r["links"]) for r in out} == {50}
+    assert entities.records(spark, at).count() == 40 and sinks.read(spark, f"{at}/links").count() == 50  # before, each of the 40 records held all 50
+    # A later request finds one link more; records that are there keep theirs.
+    more = held.union(spark.createDataFrame([("s99", "[person B]", "v1.broken.x", H["ann"])], held.schema))
+    entities.open_names(more, asked(spark, ("r99", H["ann"])), key, at)
+    told = {r["request_id"]: [x["submission_id"] for x in r["links"]] for r in entities.reveals(spark, at, key).collect()}
+    assert told["r0"] == sorted(f"s{k}" for k in range(50)) and told["r99"] == [*told["r0"], "s99"]
+    assert not [c for c in entities.records(spark, at).columns if c == "links"]
+
+
 def test_steps_go_forward_only(spark):
     rng = random.Random(2)
     rows = [(k, n, rng.randrange(5), rng.random() < 0.5, rng.choice([None, "a", "b"])) for k in range(12) for n in range(rng.randrange(1, 15))]
