@@ -27,6 +27,18 @@ def test_uploads_are_equal_or_absent(spark, tmp_path):
     assert sorted(bytes(r["content"]) for r in bounded.stored(spark, at).where("object = 'empty'").collect()) == [b"", b"again"]
 
 
+def test_objects_are_read_from_reports_without_being_listed(spark, tmp_path):
+    at = str(tmp_path / "up")
+    bounded.upload(chunked(spark, [(f"o{k}", b"data %d" % k) for k in range(30)]), at, 100)
+    files_ = bounded.report(spark, at).inputFiles() + bounded.stored(spark, at).inputFiles()
+    assert files_ and all(f.endswith("report.parquet") for f in files_)  # before, every object's file was one too
+    plan = bounded.stored(spark, at)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    next((tmp_path / "up").rglob("o-*")).write_bytes(b"")  # a file that lost its bytes is no object
+    with pytest.raises(Exception, match="0 bytes of"):
+        bounded.stored(spark, at).collect()
+
+
 def test_a_failing_task_leaves_no_part(spark, tmp_path):
     at = str(tmp_path / "up")
     broken = chunked(spark, [(f"o{k}", b"0123456789") for k in range(40)]).withColumn("content", F.when(F.col("object") == "o17", F.raise_error(F.lit("broken source"))).otherwise(F.col("content")))
